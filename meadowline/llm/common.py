@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,5 +75,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, as they need not have it installed or run in its folder."""
+    context = spark.sparkContext
+    if getattr(context, "_meadowline_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{top.name}", "zip", top.parent, top.name)
+    context.addPyFile(archive)
+    context._meadowline_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

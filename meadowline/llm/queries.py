@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from meadowline.llm.decontaminate import op5_decontamination
 from meadowline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from meadowline.llm.licenses import op4_licenses
 from meadowline.llm.pii import op1_pii
+from meadowline.llm.token_counts import op10_token_counts
+from meadowline.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_decontamination": op5_decontamination,
+    "op7_token_files": op7_token_files,
+    "op10_token_counts": op10_token_counts,
 }
 SQL = {
     "op2_exact_dedup": OP2_SQL,
