@@ -26,7 +26,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
 }
-_NO_ID = F.lit(2**63 - 1)
+_NO_ID = "9223372036854775807L"
 
 
 def normalised(text: Column) -> Column:
@@ -70,7 +70,7 @@ class StreamingDeduplicator:
             seen = session.readStream.schema(prints.schema).parquet(log)
             query = (
                 seen.groupBy("digest")
-                .agg(F.max(F.struct(F.col("n"), (-F.coalesce("doc_id", _NO_ID)).alias("order"), "doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+                .agg(F.max(F.struct(F.col("n"), (-F.coalesce("doc_id", F.expr(_NO_ID))).alias("order"), "doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
                 .select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("locator"), "group_size")
                 .writeStream.outputMode("update")
                 .foreachBatch(publish)
@@ -109,7 +109,7 @@ class StreamingDeduplicator:
             text = normalised(F.col("text"))
             rows = docs.select(self.digest(text).alias("digest"), text.alias("body"), F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
             odd = rows.join(bad, "digest", "left_semi")
-            best = odd.groupBy("body").agg(F.max(F.struct("n", (-F.coalesce("doc_id", _NO_ID)).alias("order"), "doc_id")).alias("b"), F.count(F.lit(1)).alias("group_size"))
+            best = odd.groupBy("body").agg(F.max(F.struct("n", (-F.coalesce("doc_id", F.expr(_NO_ID))).alias("order"), "doc_id")).alias("b"), F.count(F.lit(1)).alias("group_size"))
             regrouped = odd.join(best, "body").select("doc_id", F.col("b.doc_id").alias("keep_id"), "group_size", sha256(F.col("body")).alias("text_sha256"))
             rest = rows.join(bad, "digest", "left_anti").join(groups, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), sha256(F.col("body")).alias("text_sha256"))
             out = regrouped.unionByName(rest)

@@ -98,15 +98,16 @@ class FactorisationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(rows, cols, values, n), -30, 30)))
 
 
-def learn(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.15, decay: float = 2e-5, seed: int = 5) -> FactorisationMachine:
-    """Logistic loss by mini-batches with a step for each weight that follows its past gradients."""
+def learn(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.ndarray, rank: int = 6, epochs: int = 12, steps: int = 400, rate: float = 0.15, decay: float = 2e-5, seed: int = 5) -> FactorisationMachine:
+    """Logistic loss by mini-batches, ``epochs`` times over the rows and ``steps`` batches at least; each weight's step
+    follows its past gradients."""
     rng = np.random.default_rng(seed)
     fm = FactorisationMachine(float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))), np.zeros(SPACE), rng.normal(0, 0.02, (SPACE, rank)))
     order = np.argsort(rows, kind="stable")
     rows, cols, values = rows[order], cols[order], values[order]
     starts = np.searchsorted(rows, np.arange(len(labels) + 1))
     g_linear, g_factors, g_bias, size = np.full(SPACE, 1e-3), np.full((SPACE, rank), 1e-3), 1e-3, 64
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * size // len(labels)))):
         shuffled = rng.permutation(len(labels))
         for b in range(0, len(labels), size):
             docs = shuffled[b : b + size]
@@ -116,14 +117,14 @@ def learn(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.nda
             used, at = np.unique(c, return_inverse=True)
             gradient = np.bincount(at, error[r] * x) / len(docs) + decay * fm.linear[used]
             g_linear[used] += gradient**2
-            steps = [(fm.linear, used, rate * gradient / np.sqrt(g_linear[used]))]
+            moves = [(fm.linear, used, rate * gradient / np.sqrt(g_linear[used]))]
             for f in range(rank):
                 v = fm.factors[c, f]
                 total = np.bincount(r, v * x, minlength=len(docs))
                 gradient = np.bincount(at, error[r] * x * (total[r] - v * x)) / len(docs) + decay * fm.factors[used, f]
                 g_factors[used, f] += gradient**2
-                steps.append((fm.factors[:, f], used, 0.3 * rate * gradient / np.sqrt(g_factors[used, f])))
-            for weights, which, step in steps:
+                moves.append((fm.factors[:, f], used, 0.3 * rate * gradient / np.sqrt(g_factors[used, f])))
+            for weights, which, step in moves:
                 weights[which] -= step
             g_bias += error.mean() ** 2
             fm.bias -= rate * error.mean() / np.sqrt(g_bias)
