@@ -1,4 +1,622 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators, and SQL of the same meaning for DuckDB.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables hold no rasters, so each operator works on what corresponds: a key is a pixel, a numeric column a band, a date an
+image's date, a quantity an area, a flag the reference class, and key ranges are blocks. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meadowline.functions import columns as C
+from meadowline.functions import grid as G
+from meadowline.operators import folds as FO
+from meadowline.operators import models as M
+from meadowline.operators import sampling as S
+from meadowline.operators import scoring as SC
+from meadowline.operators import temporal as T
+from meadowline.operators import weighted as WT
+from meadowline.operators.distance import nearest_flagged
+from meadowline.streaming.incremental import running_statistics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r(x: Column, digits: int = 4) -> Column:
+    return F.round(x, digits)
+
+
+def long(x: Column) -> Column:
+    return x.cast("long")
+
+
+# Sampling
+
+_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _eligible(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(*_KEY, "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_returnflag") == "R").cast("int").alias("reference_site"))
+    return rows.withColumns({"block_col": G.block_index(F.col("l_partkey"), 100), "block_row": G.block_index(F.col("l_suppkey"), 10)})
+
+
+def _sample(spark: SparkSession, sf: str) -> DataFrame:
+    rank = [S.priority(42, *(F.col(c) for c in (*_KEY, "cents"))), *_KEY, "cents"]
+    return S.stratified_sample(_eligible(spark, sf), ["block_col", "block_row", "reference_site"], rank, 3)
+
+
+_SAMPLE_SQL = """
+e AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+         CAST(l_returnflag = 'R' AS INT) AS reference_site, CAST(floor(l_partkey / 100.0) AS BIGINT) AS block_col, CAST(floor(l_suppkey / 10.0) AS BIGINT) AS block_row
+  FROM lineitem
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY block_col, block_row, reference_site
+      ORDER BY sha256('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || cents), l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) AS rn,
+    count(*) OVER (PARTITION BY block_col, block_row, reference_site) AS available
+  FROM e
+), s AS (SELECT *, least(available, 3) AS sampled, least(available, 3) / available AS probability, available / least(available, 3) AS weight FROM k WHERE rn <= 3)
+"""
+
+
+@query(f"WITH {_SAMPLE_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, reference_site, block_col, block_row, available, sampled, round(probability, 6) AS probability, round(weight, 6) AS weight FROM s")
+def stratified_sample(spark, sf):
+    """At most three lines of each (block, class), by hash priority, with design weights."""
+    s = _sample(spark, sf)
+    return s.select(*_KEY, "cents", "reference_site", "block_col", "block_row", "available", "sampled", r(F.col("probability"), 6).alias("probability"), r(F.col("weight"), 6).alias("weight"))
+
+
+@query(f"""WITH {_SAMPLE_SQL}, c AS (SELECT * FROM (VALUES (0), (1)) v(reference_site))
+SELECT c.reference_site, count(s.rn) AS sampled_rows, round(sum(weight), 3) AS represented_rows, round(sum(l_quantity), 3) AS sampled_area, round(sum(l_quantity * weight), 3) AS represented_area,
+  count(DISTINCT CASE WHEN s.rn IS NOT NULL THEN block_col || ',' || block_row END) AS blocks, round(min(weight), 6) AS weight_min, round(max(weight), 6) AS weight_max
+FROM c LEFT JOIN s USING (reference_site) GROUP BY 1""")
+def sample_class_summary(spark, sf):
+    out = S.class_summary(_sample(spark, sf), "reference_site", F.col("l_quantity"))
+    return out.select("reference_site", "sampled_rows", *(r(F.col(c), 3).alias(c) for c in ("represented_rows", "sampled_area", "represented_area")), "blocks", *(r(F.col(c), 6).alias(c) for c in ("weight_min", "weight_max")))
+
+
+@query(f"""WITH {_SAMPLE_SQL}, b AS (SELECT block_col, block_row, count(*) AS n FROM e GROUP BY 1, 2), d AS (SELECT *, dense_rank() OVER (ORDER BY block_col, block_row) AS block_id FROM b)
+SELECT count(*) AS blocks, max(block_id) AS last_block, min(n) AS least, round(median(n), 3) AS middle, max(n) AS most FROM d""")
+def block_population_stats(spark, sf):
+    counts = _eligible(spark, sf).groupBy("block_col", "block_row").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.join(S.dense_block_numbers(counts, ["block_col", "block_row"]), ["block_col", "block_row"])
+    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.max("block_id").alias("last_block"), F.min("n").alias("least"), r(F.median("n"), 3).alias("middle"), F.max("n").alias("most"))
+
+
+@query("""SELECT o_orderkey, round(-ln((CAST(('0x' || substr(sha256('42:' || o_orderkey), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0) / o_totalprice, 12) AS key
+FROM orders WHERE o_totalprice > 0 ORDER BY -ln((CAST(('0x' || substr(sha256('42:' || o_orderkey), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0) / o_totalprice, o_orderkey LIMIT 250""")
+def weighted_sample_wor(spark, sf):
+    """250 orders drawn without replacement with probability by price."""
+    out = S.weighted_without_replacement(table(spark, sf, "orders"), S.uniform(42, F.col("o_orderkey")), F.col("o_totalprice"), 250, ["o_orderkey"])
+    return out.select("o_orderkey", r(F.col("key"), 12).alias("key"))
+
+
+_BANDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{b}' AS band, count({b}) AS defined, round(count({b}) / count(*) * 100, 6) AS percent, round(sum(CASE WHEN {b} IS NOT NULL THEN l_quantity END), 3) AS area,
+  round(min({b}), 4) AS min, round(avg({b}), 4) AS mean, round(max({b}), 4) AS max FROM lineitem""" for b in _BANDS))
+def band_scan_stats(spark, sf):
+    s = S.scan_statistics(table(spark, sf, "lineitem"), _BANDS, F.col("l_quantity"))
+    return s.select("band", "defined", r(F.col("percent"), 6).alias("percent"), r(F.col("area"), 3).alias("area"), *(r(F.col(c)).alias(c) for c in ("min", "mean", "max")))
+
+
+# Temporal reductions
+
+
+@query("""SELECT user_id, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(value) AS count,
+  round(stddev_pop(value), 6) AS stddev, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
+def temporal_reducers(spark, sf):
+    c = T.reducers(F.col("value"))
+    digits = {"sum": 4}
+    return table(spark, sf, "events").groupBy("user_id").agg(*((x if n in ("min", "max", "count") else r(x, digits.get(n, 6))).alias(n) for n, x in c.items()))
+
+
+@query("""SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o_totalprice
+FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2""")
+def annual_first(spark, sf):
+    """First order of each customer and year, of three years that the scan is pruned to."""
+    orders = T.in_years(table(spark, sf, "orders"), "o_orderdate", 1996, 1998)
+    return T.annual_first(orders, ["o_custkey"], "o_orderdate", "o_orderkey", ["o_orderkey", "o_totalprice"])
+
+
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) >= 20 AS ok FROM events GROUP BY 1, 2),
+p AS (SELECT user_id, CAST(ok AS INT) AS ok, lag(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d)
+SELECT user_id, coalesce(min(CASE WHEN before IS NOT NULL THEN greatest(ok, before) END), min(ok)) AS persistent, count(*) AS periods FROM p GROUP BY 1""")
+def persistence_no_two_failures(spark, sf):
+    daily = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"))
+    return T.never_fails_twice(daily, ["user_id"], "day", F.col("x") >= 20)
+
+
+@query("""WITH t AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS t FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2)
+SELECT o_custkey, count(*) AS years, round(avg(t), 5) AS mean_total, round(CASE WHEN avg(t) <> 0 THEN stddev_pop(t) / avg(t) * 100 END, 5) AS cv_percent FROM t GROUP BY 1""")
+def interannual_cv(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    out = T.variation_of_totals(orders, ["o_custkey"], "year", F.col("o_totalprice"), 2000, 10, 1996)
+    return out.select("o_custkey", "years", r(F.col("mean_total"), 5).alias("mean_total"), r(F.col("cv_percent"), 5).alias("cv_percent"))
+
+
+@query("""WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, max(CAST(o_orderpriority = '1-URGENT' AS INT)) AS u FROM orders GROUP BY 1, 2)
+SELECT o_custkey, CAST(sum(u) AS BIGINT) AS urgent_months, count(*) AS months FROM m GROUP BY 1""")
+def conditional_month_count(spark, sf):
+    monthly = table(spark, sf, "orders").groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("m")).agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("u"))
+    return monthly.groupBy("o_custkey").agg(T.months_with(F.col("u")).alias("urgent_months"), F.count(F.lit(1)).alias("months"))
+
+
+@query("""SELECT o_custkey, round(stddev_pop(CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) <> 5 THEN CAST(substr(o_orderpriority, 1, 1) = '2' AS INT) END), 6) AS spread FROM orders GROUP BY 1""")
+def indicator_stddev(spark, sf):
+    code = F.substring("o_orderpriority", 1, 1).cast("int")
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(r(T.indicator_stddev(code, 2, 5), 6).alias("spread"))
+
+
+@query("""SELECT user_id, round(avg(CASE WHEN value - 10 > 0 THEN value - 10 END), 6) AS positive_mean, count(CASE WHEN value - 10 > 0 THEN 1 END) AS positives FROM events GROUP BY 1""")
+def positive_mean_partial_final(spark, sf):
+    out = T.positive_mean_by_month(table(spark, sf, "events"), ["user_id"], "ts", F.col("value") - 10)
+    return out.select("user_id", r(F.col("positive_mean"), 6).alias("positive_mean"), "positives")
+
+
+@query("""WITH s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT user_id, round(avg(value), 6) AS season_mean, count(*) AS observations FROM events JOIN s USING (user_id) WHERE ts BETWEEN a AND b GROUP BY 1""")
+def season_interval_mean(spark, sf):
+    events = table(spark, sf, "events")
+    seasons = events.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return T.in_season(events, seasons, ["user_id"], "ts", "a", "b").groupBy("user_id").agg(r(F.avg("value"), 6).alias("season_mean"), F.count(F.lit(1)).alias("observations"))
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS season_length,
+  CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) - date_diff('day', DATE '1970-01-01', make_date(year(l_shipdate), 1, 1)) AS INT) AS ship_day
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def band_difference_doy(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    epoch = F.datediff("l_shipdate", F.lit("1970-01-01"))
+    return rows.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("season_length"), C.day_of_year_offset(epoch, F.year("l_shipdate")).alias("ship_day"))
+
+
+@query("""SELECT event_type, count(value) AS count, round(sum(value), 3) AS sum, round(sum(value * value), 2) AS sum_sq, min(value) AS min, max(value) AS max, count(CASE WHEN abs(value) > 1 THEN 1 END) AS over_1 FROM events GROUP BY 1""")
+def incremental_statistics(spark, sf):
+    """Mergeable statistics kept by a stream over the event files until nothing is left to read."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    folder = f"{root.rstrip('/')}/meadowline/{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number:08d}")
+
+    running_statistics(stream, "event_type", "value").writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    batches = spark.read.parquet(f"{folder}/out")
+    newest = batches.groupBy("event_type").agg(F.max_by(F.struct("count", "sum", "sum_sq", "min", "max", "over_1"), "batch").alias("s"))
+    return newest.select("event_type", "s.count", r(F.col("s.sum"), 3).alias("sum"), r(F.col("s.sum_sq"), 2).alias("sum_sq"), "s.min", "s.max", "s.over_1")
+
+
+# Projections and masks
+
+
+@query("""SELECT p_partkey, round(p_size * 0.1, 6) AS tenth, round(p_retailprice * 0.0001, 9) AS ten_thousandth, round(p_retailprice - 273.15, 6) AS celsius, round(p_size / 7000.0, 9) AS influence,
+  round(CAST(CAST(p_size * 0.01 AS FLOAT) AS DOUBLE), 9) AS single FROM part""")
+def unit_scaling(spark, sf):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return table(spark, sf, "part").select(
+        "p_partkey", r(C.linear(size, 0.1), 6).alias("tenth"), r(C.linear(price, 0.0001), 9).alias("ten_thousandth"), r(C.linear(price, 1, -273.15), 6).alias("celsius"),
+        r(size / 7000, 9).alias("influence"), r(C.linear(size, 0.01).cast("float").cast("double"), 9).alias("single"),
+    )
+
+
+@query("""WITH a AS (SELECT l_returnflag, nullif(l_discount, 0) AS d, CASE WHEN l_tax > 0.02 THEN l_tax END AS t FROM lineitem)
+SELECT l_returnflag, count(d) AS defined, round(sum(coalesce(d, 0)), 4) AS unmasked, count(t) AS masked, count(CASE WHEN d IS NOT NULL AND t IS NOT NULL AND d > 0.05 AND t > 0.05 THEN 1 END) AS both_true,
+  count(CASE WHEN d IS NOT NULL AND t IS NOT NULL THEN 1 END) AS both_known, count(CASE WHEN d IS NOT NULL AND t IS NOT NULL AND (d > 0.05 OR t > 0.05) THEN 1 END) AS either_true FROM a GROUP BY 1""")
+def mask_unmask(spark, sf):
+    d, t = C.self_mask(F.col("l_discount")), C.mask_if(F.col("l_tax") > 0.02, F.col("l_tax"))
+    rows = table(spark, sf, "lineitem").select("l_returnflag", d.alias("d"), t.alias("t"))
+    both, either = C.strict_and(F.col("d") > 0.05, F.col("t") > 0.05), C.strict_or(F.col("d") > 0.05, F.col("t") > 0.05)
+    return rows.groupBy("l_returnflag").agg(F.count("d").alias("defined"), r(F.sum(C.unmask(F.col("d")))).alias("unmasked"), F.count("t").alias("masked"), F.count_if(both).alias("both_true"), F.count(both).alias("both_known"), F.count_if(either).alias("either_true"))
+
+
+@query("SELECT o_orderkey, CAST(coalesce(o_totalprice >= 250000.5, false) AS TINYINT) AS mask FROM orders")
+def binary_mask(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", C.binary_mask(F.col("o_totalprice"), ">=250000.5").alias("mask"))
+
+
+@query("""SELECT o_orderpriority, count(CASE WHEN o_totalprice < 99999 THEN 1 END) AS true_pixels, count(CASE WHEN NOT o_totalprice < 99999 THEN 1 END) AS false_pixels, count(CASE WHEN o_totalprice IS NULL THEN 1 END) AS invalid_pixels FROM orders GROUP BY 1""")
+def mask_counts(spark, sf):
+    ok, mask = C.valid(F.col("o_totalprice")), C.binary_mask(F.col("o_totalprice"), "<99999")
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(mask == 1).alias("true_pixels"), F.count_if(ok.isNotNull() & (mask == 0)).alias("false_pixels"), F.count_if(ok.isNull()).alias("invalid_pixels"))
+
+
+@query("""WITH j AS (SELECT quality, toxic, n_chars FROM documents FULL OUTER JOIN labels USING (doc_id))
+SELECT count(*) AS pixels, count(CASE WHEN coalesce(quality, toxic) IS NOT NULL OR n_chars IS NOT NULL THEN 1 END) AS any_band, count(CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL THEN 1 END) AS every_band,
+  count(CASE WHEN n_chars IS NOT NULL OR toxic IS NOT NULL THEN 1 END) AS eligible, count(CASE WHEN quality = 1 THEN 1 END) AS reference_sample, count(CASE WHEN coalesce(quality <> 0, false) THEN 1 END) AS reference_map FROM j""")
+def any_all_defined(spark, sf):
+    j = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id", "full_outer")
+    q, t, n = F.col("quality"), F.col("toxic"), F.col("n_chars")
+    return j.agg(F.count(F.lit(1)).alias("pixels"), F.count_if(C.any_defined([q.cast("long"), t.cast("long"), n])).alias("any_band"), F.count_if(C.all_defined([q, t, n])).alias("every_band"), F.count_if(C.any_defined([n, t.cast("long")])).alias("eligible"), F.count_if(C.in_reference_sample(q)).alias("reference_sample"), F.count_if(C.in_reference_map(q)).alias("reference_map"))
+
+
+@query("""WITH a AS (SELECT doc_id, n_chars, quality, toxic, CAST(quality IS NULL AS INT) + CAST(toxic IS NULL AS INT) + CAST(n_chars IS NULL AS INT) AS missing FROM documents LEFT JOIN labels USING (doc_id)),
+b AS (SELECT *, n_chars > 600 AS target, missing / 3.0 <= 0.5 AS enough FROM a)
+SELECT doc_id, missing, CASE WHEN NOT coalesce(target, false) THEN 255 WHEN NOT enough THEN 1 WHEN missing > 0 THEN 2 ELSE 0 END AS status FROM b""")
+def status_case(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    bands = [F.col(c) for c in ("quality", "toxic", "n_chars")]
+    missing = C.missing_count(bands)
+    return rows.select("doc_id", missing.alias("missing"), C.status(F.col("n_chars") > 600, C.usable(bands, 0.5), missing).alias("status"))
+
+
+@query("""WITH s AS (SELECT ps AS p, 1 - ps AS s, o_orderkey FROM (SELECT o_orderkey, o_totalprice / 500000 AS ps FROM orders))
+SELECT CASE WHEN s <= 0.2 THEN 0 WHEN s <= 0.4 THEN 1 WHEN s <= 0.6 THEN 2 WHEN s <= 0.8 THEN 3 ELSE 4 END AS similarity, count(*) AS pixels, round(min(s), 9) AS least, round(max(s), 9) AS most FROM s GROUP BY 1""")
+def similarity_class(spark, sf):
+    p = F.col("o_totalprice") / 500000
+    rows = table(spark, sf, "orders").select(C.similarity_class(p).alias("similarity"), (1 - p).alias("s"))
+    return rows.groupBy("similarity").agg(F.count(F.lit(1)).alias("pixels"), r(F.min("s"), 9).alias("least"), r(F.max("s"), 9).alias("most"))
+
+
+# Grid
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey - 1000 AS i FROM part), a AS (SELECT *, CAST(floor(i / 37.0) AS BIGINT) AS row, i - 37 * CAST(floor(i / 37.0) AS BIGINT) AS col FROM k)
+SELECT p_partkey, row, col, 100.0 + (col + 0.5) * 500 AS x, 9000.0 - (row + 0.5) * 500 AS y, CAST(floor(i / 25.0) AS BIGINT) AS block, CAST(floor(CAST(floor(i / 25.0) AS BIGINT) / 4.0) AS BIGINT) AS parent,
+  format('x{:+07d}_y{:+07d}', row, col) AS tile, -(row + 1) * 128 + col AS global_row FROM a""")
+def pixel_addressing(spark, sf):
+    i = F.col("p_partkey") - 1000
+    row, col = G.split_index(i, 37)
+    rows = table(spark, sf, "part").select("p_partkey", row.alias("row"), col.alias("col"), G.block_index(i, 25).alias("block"))
+    x, y = G.pixel_centre(F.col("row"), F.col("col"), 100, 9000, 500)
+    return rows.select("p_partkey", "row", "col", x.alias("x"), y.alias("y"), "block", G.parent_block(F.col("block"), 4).alias("parent"), G.tile_id(F.col("row"), F.col("col")).alias("tile"), G.global_row(F.col("row"), F.col("col"), 128).alias("global_row"))
+
+
+@query("""WITH m AS (SELECT CAST(floor((10000.0 - s_acctbal) / 500.0) AS BIGINT) AS mr, CAST(floor((s_suppkey * 150.0 - 0) / 7500.0) AS BIGINT) AS mc, max(CAST(s_nationkey > 12 AS INT)) AS v FROM supplier GROUP BY 1, 2)
+SELECT c_custkey, coalesce(v = 1, false) AS selected FROM customer LEFT JOIN m ON mr = CAST(floor((10000.0 - c_acctbal) / 500.0) AS BIGINT) AND mc = CAST(floor(c_custkey * 10.0 / 7500.0) AS BIGINT)""")
+def nearest_cell_mask(spark, sf):
+    """A mask on a coarser grid, looked up at the cell that holds each pixel's centre."""
+    mr, mc = G.source_cell(F.col("s_suppkey") * 150.0, F.col("s_acctbal"), 0, 10000, 500)
+    # One row per coarse cell: width 7500 by height 500.
+    mask = table(spark, sf, "supplier").select(mr.alias("mr"), F.floor(F.col("s_suppkey") * 150.0 / 7500.0).cast("long").alias("mc"), (F.col("s_nationkey") > 12).cast("int").alias("v")).groupBy("mr", "mc").agg(F.max("v").alias("v"))
+    pr, _ = G.source_cell(F.col("c_custkey") * 10.0, F.col("c_acctbal"), 0, 10000, 500)
+    pixels = table(spark, sf, "customer").select("c_custkey", pr.alias("mr"), F.floor(F.col("c_custkey") * 10.0 / 7500.0).cast("long").alias("mc"))
+    return pixels.join(mask, ["mr", "mc"], "left").select("c_custkey", F.coalesce(F.col("v") == 1, F.lit(False)).alias("selected"))
+
+
+#: An area with a hole and a notch, over account balances and nation numbers.
+AREA = [[(-500.0, -0.5), (9000.0, -0.5), (9000.0, 20.3), (4200.0, 9.7), (-500.0, 20.3), (-500.0, -0.5)], [(1000.0, 2.5), (3000.0, 2.5), (3000.0, 7.5), (1000.0, 7.5), (1000.0, 2.5)]]
+_CROSSINGS = " + ".join(f"CAST(({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay}) + {ax} AS INT)" for ax, ay, bx, by in (tuple(f"({v}::DOUBLE)" for v in e) for e in G.edges(AREA)))
+
+
+@query(f"SELECT c_custkey FROM (SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer) WHERE ({_CROSSINGS}) % 2 = 1")
+def point_in_polygon(spark, sf):
+    return table(spark, sf, "customer").where(G.in_polygon(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), AREA)).select("c_custkey")
+
+
+@query(f"""WITH p AS (SELECT CAST(floor(c_acctbal / 1000.0) AS BIGINT) AS tile_col, CAST(floor(c_nationkey / 5.0) AS BIGINT) AS tile_row, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)
+SELECT tile_col, tile_row, count(*) AS pixels FROM p WHERE ({_CROSSINGS}) % 2 = 1 GROUP BY 1, 2""")
+def tiles_in_area(spark, sf):
+    """Pixels in the area by tile, with only the tiles that intersect it read."""
+    tiles = G.polygon_tiles(spark, [[(x / 1000.0, y / 5.0) for x, y in ring] for ring in AREA], 1.0)
+    rows = table(spark, sf, "customer").select(G.block_index(F.col("c_acctbal"), 1000).alias("tile_col"), G.block_index(F.col("c_nationkey"), 5).alias("tile_row"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return rows.join(tiles, ["tile_col", "tile_row"], "left_semi").where(G.in_polygon(F.col("x"), F.col("y"), AREA)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+_PROJECTION_SQL = """
+WITH c AS (SELECT 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2),
+d AS (SELECT a, e2, sqrt(e2) AS e, cos(radians(30)) / sqrt(1 - e2 * sin(radians(30)) * sin(radians(30))) AS k0, (1 - e2) * (1 / (1 - e2) - ln((1 - sqrt(e2)) / (1 + sqrt(e2))) / (2 * sqrt(e2))) AS qp FROM c),
+p AS (SELECT c_custkey, c_nationkey * 14.0 - 170 AS lon, c_acctbal / 130.0 AS lat FROM customer),
+x AS (SELECT *, a * k0 * radians(lon) AS x, a * (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) * sin(radians(lat))) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) / (2 * k0) AS y FROM p, d),
+t AS (SELECT *, asin(2 * y * k0 / (a * qp)) AS b, a * sqrt(qp / 2) AS radius, x / (a * k0) AS lam FROM x),
+u AS (SELECT *, asin(sqrt(3) / 2 * sin(b)) AS t FROM t)
+SELECT c_custkey, round(x, 2) AS x, round(y, 2) AS y,
+  round(2 * sqrt(3) * radius * lam * cos(t) / (3 * (9 * 0.003796 * t ** 8 + 7 * 0.000893 * t ** 6 - 3 * 0.081106 * t ** 2 + 1.340264)), 2) AS equal_x,
+  round(radius * (0.003796 * t ** 9 + 0.000893 * t ** 7 - 0.081106 * t ** 3 + 1.340264 * t), 2) AS equal_y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM u
+"""
+
+
+@query(_PROJECTION_SQL)
+def equal_area_projections(spark, sf):
+    """Degrees to the equal-area grid, on to Equal Earth, and back to degrees."""
+    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") * 14.0 - 170).alias("lon"), (F.col("c_acctbal") / 130.0).alias("lat"))
+    x, y = G.lonlat_to_cylindrical(F.col("lon"), F.col("lat"))
+    rows = rows.select("c_custkey", x.alias("x"), y.alias("y"))
+    ex, ey = G.cylindrical_to_equal_earth(F.col("x"), F.col("y"))
+    lon, lat = G.cylindrical_to_lonlat(F.col("x"), F.col("y"))
+    return rows.select("c_custkey", r(F.col("x"), 2).alias("x"), r(F.col("y"), 2).alias("y"), r(ex, 2).alias("equal_x"), r(ey, 2).alias("equal_y"), r(lon, 6).alias("lon"), r(lat, 6).alias("lat"))
+
+
+@query("""WITH f AS (SELECT DISTINCT CAST(floor(s_acctbal / 250.0) AS BIGINT) AS row, s_nationkey AS col FROM supplier), c AS (SELECT DISTINCT CAST(floor(c_acctbal / 250.0) AS BIGINT) AS row, c_nationkey AS col FROM customer UNION SELECT row, col FROM f)
+SELECT c.row, CAST(c.col AS BIGINT) AS col, round(sqrt(min((c.row - f.row) * (c.row - f.row) + (c.col - f.col) * (c.col - f.col))) * 30.0, 6) AS distance FROM c, f WHERE f.row IS NOT NULL GROUP BY 1, 2""")
+def nearest_stream_distance(spark, sf):
+    """Distance of every cell that has customers or suppliers to the nearest one with suppliers."""
+    at = lambda df, balance, nation: df.select(G.block_index(F.col(balance), 250).alias("row"), F.col(nation).cast("long").alias("col"))
+    flagged = at(table(spark, sf, "supplier"), "s_acctbal", "s_nationkey").withColumn("f", F.lit(1))
+    cells = at(table(spark, sf, "customer"), "c_acctbal", "c_nationkey").withColumn("f", F.lit(0)).unionByName(flagged).groupBy("row", "col").agg((F.max("f") == 1).alias("stream"))
+    # The transform works on whole columns and rows: absent cells of the frame are filled in.
+    span = cells.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d"))
+    frame = span.select(F.explode(F.sequence("a", "b")).alias("row"), "c", "d").select("row", F.explode(F.sequence("c", "d")).alias("col"))
+    full = frame.join(cells.withColumn("there", F.lit(True)), ["row", "col"], "left").withColumn("stream", F.coalesce("stream", F.lit(False)))
+    out = nearest_flagged(full, "stream", pixel=30.0).where("there")
+    return out.select("row", "col", r(F.col("distance"), 6).alias("distance"))
+
+
+@query("""SELECT CAST(least(floor(i // 50 * 7 / 40.0), 6) AS BIGINT) AS cell_row, CAST(least(floor(i % 50 * 9 / 50.0), 8) AS BIGINT) AS cell_col, round(sum(v), 3) AS value_sum, count(v) AS value_count,
+  count(CASE WHEN c = 0 THEN 1 END) AS class_0, count(CASE WHEN c = 1 THEN 1 END) AS class_1, count(CASE WHEN c = 2 THEN 1 END) AS class_2, round(avg(v), 5) AS value_mean,
+  CASE WHEN count(CASE WHEN c = 0 THEN 1 END) >= greatest(count(CASE WHEN c = 1 THEN 1 END), count(CASE WHEN c = 2 THEN 1 END)) THEN 0 WHEN count(CASE WHEN c = 1 THEN 1 END) >= count(CASE WHEN c = 2 THEN 1 END) THEN 1 ELSE 2 END AS dominant
+FROM (SELECT p_partkey % 2000 AS i, p_retailprice AS v, p_size % 3 AS c FROM part) GROUP BY 1, 2""")
+def display_grid(spark, sf):
+    i = F.col("p_partkey") % 2000
+    row, col = G.display_cell(F.floor(i / 50), i % 50, 40, 50, 7, 9)
+    out = SC.display_summary(table(spark, sf, "part"), row, col, F.col("p_retailprice"), F.col("p_size") % 3, 3)
+    return out.withColumns({"value_sum": r(F.col("value_sum"), 3), "value_mean": r(F.col("value_mean"), 5)})
+
+
+# Joins
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT (SELECT count(*) FROM orders) AS required, (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM l)) AS present, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)) AS missing,
+  (SELECT count(*) FROM (SELECT o_orderkey FROM orders INTERSECT SELECT l_orderkey FROM l)) AS both_sides, (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)) AS missing_keys""")
+def manifest_left_anti(spark, sf):
+    """Which required keys a manifest has and lacks."""
+    orders, there = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    joined = orders.join(there.withColumn("there", F.lit(True)), "o_orderkey", "left")
+    missing = orders.join(there, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("missing"), F.sum("o_orderkey").alias("missing_keys"))
+    both = orders.intersect(there).agg(F.count(F.lit(1)).alias("both_sides"))
+    counts = joined.agg(F.count(F.lit(1)).alias("required"), F.count("there").alias("present"))
+    return counts.join(missing, F.lit(True)).join(both, F.lit(True)).select("required", "present", "missing", "both_sides", "missing_keys")  # three rows of one
+
+
+@query("""WITH b AS (SELECT DISTINCT CAST(floor(p_partkey / 50.0) AS BIGINT) AS k FROM part), n AS (SELECT k, dense_rank() OVER (ORDER BY k) AS block_id FROM b)
+SELECT CAST(block_id % 5 AS BIGINT) AS fold, count(*) AS lines, count(DISTINCT block_id) AS blocks, round(sum(l_quantity), 2) AS area FROM lineitem LEFT JOIN n ON k = CAST(floor(l_partkey / 50.0) AS BIGINT) GROUP BY 1""")
+def block_fold_lookup(spark, sf):
+    """Lines to blocks, blocks to folds, many-to-one."""
+    blocks = S.dense_block_numbers(table(spark, sf, "part").select(G.block_index(F.col("p_partkey"), 50).alias("k")), ["k"])
+    lines = table(spark, sf, "lineitem").select(G.block_index(F.col("l_partkey"), 50).alias("k"), "l_quantity")
+    rows = lines.join(blocks, "k", "left").withColumn("fold", F.col("block_id") % 5)
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("block_id").alias("blocks"), r(F.sum("l_quantity"), 2).alias("area"))
+
+
+# Weighted statistics
+
+
+def _weighted_quantile_sql(by: str, value: str, weight: str, source: str, quantiles: dict[str, float]) -> str:
+    picks = ", ".join(f"min(CASE WHEN share >= {q} - 1e-12 THEN v END) AS {n}" for n, q in quantiles.items())
+    return f"""WITH s AS (SELECT {by} AS g, {value} AS v, sum({weight}) AS w FROM {source} WHERE {weight} > 0 AND {value} IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT g, v, sum(w) OVER (PARTITION BY g ORDER BY v) / sum(w) OVER (PARTITION BY g) AS share FROM s) SELECT g AS {by}, {picks} FROM c GROUP BY 1"""
+
+
+@query(_weighted_quantile_sql("l_returnflag", "l_extendedprice", "l_quantity", "lineitem", {"q0": 0.05, "q1": 0.5, "q2": 0.95}))
+def weighted_quantiles(spark, sf):
+    return WT.weighted_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), F.col("l_quantity"), [0.05, 0.5, 0.95])
+
+
+@query("""WITH s AS (SELECT l_partkey, l_returnflag, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY w DESC, l_returnflag) AS rn FROM s)
+SELECT l_partkey, l_returnflag AS mode, round(w, 3) AS mode_weight FROM k WHERE rn = 1""")
+def weighted_mode(spark, sf):
+    return WT.weighted_mode(table(spark, sf, "lineitem"), ["l_partkey"], "l_returnflag", F.col("l_quantity")).withColumn("mode_weight", r(F.col("mode_weight"), 3))
+
+
+@query("""WITH f AS (SELECT * FROM (VALUES (0), (1), (2)) v(fold)), t AS (SELECT fold, l_discount AS v, l_quantity AS w, l_linenumber AS c FROM lineitem JOIN f ON l_suppkey % 3 <> fold),
+s AS (SELECT fold, v, sum(w) AS w FROM t GROUP BY 1, 2), q AS (SELECT fold, v, sum(w) OVER (PARTITION BY fold ORDER BY v) / sum(w) OVER (PARTITION BY fold) AS share FROM s),
+m AS (SELECT fold, c, row_number() OVER (PARTITION BY fold ORDER BY sum(w) DESC, c) AS rn FROM t GROUP BY fold, c)
+SELECT q.fold, min(CASE WHEN share >= 0.5 - 1e-12 THEN v END) AS median_discount, max(CASE WHEN rn = 1 THEN c END) AS line_mode FROM q JOIN m USING (fold) GROUP BY 1""")
+def imputation_values(spark, sf):
+    """Replacement values from each fold's training rows only."""
+    lines = table(spark, sf, "lineitem").select("l_discount", "l_quantity", "l_linenumber", F.col("l_suppkey") % 3)
+    fold = lines.columns[-1]
+    train = lines.withColumn("fold", F.explode(F.array_except(F.array(*map(F.lit, range(3))), F.array(F.col(f"`{fold}`").cast("int")))))
+    median = WT.weighted_quantiles(train, ["fold"], F.col("l_discount"), F.col("l_quantity"), [0.5]).withColumnRenamed("q0", "median_discount")
+    mode = WT.weighted_mode(train, ["fold"], "l_linenumber", F.col("l_quantity")).select("fold", F.col("mode").alias("line_mode"))
+    return median.join(mode, "fold")
+
+
+_VAR = "sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w))"
+
+
+@query(f"""WITH d AS (SELECT l_returnflag, l_discount AS x, l_tax AS y, l_quantity AS w FROM lineitem)
+SELECT l_returnflag, round(sum(w * x) / sum(w), 8) AS mean, round(sqrt({_VAR}), 8) AS stddev,
+  round((sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt(({_VAR}) * ({_VAR.replace('x', 'y')})), 6) AS pearson FROM d GROUP BY 1""")
+def weighted_moments(spark, sf):
+    w, x, y = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    m = WT.moments(x, w)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(m["mean"], 8).alias("mean"), r(m["stddev"], 8).alias("stddev"), r(WT.correlation(x, y, w), 6).alias("pearson"))
+
+
+_RANK = "rank() OVER (PARTITION BY g ORDER BY {0}) + (count(*) OVER (PARTITION BY g, {0}) - 1) / 2.0"
+
+
+@query(f"""WITH d AS (SELECT l_returnflag AS g, l_extendedprice AS o, l_quantity * 1500 AS e, l_quantity AS w FROM lineitem),
+k AS (SELECT *, {_RANK.format('o')} AS x, {_RANK.format('e')} AS y FROM d)
+SELECT g AS l_returnflag, round(1 - sum(w * (o - e) * (o - e)) / (sum(w * o * o) - sum(w) * (sum(w * o) / sum(w)) * (sum(w * o) / sum(w))), 6) AS r2, round(sqrt(sum(w * (o - e) * (o - e)) / sum(w)), 4) AS rmse,
+  round(sum(w * abs(o - e)) / sum(w), 4) AS mae, round(sum(w * (e - o)) / sum(w), 4) AS bias,
+  round((sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt(({_VAR}) * ({_VAR.replace('x', 'y')})), 6) AS spearman FROM k GROUP BY 1""")
+def weighted_regression_metrics(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("o"), (F.col("l_quantity") * 1500).alias("e"), F.col("l_quantity").alias("w"))
+    ranked = WT.with_average_rank(WT.with_average_rank(rows, ["l_returnflag"], "o", "ro"), ["l_returnflag"], "e", "re")
+    m = WT.regression_metrics(F.col("o"), F.col("e"), F.col("w"))
+    digits = {"r2": 6}
+    return ranked.groupBy("l_returnflag").agg(*(r(x, digits.get(n, 4)).alias(n) for n, x in m.items()), r(WT.correlation(F.col("ro"), F.col("re"), F.col("w")), 6).alias("spearman"))
+
+
+@query("""WITH l AS (SELECT 'quality' AS response, quality AS v, n_chars AS a, doc_id % 5 AS fold FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'toxic', toxic, n_chars, doc_id % 5 FROM documents LEFT JOIN labels USING (doc_id)
+  UNION ALL SELECT 'n_chars', n_chars, n_chars, doc_id % 5 FROM documents UNION ALL SELECT 'constant', 1, n_chars, doc_id % 5 FROM documents UNION ALL SELECT 'nothing', NULL, n_chars, doc_id % 5 FROM documents),
+s AS (SELECT response, count(v) AS reference_count, sum(CASE WHEN v IS NOT NULL THEN a END) / sum(a) AS share, count(DISTINCT v) AS distinct_values FROM l GROUP BY 1),
+f AS (SELECT response, fold, count(v) AS n FROM l GROUP BY 1, 2), m AS (SELECT response, min(n) AS least_validation, sum(n) - max(n) AS least_training FROM f GROUP BY 1)
+SELECT response, reference_count, round(coalesce(share, 0), 6) AS area_fraction, distinct_values, least_validation, CAST(least_training AS BIGINT) AS least_training,
+  CASE WHEN response = 'toxic' THEN 'not_selected' WHEN reference_count = 0 THEN 'no_reference_values' WHEN share < 0.5 THEN 'insufficient_reference_coverage' WHEN distinct_values < 2 THEN 'no_reference_variation'
+    WHEN least_validation < 2 OR least_training < 2 THEN 'insufficient_spatial_fold_support' ELSE 'fit' END AS status FROM s JOIN m USING (response)""")
+def response_coverage(spark, sf):
+    """Which responses can be fitted, and why the others cannot."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(F.col("n_chars").alias("a"), (F.col("doc_id") % 5).alias("fold"), "quality", "toxic", "n_chars", F.lit(1).alias("constant"), F.lit(None).cast("int").alias("nothing"))
+    names = ("quality", "toxic", "n_chars", "constant", "nothing")
+    v = rows.select("a", "fold", F.explode(F.array(*(F.struct(F.lit(n).alias("response"), F.col(n).cast("double").alias("v")) for n in names))).alias("s")).select("a", "fold", "s.*")
+    held = [F.count_if(F.col("v").isNotNull() & (F.col("fold") == k)) for k in range(5)]
+    s = v.groupBy("response").agg(F.count("v").alias("reference_count"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("a"))) / F.sum("a"), F.lit(0.0)).alias("area_fraction"), F.count_distinct("v").alias("distinct_values"), F.least(*held).alias("least_validation"), F.least(*(F.count("v") - h for h in held)).alias("least_training"))
+    why = F.when(F.col("response") == "toxic", "not_selected").when(F.col("reference_count") == 0, "no_reference_values").when(F.col("area_fraction") < 0.5, "insufficient_reference_coverage").when(F.col("distinct_values") < 2, "no_reference_variation").when((F.col("least_validation") < 2) | (F.col("least_training") < 2), "insufficient_spatial_fold_support").otherwise("fit")
+    return s.select("response", "reference_count", r(F.col("area_fraction"), 6).alias("area_fraction"), "distinct_values", "least_validation", "least_training", why.alias("status"))
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(G.block_index(F.col("l_partkey"), 25).alias("sampling_block_column"), G.block_index(F.col("l_suppkey"), 5).alias("sampling_block_row"), "l_quantity", (F.col("l_returnflag") == "R").alias("ref"))
+    return FO.validation_blocks(FO.with_validation_blocks(lines, FO.block_ratio(100, 25)), F.col("ref"), F.col("l_quantity"))
+
+
+@query("""WITH b AS (SELECT CAST(floor(floor(l_partkey / 25.0) / 4) AS BIGINT) AS validation_block_column, CAST(floor(floor(l_suppkey / 5.0) / 4) AS BIGINT) AS validation_block_row, l_quantity AS a, l_returnflag = 'R' AS ref FROM lineitem)
+SELECT validation_block_column, validation_block_row, dense_rank() OVER (ORDER BY validation_block_column, validation_block_row) AS validation_block_id, count(*) AS row_count, count(CASE WHEN ref THEN 1 END) AS reference_count, round(sum(a), 3) AS area, round(sum(CASE WHEN ref THEN a ELSE 0 END), 3) AS reference_area FROM b GROUP BY 1, 2""")
+def validation_blocks(spark, sf):
+    return _blocks(spark, sf).withColumns({"area": r(F.col("area"), 3), "reference_area": r(F.col("reference_area"), 3)})
+
+
+@query()
+def spatial_folds(spark, sf):
+    """Whole blocks in balanced folds. Sequential, so without SQL; tests compare it with a plain loop."""
+    blocks = _blocks(spark, sf)
+    return blocks.join(FO.assign_folds(blocks, 5), "validation_block_id").groupBy("spatial_fold").agg(F.count(F.lit(1)).alias("blocks"), r(F.sum("area"), 3).alias("area"), r(F.sum("reference_area"), 3).alias("reference_area"))
+
+
+@query()
+def ridge_cv(spark, sf):
+    """Additive spline models of price under block cross-validation. Tests compare the fit with a closed form."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity"), "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("line"), (F.col("l_suppkey") % 5).alias("fold"), F.lit(1.0).alias("area_weight_m2"))
+    out = M.cross_validate(rows, "fold", 5, ["l_extendedprice"], ["l_quantity", "l_discount", "l_tax"], "line")
+    metrics = WT.regression_metrics(F.col("l_extendedprice"), F.col("l_extendedprice_expected_reference_oof"), F.col("area_weight_m2"))
+    return out.groupBy("fold").agg(*(r(c).alias(n) for n, c in metrics.items()), F.count(F.lit(1)).alias("rows"))
+
+
+_Z = "l_discount - 0.05 AS a, l_tax - 0.04 AS b, l_quantity / 25.0 - 1 AS c, l_linenumber AS w FROM lineitem"
+
+
+def _corr_sql(x: str, y: str) -> str:
+    v = lambda k: f"(sum(w * {k} * {k}) / sum(w) - (sum(w * {k}) / sum(w)) ** 2)"
+    return f"SELECT '{x}' AS x, '{y}' AS y, round((sum(w * {x} * {y}) / sum(w) - sum(w * {x}) / sum(w) * sum(w * {y}) / sum(w)) / sqrt({v(x)} * {v(y)}), 6) AS correlation FROM d"
+
+
+@query(f"WITH d AS (SELECT {_Z}) " + " UNION ALL ".join(_corr_sql(x, y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))))
+def deviation_correlation(spark, sf):
+    """All pairs of responses in one pass over the rows."""
+    d = table(spark, sf, "lineitem").select((F.col("l_discount") - 0.05).alias("a"), (F.col("l_tax") - 0.04).alias("b"), (F.col("l_quantity") / 25.0 - 1).alias("c"), F.col("l_linenumber").alias("w"))
+    pairs = (("a", "b"), ("a", "c"), ("b", "c"))
+    wide = d.agg(*(WT.correlation(F.col(x), F.col(y), F.col("w")).alias(f"{x}{y}") for x, y in pairs))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r(F.col(f"{x}{y}"), 6).alias("correlation")) for x, y in pairs))).alias("p")).select("p.*")
+
+
+@query(f"""WITH d AS (SELECT {_Z}) SELECT count(*) AS rows, CAST(sum(w) AS DOUBLE) AS weight, round(sum(w * a) / sum(w), 7) AS m_a, round(sum(w * b) / sum(w), 7) AS m_b, round(sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2, 8) AS c_a_a,
+  round(sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * sum(w * b) / sum(w), 8) AS c_b_a, round(sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2, 8) AS c_b_b FROM d""")
+def weighted_covariance(spark, sf):
+    d = table(spark, sf, "lineitem").select((F.col("l_discount") - 0.05).alias("a"), (F.col("l_tax") - 0.04).alias("b"), F.col("l_linenumber").cast("double").alias("w"))
+    c = WT.covariance(d, ["a", "b"], F.col("w"))
+    return c.select("rows", "weight", r(F.col("m_a"), 7).alias("m_a"), r(F.col("m_b"), 7).alias("m_b"), *(r(F.col(n), 8).alias(n) for n in ("c_a_a", "c_b_a", "c_b_b")))
+
+
+# Scoring
+
+
+_CALIBRATION_SQL = """
+WITH o AS (SELECT o_orderkey, (o_totalprice - 250000) / 100000 AS a, CAST(o_custkey % 97 AS DOUBLE) / 40 - 1 AS b, CAST(1 + o_orderkey % 3 AS DOUBLE) AS w, o_orderpriority = '1-URGENT' AS ref FROM orders),
+m AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2 AS va, sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2 AS vb, 0.9 * (sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * sum(w * b) / sum(w)) AS cab FROM o WHERE ref),
+d AS (SELECT o_orderkey, w, ref, sqrt(greatest(((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * cab + (b - mb) ** 2 * va) / (va * vb - cab * cab), 0)) AS distance FROM o, m),
+s AS (SELECT distance AS d_at, sum(w) AS w FROM d WHERE ref GROUP BY 1), e AS (SELECT d_at, sum(w) OVER (ORDER BY d_at) / sum(w) OVER () AS fraction FROM s)
+"""
+
+
+@query(f"""{_CALIBRATION_SQL} SELECT o_orderkey, round(distance, 6) AS distance, CASE WHEN d.ref THEN -1 ELSE round(coalesce(fraction, 0), 6) END AS percentile FROM d ASOF LEFT JOIN e ON d.distance >= e.d_at""")
+def mahalanobis_percentile(spark, sf):
+    """Distance from the reference sites and its percentile among theirs. Reference rows lie on the steps themselves, where
+    the last bit decides; their percentile is tested apart."""
+    rows = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_totalprice") - 250000) / 100000).alias("a"), ((F.col("o_custkey") % 97).cast("double") / 40 - 1).alias("b"), (1 + F.col("o_orderkey") % 3).cast("double").alias("w"), (F.col("o_orderpriority") == "1-URGENT").alias("ref"))
+    c = SC.calibrate(rows.where("ref"), ["a", "b"], "w", 0.1)
+    scored = rows.withColumn("distance", c.distance([F.col("a"), F.col("b")])).withColumn("p", c.percentile(F.col("distance")))
+    return scored.select("o_orderkey", r(F.col("distance"), 6).alias("distance"), F.when(F.col("ref"), -1.0).otherwise(r(F.col("p"), 6)).alias("percentile"))
+
+
+@query("""WITH d AS (SELECT l_returnflag, CAST(CAST((l_extendedprice - CAST(CAST(l_quantity * 1500 AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS dv FROM lineitem), z AS (SELECT l_returnflag, CAST(CAST(dv / 20000 AS FLOAT) AS DOUBLE) AS z FROM d)
+SELECT l_returnflag, count(*) AS expected, count(z) AS scored, 0::BIGINT AS missing, round(avg(z), 5) AS mean, round(stddev_pop(z), 5) AS stddev, round(min(z), 5) AS min, round(max(z), 5) AS max, round(count(CASE WHEN abs(z) > 1 THEN 1 END) * 100.0 / count(z), 6) AS percent_abs_over_1,
+  round(count(CASE WHEN abs(z) > 2 THEN 1 END) * 100.0 / count(z), 6) AS percent_abs_over_2, round(count(CASE WHEN abs(z) > 3 THEN 1 END) * 100.0 / count(z), 6) AS percent_abs_over_3 FROM z GROUP BY 1""")
+def response_statistics(spark, sf):
+    expected = F.col("l_quantity") * 1500
+    d, z = SC.map_deviation(F.col("l_extendedprice"), expected, 20000.0)
+    rows = table(spark, sf, "lineitem").select("l_returnflag", z.cast("double").alias("z"), expected.alias("e"))
+    digits = {n: 6 for n in ("percent_abs_over_1", "percent_abs_over_2", "percent_abs_over_3")}
+    s = SC.response_statistics(F.col("z"), F.col("e"))
+    return rows.groupBy("l_returnflag").agg(*((x if n in ("expected", "scored", "missing") else r(x, digits.get(n, 5))).alias(n) for n, x in s.items()))
+
+
+@query("""WITH p AS (SELECT o_orderpriority, o_totalprice / 500000 AS p FROM orders) SELECT o_orderpriority, count(p) AS scored, round(avg(p), 7) AS mean, round(stddev_pop(p), 7) AS stddev, round(min(p), 9) AS min, round(max(p), 9) AS max,
+  round(count(CASE WHEN p >= 0.9 THEN 1 END) * 100.0 / count(p), 6) AS percent_from_90, round(count(CASE WHEN p >= 0.95 THEN 1 END) * 100.0 / count(p), 6) AS percent_from_95, round(count(CASE WHEN p >= 0.99 THEN 1 END) * 100.0 / count(p), 6) AS percent_from_99 FROM p GROUP BY 1""")
+def percentile_statistics(spark, sf):
+    s = SC.percentile_statistics(F.col("o_totalprice") / 500000)
+    digits = {"mean": 7, "stddev": 7, "min": 9, "max": 9}
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(*((x if n == "scored" else r(x, digits.get(n, 6))).alias(n) for n, x in s.items()))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg((abs(l_discount - 0.05) + abs(l_tax - 0.04) + abs(l_quantity / 25.0 - 1)) / 3.0), 7) AS mean_abs FROM lineitem GROUP BY 1, 2")
+def mean_absolute_deviation(spark, sf):
+    z = [F.col("l_discount") - 0.05, F.col("l_tax") - 0.04, F.col("l_quantity") / 25.0 - 1]
+    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r(F.avg(SC.mean_abs(z)), 7).alias("mean_abs"))
+
+
+@query("""WITH g AS (SELECT min(CASE WHEN share >= 0.05 - 1e-12 THEN v END) AS lo, min(CASE WHEN share >= 0.95 - 1e-12 THEN v END) AS hi FROM (SELECT v, sum(w) OVER (ORDER BY v) / sum(w) OVER () AS share FROM (SELECT l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1))),
+b AS (SELECT avg(l_discount) AS d FROM lineitem) SELECT i AS step, round(lo + (hi - lo) * i / 99.0, 4) AS x, round(d, 8) AS baseline FROM g, b, generate_series(0, 99) t(i)""")
+def linspace_grid(spark, sf):
+    """A hundred points between weighted quantiles, the other predictor at its baseline."""
+    lines = table(spark, sf, "lineitem").withColumn("g", F.lit(1))
+    span = WT.weighted_quantiles(lines, ["g"], F.col("l_extendedprice"), F.col("l_quantity"), [0.05, 0.95]).join(lines.groupBy("g").agg(F.avg("l_discount").alias("d")), "g")
+    steps = span.select("q0", "q1", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("step"))
+    return steps.select("step", r(F.col("q0") + (F.col("q1") - F.col("q0")) * F.col("step") / 99.0).alias("x"), r(F.col("d"), 8).alias("baseline"))
+
+
+# Reports, names, identity
+
+
+@query("""WITH b AS (SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY price, p_brand) AS place FROM b) SELECT p_brand, n, price, place FROM k WHERE place <= 8""")
+def topk_reports(spark, sf):
+    """The eight brands of the lowest mean price."""
+    b = table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), r(F.avg("p_retailprice")).alias("price")).orderBy("price", "p_brand").limit(8)
+    from pyspark.sql import Window as W
+
+    return b.withColumn("place", F.row_number().over(W.orderBy("price", "p_brand")).cast("long"))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(substr(trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_'), 1, 12), '_') AS short, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded FROM part""")
+def string_slug(spark, sf):
+    name = F.concat(F.col("p_name"), F.lit(" & "), F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", C.slug(name).alias("slug"), C.slug(name, 12).alias("short"), F.lpad(F.col("p_size").cast("string"), 4, F.lit("0")).alias("padded"))
+
+
+@query("SELECT r_name, sha256(string_agg(n_name || ':' || n_nationkey, ',' ORDER BY n_nationkey)) AS fingerprint FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def sha_identity(spark, sf):
+    """Fingerprint of each region's ordered list of nations."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat_ws(":", "n_name", F.col("n_nationkey").cast("string")).alias("t")))), lambda x: x.t), ",")
+    return rows.groupBy("r_name").agg(F.sha2(parts, 256).alias("fingerprint"))
+
+
+@query("""SELECT n_regionkey, round(CASE WHEN quantile_cont(c_acctbal, 0.1) = quantile_cont(c_acctbal, 0.9) THEN 0 ELSE quantile_cont(c_acctbal, 0.1) END, 5) AS low, round(CASE WHEN quantile_cont(c_acctbal, 0.1) = quantile_cont(c_acctbal, 0.9) THEN 1 ELSE quantile_cont(c_acctbal, 0.9) END, 5) AS high
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def region_range(spark, sf):
+    """Range of a band in each region, with a fallback where there is none."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    q = rows.groupBy("n_regionkey").agg(F.percentile("c_acctbal", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    flat = F.col("q").isNull() | (F.col("q")[0] == F.col("q")[1])
+    return q.select("n_regionkey", r(F.when(flat, 0.0).otherwise(F.col("q")[0]), 5).alias("low"), r(F.when(flat, 1.0).otherwise(F.col("q")[1]), 5).alias("high"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1")
+def collect_names(spark, sf):
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "|").alias("names"), F.count(F.lit(1)).alias("n"))
