@@ -15,15 +15,17 @@ block number and further bins. Ties go by ``doc_id`` and piece. An empty table g
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowline.llm.common import documents, materialize, ship, slices, tokenizer_path
-from meadowline.llm.token_counts import load
+from meadowline.llm.token_counts import PATTERN
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 BIN_COST = 16
@@ -115,23 +117,35 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, b
     return dealt.mapInArrow(run, _ROW)
 
 
-def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and n_tokens."""
+_ENCODINGS: dict = {}
+
+
+def encoding(path: str):
+    """The tokenizer of a file of ranks, once for each Python worker."""
+    if path not in _ENCODINGS:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[path]
+
+
+def token_lengths(docs: DataFrame, ranks: str) -> DataFrame:
+    """doc_id and n_tokens; strings of special tokens in a text are ordinary text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        encode = encoding(ranks).encode_ordinary
         for batch in batches:
             for part in slices(batch):
-                n = [bpe.count(t or "") for t in part.column("text").to_pylist()]
+                n = [len(encode(t)) if t else 0 for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.selectExpr("cast(doc_id AS long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    return pack_lengths(materialize(token_lengths(docs, tokenizer)), capacities, bin_cost, block_docs)
+def pack_documents(docs: DataFrame, ranks: str, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    return pack_lengths(materialize(token_lengths(docs, ranks)), capacities, bin_cost, block_docs)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))

@@ -266,8 +266,14 @@ def test_packing(spark, small, nothing):
             at += r.n_tokens
         size = {r.capacity for r in content}
         assert size == {next(c for c in packing.CAPACITIES if c >= at)}
-    assert packing.pack_documents(nothing, tokenizer_path("byte_bpe_50k.json")).count() == 0
-    assert {r.doc_id for r in packing.pack_documents(small, tokenizer_path("byte_bpe_50k.json")).collect()} == {i for i, _ in rows(small)}
+    assert packing.pack_documents(nothing, tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
+    assert {r.doc_id for r in packing.pack_documents(small, tokenizer_path("byte_bpe_50k.tiktoken")).collect()} == {i for i, _ in rows(small)}
+
+
+def test_lengths_are_the_counts_of_the_other_operator(small):
+    got = packing.token_lengths(small, tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    want = token_counts.count_tokens(small, tokenizer_path("byte_bpe_50k.json")).collect()
+    assert order(tuple(r) for r in got) == order((r.doc_id, r.n_tokens) for r in want)
 
 
 def test_best_fit_takes_the_tightest_bin():
