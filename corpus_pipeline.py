@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document with its bin."""
-    return _packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return _packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
