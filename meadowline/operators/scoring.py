@@ -55,7 +55,7 @@ class Calibration:
         total = terms[0]
         for t in terms[1:]:
             total = total + t
-        return F.sqrt(F.greatest(total, F.lit(0.0)))
+        return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))  # greatest() alone would pass over a NULL
 
     def percentile(self, distance: Column) -> Column:
         """Share of the reference weight at distances of at most this one: an as-of lookup in the sorted calibration table,

@@ -38,7 +38,7 @@ def moments(x: Column, w: Column) -> dict[str, Column]:
     ok = x.isNotNull() & (w > 0)
     total, s1, s2 = _kept(ok, w), _kept(ok, w * x), _kept(ok, w * x * x)
     mean = F.try_divide(s1, total)
-    return {"mean": mean, "stddev": F.sqrt(F.greatest(F.try_divide(s2, total) - mean * mean, F.lit(0.0)))}
+    return {"mean": mean, "stddev": F.when(total > 0, F.sqrt(F.greatest(F.try_divide(s2, total) - mean * mean, F.lit(0.0))))}
 
 
 def correlation(a: Column, b: Column, w: Column) -> Column:
