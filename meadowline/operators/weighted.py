@@ -9,16 +9,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of values into which a group is cut for running sums.
+RANGES = 32
+
+
+def with_running_sum(df: DataFrame, by: Sequence[str], order: str, amount: str, name: str, total: str | None = None) -> DataFrame:
+    """Running sum of ``amount`` by ``order`` within each group, this row included, and the group's total.
+
+    A window over a whole group would sort it in one task. Groups are cut at approximate quantiles into ranges, which are summed
+    first; the ranges' own running sums are a small table, and windows only run within a range. ``order`` must be unique in its group."""
+    keys = list(by)
+    edges = df.groupBy(*keys).agg(F.percentile_approx(order, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000).alias("_edges")) if keys else None
+    if edges is None:
+        return with_running_sum(df.withColumn("_all", F.lit(1)), ["_all"], order, amount, name, total).drop("_all")
+    cut = df.join(edges, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    sums = cut.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    before = sums.withColumns({"_before": F.sum("_sum").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum"), "_total": F.sum("_sum").over(W.partitionBy(*keys))}).drop("_sum")
+    within = F.sum(amount).over(W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    out = cut.withColumn("_within", within).join(before, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_within"))
+    return (out.withColumn(total, F.col("_total")) if total else out).drop("_range", "_within", "_before", "_total")
+
+
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: Column, weight: Column, quantiles: Sequence[float]) -> DataFrame:
     """First value whose cumulative share of the weight reaches the quantile; no interpolation. One row per group, q0, q1, ...
 
-    Weights of equal values are added up first, so that the window has one row per distinct value."""
+    Weights of equal values are added up first, so that running sums have one row per distinct value."""
     keys = list(by)
     rows = df.select(*keys, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v) AND _w > 0")
     sums = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    running = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    share = F.sum("_w").over(running) / F.sum("_w").over(W.partitionBy(*keys))
-    shared = sums.withColumn("_share", share)
+    shared = with_running_sum(sums, keys, "_v", "_w", "_run", "_sum").withColumn("_share", F.col("_run") / F.col("_sum"))
     return shared.groupBy(*keys).agg(*(F.coalesce(F.min(F.when(F.col("_share") >= q - 1e-12, F.col("_v"))), F.max("_v")).alias(f"q{i}") for i, q in enumerate(quantiles)))
 
 
@@ -54,8 +73,7 @@ def correlation(a: Column, b: Column, w: Column) -> Column:
 def with_average_rank(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
     """Rank that equal values share as their mean. Ranks come from counts of distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
-    ranks = counts.withColumn(name, before + (F.col("_c") + 1) / 2.0).drop("_c")
+    ranks = with_running_sum(counts, by, column, "_c", "_run").withColumn(name, F.col("_run") - (F.col("_c") - 1) / 2.0).drop("_c", "_run")
     return df.join(ranks, [*by, column], "left")
 
 
