@@ -10,6 +10,7 @@ from meadowline.llm.packing import op8_packing
 from meadowline.llm.pii import op1_pii
 from meadowline.llm.quality import op6_quality
 from meadowline.llm.secrets import op3_secrets
+from meadowline.llm.sql import OP5_SQL, OP9_SQL
 from meadowline.llm.token_counts import op10_token_counts
 from meadowline.llm.token_files import op7_token_files
 
@@ -27,4 +28,6 @@ QUERIES = {
 }
 SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
