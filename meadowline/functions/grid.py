@@ -148,3 +148,36 @@ def cylindrical_to_equal_earth(x: Column, y: Column) -> tuple[Column, Column]:
     t6 = t2 * t2 * t2
     slope = 9 * a4 * t6 * t2 + 7 * a3 * t6 + 3 * a2 * t2 + a1
     return 2 * math.sqrt(3) * radius * lon * F.cos(t) / (3 * slope), radius * t * (a4 * t6 * t2 + a3 * t6 + a2 * t2 + a1)
+
+
+def output_bounds(bounds: tuple[float, float, float, float], pixel: float, origin: tuple[float, float] = (0.0, 0.0), snap: float = 1e-9) -> tuple[int, int, int, int]:
+    """First and last-but-one row and column (rows grow southward) of the pixels that cover bounds (left, bottom, right, top);
+    edges within ``snap`` pixels of a line count as on it."""
+    left, bottom, right, top = bounds
+    at = lambda v: (v[0] - v[1]) / pixel
+    first_col, last_col = math.floor(at((left, origin[0])) + snap), math.ceil(at((right, origin[0])) - snap)
+    first_row, last_row = math.floor(-at((top, origin[1])) + snap), math.ceil(-at((bottom, origin[1])) - snap)
+    return first_row, last_row, first_col, last_col
+
+
+def overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> tuple[Column, Column]:
+    """Common part of two index ranges (ends exclusive), as start and length; length 0 where they are apart."""
+    low = F.greatest(low_a, low_b)
+    return low, F.greatest(F.least(high_a, high_b) - low, F.lit(0))
+
+
+def windows(spark, height: int, width: int, size: int) -> DataFrame:
+    """Windows that cover a raster: row_off, col_off, rows, cols; those at the edges are smaller."""
+    rows = spark.range(0, height, size).select(F.col("id").alias("row_off"))
+    cells = rows.withColumn("col_off", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"), F.lit(size).cast("long"))))
+    return cells.select("row_off", "col_off", F.least(F.lit(size), F.lit(height) - F.col("row_off")).alias("rows"), F.least(F.lit(size), F.lit(width) - F.col("col_off")).alias("cols"))
+
+
+def locator_bounds(bounds: tuple[float, float, float, float], least_span: float) -> tuple[float, float, float, float]:
+    """Degrees around bounds, at least so wide and high, moved into the world where they would reach beyond it."""
+    out = []
+    for low, high, world in ((bounds[0], bounds[2], 180.0), (bounds[1], bounds[3], 90.0)):
+        span = min(max(high - low, least_span), 2 * world)
+        start = min(max((low + high - span) / 2, -world), world - span)
+        out.append((start, start + span))
+    return out[0][0], out[1][0], out[0][1], out[1][1]

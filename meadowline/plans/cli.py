@@ -16,6 +16,7 @@ from meadowline.plans.bands import build_stack
 from meadowline.plans.report import report
 from meadowline.plans.stages import AREA, build_sample, fit, fold_rollup, prepare, response_coverage, score_pixels
 from meadowline.sources.config import load_analysis
+from meadowline.sources.provenance import done_tiles, inference_fingerprint, log_event, start_run, tile_set_fingerprint
 from meadowline.sources.tables import check_tiles, manifest_of, missing_tiles, read_area, read_models, read_pixels, write_models, write_pixels, write_with_provenance
 
 
@@ -78,8 +79,16 @@ def apply_models(spark: SparkSession, a) -> None:
     c = calibrate(scored.where("reference_site = 1"), z, AREA, analysis.section("inference")["covariance_shrinkage"])
     calibration = Calibration(**(c.__dict__ | {"responses": [m.response for m in models]}))
     pixels = read_pixels(spark, f"{a.cache}/{analysis.stack_id()}/tiles")
+    tiles = tile_set_fingerprint(spark.read.parquet(f"{a.cache}/{analysis.stack_id()}/manifest"))
+    run = inference_fingerprint(analysis, tiles, models, calibration)
     out = score_pixels(pixels, models, calibration, analysis)
-    out.write.mode("overwrite").option("compression", "zstd").partitionBy("tile_col", "tile_row").parquet(f"{a.output}/pixels")
+    done = done_tiles(spark, a.output, run, [c for c in out.columns])
+    if done is None:
+        start_run(spark, a.output, run)
+    else:  # go on from the tiles that are there
+        out = score_pixels(pixels.join(done, ["tile_col", "tile_row"], "left_anti"), models, calibration, analysis)
+    write_pixels(out, f"{a.output}/pixels")
+    log_event(spark, f"{a.output}/history", stage="apply", fingerprint=run, resumed=done is not None)
     _text(spark, calibration.to_json(), f"{a.output}/calibration")
     result = spark.read.parquet(f"{a.output}/pixels")
     stats = result.agg(*(x.alias(n) for n, x in percentile_statistics(F.col("percentile")).items()))
