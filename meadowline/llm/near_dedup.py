@@ -13,7 +13,8 @@ Documents with equal shingle sets form a class and only one of each class goes o
 2. Buckets that hold more than one component may hide further links. Their classes go through an exact prefix filter: with
    shingles ordered from rare to common, two sets that reach the similarity share a shingle of their prefixes, and have
    enough shingles that occur elsewhere at all. Shingles whose holders form one component are dropped, and of the others only
-   classes outside of the largest component are paired with what stands across.
+   classes outside of the largest component are compared with what stands across, first by a bound on what they can share
+   that the counts of their shingles in hash cells give.
 3. Components over all confirmed links.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes.
@@ -38,6 +39,8 @@ from meadowline.llm.common import as_bytes, blank_words, documents, materialize,
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 _VALUE_BITS = 40
+#: Hash cells of the bound on what two sets share.
+CELLS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -169,15 +172,21 @@ def _rest(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     # Per class: shingles that occur elsewhere, from rare to common; those of the prefix that are left after the unique ones.
     own = shared.groupBy("k", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts")).withColumn("m", F.size("ts").cast("long"))
     prefix = f"n - cast(ceil({percent} * n / 100.0) AS long) + 1 - (n - m)"
-    rows = materialize(own.where(f"100 * m >= {percent} * n AND {prefix} > 0").select("k", "root", "n", "m", F.explode(F.expr(f"transform(slice(ts, 1, int(least(m, {prefix}))), x -> x.t)")).alias("t")))
+    able = materialize(own.where(f"100 * m >= {percent} * n AND {prefix} > 0").select("k", "root", "n", "m", F.expr(f"transform(slice(ts, 1, int(least(m, {prefix}))), x -> x.t)").alias("first"), F.expr(f"transform(ts, x -> int(pmod(x.t, {CELLS})))").alias("cells")))
+    rows = able.select("k", "root", "n", "m", F.explode("first").alias("t"))
     by_root = rows.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"))
     tops = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.min("low").alias("low")).where("roots > 1").select("t", F.col("top.root").alias("top"), "low")
-    live = rows.join(tops, "t")
     # inter >= p/(100+p) * (n + n'), and inter is at most the number of shingles that occur elsewhere.
     enough = lambda m, n, other: f"{100 + percent} * {m} >= {percent} * ({n} + {other})"
-    out = live.where("root <> top").where(enough("m", "n", "low")).select("t", F.col("k").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("m").alias("xm"))
-    side = live.where(enough("m", "n", "low")).select("t", F.col("k").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("m").alias("ym"), "top")
-    pairs = out.join(side, "t").where("xr <> yr AND (yr = top OR x < y)").where(enough("xm", "xn", "yn")).where(enough("ym", "xn", "yn")).where(f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
+    live = materialize(rows.join(tops, "t").where(enough("m", "n", "low")))
+    # How many of a class' shingles fall into each of a number of hash cells: two sets share at most the sum of the minima.
+    counts = able.join(live.select("k").distinct(), "k", "left_semi").select("k", F.expr(f"transform(sequence(0, {CELLS - 1}), c -> size(filter(cells, x -> x = c)))").alias("v"))
+    live = live.join(counts, "k")
+    out = live.where("root <> top").select("t", F.col("k").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("m").alias("xm"), F.col("v").alias("xv"))
+    side = live.select("t", F.col("k").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("v").alias("yv"), "top")
+    most = "aggregate(zip_with(xv, yv, (a, b) -> least(a, b)), 0, (s, a) -> s + a)"
+    fits = " AND ".join(["xr <> yr", "(yr = top OR x < y)", enough("xm", "xn", "yn"), enough("ym", "xn", "yn"), f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)", enough(most, "xn", "yn")])
+    pairs = out.join(side, "t").where(fits)
     return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
