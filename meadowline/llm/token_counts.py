@@ -16,6 +16,7 @@ texts are processed whole. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,8 @@ class PrefixBpe:
         self.alone: dict[bytes, bool] = {}
         self.piece_counts: dict[str, int] = {}
         self.units: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.node_counts, self.node_lasts = [0], [b""]
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merges of the lowest rank first, leftmost first: the definition, used on two tokens at a time."""
@@ -106,10 +109,23 @@ class PrefixBpe:
         return ok
 
     def prefixes(self, piece: bytes) -> list[int]:
-        """Token counts of the prefixes of 0, 1, 2, ... bytes of one piece."""
-        n, alone, tails, fits = len(piece), self.alone, self.tails, self.fits
-        counts, last = [0] * (n + 1), [b""] * (n + 1)
-        for end in range(1, n + 1):
+        """Token counts of the prefixes of 0, 1, 2, ... bytes of one piece.
+
+        Prefixes that pieces have in common are worked out once: they are nodes of a tree, each with its count and last token."""
+        child, node_counts, node_lasts = self.child, self.node_counts, self.node_lasts
+        if len(node_counts) > REMEMBER:
+            child.clear()
+            del node_counts[1:], node_lasts[1:]
+        counts, last, node = [0], [b""], 0
+        for byte in piece:
+            at = child.get(node << 8 | byte)
+            if at is None:
+                break
+            node = at
+            counts.append(node_counts[at])
+            last.append(node_lasts[at])
+        alone, tails, fits = self.alone, self.tails, self.fits
+        for end in range(len(counts), len(piece) + 1):
             start, found = end - 1, []
             while start >= 0 and (t := piece[start:end]) in tails:
                 ok = alone.get(t)
@@ -126,8 +142,12 @@ class PrefixBpe:
                         ok = fits[pair] = self._follows(*pair)
                     if not ok:
                         continue
-                counts[end], last[end] = counts[start] + 1, t
+                counts.append(counts[start] + 1)
+                last.append(t)
                 break
+            child[node << 8 | piece[end - 1]] = node = len(node_counts)
+            node_counts.append(counts[end])
+            node_lasts.append(t)
         return counts
 
     def piece(self, piece: str) -> int:
@@ -168,11 +188,23 @@ class PrefixBpe:
 
     def _unit(self, u: str) -> int:
         """Count of a unit and its blank, or -1 where blanks stand at its edges."""
-        if len(self.units) > REMEMBER:
-            self.units.clear()
-        n = -1 if not u or u[0].isspace() or u[-1].isspace() else sum(map(self.piece, self.pieces(" " + u)))
+        units = self.units
+        if len(units) > 2 * REMEMBER:
+            units.clear()
+        word = u.rstrip(string.punctuation)
+        if word.isalpha() and max(word) < "\u0250":  # one piece of letters, and perhaps one of marks
+            n = units.get(word)
+            if n is None:
+                n = units[word] = self.prefixes(b" " + word.encode())[-1]
+            if len(word) == len(u):
+                return n
+            n += self.piece(u[len(word) :])
+        elif not u or u[0].isspace() or u[-1].isspace():
+            n = -1
+        else:
+            n = sum(map(self.piece, self.pieces(" " + u)))
         if len(u) < 200:
-            self.units[u] = n
+            units[u] = n
         return n
 
     def count(self, text: str) -> int:
