@@ -16,7 +16,9 @@ a document with more ids than a shard holds gets a shard of its own. Other colum
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowline.llm.common import documents, shared_dir, slices, tokenizer_path
+from meadowline.llm.token_counts import byte_alphabet
 
 SHARD_IDS = 1 << 18
 #: Keys for each index row, on average, and keys for each pilot.
 BUCKET_KEYS, GROUP_KEYS = 1024, 4
-REMEMBER = 500_000
+REMEMBER = 800_000
 _ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_MARKS = string.punctuation
 _U = np.uint64
 
 
@@ -96,38 +100,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        back = {b: c for c, b in byte_alphabet().items()}
+        self.shown = [back[b] for b in range(256)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters: one piece, which the model takes as it is."""
+        if not word.isascii():
+            word = "".join([self.shown[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        known, made, rest = self.known, {}, []
+        for c in new:
+            # Latin letters in other case have the ids of the lower-case chunk, and marks at the end are pieces of their own.
+            whole = c.lower() if max(c) < "\u0100" else c
+            base = whole.rstrip(_MARKS)
+            if not base or not base.isalpha() or max(base) >= "\u0100":
+                rest.append(c)
+                continue
+            mark = whole[len(base) :]
+            ids = known.get(base)
+            if ids is None:
+                ids = known[base] = self._word(base)
+            if mark:
+                if mark not in known:
+                    known[mark] = self._ids([mark])[0]
+                ids += known[mark]
+            made[c] = ids
+        made.update(zip(rest, self._ids(rest)) if rest else ())
+        known.update((c, ids) for c, ids in made.items() if len(c) < 200)
+        return made
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _ODD_BLANKS):  # blanks to Python, marks to the tokenizer
             return self._ids([text])[0]
         known, chunks = self.known, text.split()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > REMEMBER:
-            known.clear()
-        new, simple = dict.fromkeys(c for c in chunks if c not in known), {}
-        todo = {}
-        for c in new:
-            # ASCII letters in other case have the ids of the lower-case chunk, and a mark at the end is a token of its own.
-            base = c.lower() if c.isascii() else c
-            mark = ""
-            if len(base) > 1 and base[-1] in ",." and base[-2].isalnum():
-                base, mark = base[:-1], base[-1]
-            simple[c] = (base, mark)
-            for x in (base, mark):
-                if x and x not in known:
-                    todo[x] = None
-        if todo:
-            known.update(zip(todo, self._ids(list(todo))))
-        for c, (base, mark) in simple.items():
-            if len(c) < 200 or c not in known:
-                known[c] = known[base] + known[mark] if mark else known[base]
-        return b"".join([known[c] for c in chunks])
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            if len(known) > REMEMBER:
+                known.clear()
+            made = self._learn({c for c, p in zip(chunks, parts) if p is None})
+            parts = [made[c] if p is None else p for c, p in zip(chunks, parts)]
+        return b"".join(parts)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
