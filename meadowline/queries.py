@@ -473,11 +473,11 @@ def response_coverage(spark, sf):
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(G.block_index(F.col("l_partkey"), 25).alias("sampling_block_column"), G.block_index(F.col("l_suppkey"), 5).alias("sampling_block_row"), "l_quantity", (F.col("l_returnflag") == "R").alias("ref"))
+    lines = table(spark, sf, "lineitem").select(G.block_index(F.col("l_partkey"), 5).alias("sampling_block_column"), G.block_index(F.col("l_suppkey"), 5).alias("sampling_block_row"), "l_quantity", (F.col("l_returnflag") == "R").alias("ref"))
     return FO.validation_blocks(FO.with_validation_blocks(lines, FO.block_ratio(100, 25)), F.col("ref"), F.col("l_quantity"))
 
 
-@query("""WITH b AS (SELECT CAST(floor(floor(l_partkey / 25.0) / 4) AS BIGINT) AS validation_block_column, CAST(floor(floor(l_suppkey / 5.0) / 4) AS BIGINT) AS validation_block_row, l_quantity AS a, l_returnflag = 'R' AS ref FROM lineitem)
+@query("""WITH b AS (SELECT CAST(floor(floor(l_partkey / 5.0) / 4) AS BIGINT) AS validation_block_column, CAST(floor(floor(l_suppkey / 5.0) / 4) AS BIGINT) AS validation_block_row, l_quantity AS a, l_returnflag = 'R' AS ref FROM lineitem)
 SELECT validation_block_column, validation_block_row, dense_rank() OVER (ORDER BY validation_block_column, validation_block_row) AS validation_block_id, count(*) AS row_count, count(CASE WHEN ref THEN 1 END) AS reference_count, round(sum(a), 3) AS area, round(sum(CASE WHEN ref THEN a ELSE 0 END), 3) AS reference_area FROM b GROUP BY 1, 2""")
 def validation_blocks(spark, sf):
     return _blocks(spark, sf).withColumns({"area": r(F.col("area"), 3), "reference_area": r(F.col("reference_area"), 3)})
