@@ -53,6 +53,15 @@ def test_pii_base_spans(spark, small):
         assert order((r.doc_id, r.base_sha256, r.spans) for r in pii.find_pii(df, pii.PiiModel()).collect()) == want
 
 
+def test_pii_base_spans_without_longer_digit_runs(spark):
+    card = "378282246310005"
+    texts = [f"card {sep.join(card[i : i + n] for i in range(0, 15, n))} end" for n in (1, 2, 3) for sep in " -"] + ["call +4 9 3 0 1 2 3 4 5 6 now", "+4-9-3-0-1-2-3-4-5-6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.find_pii(df, pii.PiiModel()).orderBy("doc_id").collect()
+    assert [(r.n_card, r.n_phone) for r in got] == [(1, 0)] * 6 + [(0, 1)] * 2
+    assert [(r.spans, r.base_sha256) for r in got] == [(base_spans(t), hashlib.sha256(base_spans(t).encode()).hexdigest()) for t in texts]
+
+
 def test_pii_long_runs_do_not_overflow(spark):
     df = spark.createDataFrame([(1, "7" * 60000), (2, "a" * 60000), (3, "+" + "1 " * 40000), (4, "1-" * 40000), (5, "a." * 40000 + "@b.c")], "doc_id long, text string")
     assert [r.n_email for r in pii.find_pii(df, pii.PiiModel()).orderBy("doc_id").collect()] == [0, 0, 0, 0, 1]
