@@ -140,6 +140,17 @@ def test_secrets_have_no_upper_length(spark):
         assert [r.findings for r in secrets.scan_secrets(df, secrets.Corpus(frozenset(), {}, -9.0), None).collect()] == [f"assignment:9:{9 + n}"]
 
 
+def test_transitions_come_from_all_words(spark):
+    rng = random.Random(8)
+    texts = [None, "", "zq", "the the The", "x" * 30 + "qj", "naïve 日本語 é1"] + [" ".join("".join(rng.choice("abcXYZ019é-") for _ in range(rng.randint(1, 40))) for _ in range(20)) for _ in range(30)]
+    want = Counter(w[i : i + 2] for t in texts for w in WORDS.findall(low(t)) for i in range(len(w) - 1))
+    total = sum(want.values()) + 1
+    corpus = secrets.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), dictionary_words=1)
+    assert len(corpus.words) == 1
+    assert corpus.pairs == pytest.approx({k: np.log(v / total) for k, v in want.items() if k.isascii()})
+    assert {"zq", "qj", "xx"} <= set(corpus.pairs) and corpus.floor == pytest.approx(np.log(0.5 / total))
+
+
 # licences
 
 
