@@ -88,6 +88,7 @@ class SuffixAutomaton:
                 state, held = self.step(state, held, c)
                 if held >= size and size:
                     self.items.setdefault(self.cut(state, size), set()).add(i)
+        self.least = {state: min(len(sequences[i]) for i in there) for state, there in self.items.items()}
         self.short = sorted({len(s) for s in sequences if 0 < len(s) < self.window})
 
     def step(self, state: int, held: int, c: int) -> tuple[int, int]:
@@ -131,8 +132,9 @@ class SuffixAutomaton:
         long = highs - lows >= self.shortest
         return list(zip(lows[long].tolist(), highs[long].tolist()))
 
-    def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit ranges of words (end exclusive, possibly overlapping) and the items found."""
+    def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int, int]], set[int]]:
+        """Hit ranges of words (end exclusive, possibly overlapping), each with the words of the shortest item hit there, and
+        the items found."""
         ranges, found = [], set()
         window, short, items = self.window, self.short, self.items
         for low, high in self.stretches(ids):
@@ -140,16 +142,17 @@ class SuffixAutomaton:
             for at, c in enumerate(ids[low:high].tolist(), low + 1):
                 state, held = self.step(state, held, c)
                 if held >= window:
-                    there = items.get(self.cut(state, window))
+                    at_state = self.cut(state, window)
+                    there = items.get(at_state)
                     if there:
                         found |= there
-                        ranges.append((at - window, at))
+                        ranges.append((at - window, at, self.least[at_state]))
                 for size in short:
                     if held >= size and (there := items.get(self.cut(state, size))):
                         mine = {i for i in there if self.sizes[i] == size}
                         if mine:
                             found |= mine
-                            ranges.append((at - size, at))
+                            ranges.append((at - size, at, size))
         return ranges, found
 
     @property
@@ -170,17 +173,18 @@ def build(items: list[tuple[str, list[bytes]]], window: int) -> SuffixAutomaton:
     return automaton
 
 
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ranges that overlap or touch become one, which keeps the least item."""
     out: list[list[int]] = []
-    for a, b in sorted(ranges):
+    for a, b, least in sorted(ranges):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1:] = max(out[-1][1], b), min(out[-1][2], least)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, b, least])
+    return [(a, b, least) for a, b, least in out]
 
 
-_HITS = "_n_words long, _ranges array<struct<a:int,b:int>>, _items array<string>"
+_HITS = "_n_words long, _ranges array<struct<a:int,b:int,least:int>>, _items array<string>"
 
 
 def blocks_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
@@ -193,10 +197,10 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with ``_n_words``, ``_ranges`` (hit words) and ``_items``."""
+    """The documents with ``_n_words``, ``_ranges`` (hit words, and the words of the shortest item hit there) and ``_items``."""
     spark = docs.sparkSession
     ship(spark)
-    out = docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_ranges", F.expr("cast(array() AS array<struct<a:int,b:int>>)")).withColumn("_items", F.expr("cast(array() AS array<string>)"))
+    out = docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_ranges", F.expr("cast(array() AS array<struct<a:int,b:int,least:int>>)")).withColumn("_items", F.expr("cast(array() AS array<string>)"))
     blocks = blocks_of(benchmark, block_words)
     for k, block in enumerate(blocks):
         items = sorted((r.item_id, ascii_words(r.text.encode())) for r in block.collect())  # of bounded size
@@ -222,11 +226,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
                     for d in touched:
                         got, found = machine.hits(ids[starts[d] : starts[d] + sizes[d]])
                         if got:
-                            old = [(r["a"], r["b"]) for r in ranges[d]]
-                            ranges[d] = [{"a": a, "b": b} for a, b in merged(old + got)]
+                            old = [(r["a"], r["b"], r["least"]) for r in ranges[d]]
+                            ranges[d] = [{"a": a, "b": b, "least": least} for a, b, least in merged(old + got)]
                             items[d] = sorted({*items[d], *(machine.names[i] for i in found)})
                     kept = [c for c in part.schema.names if c not in ("_n_words", "_ranges", "_items")]
-                    cells = [part.column(c) for c in kept] + [pa.array(sizes), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+                    cells = [part.column(c) for c in kept] + [pa.array(sizes), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cells, names=[*kept, "_n_words", "_ranges", "_items"])
 
         out = out.mapInArrow(run, out.schema)
@@ -249,8 +253,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without their hit spans of ``max_span`` words or more; documents of which more than ``max_coverage`` is
-    hit go as a whole. Columns stay; ``n_chars``, where there is one, follows the new text."""
+    """The documents without their hit spans of ``max_span`` words or more, or, where an item hit there has fewer, of as many
+    words as it has; documents of which more than ``max_coverage`` is hit go as a whole. Columns stay; ``n_chars``, where there is one, follows the new text."""
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("_row"), F.col("text"))
     found = scan(inner, benchmark, window, block_words).where(F.expr("aggregate(_ranges, 0L, (n, r) -> n + r.b - r.a)") <= max_coverage * F.col("_n_words"))
@@ -258,7 +262,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ranges = batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()
-            out = [without(t, [(r["a"], r["b"]) for r in s if r["b"] - r["a"] >= max_span]) if s else t for t, s in zip(texts, ranges)]
+            out = [without(t, [(r["a"], r["b"]) for r in s if r["b"] - r["a"] >= min(max_span, r["least"])]) if s else t for t, s in zip(texts, ranges)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], names=["_row", "text"])
 
     row_type = inner.schema["_row"].dataType.simpleString()

@@ -213,6 +213,21 @@ def test_decontamination(spark, small, nothing, block_words):
     assert not decontaminate.find_contamination(small, item.limit(0)).where("contaminated").count()
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 6])
+def test_decontamination_cuts_short_items(spark, block_words):
+    words = [f"w{i}" for i in range(40)]
+    item, long = "what is the answer here", " ".join(f"q{i}" for i in range(12))
+    benchmark = spark.createDataFrame([(1, item), (2, long), (3, "q3 q4 q5 q6 q7 q8 q9")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*words[:20], item, *words[20:]])), (2, " ".join([*words, item])), (3, " ".join([*words, "what is the answer"])), (4, " ".join([*words, long]))], "doc_id long, text string")
+    assert all(r.contaminated == (r.doc_id != 3) for r in decontaminate.find_contamination(docs, benchmark, block_words=block_words).collect())
+    plain = " ".join(words)
+    want = {1: " ".join([*words[:20], "", *words[20:]]), 2: plain + " ", 3: plain + " what is the answer", 4: plain + " "}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, benchmark, block_words=block_words).collect()} == want
+    # With a window below the limit: parts of an item stay, the whole item goes.
+    parts = spark.createDataFrame([(1, plain + " q3 q4 q5 q6 q7"), (2, plain + " q3 q4 q5 q6 q7 q8 q9")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(parts, benchmark.where("item_id = 3"), window=5).collect()} == {1: plain + " q3 q4 q5 q6 q7", 2: plain + " "}
+
+
 # quality
 
 
