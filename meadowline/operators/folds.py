@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +36,62 @@ def validation_blocks(rows: DataFrame, reference: Column, area: Column) -> DataF
     return sums.join(dense_block_numbers(sums, keys, "validation_block_id"), keys)
 
 
+#: Blocks that one task deals to folds.
+CHUNK = 200_000
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the cluster's checkpoint folder; a temporary one is set only where none is named."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return df.checkpoint()
+
+
 def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
     """validation_block_id and spatial_fold (from 0).
 
     Whole blocks go, largest first, to the fold that is furthest behind: blocks with reference area by (reference area, area),
-    then the others by area; ties go to the lower block number and fold. Each step depends on all before it, so the block
-    table is taken to the driver: it has one row for each validation block of the map, tens of thousands at most."""
-    table = [(r.validation_block_id, float(r.reference_area or 0), float(r.area or 0)) for r in blocks.select("validation_block_id", "reference_area", "area").collect()]
-    with_reference = sorted((b for b in table if b[1] > 0), key=lambda b: (-b[1], -b[2], b[0]))
-    if len(with_reference) < folds:
-        raise ValueError(f"{folds} folds need as many blocks with reference area, there are {len(with_reference)}")
-    others = sorted((b for b in table if b[1] <= 0), key=lambda b: (-b[2], b[0]))
+    then the others by area; ties go to the lower block number and fold. Each step depends on all before it, so blocks are
+    numbered in that order in Spark and dealt in chunks of ``CHUNK``, one task after the other; only what each fold holds
+    goes through the driver from one chunk to the next."""
+    area = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    table = blocks.select(F.col("validation_block_id").cast("long").alias("id"), area("reference_area").alias("r"), area("area").alias("a"))
+    table = _kept(table.select((F.col("r") <= 0).alias("late"), F.when(F.col("r") > 0, -F.col("r")).otherwise(0.0).alias("by_r"), (-F.col("a")).alias("by_a"), "id", "r", "a"))
+    total, enough = table.agg(F.count(F.lit(1)), F.count_if(~F.col("late"))).collect()[0]
+    if enough < folds:
+        raise ValueError(f"{folds} folds need as many blocks with reference area, there are {enough}")
+    order = ["late", "by_r", "by_a", "id"]
+    table = _kept(table.join(dense_block_numbers(table, order, "at"), order).select("at", "late", "id", "r", "a"))
     state = [[0.0, 0.0, 0] for _ in range(folds)]
-    chosen = []
-    for batch, view in ((with_reference, lambda s: (s[0], s[1], s[2])), (others, lambda s: (s[1], s[2]))):
-        heap = [(view(s), f) for f, s in enumerate(state)]
-        heapq.heapify(heap)
-        for block, reference_area, area in batch:
-            fold = heap[0][1]
-            s = state[fold]
-            s[0], s[1], s[2] = s[0] + reference_area, s[1] + area, s[2] + 1
-            chosen.append((block, fold))
-            heapq.heapreplace(heap, (view(s), fold))
-    return blocks.sparkSession.createDataFrame(chosen, "validation_block_id long, spatial_fold short")
+    dealt = []
+    for start in range(0, total, CHUNK):
+
+        def deal(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("id", pa.int64()), ("fold", pa.int16()), ("r", pa.float64()), ("a", pa.float64()), ("n", pa.int64())])
+            state, heap, was = [list(s) for s in state], [], None
+            for batch in batches:
+                chosen = []
+                for late, r, a in zip(batch.column("late").to_pylist(), batch.column("r").to_pylist(), batch.column("a").to_pylist()):
+                    if late != was:
+                        was, heap = late, [((s[1:] if late else list(s)), f) for f, s in enumerate(state)]
+                        heapq.heapify(heap)
+                    fold = heap[0][1]
+                    s = state[fold]
+                    s[0], s[1], s[2] = s[0] + r, s[1] + a, s[2] + 1
+                    chosen.append(fold)
+                    heapq.heapreplace(heap, ((s[1:] if late else list(s)), fold))
+                empty = [None] * len(chosen)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t.type) for x, t in zip((chosen, empty, empty, empty), list(schema)[1:]))], schema=schema)
+            # What the folds hold at the end of the chunk, in rows without a block.
+            cells = ([None] * len(state), list(range(len(state))), *zip(*state))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cells, schema)], schema=schema)
+
+        chunk = table.where(F.col("at").between(start + 1, start + CHUNK)).coalesce(1).sortWithinPartitions("at").select("late", "id", "r", "a")
+        done = _kept(chunk.mapInArrow(deal, "id long, fold short, r double, a double, n long"))
+        state = [[x.r, x.a, x.n] for x in sorted(done.where("id IS NULL").collect(), key=lambda x: x.fold)]
+        dealt.append(done.where("id IS NOT NULL").selectExpr("id AS validation_block_id", "fold AS spatial_fold"))
+    return reduce(DataFrame.union, dealt)
 
 
 def with_folds(rows: DataFrame, blocks: DataFrame, folds: DataFrame) -> DataFrame:

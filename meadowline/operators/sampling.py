@@ -42,9 +42,22 @@ def class_summary(sample: DataFrame, cls: str, area: Column, classes: Sequence[i
     return every.join(weighted, cls, "left").withColumns({"sampled_rows": F.coalesce("sampled_rows", F.lit(0)), "blocks": F.coalesce("blocks", F.lit(0))})
 
 
+#: Ranges in which blocks are numbered, and how many keys are looked at to place their edges.
+RANGES, EDGE_SAMPLE = 32, 2000
+
+
 def dense_block_numbers(df: DataFrame, keys: Sequence[str], name: str = "block_id") -> DataFrame:
-    """Blocks numbered from 1 in key order. The window runs over distinct blocks, which are few beside the rows."""
-    return df.select(*keys).distinct().withColumn(name, F.dense_rank().over(W.orderBy(*keys)).cast("long"))
+    """Blocks numbered from 1 in key order. A window over all of them would run in one task: they are cut at the edges of a
+    bounded sample into ranges of keys, numbered within each, and the numbers before a range are added."""
+    blocks = df.select(*keys).distinct()
+    some = blocks.orderBy(F.xxhash64(*keys), *keys).limit(EDGE_SAMPLE).orderBy(*keys).collect()
+    step = -(-len(some) // RANGES) or 1
+    edges = [F.struct(*(F.lit(e[k]).cast(blocks.schema[k].dataType).alias(k) for k in keys)) for e in some[step::step]]
+    at = F.size(F.filter(F.array(*edges), lambda e: e <= F.struct(*keys))) if edges else F.lit(0)
+    blocks = blocks.withColumn("_range", at)
+    counts = {r["_range"]: r["count"] for r in blocks.groupBy("_range").count().collect()}
+    before = F.array(*(F.lit(sum(n for k, n in counts.items() if k < i)).cast("long") for i in range(len(edges) + 1)))
+    return blocks.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*keys)) + F.get(before, F.col("_range"))).drop("_range")
 
 
 def scan_statistics(df: DataFrame, bands: Sequence[str], area: Column | None = None) -> DataFrame:

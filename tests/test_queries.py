@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from meadowline import queries
-from meadowline.operators import folds
+from meadowline.operators import folds, sampling
 
 
 def rows(frame, columns):
@@ -53,6 +53,27 @@ def test_folds_equal_a_plain_loop(spark, data):
     assert queries.spatial_folds(spark, data).count() == 5
 
 
+def test_folds_in_chunks_keep_blocks_off_the_driver(spark, monkeypatch):
+    blocks = spark.range(300).selectExpr("id % 20 AS validation_block_column", "id div 20 AS validation_block_row", "double(id * 37 % 101) AS area", "double(if(id % 4 = 0, id * 11 % 17, 0)) AS reference_area")
+    keys = ["validation_block_column", "validation_block_row"]
+    monkeypatch.setattr(folds, "CHUNK", 70, raising=False)
+    monkeypatch.setattr(sampling, "EDGE_SAMPLE", 64, raising=False)
+    taken, collect = [], type(blocks).collect
+    monkeypatch.setattr(type(blocks), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    numbers = sampling.dense_block_numbers(blocks, keys, "validation_block_id")
+    got = folds.assign_folds(blocks.join(numbers, keys), 5)
+    assert max(map(len, taken)) <= 64
+    monkeypatch.undo()
+    assert [r.validation_block_id for r in numbers.orderBy(*keys).collect()] == list(range(1, 301))
+    table = blocks.join(numbers, keys).collect()
+    state, want = [[0, 0, 0] for _ in range(5)], {}
+    for late, b in sorted(((b.reference_area <= 0, b) for b in table), key=lambda x: (x[0], -x[1].reference_area, -x[1].area, x[1].validation_block_id)):
+        k = min(range(5), key=lambda k: (state[k][late:], k))
+        state[k] = [state[k][0] + b.reference_area, state[k][1] + b.area, state[k][2] + 1]
+        want[b.validation_block_id] = k
+    assert {r.validation_block_id: r.spatial_fold for r in got.collect()} == want
+
+
 def test_ridge_cv_scores_every_row(spark, data):
     out = queries.ridge_cv(spark, data).collect()
     assert sum(r.rows for r in out) == spark.read.parquet(f"{data}/lineitem.parquet").count() and all(r.rmse > 0 for r in out)
