@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,19 +272,51 @@ def test_token_files(spark, small, nothing):
     assert order((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == order(want)
     some = token_files.lookup(spark, folder, spark.createDataFrame([(8, 0), (12345, 0), (11, 1)], "doc_id long, ordinal long")).collect()
     assert sorted(r.doc_id for r in some) == [8, 11]
+    one = token_files.lookup(spark, folder, spark.createDataFrame([(8, 0)], "doc_id long, ordinal long"))
+    assert len(one.collect()) == 1
+    scans = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "SelectedBucketsCount: 1 out of 4" in scans and "EqualTo(part," in scans
     empty = token_files.write_dataset(nothing, path, end_id=2)
     assert token_files.lookup(spark, empty, token_files.keys_of(spark, empty)).count() == 0
 
 
+def test_rows_of_one_id_lie_in_several_parts(spark):
+    ids = [None] * 300 + [5] * 300 + list(range(100, 140))
+    docs = spark.createDataFrame([(i, f"text {k} " * 40) for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many parts as there are shuffle partitions
+    try:
+        folder = token_files.write_dataset(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    parts = spark.read.parquet(f"{folder}/parts").orderBy("part").collect()
+    assert len(parts) > 2 and any(r.carry for r in parts)
+    keys = token_files.keys_of(spark, folder)
+    assert Counter((r.doc_id, r.ordinal) for r in keys.collect()) == Counter([(i, k) for i in (None, 5) for k in range(300)] + [(i, 0) for i in range(100, 140)])
+    got = token_files.lookup(spark, folder, keys.unionByName(keys)).collect()  # more than a few
+    assert Counter((r.doc_id, r.ordinal) for r in got) == Counter((r.doc_id, r.ordinal) for r in keys.collect())
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens
+        at += r.n_tokens
+    few = token_files.lookup(spark, folder, spark.createDataFrame([(None, 299), (5, 150), (5, 300)], "doc_id long, ordinal long")).collect()
+    assert {(r.doc_id, r.ordinal) for r in few} == {(None, 299), (5, 150)}
+
+
 def test_word_encoder_matches_library():
     from tokenizers import Tokenizer
 
     path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(7)
     library, mine = Tokenizer.from_file(path), token_files.WordEncoder(path)
-    parts = ["The", "the", "THE,", "x.", "É", "é,", "é", "\x1c", " ", "'ll", "it's", "<|endoftext|>", "日本", "12", "3.", "...", "a.b.", "ß", "İ", "\n"]
-    for _ in range(1500):
-        t = "".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(mine.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    parts = ["The", "the", "THE,", "x.", "É", "é,", "é", "\x1c", " ", "'ll", "it's", "<|endoftext|>", "<|EndOfText|>", "日本", "12", "3.", "...", "a.b.", "ß", "İ", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, "x" * 5000]
+    other = tokenizer_path("byte_bpe_50k.json")
+    for library, mine in ((library, mine), (Tokenizer.from_file(other), token_files.WordEncoder(other))):
+        ids, sizes = mine.encode(pa.array(texts))
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts, ends - sizes, ends):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    assert not token_files.WordEncoder(other).by_chunks and mine.encode(pa.array([], pa.string()))[0].size == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
