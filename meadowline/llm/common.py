@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from meadowline.shipping import ship
 
@@ -31,9 +33,12 @@ def blank_words(text: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """A new folder under the cluster's ``spark.checkpoint.dir``. Where none is named a temporary one is set if everything runs
+    on this machine; on a cluster, whose executors would not see it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/meadowline/{uuid.uuid4().hex}"
@@ -46,6 +51,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that are broadcast at most; a larger side is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows as one side of a join: broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lowest(df: DataFrame, n: int, *columns) -> DataFrame:
+    """The ``n`` lowest rows by ``columns``. They are found within groups of tasks first, so that no task sees ``n`` rows of each."""
+    order = [F.col(c) if isinstance(c, str) else c for c in columns]
+    near = df.withColumn("_group", F.spark_partition_id() % 256).withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
+    return near.where(F.col("_rank") <= n).drop("_group", "_rank").orderBy(*order).limit(n)
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` as read from Parquet files, and SQL of the file and the position in it that tell each row from all others.
+    What is not read from files is written first."""
+    names = "_metadata.file_path", "_metadata.row_index"
+    try:
+        docs.selectExpr(*names)
+    except AnalysisException:
+        docs = materialize(docs)
+    return docs, *names
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has at most ``limit`` bytes of text, or one row."""
     sizes = batch.column(column).cast(pa.large_binary()).to_pylist()

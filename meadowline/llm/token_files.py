@@ -41,7 +41,7 @@ SHARD_IDS = 1 << 18
 #: Keys for each index row, on average, and keys for each pilot.
 BUCKET_KEYS, GROUP_KEYS = 1024, 4
 #: Text, in bytes, that is split into chunks at a time.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 #: So many keys at most are looked up by pushing their places down to the scans.
 FEW_KEYS = 1000
 #: Row groups of a shard file: a shard has 1 MB.

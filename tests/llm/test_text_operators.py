@@ -74,6 +74,8 @@ def test_pii_model_adds_and_keeps_base(spark, nothing):
     texts = [(i, f"{word()} mail {word()}.{i}@mail{i % 9}.example.com and {word()} call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} {word()}") for i in range(300)]
     model = pii.fit(spark.createDataFrame(texts, "doc_id long, text string"))
     assert model.margin and model.thresholds
+    email = model.measured["email"]
+    assert email[0] >= 0.95 and email[1] >= 0.9 and email[2] > 50
     out = pii.find_pii(spark.createDataFrame([(1, "mail jo.doe at mail5.example dot com today"), (2, "meet at the station at noon"), (3, "mail a.b@mail.example.com")], "doc_id long, text string"), model)
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].spans.startswith("email:5:") and got[1].n_email == 0
