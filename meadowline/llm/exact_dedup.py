@@ -1,14 +1,16 @@
 """Exact deduplication as a stateful stream over document digests.
 
-Each added table is scanned once for ``(digest, doc_id, length, locator)``; these narrow rows are appended to a log in the
-shared folder, and a streaming aggregation keyed by digest keeps, in a RocksDB state store without expiry, the document
-that stays, how many there are and where its content lies. What changes in the state goes to an index table by batch.
-A digest with more than one row is a hit; hits are confirmed on their full normalised bytes, and digests under which
-different texts met are grouped again by the texts themselves.
+Each added table is scanned once for ``(digest, doc_id, length, file, position)``; these narrow rows are appended to a log in
+the shared folder, and a streaming aggregation keyed by digest keeps, in a RocksDB state store without expiry, the document
+that stays, how many there are and where its content lies: the Parquet file, the row's position in it and the text's length.
+What changes in the state goes to an index table by batch. A digest with more than one row is a hit; hits are confirmed on
+their full normalised bytes, and digests under which different texts met are grouped again by the texts themselves. Bodies
+are added up by (digest, body) before they are shuffled, so copies of one text do not meet in one task.
 
 Defined results: null text counts as empty, so null and blank texts are copies of each other. A null ``doc_id`` loses ties
-against any other. Repeated rows count as copies; of rows with the same ``doc_id`` that stays every one has ``kept``.
-An empty table gives no rows. Other columns are ignored, whatever their names.
+against any other. Repeated rows count as copies, and ``exact_dedup`` and ``stay`` keep one row of each group whether ids are
+null, repeated or unique; ``resolve`` of tables added over time goes by ``doc_id`` alone. An empty table gives no rows. Other
+columns are ignored, whatever their names, and kept by ``stay``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import documents, shared_dir
+from meadowline.llm.common import documents, located, materialize, shared_dir, side
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,7 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
 }
-_NO_ID = "9223372036854775807L"
+#: The row that stays: the longest text, then the smallest id (its complement does not overflow), null last, then any one place.
+_ORDER = "struct(n, ~coalesce(doc_id, 9223372036854775807L) AS rank, doc_id, file, position)"
 
 
 def normalised(text: Column) -> Column:
@@ -45,89 +48,100 @@ class StreamingDeduplicator:
     def __init__(self, spark: SparkSession, folder: str | None = None, digest=sha256):
         self.spark, self.folder, self.digest = spark, folder or shared_dir(spark), digest
 
-    def _fingerprints(self, docs: DataFrame) -> DataFrame:
+    def _fingerprints(self, docs: DataFrame, *more: Column) -> DataFrame:
+        docs, file, position = located(docs)
         text = F.coalesce(F.col("text"), F.lit(""))
-        return docs.select(
-            self.digest(normalised(F.col("text"))).alias("digest"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.length(text).cast("long").alias("n"),
-            F.input_file_name().alias("locator"),
-        )
+        names = [F.expr(file).alias("file"), F.expr(position).alias("position")]
+        return docs.select(self.digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), *names, *more)
 
     def add(self, docs: DataFrame) -> None:
         """Append a table to the log and bring the state up to date. Survives restarts: the log and the stream's checkpoint are written before anything is read from them."""
-        log = f"{self.folder}/log"
+        log, index = f"{self.folder}/log", f"{self.folder}/index"
         prints = self._fingerprints(docs)
         prints.write.mode("append").parquet(log)
-        index, session = f"{self.folder}/index", self.spark
-        before = {k: session.conf.get(k, None) for k in STATE_CONF}
-        for k, v in STATE_CONF.items():
+        session = self.spark.newSession()  # the state store's settings touch no other query
+        for k, v in {**STATE_CONF, "spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions")}.items():
             session.conf.set(k, v)
 
         def publish(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{index}/batch={batch:08d}")
 
-        try:
-            seen = session.readStream.schema(prints.schema).parquet(log)
-            query = (
-                seen.groupBy("digest")
-                .agg(F.max(F.struct(F.col("n"), (-F.coalesce("doc_id", F.expr(_NO_ID))).alias("order"), "doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-                .select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("locator"), "group_size")
-                .writeStream.outputMode("update")
-                .foreachBatch(publish)
-                .option("checkpointLocation", f"{self.folder}/state")
-                .trigger(availableNow=True)
-                .queryName(f"dedup_{uuid.uuid4().hex}")
-                .start()
-            )
-            query.awaitTermination()
-        finally:
-            for k, v in before.items():
-                session.conf.unset(k) if v is None else session.conf.set(k, v)
+        query = (
+            session.readStream.schema(prints.schema)
+            .parquet(log)
+            .groupBy("digest")
+            .agg(F.max(F.expr(_ORDER)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+            .select("digest", "best", "group_size")
+            .writeStream.outputMode("update")
+            .foreachBatch(publish)
+            .option("checkpointLocation", f"{self.folder}/state")
+            .trigger(availableNow=True)
+            .queryName(f"dedup_{uuid.uuid4().hex}")
+            .start()
+        )
+        query.awaitTermination()
 
     def index(self) -> DataFrame:
-        """One row per digest: keep_id, locator and group_size, as of the last batch that changed it."""
-        all_batches = self.spark.read.schema("digest string, keep_id long, locator string, group_size long, batch int").parquet(f"{self.folder}/index")
+        """One row per digest: ``best`` (length, id and place of the row that stays) and group_size, as of the last batch that changed it."""
+        schema = "digest string, best struct<n:long,rank:long,doc_id:long,file:string,position:long>, group_size long, batch int"
         # A group only grows, so its newest state is its largest.
-        return all_batches.groupBy("digest").agg(F.max(F.struct("group_size", "keep_id", "locator")).alias("s")).select("digest", "s.keep_id", "s.locator", "s.group_size")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/index").groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s")).select("digest", "s.best", "s.group_size")
 
-    def collisions(self, docs: DataFrame) -> DataFrame:
+    def _hits(self) -> DataFrame:
+        return materialize(self.index().where("group_size > 1"))
+
+    def collisions(self, docs: DataFrame, hits: DataFrame | None = None) -> DataFrame:
         """Digests of hits under which different normalised texts met, by full comparison of the hits' bytes."""
-        hits = self.index().where("group_size > 1").select("digest")
         text = normalised(F.col("text"))
-        mine = docs.select(self.digest(text).alias("digest"), text.alias("body")).join(hits, "digest", "left_semi")
-        # Grouping by the body compares whole texts, and adds copies up before they are shuffled.
-        bodies = mine.groupBy("body").agg(F.first("digest").alias("digest"))
-        return bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
-
-    def resolve(self, docs: DataFrame) -> DataFrame:
-        """One row per document of ``docs`` (all rows added so far): doc_id, keep_id, group_size, kept, text_sha256."""
-        clash = [r.digest for r in self.collisions(docs).limit(1).collect()]
-        prints = self._fingerprints(docs).select("digest", "doc_id", "n")
-        groups = self.index().where("group_size > 1").select("digest", "keep_id", "group_size")
-        if clash:  # equal digests of different texts: these groups are formed by the texts
-            bad = self.collisions(docs)
-            text = normalised(F.col("text"))
-            rows = docs.select(self.digest(text).alias("digest"), text.alias("body"), F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-            odd = rows.join(bad, "digest", "left_semi")
-            best = odd.groupBy("body").agg(F.max(F.struct("n", (-F.coalesce("doc_id", F.expr(_NO_ID))).alias("order"), "doc_id")).alias("b"), F.count(F.lit(1)).alias("group_size"))
-            regrouped = odd.join(best, "body").select("doc_id", F.col("b.doc_id").alias("keep_id"), "group_size", sha256(F.col("body")).alias("text_sha256"))
-            rest = rows.join(bad, "digest", "left_anti").join(groups, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), sha256(F.col("body")).alias("text_sha256"))
-            out = regrouped.unionByName(rest)
-        else:
-            sha = F.col("digest") if self.digest is sha256 else None
-            if sha is None:
-                prints = docs.select(self.digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), sha256(normalised(F.col("text"))).alias("sha"))
-                sha = F.col("sha")
-            out = prints.join(groups, "digest", "left").select("doc_id", F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), sha.alias("text_sha256"))
-        return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        bodies = docs.select(self.digest(text).alias("digest"), text.alias("body"))
+        hits = (self._hits() if hits is None else hits).select("digest")
+        few = side(hits)
+        if few is hits:  # too many to send: bodies are added up first, so that none of them is shuffled more than once a task
+            return bodies.distinct().join(hits, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
+        return bodies.join(few, "digest", "left_semi").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
+
+    def _resolved(self, docs: DataFrame, *more: Column) -> DataFrame:
+        """digest, doc_id, n, file, position, ``more`` of each row with its group's ``best`` and ``group_size`` (null: no copy) and ``sha``."""
+        hits = self._hits()
+        bad = materialize(self.collisions(docs, hits))
+        text = normalised(F.col("text"))
+        if self.digest is sha256 and bad.isEmpty():
+            return self._fingerprints(docs, *more).join(side(hits), "digest", "left").withColumn("sha", F.col("digest"))
+        # Equal digests of different texts: these groups are formed by the texts.
+        rows = self._fingerprints(docs, *more, text.alias("body"))
+        odd = rows.join(side(bad), "digest", "left_semi")
+        best = odd.groupBy("body").agg(F.max(F.expr(_ORDER)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        regrouped = odd.join(best, "body")
+        rest = rows.join(side(bad), "digest", "left_anti").join(side(hits), "digest", "left")
+        return regrouped.select(*rest.columns).unionByName(rest).withColumn("sha", sha256(F.col("body"))).drop("body")
+
+    def resolve(self, docs: DataFrame, by_place: bool = False) -> DataFrame:
+        """One row per document of ``docs`` (all rows added so far): doc_id, keep_id, group_size, kept, text_sha256. With
+        ``by_place``, for the very files that were added, exactly one row of each group is kept."""
+        stays = F.expr("group_size IS NULL OR file = best.file AND position = best.position") if by_place else F.expr("group_size IS NULL OR doc_id <=> best.doc_id")
+        keep = F.when(F.col("group_size").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id"))
+        return self._resolved(docs).select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), F.col("sha").alias("text_sha256"))
+
+    def stay(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs``, which was added as a whole, that stay: one of each group, with all columns."""
+        rows = self._resolved(docs, F.struct(*docs.columns).alias("_row"))
+        return rows.where("group_size IS NULL OR file = best.file AND position = best.position").select("_row.*")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    docs, *_ = located(docs)
+    dedup = StreamingDeduplicator(docs.sparkSession)
+    dedup.add(docs)
+    return dedup.resolve(docs, by_place=True)
+
+
+def stay(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all columns."""
+    docs, *_ = located(docs)
     dedup = StreamingDeduplicator(docs.sparkSession)
     dedup.add(docs)
-    return dedup.resolve(docs)
+    return dedup.stay(docs)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import as_bytes, blank_words, documents, materialize, ship, slices
+from meadowline.llm.common import as_bytes, blank_words, documents, located, materialize, ship, side, slices
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -101,7 +101,7 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (shingles), k (digest of the set) and the bucket keys."""
+    """key, n (shingles), k (digest of the set) and the bucket keys of ``docs`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +111,10 @@ def _summaries(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(sketches([sets[i] for i in full], bands * rows), bands).view(np.int64)
                 of = dict(zip(full, keys))
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                cells = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([of.get(i) for i in range(len(sets))], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n", "k", "buckets"])
+                cells = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([of.get(i) for i in range(len(sets))], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cells, names=["key", "n", "k", "buckets"])
 
-    return docs.selectExpr("cast(doc_id AS long) doc_id", "text").mapInArrow(run, "doc_id long, n long, k binary, buckets array<long>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, k binary, buckets array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -167,7 +167,8 @@ def _rest(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     mixed = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     active = materialize(marked.join(mixed, "bucket", "left_semi").select("k", "root").distinct())
     tokens = active.join(sets, "k").select("k", "root", F.size("s").cast("long").alias("n"), F.explode("s").alias("t"))
-    count = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written first, so that the join's two sides are dealt by themselves and a hot shingle's rows can be split among tasks.
+    count = materialize(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = tokens.join(count, "t")
     # Per class: shingles that occur elsewhere, from rare to common; those of the prefix that are left after the unique ones.
     own = shared.groupBy("k", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts")).withColumn("m", F.size("ts").cast("long"))
@@ -176,6 +177,7 @@ def _rest(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     rows = able.select("k", "root", "n", "m", F.explode("first").alias("t"))
     by_root = rows.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"))
     tops = by_root.groupBy("t").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.min("low").alias("low")).where("roots > 1").select("t", F.col("top.root").alias("top"), "low")
+    tops = side(materialize(tops))
     # inter >= p/(100+p) * (n + n'), and inter is at most the number of shingles that occur elsewhere.
     enough = lambda m, n, other: f"{100 + percent} * {m} >= {percent} * ({n} + {other})"
     live = materialize(rows.join(tops, "t").where(enough("m", "n", "low")))
@@ -183,19 +185,19 @@ def _rest(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     counts = able.join(live.select("k").distinct(), "k", "left_semi").select("k", F.expr(f"transform(sequence(0, {CELLS - 1}), c -> size(filter(cells, x -> x = c)))").alias("v"))
     live = live.join(counts, "k")
     out = live.where("root <> top").select("t", F.col("k").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("m").alias("xm"), F.col("v").alias("xv"))
-    side = live.select("t", F.col("k").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("v").alias("yv"), "top")
+    across = live.select("t", F.col("k").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("m").alias("ym"), F.col("v").alias("yv"), "top")
     most = "aggregate(zip_with(xv, yv, (a, b) -> least(a, b)), 0, (s, a) -> s + a)"
     fits = " AND ".join(["xr <> yr", "(yr = top OR x < y)", enough("xm", "xn", "yn"), enough("ym", "xn", "yn"), f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)", enough(most, "xn", "yn")])
-    pairs = out.join(side, "t").where(fits)
+    pairs = out.join(across, "t").where(fits)
     return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per document."""
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
+    """key, n, component (smallest key reachable, null where the row is linked with nothing) of each row of ``docs`` (key, text)."""
     ship(docs.sparkSession)
     base = materialize(_summaries(docs, words, bands, rows))
-    filled = base.where("k IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(filled.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+    filled = base.where("k IS NOT NULL AND key IS NOT NULL")
+    classes = materialize(filled.groupBy("k").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
     spread = classes.select(F.explode("buckets").alias("bucket"), "k", "n")
     common = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     held = materialize(spread.join(common, "bucket"))
@@ -204,19 +206,34 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     led = held.join(weight, "k").groupBy("bucket").agg(F.max(F.struct("w", "k", "n")).alias("lead"))
     stars = held.join(led, "bucket").where("k <> lead.k").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
     pairs = stars.select(F.col("k").alias("x"), F.col("lead.k").alias("y")).distinct()
-    reps = classes.join(held.select("k").distinct(), "k", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = materialize(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id", "left_semi"), words).dropDuplicates(["k"]))
+    reps = materialize(classes.join(held.select("k").distinct(), "k", "left_semi").select(F.col("rep").alias("key")))
+    sets = materialize(_sets(docs.join(side(reps), "key", "left_semi"), words).dropDuplicates(["k"]))
     links = materialize(_confirmed(pairs, sets, percent))
     roots = materialize(components(links))
     more = _confirmed(_rest(held, roots, sets, percent), sets, percent)
     roots = materialize(components(links.unionByName(more)))
-    # Documents of linked classes get the smallest doc_id of their component, those of larger classes that of their class.
+    # Rows of linked classes get the smallest key of their component, those of larger classes that of their class.
     named = classes.join(roots, "k", "left").where("root IS NOT NULL OR size > 1").select("k", "rep", F.coalesce("root", "k").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    map_ = named.join(lowest, "root").select("k", "component")
-    out = base.join(map_, "k", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    map_ = side(materialize(named.join(lowest, "root").select("k", "component")))
+    return base.join(map_, "k", "left").select("key", "n", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per document."""
+    found = groups(docs.selectExpr("cast(doc_id AS long) key", "text"), words, percent, bands, rows)
+    component = F.coalesce("component", "key")
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
+
+
+def stay(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
+    """One row of each group, with all columns. Rows are told apart by where they lie, so null and repeated ids make no difference."""
+    docs, file, position = located(docs)
+    key = F.expr(f"concat({file}, ':', {position})")
+    found = groups(docs.select(key.alias("key"), "text"), words, percent, bands, rows)
+    gone = side(materialize(found.where("key <> component").select("key")))
+    keyed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("_row"))
+    return keyed.join(gone, "key", "left_anti").select("_row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ crc32(doc_id as text) is divisible by 5 are held out. Everything else reads all
 
 Defined results: null and empty texts are scored from their statistics (all zero). With fewer than 20 labelled documents or
 one label only, every score is the mean label, 0.5 without any. Rows with null or repeated ``doc_id`` are each scored; a
-null id is not held out. A document with several labels is learnt from each. Other columns are ignored.
+null id is not held out. A document with several labels is learnt from each; of documents that share an id one is learnt
+from. Other columns are ignored, and kept by ``with_score`` and ``accepted``.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import as_bytes, ascii_words, documents, ship, slices
+from meadowline.llm.common import as_bytes, ascii_words, documents, lowest, ship, slices
 
 WORD_SPACE = 1 << 15
 BINS = 12
@@ -135,23 +137,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    """Text and length; the length is counted where the table has none."""
-    length = F.coalesce(F.col("n_chars").cast("long"), F.length("text").cast("long"), F.lit(0)) if "n_chars" in docs.columns else F.coalesce(F.length("text").cast("long"), F.lit(0))
-    return docs.withColumn("_length", length)
+def _features_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of a slice of documents; the length is counted where the table has none."""
+    lengths = pc.utf8_length(part.column("text")).cast(pa.int64())
+    if "n_chars" in part.schema.names:
+        lengths = pc.coalesce(part.column("n_chars").cast(pa.int64()), lengths)
+    return features(as_bytes(part.column("text")), lengths.fill_null(0).to_pylist())
+
+
+def _needed(docs: DataFrame) -> list[str]:
+    return ["text", *(["n_chars"] if "n_chars" in docs.columns else [])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     ship(docs.sparkSession)
     known = labels.selectExpr("cast(doc_id AS long) doc_id", "double(quality) label").where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)  # at most sample_rows small rows: safe to broadcast
-    rows = _inputs(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(some), "doc_id").select("text", "_length", "label")
+    some = lowest(known.groupBy("doc_id", "label").count().drop("count"), sample_rows, F.xxhash64("doc_id"), "doc_id", "label")  # at most sample_rows small rows: safe to broadcast
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_needed(docs)).join(F.broadcast(some), "doc_id")
+    # Of documents that share an id one is taken, so that what is learnt from, and reaches the driver, has sample_rows rows at most.
+    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_needed(docs))).alias("r"))
+    rows = one.select(*(f"r.{c}" for c in _needed(docs)), "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                r, c, x = features(as_bytes(part.column("text")), part.column("_length").to_pylist())
+                r, c, x = _features_of(part)
                 order = np.argsort(r, kind="stable")
                 cuts = np.searchsorted(r[order], np.arange(part.num_rows + 1)).astype(np.int32)
                 cells = [part.column("label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(c[order].astype(np.int32))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order].astype(np.float32)))]
@@ -168,29 +179,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
     return learn(np.repeat(np.arange(len(y)), sizes), np.asarray(c.flatten()).astype(np.int64), np.asarray(x.flatten()).astype(np.float64), y)
 
 
-def with_score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """The documents with a column ``_score``."""
+def with_score(docs: DataFrame, model: FactorisationMachine, name: str = "_score") -> DataFrame:
+    """The documents with their score in a further column."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                score = sent.value.score(*_features_of(part), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+
+
+def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with their columns and no other."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = _inputs(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                r, c, x = features(as_bytes(part.column("text")), part.column("_length").to_pylist())
-                score = sent.value.score(r, c, x, part.num_rows)
-                kept = [n for n in part.schema.names if n != "_length"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(score)], names=[*kept, "_score"])
+                yield part.filter(pa.array(sent.value.score(*_features_of(part), part.num_rows) >= threshold))
 
-    return rows.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = fit(docs, labels, sample_rows)
-    columns = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
-    scored = with_score(docs.select(*columns), model)
+    scored = with_score(docs.select("doc_id", *_needed(docs)), fit(docs, labels, sample_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -102,6 +102,18 @@ def test_exact_dedup(small, digest):
     assert order(tuple(r) for r in state.resolve(small).collect()) == exact(rows(small))
 
 
+def test_one_row_of_each_group_stays(spark):
+    smallest = -(2**63)
+    docs = spark.createDataFrame([(1, "T", "a"), (5, " T", "b"), (5, "U", "c"), (None, "X", "d"), (None, "X", "d"), (7, "Y", "e"), (7, "Y", "e"), (smallest, "Z", "f"), (3, "Z", "g")], "doc_id long, text string, file string")
+    assert order(tuple(r) for r in exact_dedup.stay(docs).collect()) == order([(5, " T", "b"), (5, "U", "c"), (None, "X", "d"), (7, "Y", "e"), (smallest, "Z", "f")])
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sum(r.kept for r in got) == 5 and {r.keep_id for r in got if r.doc_id == 3} == {smallest}
+    words = " ".join(f"w{i}" for i in range(40))
+    near = spark.createDataFrame([(None, words, 1), (None, words + " x", 2), (4, words, 3), (4, "other", 4), (4, "other", 4), (None, None, 5), (None, None, 5)], "doc_id long, text string, key int")
+    kept = near_dedup.stay(near).collect()
+    assert Counter(r.key if r.key > 3 else 0 for r in kept) == {0: 1, 4: 1, 5: 2} and all(len(r) == 3 for r in kept)
+
+
 def test_exact_dedup_over_time(spark, small, nothing):
     state = exact_dedup.StreamingDeduplicator(spark)
     first, second = small.where("doc_id <= 3 OR doc_id IS NULL"), small.where("doc_id > 3")
@@ -245,7 +257,25 @@ def test_quality(spark, small, nothing, data):
     none = labels.limit(0)
     assert all(r.score == pytest.approx(0.5) for r in quality.score_quality(small, none).collect())
     assert quality.score_quality(nothing, labels).count() == 0
-    assert quality.with_score(small.drop("_score"), quality.FactorisationMachine(0.0, np.zeros(quality.SPACE), np.zeros((quality.SPACE, 1)))).columns == [*small.drop("_score").columns, "_score"]
+    flat = quality.FactorisationMachine(0.0, np.zeros(quality.SPACE), np.zeros((quality.SPACE, 1)))
+    wide = small.selectExpr("*", "7 AS _length", "8 AS _row")
+    assert quality.with_score(wide, flat, "p").columns == [*wide.columns, "p"]
+    assert order(map(tuple, quality.accepted(wide, flat).collect())) == order(map(tuple, wide.collect()))
+    assert quality.accepted(wide, flat, 0.6).count() == 0
+    # Repeated ids and labels do not add to the sample.
+    many = spark.createDataFrame([(i % 5, f"text {i}") for i in range(300)], "doc_id long, text string")
+    quality.fit(many, spark.createDataFrame([(i % 5, i % 2) for i in range(300)], "doc_id long, quality int"), sample_rows=40)
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    fm = quality.FactorisationMachine(0.1, rng.normal(size=quality.SPACE), rng.normal(0, 0.3, size=(quality.SPACE, 4)))
+    texts = [None, "", "one", "One two, two!\nthree", "naïve 日本 " * 5, "x " * 50 + "7" * 9]
+    got = {r.doc_id: r._score for r in quality.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fm).collect()}
+    for i, t in enumerate(texts):
+        _, c, x = quality.features([(t or "").encode()], [len(t or "")])
+        z = fm.bias + fm.linear[c] @ x + sum(fm.factors[c[a]] @ fm.factors[c[b]] * x[a] * x[b] for a in range(len(c)) for b in range(a))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def test_sum_of_squares_identity():
