@@ -2,12 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of ``documents``. Between
 stages the rows are written as Parquet in the shared folder and read again.
+
+Defined results: rows are told apart by where they lie, not by ``doc_id``, so of copies exactly one row stays whether ids are
+null, repeated or unique; of repeated rows, which tie in everything, any one. Null and blank texts are copies of each other
+to the exact stage; what stays of them is linked with nothing, holds no benchmark item, and packs as a document without
+tokens. Texts of any length go through whole. An empty table goes through all stages as an empty one. Further columns stay,
+whatever their names, until the last stage, whose columns are its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meadowline.llm import decontaminate as _decontaminate
 from meadowline.llm import exact_dedup as _exact
@@ -23,19 +28,17 @@ MIN_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = _quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _quality.with_score(docs, model).where(F.col("_score") >= MIN_QUALITY).drop("_score")
+    return _quality.accepted(docs, model, MIN_QUALITY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
-    stay = _exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return _exact.stay(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8."""
-    stay = _near.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return _near.stay(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
