@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 The automaton is built over the words of all items of a block and sent to the tasks; a block holds a bounded number of words
-(``block_words``), and a benchmark with more is taken in several blocks, each passing over the documents. A document's words
+(``block_words``), and a benchmark with more is taken in several blocks, each reading the documents and writing hits alone. A document's words
 stream through the automaton, which tracks the longest suffix read so far that some item contains. Where that suffix has at
 least ``window`` words, the last ``window`` of them are hit; an item of fewer words is hit where it occurs as a whole.
 
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import as_bytes, ascii_words, documents, materialize, ship, slices
+from meadowline.llm.common import as_bytes, ascii_words, documents, located, materialize, ship, side, slices
 
-#: Words of test items that one automaton holds: some 200 MB at most in a task.
-BLOCK_WORDS = 400_000
+#: Words of test items that one automaton holds. 400,000 words were measured to take 305 MB in a Python worker; this is about a half.
+BLOCK_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -200,9 +200,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
     """The documents with ``_n_words``, ``_ranges`` (hit words, and the words of the shortest item hit there) and ``_items``."""
     spark = docs.sparkSession
     ship(spark)
-    out = docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_ranges", F.expr("cast(array() AS array<struct<a:int,b:int,least:int>>)")).withColumn("_items", F.expr("cast(array() AS array<string>)"))
-    blocks = blocks_of(benchmark, block_words)
+    empty = {"_n_words": "0L", "_ranges": "cast(array() AS array<struct<a:int,b:int,least:int>>)", "_items": "cast(array() AS array<string>)"}
+    blocks, hits = blocks_of(benchmark, block_words), []
+    if len(blocks) > 1:
+        docs, file, position = located(docs)
+        keyed = docs.select(F.struct(F.expr(file).alias("file"), F.expr(position).alias("position")).alias("_key"), *docs.columns)
     for k, block in enumerate(blocks):
+        if len(blocks) == 1:
+            rows = docs.select("*", *(F.expr(x).alias(c) for c, x in empty.items()))
+        elif k + 1 < len(blocks):
+            rows = keyed.select("_key", "text", *(F.expr(x).alias(c) for c, x in empty.items()))
+        else:  # the last block's pass carries the rows, with what the others found
+            before = hits[0]
+            for x in hits[1:]:
+                before = before.unionByName(x)
+            before = materialize(before.groupBy("_key").agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.flatten(F.collect_list("_items")).alias("_items")))
+            rows = keyed.join(side(before), "_key", "left").select(*docs.columns, F.expr("0L").alias("_n_words"), *(F.coalesce(F.col(c), F.expr(empty[c])).alias(c) for c in ("_ranges", "_items")))
         items = sorted((r.item_id, ascii_words(r.text.encode())) for r in block.collect())  # of bounded size
         automaton = spark.sparkContext.broadcast(build([x for x in items if x[1]], window))
 
@@ -222,10 +235,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
                     ids = np.array([number(w, 0) for w in flat], dtype=np.int64)
                     ranges, items = part.column("_ranges").to_pylist(), part.column("_items").to_pylist()
                     starts = np.concatenate(([0], ends[:-1])) + np.arange(len(words)) if len(words) else ends
-                    touched = {int(np.searchsorted(starts, low, side="right")) - 1 for low, _ in machine.stretches(ids)}
+                    touched = {d for d, r in enumerate(ranges) if r} | {int(np.searchsorted(starts, low, side="right")) - 1 for low, _ in machine.stretches(ids)}
                     for d in touched:
                         got, found = machine.hits(ids[starts[d] : starts[d] + sizes[d]])
-                        if got:
+                        if got or ranges[d]:
                             old = [(r["a"], r["b"], r["least"]) for r in ranges[d]]
                             ranges[d] = [{"a": a, "b": b, "least": least} for a, b, least in merged(old + got)]
                             items[d] = sorted({*items[d], *(machine.names[i] for i in found)})
@@ -233,9 +246,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
                     cells = [part.column(c) for c in kept] + [pa.array(sizes), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cells, names=[*kept, "_n_words", "_ranges", "_items"])
 
-        out = out.mapInArrow(run, out.schema)
-        if k + 1 < len(blocks):
-            out = materialize(out)  # one automaton at a time in a task
+        out = rows.mapInArrow(run, rows.schema)
+        if k + 1 < len(blocks):  # one automaton at a time in a task
+            hits.append(materialize(out.where(F.size("_ranges") > 0).select("_key", "_ranges", "_items")))
     return out
 
 

@@ -2,15 +2,17 @@
 
 Documents are dealt by a hash to blocks of bounded size, which are packed independently, each in one task's bounded memory.
 Within a block pieces are taken from long to short. A piece goes to the open bin in which least room is left over; where none
-has room a bin is opened. Which of the permitted lengths is opened is optimised for the block as a whole: every rule "open at
-least length L" is tried, finished bins are downsized to the smallest permitted length that holds their contents, and the
-rule with the lowest cost (tokens of all bins, padding included, and ``bin_cost`` for each bin) stays.
+has room a bin is opened, of the permitted length that costs least for what it would hold: for each length the pieces left
+are tried from long to short until the bin is full, the bin is downsized to them, and the cost (its tokens, padding included,
+and ``bin_cost``) is divided by the tokens held. In the end every bin is downsized to the smallest permitted length that holds
+its contents. As the choice by one bin is not always the best for all, the rules "open at least length L" are tried for the
+block, too, and the packing of the lowest cost stays.
 
 Documents longer than the largest length are cut into pieces of that length and a rest; nothing is dropped.
 
 Defined results: a document without tokens has one row with no bin (null ``bin``, capacity 0). Rows with null or repeated
-``doc_id`` are packed each on their own; a block that repeated ids make too large is continued as another one, with the same
-block number and further bins. Ties go by ``doc_id`` and piece. An empty table gives no rows. Other columns are ignored.
+``doc_id`` are packed each on their own, and spread over the blocks as any others. Ties go by ``doc_id`` and piece. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +34,65 @@ BIN_COST = 16
 BLOCK_DOCS = 8192
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...], open_at: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each length (given from long to short), and the contents of each bin."""
+class Left:
+    """The pieces that are left, by length, and the longest one that is not longer than a given length."""
+
+    def __init__(self, lengths: list[int], top: int):
+        self.count = np.bincount(lengths, minlength=top + 1).tolist()
+        self.down = list(range(top + 1))  # where to look on from a length of which none is left
+
+    def longest(self, most: int) -> int:
+        """0 if there is none."""
+        down, n = self.down, most
+        while n and not self.count[n]:
+            n = down[n] if down[n] != n else n - 1
+        while most > n:  # shorten the way for the next time
+            down[most], most = n, down[most] if down[most] != most else most - 1
+        return n
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+
+    def fill(self, room: int) -> int:
+        """What a bin would hold if the pieces left went into it from long to short."""
+        held, n = 0, self.longest(room)
+        while n:
+            k = min(self.count[n], (room - held) // n)
+            held += k * n
+            n = self.longest(min(n - 1, room - held))
+        return held
+
+    def cheapest(self, n: int, capacities: tuple[int, ...], bin_cost: int) -> int:
+        """The length of a bin for a piece of ``n`` that costs least for each token held; of equal ones the longest."""
+        best = None
+        for c in capacities:
+            if c >= n:
+                held = n + self.fill(c - n)
+                size = next(x for x in capacities if x >= held)
+                price = (size + bin_cost) / held
+                if best is None or price <= best[0]:
+                    best = (price, c)
+        return best[1]
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...], open_at: int | None, bin_cost: int = BIN_COST) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each length (given from long to short), and the contents of each bin. A bin is opened at least at
+    ``open_at``, or at the length that costs least."""
+    left_over = Left(lengths, capacities[-1]) if open_at is None else None
     top = capacities[-1]
     room: list[list[int]] = [[] for _ in range(top + 1)]  # open bins by the room that is left
     filled = np.zeros(top + 1, dtype=bool)  # which amounts of room there are
     bins, offsets, contents = [], [], []
     low = top + 1  # no open bin has less room than this, or the array tells
     for n in lengths:
+        if left_over:
+            left_over.take(n)
         at = -1
         if low <= top:
             found = int(filled[n:].argmax()) + n
             at = found if filled[found] else -1
         if at < 0:
-            size = next(c for c in capacities if c >= max(n, open_at))
+            size = left_over.cheapest(n, capacities, bin_cost) if left_over else next(c for c in capacities if c >= max(n, open_at))
             b, left = len(contents), size
             contents.append(0)
         else:
@@ -63,10 +110,10 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], open_at: int) -> t
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each length, and each bin's length, by the cheapest opening rule."""
+    """Bin and offset of each length, and each bin's length: the cheapest of the packings tried."""
     best = None
-    for open_at in capacities:
-        bins, offsets, contents = best_fit(lengths, capacities, open_at)
+    for open_at in (None, *capacities):
+        bins, offsets, contents = best_fit(lengths, capacities, open_at, bin_cost)
         sizes = [next(c for c in capacities if c >= x) for x in contents]
         cost = sum(sizes) + bin_cost * len(sizes)
         if best is None or cost < best[0]:
@@ -101,7 +148,7 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, b
         block, bins, ids, sizes = None, 0, [], []
         for batch in batches:
             for b, doc, n in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "n_tokens"))):
-                if ids and (b != block or len(ids) >= 4 * block_docs):
+                if ids and b != block:
                     out, bins = flush(block, ids, sizes, bins)
                     yield out
                     ids, sizes = [], []
@@ -112,7 +159,9 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, b
         if ids:
             yield flush(block, ids, sizes, bins)[0]
 
-    rows = lengths.selectExpr("cast(doc_id AS long) doc_id", "coalesce(cast(n_tokens AS long), 0L) n_tokens").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = lengths.selectExpr("cast(doc_id AS long) doc_id", "coalesce(cast(n_tokens AS long), 0L) n_tokens", "monotonically_increasing_id() AS m")
+    # The number of the row as read spreads rows of one id.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "m"), F.lit(blocks)))
     dealt = rows.repartition("block").sortWithinPartitions("block", "doc_id", "n_tokens").select("block", "doc_id", "n_tokens")
     return dealt.mapInArrow(run, _ROW)
 

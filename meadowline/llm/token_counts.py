@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from meadowline.llm.common import documents, slices, tokenizer_path
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units a task remembers; when it has met that many, it starts anew. This bounds memory and changes no result.
 REMEMBER = 400_000
+#: Longer pieces, and what of a piece is longer, are not remembered.
+SHARED = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,7 +69,7 @@ class PrefixBpe:
         self.piece_counts: dict[str, int] = {}
         self.units: dict[str, int] = {}
         self.child: dict[int, int] = {}
-        self.node_counts, self.node_lasts = [0], [b""]
+        self.node_counts, self.node_lasts = [0], [0]
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merges of the lowest rank first, leftmost first: the definition, used on two tokens at a time."""
@@ -108,7 +111,7 @@ class PrefixBpe:
             ok = self.alone[t] = t in self.ids and len(self.merge(t)) == 1
         return ok
 
-    def prefixes(self, piece: bytes) -> list[int]:
+    def prefixes(self, piece: bytes) -> array:
         """Token counts of the prefixes of 0, 1, 2, ... bytes of one piece.
 
         Prefixes that pieces have in common are worked out once: they are nodes of a tree, each with its count and last token."""
@@ -116,14 +119,15 @@ class PrefixBpe:
         if len(node_counts) > REMEMBER:
             child.clear()
             del node_counts[1:], node_lasts[1:]
-        counts, last, node = [0], [b""], 0
-        for byte in piece:
+        # Numbers only, so that a piece of millions of letters stays small; the tree ends at SHARED bytes.
+        counts, sizes, node = array("i", [0]), array("i", [0]), 0
+        for byte in piece[:SHARED]:
             at = child.get(node << 8 | byte)
             if at is None:
                 break
             node = at
             counts.append(node_counts[at])
-            last.append(node_lasts[at])
+            sizes.append(node_lasts[at])
         alone, tails, fits = self.alone, self.tails, self.fits
         for end in range(len(counts), len(piece) + 1):
             start, found = end - 1, []
@@ -134,7 +138,7 @@ class PrefixBpe:
                 start -= 1
             for start, t in reversed(found):
                 if start:
-                    pair = (last[start], t)
+                    pair = (piece[start - sizes[start] : start], t)
                     ok = fits.get(pair)
                     if ok is None:
                         if len(fits) > REMEMBER:
@@ -143,11 +147,12 @@ class PrefixBpe:
                     if not ok:
                         continue
                 counts.append(counts[start] + 1)
-                last.append(t)
+                sizes.append(len(t))
                 break
-            child[node << 8 | piece[end - 1]] = node = len(node_counts)
-            node_counts.append(counts[end])
-            node_lasts.append(t)
+            if end <= SHARED:
+                child[node << 8 | piece[end - 1]] = node = len(node_counts)
+                node_counts.append(counts[end])
+                node_lasts.append(sizes[end])
         return counts
 
     def piece(self, piece: str) -> int:
@@ -155,7 +160,9 @@ class PrefixBpe:
         if n is None:
             if len(self.piece_counts) > REMEMBER // 2:
                 self.piece_counts.clear()
-            n = self.piece_counts[piece] = self.prefixes(piece.encode())[-1]
+            n = self.prefixes(piece.encode())[-1]
+            if len(piece) < SHARED:
+                self.piece_counts[piece] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -195,7 +202,9 @@ class PrefixBpe:
         if word.isalpha() and max(word) < "\u0250":  # one piece of letters, and perhaps one of marks
             n = units.get(word)
             if n is None:
-                n = units[word] = self.prefixes(b" " + word.encode())[-1]
+                n = self.prefixes(b" " + word.encode())[-1]
+                if len(word) < SHARED:
+                    units[word] = n
             if len(word) == len(u):
                 return n
             n += self.piece(u[len(word) :])
@@ -203,7 +212,7 @@ class PrefixBpe:
             n = -1
         else:
             n = sum(map(self.piece, self.pieces(" " + u)))
-        if len(u) < 200:
+        if len(u) < SHARED:
             units[u] = n
         return n
 
