@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from meadowline.shipping import ship
 
 #: The largest piece of text, in bytes, that one pass of a Python task holds besides a single longer document.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Fixed values of the word definition: digits, letters and everything beyond ASCII belong to words.
@@ -80,10 +81,9 @@ def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has at most ``limit`` bytes of text, or one row."""
-    sizes = batch.column(column).cast(pa.large_binary()).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).tolist()
     start = total = 0
-    for i, x in enumerate(sizes):
-        n = len(x) if x else 0
+    for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0
