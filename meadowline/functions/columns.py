@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -75,24 +75,18 @@ def in_reference_map(flag: Column) -> Column:
     return F.coalesce(flag != 0, F.lit(False))
 
 
-#: Comparison of a binary mask, by its operator.
-COMPARISONS: dict[str, Callable[[Column, float], Column]] = {
-    ">=": lambda x, v: x >= v,
-    "<=": lambda x, v: x <= v,
-    "==": lambda x, v: x == v,
-    ">": lambda x, v: x > v,
-    "<": lambda x, v: x < v,
-}
-_COMPARISON = re.compile(r"\s*(>=|<=|==|>|<)\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*")
-
-
 def comparison(text: str) -> Callable[[Column], Column]:
     """Predicate of a text such as ``>=80``; rejects whatever is not one operator and one finite number."""
-    m = _COMPARISON.fullmatch(text)
-    if not m or float(m[2]) in (float("inf"), float("-inf")):
+    name = text.strip()[:2]
+    name = name if name[1:] == "=" else name[:1]
+    tests = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__, "==": Column.__eq__}
+    try:
+        test, value = tests[name], float(text.strip()[len(name) :])
+    except (KeyError, ValueError):
+        value = math.nan
+    if not math.isfinite(value) or "_" in text:
         raise ValueError(f"not a comparison: {text!r}")
-    test, value = COMPARISONS[m[1]], float(m[2])
-    return lambda x: test(x, value)
+    return lambda x: test(x, F.lit(value))
 
 
 def binary_mask(x: Column, text: str) -> Column:

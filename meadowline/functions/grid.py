@@ -51,6 +51,11 @@ def source_cell(x: Column, y: Column, left: float, top: float, size: float) -> t
 Ring = Sequence[tuple[float, float]]
 
 
+def polygons(area: Sequence) -> list[Sequence[Ring]]:
+    """The polygons of an area: a list of them, or one polygon, which is a list of rings."""
+    return list(area) if isinstance(area[0][0][0], (list, tuple)) else [area]
+
+
 def edges(polygon: Sequence[Ring]) -> list[tuple[float, float, float, float]]:
     """Edges of all rings, outer ones and holes alike: the even-odd rule needs no order."""
     out = []
@@ -62,8 +67,17 @@ def edges(polygon: Sequence[Ring]) -> list[tuple[float, float, float, float]]:
     return out
 
 
-def in_polygon(x: Column, y: Column, polygon: Sequence[Ring]) -> Column:
-    """Whether a pixel's centre is inside (even-odd rule, holes honoured), after a bounding-box test that can be pushed down."""
+def in_polygon(x: Column, y: Column, area: Sequence) -> Column:
+    """Whether a pixel's centre is in one of the area's polygons: even-odd rule within a polygon, holes honoured, any of them
+    among polygons, which may overlap. Bounding boxes, which can be pushed down, are tested first."""
+    inside = [_in_one(x, y, p) for p in polygons(area)]
+    out = inside[0]
+    for other in inside[1:]:
+        out = out | other
+    return out
+
+
+def _in_one(x: Column, y: Column, polygon: Sequence[Ring]) -> Column:
     xs, ys = [p[0] for ring in polygon for p in ring], [p[1] for ring in polygon for p in ring]
     box = x.between(float(min(xs)), float(max(xs))) & y.between(float(min(ys)), float(max(ys)))
     sides = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for e in edges(polygon)))
@@ -71,19 +85,20 @@ def in_polygon(x: Column, y: Column, polygon: Sequence[Ring]) -> Column:
     return box & (crossed % 2 == 1)
 
 
-def polygon_tiles(spark, polygon: Sequence[Ring], tile_size: float) -> DataFrame:
-    """Tiles that share an area with the polygon, north to south and west to east: tile_col, tile_row.
+def polygon_tiles(spark, area: Sequence, tile_size: float) -> DataFrame:
+    """Tiles that share an area with one of the polygons, north to south and west to east: tile_col, tile_row.
 
     A tile and a polygon share an area when a vertex of one lies strictly in the other or their edges cross; a tile that only
     touches does not count. The bounding box bounds the range of tiles, which Spark generates."""
-    xs, ys = [p[0] for ring in polygon for p in ring], [p[1] for ring in polygon for p in ring]
+    rings = [ring for polygon in polygons(area) for ring in polygon]
+    xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
     low = lambda v: math.floor(v / tile_size)
     high = lambda v: math.ceil(v / tile_size) - 1
     cols = spark.range(low(min(xs)), max(high(max(xs)), low(min(xs))) + 1).select(F.col("id").alias("tile_col"))
     grid = cols.withColumn("tile_row", F.explode(F.sequence(F.lit(low(min(ys))), F.lit(max(high(max(ys)), low(min(ys)))))))
     x0, y0 = F.col("tile_col") * float(tile_size), F.col("tile_row") * float(tile_size)
     x1, y1 = x0 + float(tile_size), y0 + float(tile_size)
-    sides = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for ring in polygon for e in _all_edges(ring)))
+    sides = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for ring in rings for e in _all_edges(ring)))
 
     def enters(e: Column) -> Column:
         """Clips an edge to the open tile by its parameter range."""
@@ -95,7 +110,7 @@ def polygon_tiles(spark, polygon: Sequence[Ring], tile_size: float) -> DataFrame
             hi = F.when(d == 0, hi).otherwise(F.least(hi, F.greatest(t0, t1)))
         return lo < hi
 
-    centre = in_polygon((x0 + x1) / 2, (y0 + y1) / 2, polygon)
+    centre = in_polygon((x0 + x1) / 2, (y0 + y1) / 2, area)
     return grid.where(F.exists(sides, enters) | centre).orderBy(F.desc("tile_row"), "tile_col")
 
 

@@ -69,7 +69,9 @@ class Calibration:
         return lookup(distance)
 
 
-def calibrate(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> Calibration:
+def centre(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> Calibration:
+    """Mean and shrunken precision of the reference rows, without the table of distances: enough for distances. Percentiles
+    among any number of rows are then a matter of ``weighted.with_share_below``."""
     w = F.col(weight)
     r = covariance(reference, responses, w).collect()[0]
     k = len(responses)
@@ -80,7 +82,12 @@ def calibrate(reference: DataFrame, responses: Sequence[str], weight: str, shrin
     if not (np.isfinite(c).all() and (np.diag(c) > 0).all()):
         raise ValueError("each response needs a positive variance among the reference rows")
     precision = np.linalg.inv((1 - shrinkage) * c + shrinkage * np.diag(np.diag(c)))
-    out = Calibration(list(responses), mean, c.tolist(), precision.tolist(), [], [], r["rows"], r["weight"])
+    return Calibration(list(responses), mean, c.tolist(), precision.tolist(), [], [], r["rows"], r["weight"])
+
+
+def calibrate(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> Calibration:
+    """With the table of distances, which travels to the tasks: for samples, whose caps bound it."""
+    w, out = F.col(weight), centre(reference, responses, weight, shrinkage)
     complete = reference.where(" AND ".join(f"`{x}` IS NOT NULL" for x in responses))
     table = ecdf(complete.withColumn("_d", out.distance([F.col(x) for x in responses])), "_d", w).orderBy("_d").collect()
     out.distances, out.fractions = [t["_d"] for t in table], [t.fraction for t in table]

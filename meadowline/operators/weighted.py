@@ -78,7 +78,7 @@ def with_average_rank(df: DataFrame, by: Sequence[str], column: str, name: str)
 
 
 def regression_metrics(o: Column, e: Column, w: Column) -> dict[str, Column]:
-    """Weighted R2, RMSE, MAE and bias; NULL with fewer than two pairs, R2 also where the observed is constant."""
+    """Weighted R2, RMSE, MAE and bias (mean of observed minus expected); NULL with fewer than two pairs, R2 also where the observed is constant."""
     ok = o.isNotNull() & e.isNotNull() & (w > 0)
     enough = F.count_if(ok) >= 2
     total, mean = _kept(ok, w), F.try_divide(_kept(ok, w * o), _kept(ok, w))
@@ -87,7 +87,7 @@ def regression_metrics(o: Column, e: Column, w: Column) -> dict[str, Column]:
     per = lambda x: F.when(enough, F.try_divide(x, total))
     return {
         "r2": F.when(enough & (F.min(F.when(ok, o)) < F.max(F.when(ok, o))), 1 - F.try_divide(lost, spread)),
-        "rmse": F.sqrt(per(lost)), "mae": per(_kept(ok, w * F.abs(o - e))), "bias": per(_kept(ok, w * (e - o))),
+        "rmse": F.sqrt(per(lost)), "mae": per(_kept(ok, w * F.abs(o - e))), "bias": per(_kept(ok, w * (o - e))),
     }
 
 
@@ -106,8 +106,16 @@ def covariance(df: DataFrame, responses: Sequence[str], w: Column) -> DataFrame:
 def ecdf(df: DataFrame, value: str, weight: Column) -> DataFrame:
     """value and fraction: weighted share of rows with at most this value, one row per distinct value, the last one 1."""
     sums = df.where(F.col(value).isNotNull() & (weight > 0)).groupBy(value).agg(F.sum(weight).alias("_w"))
-    # Calibration rows are reference sites of a sample, bounded by its caps; their distinct values share one window.
-    running = F.sum("_w").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("_w").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    last = F.row_number().over(W.orderBy(F.desc(value))) == 1
-    return sums.select(value, F.when(last, 1.0).otherwise(running / total).alias("fraction"))
+    top = sums.agg(F.max(value).alias("_top"))  # one row
+    shared = with_running_sum(sums, [], value, "_w", "_run", "_sum").join(F.broadcast(top))
+    return shared.select(value, F.when(F.col(value) == F.col("_top"), 1.0).otherwise(F.col("_run") / F.col("_sum")).alias("fraction"))
+
+
+def with_share_below(df: DataFrame, value: str, weight: Column, name: str) -> DataFrame:
+    """Each row with the share of all weight that lies at or below its value; rows without a weight have a share, too, and
+    rows without a value none.
+
+    The running sums are over distinct values in ranges, so that neither a task nor the driver holds the distribution."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(weight > 0, weight).otherwise(0.0)).alias("_w"))
+    shares = with_running_sum(sums, [], value, "_w", "_run", "_sum").select(value, F.least(F.try_divide("_run", "_sum"), F.lit(1.0)).alias(name))
+    return df.join(shares, value, "left")

@@ -14,10 +14,10 @@ from meadowline.operators.sampling import scan_statistics
 from meadowline.operators.scoring import Calibration, calibrate, percentile_statistics
 from meadowline.plans.bands import build_stack
 from meadowline.plans.report import report
-from meadowline.plans.stages import AREA, build_sample, fit, fold_rollup, prepare, response_coverage, score_pixels
-from meadowline.sources.config import load_analysis
-from meadowline.sources.provenance import done_tiles, inference_fingerprint, log_event, start_run, tile_set_fingerprint
-from meadowline.sources.tables import check_tiles, manifest_of, missing_tiles, read_area, read_models, read_pixels, write_models, write_pixels, write_with_provenance
+from meadowline.plans.stages import AREA, PIXEL, build_sample, class_areas, fit, fold_rollup, prepare, response_coverage, response_summary, score_pixels
+from meadowline.sources.config import digest, load_analysis
+from meadowline.sources.provenance import content_fingerprint, done_tiles, inference_fingerprint, log_event, start_run, tile_set_fingerprint
+from meadowline.sources.tables import MANIFEST, check_tiles, manifest_of, missing_tiles, newest, read_area, read_models, read_pixels, sound_entries, write_models, write_pixels, write_with_provenance
 
 
 def _text(spark: SparkSession, text: str, path: str) -> None:
@@ -30,14 +30,20 @@ def fetch(spark: SparkSession, a) -> None:
     size = float(analysis.section("grid")["pixel_size_meters"]) * int(analysis.section("grid")["tile_size_pixels"])
     required, stack = polygon_tiles(spark, read_area(spark, a.area), size), analysis.stack_id()
     cache, manifest_path = f"{a.cache}/{stack}/tiles", f"{a.cache}/{stack}/manifest"
-    known = _or_empty(spark, manifest_path, "stack string, tile_col long, tile_row long, rows long, sha string, bands array<string>")
-    todo = required if a.refresh else missing_tiles(required, known, stack)
+    bands, entries = analysis.band_names(), f"{MANIFEST}, written timestamp"
+    todo = required
+    known = newest(_or_empty(spark, manifest_path, entries))
+    if not a.refresh and known.take(1):  # tiles that are lost or damaged are made again
+        todo = missing_tiles(required, sound_entries(known, read_pixels(spark, cache), stack, bands), stack)
+    todo.write.mode("overwrite").parquet(f"{a.cache}/{stack}/todo")
+    todo = spark.read.parquet(f"{a.cache}/{stack}/todo")
     sources = {name: spark.read.parquet(f"{a.sources}/{name}") for name in analysis.section("datasets")}
-    spine = spark.read.parquet(f"{a.sources}/spine").join(F.broadcast(todo), ["tile_col", "tile_row"], "left_semi")  # tiles of one area
-    write_pixels(build_stack(spine, sources, analysis), cache)
-    fresh = manifest_of(read_pixels(spark, cache).join(todo, ["tile_col", "tile_row"], "left_semi"), stack, analysis.band_names())
-    fresh.write.mode("append").parquet(manifest_path)
-    check_tiles(required, read_pixels(spark, cache), spark.read.parquet(manifest_path), stack, analysis.band_names())
+    spine = spark.read.parquet(f"{a.sources}/spine").join(todo, ["tile_col", "tile_row"], "left_semi")
+    if todo.take(1):
+        write_pixels(build_stack(spine, sources, analysis), cache)
+        fresh = manifest_of(read_pixels(spark, cache).join(todo, ["tile_col", "tile_row"], "left_semi"), stack, bands)
+        fresh.withColumn("written", F.current_timestamp()).write.mode("append").parquet(manifest_path)
+    check_tiles(required, read_pixels(spark, cache), newest(spark.read.parquet(manifest_path)), stack, bands)
 
 
 def _or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -79,20 +85,28 @@ def apply_models(spark: SparkSession, a) -> None:
     c = calibrate(scored.where("reference_site = 1"), z, AREA, analysis.section("inference")["covariance_shrinkage"])
     calibration = Calibration(**(c.__dict__ | {"responses": [m.response for m in models]}))
     pixels = read_pixels(spark, f"{a.cache}/{analysis.stack_id()}/tiles")
-    tiles = tile_set_fingerprint(spark.read.parquet(f"{a.cache}/{analysis.stack_id()}/manifest"))
-    run = inference_fingerprint(analysis, tiles, models, calibration)
-    out = score_pixels(pixels, models, calibration, analysis)
-    done = done_tiles(spark, a.output, run, [c for c in out.columns])
+    tiles = tile_set_fingerprint(newest(spark.read.parquet(f"{a.cache}/{analysis.stack_id()}/manifest")))
+    area, applied = (read_area(spark, a.area) if a.area else None), analysis.section("inference").get("application_mask_path")
+    only = spark.read.parquet(applied if "://" in applied else f"file://{analysis.path(applied)}").select(*PIXEL, "mask") if applied else None
+    limits = digest({"area": area, "mask": content_fingerprint(only) if applied else None}) if area or applied else None
+    run = inference_fingerprint(analysis, tiles, models, calibration, limits)
+    score = lambda rows: score_pixels(rows, models, calibration, analysis, area=area, mask=only)
+    out = score(pixels)
+    done = done_tiles(spark, a.output, run, out.columns)
     if done is None:
         start_run(spark, a.output, run)
     else:  # go on from the tiles that are there
-        out = score_pixels(pixels.join(done, ["tile_col", "tile_row"], "left_anti"), models, calibration, analysis)
+        out = score(pixels.join(done, ["tile_col", "tile_row"], "left_anti"))
     write_pixels(out, f"{a.output}/pixels")
     log_event(spark, f"{a.output}/history", stage="apply", fingerprint=run, resumed=done is not None)
     _text(spark, calibration.to_json(), f"{a.output}/calibration")
     result = spark.read.parquet(f"{a.output}/pixels")
     stats = result.agg(*(x.alias(n) for n, x in percentile_statistics(F.col("percentile")).items()))
-    _text(spark, report("Departure from the reference condition", {"Status": result.groupBy("status").count(), "Percentile": stats}), f"{a.output}/report")
+    responses = response_summary(result, [m.response for m in models])
+    classes = class_areas(result, float(analysis.section("grid")["pixel_size_meters"]) ** 2)
+    for name, small in (("response_statistics", responses), ("classes", classes)):
+        small.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/{name}")
+    _text(spark, report("Departure from the reference condition", {"Status": result.groupBy("status").count(), "Percentile": stats, "Responses": responses, "Classes": classes}), f"{a.output}/report")
 
 
 def mask(spark: SparkSession, a) -> None:
@@ -120,7 +134,7 @@ def parser() -> argparse.ArgumentParser:
     stage("fetch", fetch, "definition", "--area", "--sources", "--cache").add_argument("--refresh", action="store_true")
     stage("sample", sample, "definition", "--area", "--cache", "--output")
     stage("fit", fit_models, "definition", "sample", "--output").add_argument("--responses", nargs="*", default=[])
-    stage("apply", apply_models, "definition", "run", "--cache", "--output")
+    stage("apply", apply_models, "definition", "run", "--cache", "--output").add_argument("--area")
     stage("mask", mask, "input", "output", "band", "comparison")
     return p
 

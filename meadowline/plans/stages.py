@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowline.functions.columns import all_defined, any_defined, in_reference_map, in_reference_sample, missing_count, status, usable
+from meadowline.functions.columns import all_defined, any_defined, in_reference_map, in_reference_sample, missing_count, similarity_class, status, usable
 from meadowline.functions.grid import block_index, cylindrical_to_equal_earth, cylindrical_to_lonlat, global_row, in_polygon, pixel_centre, tile_id
 from meadowline.operators import folds, models, scoring
 from meadowline.operators.sampling import priority, stratified_sample
@@ -30,8 +30,8 @@ def locate(pixels: DataFrame, analysis: Analysis) -> DataFrame:
     return rows.withColumns({"longitude": lon, "latitude": lat, "block_col": block_index(ex, block), "block_row": block_index(ey, block), "cache_tile_id": tile_id(F.col("tile_col"), F.col("tile_row"))})
 
 
-def build_sample(pixels: DataFrame, analysis: Analysis, area: Sequence[Sequence[tuple[float, float]]]) -> DataFrame:
-    """At most the capped number of pixels of each class and block, with design weights. ``area``: rings on the grid."""
+def build_sample(pixels: DataFrame, analysis: Analysis, area: Sequence) -> DataFrame:
+    """At most the capped number of pixels of each class and block, with design weights. ``area``: polygons on the grid."""
     bands = analysis.columns_with_role(pixels.columns, "response") | analysis.columns_with_role(pixels.columns, "predictor")
     reference = next(iter(analysis.columns_with_role(pixels.columns, "reference").values()))
     settings = analysis.section("sampling")
@@ -131,16 +131,33 @@ def fold_rollup(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("response").agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))))
 
 
-def score_pixels(pixels: DataFrame, fitted: Sequence[models.ResponseModel], calibration: scoring.Calibration, analysis: Analysis, target=None) -> DataFrame:
+PIXEL = ("tile_col", "tile_row", "local_row", "local_col")
+
+
+def score_pixels(pixels: DataFrame, fitted: Sequence[models.ResponseModel], calibration: scoring.Calibration, analysis: Analysis, target=None, area=None, mask: DataFrame | None = None) -> DataFrame:
     """All pixels with status, expectations, deviations, distance, percentile and similarity.
 
-    The models and the calibration are small and travel with the plan: one pass over the pixels, no shuffle."""
+    Pixels outside of ``area`` (polygons on the grid), and those where ``mask`` (a pixel table with a column ``mask``) is not
+    1, are no targets. The models and the calibration are small and travel with the plan: one pass over the pixels, and no
+    shuffle without a mask."""
+    if area is not None or mask is not None:
+        within = F.lit(True)
+        if mask is not None:
+            pixels = pixels.join(mask.select(*PIXEL, (F.col("mask") == 1).alias("_applies")), list(PIXEL), "left")
+            within = within & F.coalesce("_applies", F.lit(False))
+        names = [c for c in pixels.columns if c != "_applies"]
+        if area is not None:
+            pixels = locate(pixels, analysis)
+            within = within & in_polygon(F.col("x"), F.col("y"), area)
+        pixels = pixels.select(*names, within.alias("_within"))
+        given = any_defined([F.col(c) for c in [*fitted[0].design.continuous, fitted[0].design.categorical]]) if target is None else target
+        return score_pixels(pixels, fitted, calibration, analysis, F.coalesce(given, F.lit(False)) & F.col("_within")).drop("_within")
     responses = [m.response for m in fitted]
     predictors = [*fitted[0].design.continuous, fitted[0].design.categorical]
     columns = [F.col(c) for c in predictors]
     target = any_defined(columns) if target is None else target
     enough = usable(columns, analysis.section("model")["maximum_row_missing_fraction"])
-    rows = pixels.withColumns({"target": target, "missing_predictors": missing_count(columns)}).withColumn("status", status(F.col("target"), enough, F.col("missing_predictors")))
+    rows = pixels.withColumns({"target": target, "missing_predictors": F.when(target, missing_count(columns))}).withColumn("status", status(F.col("target"), enough, F.col("missing_predictors")))
     rows = models.predict(rows, fitted)
     on = F.col("status").isin(0, 2)
     for m in fitted:
@@ -152,3 +169,17 @@ def score_pixels(pixels: DataFrame, fitted: Sequence[models.ResponseModel], cali
     if reference:
         rows = rows.withColumn("is_reference", in_reference_map(F.col(reference)))
     return rows.withColumn("similarity", 1 - F.col("percentile"))
+
+
+def response_summary(scored: DataFrame, responses: Sequence[str]) -> DataFrame:
+    """One row for each response: what ``score_pixels`` expected and scored, and how the standardised deviations lie."""
+    each = F.array(*(F.struct(F.lit(x).alias("response"), F.col(f"{x}_z").cast("double").alias("z"), F.col(f"{x}_expected").alias("e")) for x in responses))
+    rows = scored.select(F.explode(each).alias("s")).select("s.*")
+    return rows.groupBy("response").agg(*(c.alias(n) for n, c in scoring.response_statistics(F.col("z"), F.col("e")).items()))
+
+
+def class_areas(scored: DataFrame, pixel_area: float) -> DataFrame:
+    """Pixels, area and share of each similarity class."""
+    counts = scored.where("percentile IS NOT NULL").groupBy(similarity_class(F.col("percentile")).alias("class")).agg(F.count(F.lit(1)).alias("pixels"))
+    total = counts.agg(F.sum("pixels").alias("_all"))  # one row
+    return counts.join(F.broadcast(total)).select("class", "pixels", (F.col("pixels") * float(pixel_area)).alias("area_m2"), (F.col("pixels") / F.col("_all")).alias("share"))

@@ -20,7 +20,7 @@ from meadowline.operators import scoring as SC
 from meadowline.operators import temporal as T
 from meadowline.operators import weighted as WT
 from meadowline.operators.distance import nearest_flagged
-from meadowline.streaming.incremental import running_statistics
+from meadowline.streaming.incremental import monthly_statistics, running_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,14 +190,21 @@ def band_difference_doy(spark, sf):
     return rows.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("season_length"), C.day_of_year_offset(epoch, F.year("l_shipdate")).alias("ship_day"))
 
 
-@query("""SELECT event_type, count(value) AS count, round(sum(value), 3) AS sum, round(sum(value * value), 2) AS sum_sq, min(value) AS min, max(value) AS max, count(CASE WHEN abs(value) > 1 THEN 1 END) AS over_1 FROM events GROUP BY 1""")
-def incremental_statistics(spark, sf):
-    """Mergeable statistics kept by a stream over the event files until nothing is left to read."""
+def _scratch(spark) -> str:
+    """A new folder that driver and executors share; a local one only where everything runs on this machine."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    folder = f"{root.rstrip('/')}/meadowline/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/meadowline/{uuid.uuid4().hex}"
+
+
+@query("""SELECT event_type, count(value) AS count, round(sum(value), 3) AS sum, round(sum(value * value), 2) AS sum_sq, min(value) AS min, max(value) AS max, count(CASE WHEN abs(value) > 1 THEN 1 END) AS over_1 FROM events GROUP BY 1""")
+def incremental_statistics(spark, sf):
+    """Mergeable statistics kept by a stream over the event files until nothing is left to read."""
+    folder = _scratch(spark)
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
@@ -210,6 +217,29 @@ def incremental_statistics(spark, sf):
     return newest.select("event_type", "s.count", r(F.col("s.sum"), 3).alias("sum"), r(F.col("s.sum_sq"), 2).alias("sum_sq"), "s.min", "s.max", "s.over_1")
 
 
+@query("""SELECT strftime(ts, '%Y-%m') AS month, event_type, round(sum(value), 3) AS sum, count(value) AS count FROM events GROUP BY 1, 2""")
+def monthly_stream(spark, sf):
+    """Sums by calendar month kept by a stream; an update of a month replaces what was published of it before."""
+    folder, source = _scratch(spark), table(spark, sf, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number:08d}")
+
+    monthly_statistics(stream, "ts", "event_type", "value").writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(f"{folder}/out").groupBy("month", "event_type").agg(F.max_by(F.struct("sum", "count"), "batch").alias("s"))
+    return newest.select(F.date_format("month", "yyyy-MM").alias("month"), "event_type", r(F.col("s.sum"), 3).alias("sum"), "s.count")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_acctbal < 6000 AND c_nationkey BETWEEN 3 AND 11 AND c_acctbal <> 3000
+  OR c_acctbal > 3000 AND c_acctbal < 9000 AND c_acctbal <> 6000 AND c_nationkey BETWEEN 9 AND 19""")
+def polygon_union(spark, sf):
+    """Points in either of two polygons that overlap: what lies in both is inside."""
+    box = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]
+    area = [box(0.0, 2.5, 6000.0, 11.5), box(3000.0, 8.5, 9000.0, 19.5)]
+    return table(spark, sf, "customer").where(G.in_polygon(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), area)).where("c_acctbal NOT IN (0, 3000, 6000, 9000)").select("c_custkey")
+
+
 # Projections and masks
 
 
@@ -444,7 +474,7 @@ _RANK = "rank() OVER (PARTITION BY g ORDER BY {0}) + (count(*) OVER (PARTITION B
 @query(f"""WITH d AS (SELECT l_returnflag AS g, l_extendedprice AS o, l_quantity * 1500 AS e, l_quantity AS w FROM lineitem),
 k AS (SELECT *, {_RANK.format('o')} AS x, {_RANK.format('e')} AS y FROM d)
 SELECT g AS l_returnflag, round(1 - sum(w * (o - e) * (o - e)) / (sum(w * o * o) - sum(w) * (sum(w * o) / sum(w)) * (sum(w * o) / sum(w))), 6) AS r2, round(sqrt(sum(w * (o - e) * (o - e)) / sum(w)), 4) AS rmse,
-  round(sum(w * abs(o - e)) / sum(w), 4) AS mae, round(sum(w * (e - o)) / sum(w), 4) AS bias,
+  round(sum(w * abs(o - e)) / sum(w), 4) AS mae, round(sum(w * (o - e)) / sum(w), 4) AS bias,
   round((sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt(({_VAR}) * ({_VAR.replace('x', 'y')})), 6) AS spearman FROM k GROUP BY 1""")
 def weighted_regression_metrics(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("o"), (F.col("l_quantity") * 1500).alias("e"), F.col("l_quantity").alias("w"))
@@ -530,19 +560,18 @@ def weighted_covariance(spark, sf):
 _CALIBRATION_SQL = """
 WITH o AS (SELECT o_orderkey, (o_totalprice - 250000) / 100000 AS a, CAST(o_custkey % 97 AS DOUBLE) / 40 - 1 AS b, CAST(1 + o_orderkey % 3 AS DOUBLE) AS w, o_orderpriority = '1-URGENT' AS ref FROM orders),
 m AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2 AS va, sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2 AS vb, 0.9 * (sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * sum(w * b) / sum(w)) AS cab FROM o WHERE ref),
-d AS (SELECT o_orderkey, w, ref, sqrt(greatest(((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * cab + (b - mb) ** 2 * va) / (va * vb - cab * cab), 0)) AS distance FROM o, m),
+d AS (SELECT o_orderkey, w, ref, round(sqrt(greatest(((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * cab + (b - mb) ** 2 * va) / (va * vb - cab * cab), 0)), 6) AS distance FROM o, m),
 s AS (SELECT distance AS d_at, sum(w) AS w FROM d WHERE ref GROUP BY 1), e AS (SELECT d_at, sum(w) OVER (ORDER BY d_at) / sum(w) OVER () AS fraction FROM s)
 """
 
 
-@query(f"""{_CALIBRATION_SQL} SELECT o_orderkey, round(distance, 6) AS distance, CASE WHEN d.ref THEN -1 ELSE round(coalesce(fraction, 0), 6) END AS percentile FROM d ASOF LEFT JOIN e ON d.distance >= e.d_at""")
+@query(f"""{_CALIBRATION_SQL} SELECT o_orderkey, d.distance, round(coalesce(fraction, 0), 6) AS percentile FROM d ASOF LEFT JOIN e ON d.distance >= e.d_at""")
 def mahalanobis_percentile(spark, sf):
-    """Distance from the reference sites and its percentile among theirs. Reference rows lie on the steps themselves, where
-    the last bit decides; their percentile is tested apart."""
+    """Distance of every row from the reference sites, to six digits, and its percentile among theirs."""
     rows = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_totalprice") - 250000) / 100000).alias("a"), ((F.col("o_custkey") % 97).cast("double") / 40 - 1).alias("b"), (1 + F.col("o_orderkey") % 3).cast("double").alias("w"), (F.col("o_orderpriority") == "1-URGENT").alias("ref"))
-    c = SC.calibrate(rows.where("ref"), ["a", "b"], "w", 0.1)
-    scored = rows.withColumn("distance", c.distance([F.col("a"), F.col("b")])).withColumn("p", c.percentile(F.col("distance")))
-    return scored.select("o_orderkey", r(F.col("distance"), 6).alias("distance"), F.when(F.col("ref"), -1.0).otherwise(r(F.col("p"), 6)).alias("percentile"))
+    c = SC.centre(rows.where("ref"), ["a", "b"], "w", 0.1)
+    scored = rows.withColumn("distance", r(c.distance([F.col("a"), F.col("b")]), 6))
+    return WT.with_share_below(scored, "distance", F.when(F.col("ref"), F.col("w")), "p").select("o_orderkey", "distance", r(F.col("p"), 6).alias("percentile"))
 
 
 @query("""WITH d AS (SELECT l_returnflag, CAST(CAST((l_extendedprice - CAST(CAST(l_quantity * 1500 AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS dv FROM lineitem), z AS (SELECT l_returnflag, CAST(CAST(dv / 20000 AS FLOAT) AS DOUBLE) AS z FROM d)
@@ -617,6 +646,19 @@ def region_range(spark, sf):
     return q.select("n_regionkey", r(F.when(flat, 0.0).otherwise(F.col("q")[0]), 5).alias("low"), r(F.when(flat, 1.0).otherwise(F.col("q")[1]), 5).alias("high"))
 
 
+@query("SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names, count(DISTINCT p_type) AS n FROM part GROUP BY 1")
+def distinct_names(spark, sf):
+    """Sorted distinct names of each group, added up before they are shuffled."""
+    return table(spark, sf, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("s")).select("p_brand", F.array_join("s", "|").alias("names"), F.size("s").cast("long").alias("n"))
+
+
+@query("SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS fingerprint FROM orders GROUP BY 1")
+def ordered_fingerprints(spark, sf):
+    """Fingerprint of each customer's ordered list of orders."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("t")))), lambda x: x.t)
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(parts, ","), 256).alias("fingerprint"))
+
+
 @query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1")
 def collect_names(spark, sf):
     return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "|").alias("names"), F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROLES, KINDS = ("reference", "response", "predictor"), ("binary", "continuous", "categorical")
+#: Names of analyses and stacks.
+_TITLE = re.compile(r"[a-z0-9][a-z0-9_-]*")
 _NAME, _BAND = re.compile(r"[a-z][a-z0-9_]*"), re.compile(r"d\d{2,}")
 _COLUMN = re.compile(r"y(\d{4})_(d\d+)_")
 
@@ -77,12 +79,12 @@ class Analysis:
         raise KeyError(column)
 
     def resolve_responses(self, columns: Iterable[str], requested: Iterable[str] = ()) -> list[str]:
-        """Response columns by ``d02``, ``02``, ``2`` or full name, each once, in the order asked for; all without a request."""
+        """Response columns by ``d02``, ``d2``, ``02``, ``2`` or full name, in any case and with blanks around, each once, in the order asked for; all without a request."""
         known = self.columns_with_role(columns, "response")
         out, unknown = [], []
         for r in requested or known:
-            short = f"d{int(r):02d}" if r.isdigit() else r
-            hit = known.get(short) or (r if r in known.values() else None)
+            asked = r.strip().lower()
+            hit = known.get(short_id(asked)) or next((c for c in known.values() if c.lower() == asked), None)
             if hit is None:
                 unknown.append(r)
             elif hit not in out:
@@ -129,7 +131,7 @@ _RULES = [
     *(("reference", k, "number") for k in ("grassland_probability", "human_modification", "human_influence")),
     *(("sampling", k, "positive") for k in ("block_size_meters", "samples_per_class_per_block")),
     ("sampling", "random_seed", "number"),
-    *(("model", k, "positive") for k in ("fold_count", "validation_block_size_meters", "spline_knot_count", "ridge_alpha")),
+    *(("model", k, "positive") for k in ("fold_count", "validation_block_size_meters", "spline_knot_count")), ("model", "ridge_alpha", "not negative"),
     *(("model", k, "fraction") for k in ("minimum_predictor_coverage", "maximum_row_missing_fraction", "minimum_response_coverage")),
     *(("inference", k, "positive") for k in ("worker_count", "window_size_pixels")),
     ("inference", "covariance_shrinkage", "fraction"),
@@ -139,7 +141,13 @@ _RULES = [
 def _is(value, what: str) -> bool:
     if isinstance(value, bool) or not isinstance(value, int | float):
         return False
-    return {"number": True, "positive": value > 0, "fraction": 0 < value < 1, "year": isinstance(value, int) and 1900 <= value <= 2200}[what]
+    return {"number": True, "positive": value > 0, "not negative": value >= 0, "fraction": 0 < value < 1, "year": isinstance(value, int) and 1900 <= value <= 2200}[what]
+
+
+def short_id(text: str) -> str:
+    """The id of a band given as a number, with or without its letter; any other text as it is."""
+    number = text.removeprefix("d")
+    return f"d{int(number):02d}" if number.isascii() and number.isdigit() else text
 
 
 def load_analysis(path: str | Path) -> Analysis:
@@ -153,9 +161,9 @@ def load_analysis(path: str | Path) -> Analysis:
     if wrong:
         raise ConfigurationError("\n".join(wrong))
     for section, key, what in _RULES:
-        need(_is(raw[section].get(key), what), f"[{section}] {key} must be a {what}" if what != "positive" else f"[{section}] {key} must be positive")
+        need(_is(raw[section].get(key), what), f"[{section}] {key} must be {what if what in ('positive', 'not negative') else 'a ' + what}")
     for section in ("analysis", "stack"):
-        need(bool(_NAME.fullmatch(str(raw[section].get("name")))), f"[{section}] name must be lower-case letters, digits and underscores")
+        need(bool(_TITLE.fullmatch(str(raw[section].get("name")))), f"[{section}] name must be lower-case letters, digits, hyphens and underscores")
     if not wrong:
         stack, model, sampling = raw["stack"], raw["model"], raw["sampling"]
         need(stack["minimum_year"] <= raw["analysis"].get("year", 0) <= stack["maximum_year"], "[analysis] year is outside of the stack's years")
@@ -184,7 +192,7 @@ def load_analysis(path: str | Path) -> Analysis:
     need(sum(b.role == "reference" for b in bands) == 1, "exactly one band has the role reference")
     need(sum(b.role == "predictor" and b.data_type == "categorical" for b in bands) == 1, "exactly one predictor is categorical")
     known = {b.id for b in bands if b.role == "response"}
-    asked = [f"d{int(r):02d}" if str(r).isdigit() else str(r) for r in raw["model"].get("responses", [])]
+    asked = [short_id(str(r).strip().lower()) for r in raw["model"].get("responses", [])]
     need(not (lost := sorted(set(asked) - known)), f"[model] unknown responses {', '.join(lost)}")
     if wrong:
         raise ConfigurationError("\n".join(wrong))

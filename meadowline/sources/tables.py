@@ -16,11 +16,10 @@ from meadowline.operators.models import ResponseModel
 Polygon = list[list[tuple[float, float]]]
 
 
-def read_area(spark: SparkSession, path: str) -> Polygon:
-    """All rings of a GeoJSON file's polygons, in its coordinates. Features may overlap only in edges, so that the even-odd
-    rule over all rings tells what is inside."""
+def read_area(spark: SparkSession, path: str) -> list[Polygon]:
+    """The polygons of a GeoJSON file, each a list of rings, in its coordinates. The area is their union."""
     text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small document
-    found: Polygon = []
+    found: list[Polygon] = []
 
     def walk(node: dict) -> None:
         kind = node.get("type")
@@ -34,12 +33,12 @@ def read_area(spark: SparkSession, path: str) -> Polygon:
                 walk(g)
         elif kind in ("Polygon", "MultiPolygon"):
             for polygon in [node["coordinates"]] if kind == "Polygon" else node["coordinates"]:
-                found.extend([(float(p[0]), float(p[1])) for p in ring] for ring in polygon)
+                found.append([[(float(p[0]), float(p[1])) for p in ring] for ring in polygon])
         else:
             raise ValueError(f"an area of interest has polygons only, not {kind}")
 
     walk(json.loads(text))
-    if not found or any(len(ring) < 4 or ring[0] != ring[-1] for ring in found):
+    if not found or any(not polygon or len(ring) < 4 or ring[0] != ring[-1] for polygon in found for ring in polygon or [[]]):
         raise ValueError("an area of interest needs closed rings of three points at least")
     return found
 
@@ -53,7 +52,7 @@ def read_pixels(spark: SparkSession, path: str, bands: Sequence[str] | None = No
 
 def write_pixels(df: DataFrame, path: str) -> None:
     """One folder per tile; writing a tile again replaces just that one."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tile_col", "tile_row").parquet(path)
+    df.repartition("tile_col", "tile_row").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tile_col", "tile_row").parquet(path)
 
 
 @dataclass
@@ -100,10 +99,23 @@ MANIFEST = "stack string, tile_col long, tile_row long, rows long, sha string, b
 
 
 def manifest_of(pixels: DataFrame, stack: str, bands: Sequence[str]) -> DataFrame:
-    """Rows and an order-independent content hash of each tile."""
+    """Rows and an order-independent content hash of each tile: a sum, in which repeated rows count."""
     content = F.sha2(F.to_json(F.struct("local_row", "local_col", *bands)), 256)
-    tiles = pixels.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.conv(F.substring(content, 1, 15), 16, 10).cast("long")).alias("x"))
-    return tiles.select(F.lit(stack).alias("stack"), "tile_col", "tile_row", "rows", F.hex("x").alias("sha"), F.array(*map(F.lit, bands)).alias("bands"))
+    tiles = pixels.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(content, 1, 15), 16, 10).cast("decimal(20,0)")).alias("x"))
+    return tiles.select(F.lit(stack).alias("stack"), "tile_col", "tile_row", "rows", F.col("x").cast("string").alias("sha"), F.array(*map(F.lit, bands)).alias("bands"))
+
+
+def newest(manifest: DataFrame) -> DataFrame:
+    """The last entry of each tile; entries are only ever added, with the time in ``written``."""
+    last = manifest.groupBy("stack", "tile_col", "tile_row").agg(F.max_by(F.struct("rows", "sha", "bands"), "written").alias("s"))
+    return last.select("stack", "tile_col", "tile_row", "s.*")
+
+
+def sound_entries(manifest: DataFrame, pixels: DataFrame, stack: str, bands: Sequence[str]) -> DataFrame:
+    """Entries of a stack whose tile is in the cache with the very content; the others' tiles have to be made again."""
+    found = manifest_of(pixels, stack, bands).select("tile_col", "tile_row", F.col("rows").alias("_rows"), F.col("sha").alias("_sha"))
+    same = (F.col("rows") == F.col("_rows")) & (F.col("sha") == F.col("_sha")) & (F.col("bands") == F.array(*map(F.lit, bands)))
+    return manifest.where(F.col("stack") == stack).join(found, ["tile_col", "tile_row"]).where(same).drop("_rows", "_sha")
 
 
 def missing_tiles(required: DataFrame, manifest: DataFrame, stack: str) -> DataFrame:

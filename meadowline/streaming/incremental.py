@@ -29,7 +29,10 @@ def running_statistics(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count(x).alias("count"), F.sum(x).alias("sum"), F.sum(x * x).alias("sum_sq"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(F.abs(x) > 1).alias("over_1"))
 
 
-def monthly_statistics(stream: DataFrame, ts: str, key: str, value: str, late: str = "7 days") -> DataFrame:
-    """Sums and counts of each month, final once no later rows can come."""
-    month = F.date_trunc("month", F.col(ts)).alias("month")
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), month, key).agg(F.sum(value).alias("sum"), F.count(value).alias("count"))
+def monthly_statistics(stream: DataFrame, ts: str, key: str, value: str, late_days: int = 7) -> DataFrame:
+    """Sum and count of each calendar month and key: one row each.
+
+    The watermark lies on the month's first day, ``late_days`` and the longest month behind, so a row that is late by at most
+    that many days counts, and the state holds three months at most."""
+    months = stream.withColumn("month", F.date_trunc("month", F.col(ts).cast("timestamp"))).withWatermark("month", f"{31 + late_days} days")
+    return months.groupBy("month", key).agg(F.sum(value).alias("sum"), F.count(value).alias("count"))

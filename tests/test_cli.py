@@ -52,3 +52,27 @@ def test_all_stages(spark, tmp_path):
     assert len(out) == len(cells) and (out.status == 0).all()
     reference = out.y2018_d01_reference == 1
     assert out[~reference].percentile.mean() > 0.95 and math.isclose(out[reference].percentile.mean(), 0.5, abs_tol=0.25)
+    # A damaged tile is made again, and a refresh leaves one entry a tile that counts.
+    stack = next(x for x in (tmp_path / "cache").iterdir() if x.is_dir())
+    from meadowline.sources import tables
+
+    whole = spark.read.parquet(f"file://{stack}/tiles").count()
+    for f in (stack / "tiles" / "tile_col=0" / "tile_row=1").glob("*.parquet"):
+        f.unlink()
+    for more in ([], ["--refresh"]):
+        cli.main(["fetch", definition, "--area", f"{root}/area.geojson", "--sources", f"{root}/sources", "--cache", f"{root}/cache", *more])
+        assert spark.read.parquet(f"file://{stack}/tiles").count() == whole
+    assert tables.newest(spark.read.parquet(f"file://{stack}/manifest")).count() == 4
+    # An area with a hole and a mask take targets away.
+    hole = [[5000, 5000], [5000, 9000], [9000, 9000], [9000, 5000], [5000, 5000]]
+    (tmp_path / "part.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": [ring, hole]}))
+    keys = ["tile_col", "tile_row", "local_row", "local_col"]
+    spark.read.parquet(f"{root}/map/pixels").select(*keys, F.when(F.col("local_col") == 3, 0).otherwise(1).alias("mask")).write.parquet(f"{root}/mask")
+    (tmp_path / "b.toml").write_text(text.replace("[inference]", '[inference]\napplication_mask_path = "mask"\napplication_mask_label = "open land"'))
+    cli.main(["apply", str(tmp_path / "b.toml"), f"{root}/run", "--cache", f"{root}/cache", "--output", f"{root}/part", "--area", f"{root}/part.geojson"])
+    part = spark.read.parquet(f"{root}/part/pixels").toPandas()
+    masked = part.local_col == 3
+    assert len(part) == len(cells) and (part[masked].status == 255).all() and part[part.status == 255].missing_predictors.isna().all()
+    assert (part[~masked].status == 255).sum() == 16 and (part[part.status == 0].percentile.notna()).all()
+    summary = spark.read.option("header", True).csv(f"{root}/part/response_statistics").collect()
+    assert {int(r.expected) for r in summary} == {(part.status != 255).sum()}

@@ -14,7 +14,7 @@ from meadowline.operators import folds, models, sampling, scoring, temporal, wei
 from meadowline.operators.distance import nearest_flagged
 from meadowline.plans import bands, stages
 from meadowline.sources import config, provenance, tables
-from meadowline.streaming.incremental import process_new_tiles
+from meadowline.streaming.incremental import monthly_statistics, process_new_tiles
 
 
 def one(spark, column):
@@ -24,25 +24,28 @@ def one(spark, column):
 # Columns
 
 
-@pytest.mark.parametrize(("values", "text", "want"), [
-    ([-2, 0, 3, None, 4, 2, 1, 7], ">=3", [0, 0, 1, 0, 1, 0, 0, 1]),
-    ([float("nan"), float("-inf"), -0.5, 0.0, 0.25, 0.5, float("inf"), -1.0], "<0", [0, 0, 1, 0, 0, 0, 0, 1]),
-    ([10, None, 10, 10], ">5", [1, 0, 1, 1]),
-])
-def test_binary_mask(spark, values, text, want):
-    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i int, v double")
-    assert [r.m for r in df.select("i", C.binary_mask(F.col("v"), text).alias("m")).orderBy("i").collect()] == want
+def test_binary_mask(spark):
+    rng = random.Random(21)
+    tests = {">": lambda x, v: x > v, ">=": lambda x, v: x >= v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v, "==": lambda x, v: x == v}
+    values = [None, math.nan, math.inf, -math.inf, 6.5, -6.5] + [rng.choice([-6.5, 6.5, 0.0, rng.uniform(-20, 20)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    for sign, test in tests.items():
+        for limit in (6.5, -6.5, 0.0):
+            got = [r.m for r in df.select("i", C.binary_mask(F.col("v"), f"{sign}{limit}").alias("m")).orderBy("i").collect()]
+            assert got == [int(v is not None and math.isfinite(v) and test(v, limit)) for v in values]
 
 
-@pytest.mark.parametrize("text", [">80", " < 0.25 ", ">=-2.5e-3", "<=+4.", "==.5"])
-def test_comparison_accepts(spark, text):
-    C.comparison(text)
-
-
-@pytest.mark.parametrize("text", ["3", "=>3", "!=3", ">=", ">=nan", "<inf", ">1 2", "<1e999"])
-def test_comparison_rejects(text):
-    with pytest.raises(ValueError):
-        C.comparison(text)
+def test_comparisons_are_one_sign_and_one_number(spark):
+    for blank in ("", " "):
+        for sign in ("<", "<=", "==", ">=", ">"):
+            for number in ("7", "-7.25", "+3.", ".125", "6e2", "-1E-4"):
+                C.comparison(blank + sign + blank + number + blank)
+                for bad in (number, number + sign, sign + sign + number, sign + number + blank + "x", "=" + number, "<>" + number):
+                    with pytest.raises(ValueError):
+                        C.comparison(bad)
+            for word in ("", "infinity", "NaN", "1_0", "2 3", "1e400", "ten"):
+                with pytest.raises(ValueError):
+                    C.comparison(sign + word)
 
 
 def test_null_strict_logic_and_classes(spark):
@@ -68,8 +71,9 @@ def test_blocks_round_down(spark):
 def test_tiles_of_an_area(spark):
     box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
     ids = lambda polygon, size: [r.t for r in G.polygon_tiles(spark, polygon, size).select(G.tile_id(F.col("tile_col"), F.col("tile_row")).alias("t")).collect()]
-    assert ids(box(100, 100, 7900, 7900), 4000) == ["x+000000_y+000001", "x+000001_y+000001", "x+000000_y+000000", "x+000001_y+000000"]
-    assert ids(box(0, 0, 4000, 4000), 4000) == ["x+000000_y+000000"]  # edges that touch do not count
+    assert ids(box(-30, 20, 70, 90), 50) == [f"x{c:+07d}_y{r:+07d}" for r in (1, 0) for c in (-1, 0, 1)]
+    assert ids(box(50, 50, 100, 150), 50) == ["x+000001_y+000002", "x+000001_y+000001"]  # edges that touch do not count
+    assert ids([box(10, 10, 60, 60), box(40, 40, 110, 60)], 50) == [f"x{c:+07d}_y{r:+07d}" for r in (1, 0) for c in (0, 1, 2)]
     triangle = [[(0, 0), (8000, 8000), (0, 8000), (0, 0)]]
     assert set(ids(triangle, 4000)) == {"x+000000_y+000001", "x+000001_y+000001", "x+000000_y+000000"}
 
@@ -80,6 +84,16 @@ def test_polygon_with_hole(spark):
     assert [(r.x, r.y) for r in points.where(G.in_polygon(F.col("x"), F.col("y"), polygon)).collect()] == [(0.5, 0.5), (3.5, 2.0)]
 
 
+def test_polygons_that_overlap_are_united(spark):
+    box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
+    rng = random.Random(5)
+    points = spark.createDataFrame([(rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(500)], "x double, y double")
+    area = [box(0, 0, 5, 5), box(3, 3, 8, 8), [*box(2, 0, 6, 2), *box(3, 0.5, 4, 1.5)]]
+    inside = lambda p: 0 < p.x < 5 and 0 < p.y < 5 or 3 < p.x < 8 and 3 < p.y < 8 or 2 < p.x < 6 and 0 < p.y < 2 and not (3 < p.x < 4 and 0.5 < p.y < 1.5)
+    got = points.where(G.in_polygon(F.col("x"), F.col("y"), area)).collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(p) for p in points.collect() if inside(p))
+
+
 def test_projections_return_and_keep_areas(spark):
     assert one(spark, G.lonlat_to_cylindrical(F.lit(180.0), F.lit(0.0))[0]) == pytest.approx(17367530.445, abs=1e-3)
     df = spark.createDataFrame([(float(lon), float(lat)) for lon in (-179, -20, 25, 120) for lat in (-85, -30, 0, 12, 60)], "lon double, lat double")
@@ -124,29 +138,53 @@ def test_variation_and_positive_mean(spark):
 
 
 def test_weighted_quantiles_step(spark):
-    df = spark.createDataFrame([(0.0, 8.0), (10.0, 1.0), (20.0, 1.0), (5.0, 0.0), (None, 4.0)], "v double, w double").withColumn("g", F.lit(1))
-    r = weighted.weighted_quantiles(df, ["g"], F.col("v"), F.col("w"), [0.5, 0.9, 0.95]).collect()[0]
-    assert [r.q0, r.q1, r.q2] == [0, 10, 20]
-
-
-@pytest.mark.parametrize(("o", "e", "w", "want"), [
-    ([0, 1, 2], [0, 1, 0], [1, 1, 8], {"rmse": math.sqrt(3.2), "mae": 1.6, "r2": 1 - 32 / 4.1}),
-    ([0, 1, 2, 3, None], [0, 0, 2, 10, 1], [1, 3, 0, None, 5], {"rmse": math.sqrt(0.75), "mae": 0.75, "r2": -3, "bias": -0.75}),
-    ([2, 2, 2], [2, 1, 3], [1, 2, 3], {"r2": None, "rmse": math.sqrt(5 / 6), "mae": 5 / 6}),
-    ([1], [2], [1], {"r2": None, "rmse": None, "mae": None, "bias": None}),
-])
-def test_regression_metrics(spark, o, e, w, want):
-    f = lambda v: None if v is None else float(v)
-    df = spark.createDataFrame([(f(a), f(b), f(c)) for a, b, c in zip(o, e, w)], "o double, e double, w double")
+    rng = random.Random(31)
+    rows = [(g, rng.choice([None, float(rng.randint(0, 40))]), rng.choice([0.0, None, rng.uniform(0.1, 9)])) for g in range(3) for _ in range(300)]
+    steps = [0.02, 0.35, 0.5, 0.77, 1.0]
+    got = weighted.weighted_quantiles(spark.createDataFrame(rows, "g int, v double, w double"), ["g"], F.col("v"), F.col("w"), steps).collect()
+    for r in got:
+        mine = sorted((v, w) for g, v, w in rows if g == r.g and v is not None and w)
+        total, run, want = sum(w for _, w in mine), 0.0, []
+        for q in steps:
+            run = 0.0
+            want.append(next(v for v, w in mine if (run := run + w) >= q * total * (1 - 1e-12)))
+        assert list(r)[1:] == want
+
+
+def test_regression_metrics(spark):
+    rng = random.Random(32)
+    maybe = lambda x: rng.choice([x, x, x, None])
+    cases = [[(rng.gauss(5, 2), rng.gauss(4, 2), rng.choice([0.0, None, rng.uniform(0.5, 3)])) for _ in range(40)], [(7.0, rng.gauss(0, 1), 1.5) for _ in range(6)], [(1.0, 4.0, 2.0)], []]
+    cases[0] += [(maybe(3.0), maybe(6.0), 1.0) for _ in range(20)]
     m = weighted.regression_metrics(F.col("o"), F.col("e"), F.col("w"))
-    got = df.agg(*(c.alias(n) for n, c in m.items())).collect()[0]
-    for n, v in want.items():
-        assert got[n] == (None if v is None else pytest.approx(v)), n
+    for rows in cases:
+        got = spark.createDataFrame(rows, "o double, e double, w double").agg(*(c.alias(n) for n, c in m.items())).collect()[0]
+        mine = [x for x in rows if None not in x and x[2] > 0]
+        total = sum(w for *_, w in mine)
+        mean = lambda f: sum(w * f(o, e) for o, e, w in mine) / total if len(mine) > 1 else None
+        middle = mean(lambda o, e: o)
+        spread = mean(lambda o, e: (o - middle) ** 2)
+        lost = mean(lambda o, e: (o - e) ** 2)
+        want = {"mae": mean(lambda o, e: abs(o - e)), "bias": mean(lambda o, e: o - e), "rmse": lost and math.sqrt(lost), "r2": 1 - lost / spread if spread else None}
+        assert {n: got[n] for n in want} == {n: None if v is None else pytest.approx(v) for n, v in want.items()}
 
 
 def test_imputation(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 9.0), (10.0, 1.0, 1.0), (None, None, 2.0)], "p double, landform double, w double")
-    assert models.imputation_values(df, ["p"], "landform", F.col("w")) == {"p": 1.0, "landform": 2.0}
+    rows = [(3.5, 4.0, 1.0), (6.5, 4.0, 2.0), (8.0, 2.0, 2.5), (None, 2.0, 0.25), (9.0, None, 0.0)]
+    df = spark.createDataFrame(rows, "p double, landform double, w double")
+    # Half of 5.5 is reached at 6.5; the weights of 4 and 2 are 3 and 2.75.
+    assert models.imputation_values(df, ["p"], "landform", F.col("w")) == {"p": 6.5, "landform": 4.0}
+
+
+def test_share_below_equals_brute_force(spark):
+    rng = random.Random(33)
+    rows = [(i, rng.choice([None, round(rng.uniform(0, 5), 1)]), rng.choice([None, 0.0, rng.uniform(0, 2)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, v double, w double")
+    total = sum(w or 0 for _, v, w in rows if v is not None)
+    for r in weighted.with_share_below(df, "v", F.col("w"), "p").collect():
+        assert r.p == (None if r.v is None else pytest.approx(sum(w or 0 for _, v, w in rows if v is not None and v <= r.v) / total))
+    steps = weighted.ecdf(df, "v", F.col("w")).orderBy("v").collect()
+    assert steps[-1].fraction == 1.0 and len(steps) == len({v for _, v, w in rows if v is not None and w})
 
 
 def test_average_rank_and_correlation(spark):
@@ -214,15 +252,27 @@ def test_ridge_equals_the_closed_form(spark):
 
 
 def test_calibration(spark):
-    rows = [(1, 1000.0, -1.0, -1.0), (1, 1000.0, -1.0, 1.0), (1, 1000.0, 1.0, -1.0), (1, 1000.0, 1.0, 1.0), (1, 2000.0, 0.0, 0.0), (0, 1e6, 100.0, 100.0)]
-    df = spark.createDataFrame(rows, "reference_site int, area_weight_m2 double, a double, b double")
-    c = scoring.calibrate(df.where("reference_site = 1"), ["a", "b"], "area_weight_m2", 0.1)
-    assert np.allclose(c.mean, 0) and np.allclose(c.covariance, np.diag([2 / 3, 2 / 3])) and c.rows == 5 and c.weight == 6000
+    rng = np.random.default_rng(34)
+    n = 80
+    a, b = rng.normal(2, 1.5, n), rng.normal(-1, 0.5, n)
+    b += 0.4 * a
+    w, site = rng.uniform(1, 4, n), (rng.random(n) < 0.7).astype(int)
+    df = spark.createDataFrame([(int(s), *map(float, x)) for s, *x in zip(site, w, a, b)] + [(1, 3.0, None, 1.0)], "reference_site int, area_weight_m2 double, a double, b double")
+    c = scoring.calibrate(df.where("reference_site = 1"), ["a", "b"], "area_weight_m2", 0.25)
+    z, v = np.column_stack((a, b))[site == 1], w[site == 1]
+    mean = (z * v[:, None]).sum(0) / v.sum()
+    cov = ((z - mean) * v[:, None]).T @ (z - mean) / v.sum()
+    assert np.allclose(c.mean, mean) and np.allclose(c.covariance, cov) and c.rows == len(z) and c.weight == pytest.approx(v.sum())
+    inverse = np.linalg.inv(0.75 * cov + 0.25 * np.diag(np.diag(cov)))
+    far = lambda x: float(np.sqrt((x - mean) @ inverse @ (x - mean)))
     c = scoring.Calibration.from_json(c.to_json())
-    probe = spark.createDataFrame([(0.5, -0.5), (None, 1.0), (0.0, 0.0), (50.0, 50.0)], "a double, b double").withColumn("d", c.distance([F.col("a"), F.col("b")]))
-    got = probe.withColumn("p", c.percentile(F.col("d"))).collect()
-    assert got[0].d == pytest.approx(math.sqrt(0.75)) and got[0].p == pytest.approx(1 / 3)
-    assert got[1].d is None and got[1].p is None and got[2].p == pytest.approx(1 / 3) and got[3].p == 1
+    probes = [(2.0, -1.0), (0.0, 0.0), (9.0, 9.0), (None, 1.0)]
+    got = spark.createDataFrame(probes, "a double, b double").withColumn("d", c.distance([F.col("a"), F.col("b")])).withColumn("p", c.percentile(F.col("d"))).collect()
+    near = np.array([far(x) for x in z])
+    for r in got[:3]:
+        d = far(np.array([r.a, r.b]))
+        assert (r.d, r.p) == (pytest.approx(d), pytest.approx(v[near <= d].sum() / v.sum()))
+    assert got[3].d is None and got[3].p is None
 
 
 def test_distance_equals_brute_force(spark):
@@ -444,6 +494,35 @@ def test_area_reader(spark, tmp_path):
         tables.read_area(spark, f"file://{tmp_path}/b.geojson")
 
 
+def test_months_are_one_row_each(spark, tmp_path):
+    import datetime
+
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    at = lambda m, d: datetime.datetime(2024, m, d, 12)
+    rows = [(at(m, d), k, float(m * d)) for m in (1, 2, 3) for d in (1, 2, 15, 28) for k in "ab"]
+    spark.createDataFrame(rows, "ts timestamp, k string, v double").write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, k string, v double").parquet(source)
+    monthly_statistics(stream, "ts", "k", "v").writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.parquet(f"{out}/{n}")).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(out).collect()
+    assert sorted((r.month.month, r.k, r.sum, r["count"]) for r in got) == [(m, k, float(m * 46), 4) for m in (1, 2, 3) for k in "ab"]
+
+
+def test_repeated_rows_and_damage_show_in_the_manifest(spark, tmp_path):
+    rows = [(0, 0, i, 0, float(i)) for i in range(4)] + [(1, 0, i, 0, float(i)) for i in range(4)]
+    schema = "tile_col long, tile_row long, local_row long, local_col long, v double"
+    pixels = spark.createDataFrame(rows, schema)
+    first = tables.manifest_of(pixels, "s", ["v"]).withColumn("written", F.current_timestamp())
+    first.write.parquet(f"file://{tmp_path}/m")
+    twice = tables.manifest_of(pixels.unionByName(pixels), "s", ["v"])
+    assert not {r.sha for r in twice.collect()} & {r.sha for r in first.collect()}
+    damaged = pixels.where("NOT (tile_col = 1 AND local_row = 2)").unionByName(spark.createDataFrame([(1, 0, 2, 0, 9.5)], schema))
+    kept = spark.read.parquet(f"file://{tmp_path}/m")
+    assert [r.tile_col for r in tables.sound_entries(tables.newest(kept), damaged, "s", ["v"]).collect()] == [0]
+    tables.manifest_of(damaged, "s", ["v"]).withColumn("written", F.current_timestamp()).write.mode("append").parquet(f"file://{tmp_path}/m")
+    required = pixels.select("tile_col", "tile_row").distinct()
+    tables.check_tiles(required, damaged, tables.newest(spark.read.parquet(f"file://{tmp_path}/m")), "s", ["v"])
+
+
 def test_incremental_processing_resumes(spark, tmp_path):
     source, schema = f"file://{tmp_path}/in", "tile int, v int"
     add = lambda t: spark.createDataFrame([(t, t * 10)], schema).coalesce(1).write.mode("append").parquet(source)
