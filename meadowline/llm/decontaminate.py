@@ -196,8 +196,11 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     return [rows.where(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")) for k in range(n)] if n > 1 else [rows]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with ``_n_words``, ``_ranges`` (hit words, and the words of the shortest item hit there) and ``_items``."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, limits: tuple[int, float] | None = None) -> DataFrame:
+    """The documents with ``_n_words``, ``_ranges`` (hit words, and the words of the shortest item hit there) and ``_items``.
+
+    With ``limits``, the longest span that stays and the largest share of hit words, the last pass cleans instead: texts lose
+    their spans, documents beyond the share go, and ``_changed`` tells which texts are new."""
     spark = docs.sparkSession
     ship(spark)
     empty = {"_n_words": "0L", "_ranges": "cast(array() AS array<struct<a:int,b:int,least:int>>)", "_items": "cast(array() AS array<string>)"}
@@ -219,7 +222,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
         items = sorted((r.item_id, ascii_words(r.text.encode())) for r in block.collect())  # of bounded size
         automaton = spark.sparkContext.broadcast(build([x for x in items if x[1]], window))
 
-        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+        clean = limits if k + 1 == len(blocks) else None
+
+        def run(batches: Iterator[pa.RecordBatch], automaton=automaton, clean=clean) -> Iterator[pa.RecordBatch]:
             machine = automaton.value
             number = machine.numbers.get
             for batch in batches:
@@ -242,16 +247,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
                             old = [(r["a"], r["b"], r["least"]) for r in ranges[d]]
                             ranges[d] = [{"a": a, "b": b, "least": least} for a, b, least in merged(old + got)]
                             items[d] = sorted({*items[d], *(machine.names[i] for i in found)})
+                    if clean:
+                        yield cleaned(part, ranges, sizes, *clean)
+                        continue
                     kept = [c for c in part.schema.names if c not in ("_n_words", "_ranges", "_items")]
                     cells = [part.column(c) for c in kept] + [pa.array(sizes), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cells, names=[*kept, "_n_words", "_ranges", "_items"])
 
-        out = rows.mapInArrow(run, rows.schema)
+        out = rows.mapInArrow(run, docs.withColumn("_changed", F.lit(True)).schema if clean else rows.schema)
         if k + 1 < len(blocks):  # one automaton at a time in a task
             hits.append(materialize(out.where(F.size("_ranges") > 0).select("_key", "_ranges", "_items")))
     return out
 
 
+def cleaned(part: pa.RecordBatch, ranges: list, sizes: np.ndarray, max_span: int, max_coverage: float) -> pa.RecordBatch:
+    """A slice without the spans that are too long and the documents that are hit for too large a share."""
+    hits = np.array([sum(r["b"] - r["a"] for r in x) for x in ranges], dtype=np.int64)
+    keep, texts, fresh = hits <= max_coverage * sizes, part.column("text"), {}
+    for d in np.flatnonzero(keep & (hits > 0)).tolist():
+        spans = [(r["a"], r["b"]) for r in ranges[d] if r["b"] - r["a"] >= min(max_span, r["least"])]
+        if spans:
+            fresh[d] = without(texts[d].as_py(), spans)
+    if fresh:
+        texts = pa.array([fresh.get(d, t) for d, t in enumerate(texts.to_pylist())], texts.type)
+    names = [c for c in part.schema.names if c not in ("_n_words", "_ranges", "_items")]
+    cells = [texts if c == "text" else part.column(c) for c in names] + [pa.array([d in fresh for d in range(part.num_rows)], pa.bool_())]
+    return pa.RecordBatch.from_arrays(cells, names=[*names, "_changed"]).filter(pa.array(keep))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = scan(docs.select("doc_id", "text"), benchmark, window, block_words)
@@ -269,19 +292,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     """The documents without their hit spans of ``max_span`` words or more, or, where an item hit there has fewer, of as many
     words as it has; documents of which more than ``max_coverage`` is hit go as a whole. Columns stay; ``n_chars``, where there is one, follows the new text."""
     names = docs.columns
-    inner = docs.select(F.struct(*names).alias("_row"), F.col("text"))
-    found = scan(inner, benchmark, window, block_words).where(F.expr("aggregate(_ranges, 0L, (n, r) -> n + r.b - r.a)") <= max_coverage * F.col("_n_words"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ranges = batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()
-            out = [without(t, [(r["a"], r["b"]) for r in s if r["b"] - r["a"] >= min(max_span, r["least"])]) if s else t for t, s in zip(texts, ranges)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], names=["_row", "text"])
-
-    row_type = inner.schema["_row"].dataType.simpleString()
-    cleaned = found.select("_row", "text", "_ranges").mapInArrow(cut, f"_row {row_type}, text string")
-    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("_row.text").eqNullSafe(F.col("text")), F.col("_row.n_chars")).otherwise(F.length("text").cast("long"))} if "n_chars" in names else {"text": F.col("text")}
-    return cleaned.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in names if c != "text")).alias("_row")
+    found = scan(docs.select(rest, "text"), benchmark, window, block_words, (max_span, max_coverage))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in names else {"text": F.col("text")}
+    return found.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 
 _WORD_BYTES = frozenset([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
