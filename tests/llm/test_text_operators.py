@@ -204,6 +204,42 @@ def test_licenses(spark, small, nothing):
     assert licenses.find_licenses(nothing, licenses.word_idf(nothing)).count() == 0
 
 
+def test_notices_equal_brute_force(spark, small):
+    """Every template at every place of the text: all mandatory phrases stand there, and the share of its IDF that agrees."""
+    rng = random.Random(4)
+    spelled = [t.text.replace("[", "").replace("]", "") for t in licenses.TEMPLATES]
+
+    def piece():
+        w = rng.choice(spelled).split()
+        kind = rng.random()
+        if kind < 0.3:  # a notice cut at either end
+            a = rng.randrange(len(w))
+            return w[a:] if rng.random() < 0.5 else w[: a + 1]
+        if kind < 0.6:  # a word lost, changed or put in
+            a = rng.randrange(len(w))
+            return w[:a] + rng.choice([[], ["Foo"], [w[a], w[a]]]) + w[a + 1 :]
+        return w if kind < 0.9 else ["the", "license", "of", "gnu"]
+
+    texts = [(i, " ".join(x for _ in range(rng.randint(0, 4)) for x in piece())) for i in range(160)] + [(200, "the license " * 4000 + spelled[4])]
+    for df in (spark.createDataFrame(texts, "doc_id long, text string").repartition(3), small):
+        docs = [(i, WORDS.findall(low(t))) for i, t in rows(df)]
+        idf = {v: np.log((len(docs) + 1) / (sum(v in w for w in map(set, (w for _, w in docs))) + 1)) for v in licenses.VOCABULARY}
+        assert licenses.word_idf(df) == pytest.approx(idf)
+        want = []
+        for i, w in docs:
+            found = []
+            for t in licenses.TEMPLATES:
+                at, phrase = t.phrases[0]
+                for k in (k for k in range(len(w)) if w[k : k + len(phrase)] == phrase):
+                    s = k - at
+                    if all(s + a >= 0 and w[s + a : s + a + len(p)] == p for a, p in t.phrases):
+                        mass = sum(idf[x] + 0.01 for x in t.words)
+                        found.append((t.label, s, sum(idf[x] + 0.01 for j, x in enumerate(t.words) if 0 <= s + j < len(w) and w[s + j] == x) / mass))
+            want.append((i, ",".join(sorted({x[0] for x in found})), order(x[:2] for x in found), round(max((x[2] for x in found), default=0.0), 6)))
+        got = licenses.find_licenses(df, licenses.word_idf(df)).collect()
+        assert order((r.doc_id, r.labels, order(map(tuple, r.places)), round(r.score, 6)) for r in got) == order(want)
+
+
 # decontamination
 
 
