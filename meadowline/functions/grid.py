@@ -28,6 +28,11 @@ def pixel_centre(row: Column, col: Column, left: float, top: float, pixel: float
     return F.lit(float(left)) + (col + 0.5) * float(pixel), F.lit(float(top)) - (row + 0.5) * float(pixel)
 
 
+def pixel_at(x: Column, y: Column, left: float, top: float, pixel: float) -> tuple[Column, Column]:
+    """Row and column of the pixel a point lies in; its left and upper edges belong to it."""
+    return F.floor((F.lit(float(top)) - y) / float(pixel)).cast("long"), F.floor((x - float(left)) / float(pixel)).cast("long")
+
+
 def global_row(tile_row: Column, local_row: Column, tile: int) -> Column:
     """Row that grows southward over the whole grid, whose tile rows grow northward."""
     return -(tile_row + 1) * tile + local_row

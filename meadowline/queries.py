@@ -20,6 +20,9 @@ from meadowline.operators import scoring as SC
 from meadowline.operators import temporal as T
 from meadowline.operators import weighted as WT
 from meadowline.operators.distance import nearest_flagged
+from meadowline.operators.lookup import point_values
+from meadowline.sources.tables import manifest_of
+from meadowline.sources.tables import stack_totals as totals_of
 from meadowline.streaming.incremental import monthly_statistics, running_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,6 +318,29 @@ def pixel_addressing(spark, sf):
     return rows.select("p_partkey", "row", "col", x.alias("x"), y.alias("y"), "block", G.parent_block(F.col("block"), 4).alias("parent"), G.tile_id(F.col("row"), F.col("col")).alias("tile"), G.global_row(F.col("row"), F.col("col"), 128).alias("global_row"))
 
 
+@query("""WITH p AS (SELECT CAST(floor(o_orderkey / 4000.0) AS BIGINT) AS row, o_orderkey - 4000 * CAST(floor(o_orderkey / 4000.0) AS BIGINT) AS col, o_totalprice FROM orders),
+q AS (SELECT l_orderkey, l_linenumber, CAST(100 + (l_orderkey - 4000 * CAST(floor(l_orderkey / 4000.0) AS BIGINT) + 0.5) * 500 + l_quantity * 20 AS DOUBLE) AS x, CAST(9000 - (CAST(floor(l_orderkey / 4000.0) AS BIGINT) + 0.5) * 500 AS DOUBLE) AS y FROM lineitem),
+c AS (SELECT *, CAST(floor((9000 - y) / 500) AS BIGINT) AS row, CAST(floor((x - 100) / 500) AS BIGINT) AS col FROM q)
+SELECT l_orderkey, l_linenumber, c.row, c.col, round(o_totalprice, 2) AS o_totalprice FROM c LEFT JOIN p ON c.row = p.row AND c.col = p.col""")
+def point_lookup(spark, sf):
+    """Orders are pixels, lines are points up to two pixels beside theirs."""
+    row, col = G.split_index(F.col("o_orderkey"), 4000)
+    pixels = table(spark, sf, "orders").select(row.alias("row"), col.alias("col"), "o_totalprice")
+    row, col = G.split_index(F.col("l_orderkey"), 4000)
+    x, y = G.pixel_centre(row, col, 100, 9000, 500)
+    points = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (x + F.col("l_quantity") * 20).alias("x"), y.alias("y"))
+    return point_values(points, F.col("x"), F.col("y"), pixels, ["o_totalprice"], 100, 9000, 500).drop("x", "y")
+
+
+@query("""WITH t AS (SELECT CAST(floor(l_partkey / 100.0) AS BIGINT) AS a, CAST(floor(l_suppkey / 10.0) AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT 'lines' AS stack, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(n * 2 * 4) AS BIGINT) AS bytes FROM t""")
+def stack_totals(spark, sf):
+    """Size of a cache of tiles, as its manifest has it."""
+    tile = [G.block_index(F.col("l_partkey"), 100).alias("tile_col"), G.block_index(F.col("l_suppkey"), 10).alias("tile_row")]
+    pixels = table(spark, sf, "lineitem").select(*tile, F.col("l_orderkey").alias("local_row"), F.col("l_linenumber").alias("local_col"), "l_quantity", "l_discount")
+    return totals_of(manifest_of(pixels, "lines", ["l_quantity", "l_discount"]))
+
+
 @query("""WITH m AS (SELECT CAST(floor((10000.0 - s_acctbal) / 500.0) AS BIGINT) AS mr, CAST(floor((s_suppkey * 150.0 - 0) / 7500.0) AS BIGINT) AS mc, max(CAST(s_nationkey > 12 AS INT)) AS v FROM supplier GROUP BY 1, 2)
 SELECT c_custkey, coalesce(v = 1, false) AS selected FROM customer LEFT JOIN m ON mr = CAST(floor((10000.0 - c_acctbal) / 500.0) AS BIGINT) AND mc = CAST(floor(c_custkey * 10.0 / 7500.0) AS BIGINT)""")
 def nearest_cell_mask(spark, sf):

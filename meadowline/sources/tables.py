@@ -105,6 +105,11 @@ def manifest_of(pixels: DataFrame, stack: str, bands: Sequence[str]) -> DataFram
     return tiles.select(F.lit(stack).alias("stack"), "tile_col", "tile_row", "rows", F.col("x").cast("string").alias("sha"), F.array(*map(F.lit, bands)).alias("bands"))
 
 
+def stack_totals(manifest: DataFrame) -> DataFrame:
+    """Tiles, pixels and bytes (four for each pixel and band) of every stack."""
+    return manifest.groupBy("stack").agg(F.count(F.lit(1)).alias("tiles"), F.sum("rows").alias("pixels"), F.sum(F.col("rows") * F.size("bands") * 4).alias("bytes"))
+
+
 def newest(manifest: DataFrame) -> DataFrame:
     """The last entry of each tile; entries are only ever added, with the time in ``written``."""
     last = manifest.groupBy("stack", "tile_col", "tile_row").agg(F.max_by(F.struct("rows", "sha", "bands"), "written").alias("s"))

@@ -12,6 +12,7 @@ from meadowline.functions import columns as C
 from meadowline.functions import grid as G
 from meadowline.operators import folds, models, sampling, scoring, temporal, weighted
 from meadowline.operators.distance import nearest_flagged
+from meadowline.operators.lookup import point_values
 from meadowline.plans import bands, stages
 from meadowline.sources import config, provenance, tables
 from meadowline.streaming.incremental import monthly_statistics, process_new_tiles
@@ -68,6 +69,13 @@ def test_blocks_round_down(spark):
     assert one(spark, G.tile_id(F.lit(0), F.lit(-3))) == "x+000000_y-000003"
 
 
+def test_points_take_the_pixel_they_lie_in(spark):
+    pixels = spark.createDataFrame([(0, 0, 1.234), (0, 1, None), (2, 1, 7.0)], "row long, col long, v double")
+    points = spark.createDataFrame([("corner", 10.0, 90.0), ("inside", 29.0, 71.5), ("missing", 30.0, 90.0), ("below", 31.0, 50.0), ("off", 9.5, 90.0), ("none", None, 3.0)], "name string, x double, y double")
+    got = point_values(points, F.col("x"), F.col("y"), pixels, ["v"], 10, 90, 20).collect()
+    assert {r.name: (r.row, r.col, r.v) for r in got} == {"corner": (0, 0, 1.23), "inside": (0, 0, 1.23), "missing": (0, 1, None), "below": (2, 1, 7.0), "off": (0, -1, None), "none": (4, None, None)}
+
+
 def test_tiles_of_an_area(spark):
     box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
     ids = lambda polygon, size: [r.t for r in G.polygon_tiles(spark, polygon, size).select(G.tile_id(F.col("tile_col"), F.col("tile_row")).alias("t")).collect()]
