@@ -1,12 +1,13 @@
 """Additive reference-condition models: cubic splines and categories, ridge regression, spatial cross-validation.
 
-The rows stay in Spark. What reaches the driver is knots, imputation values and, for each fold and response, one Gram matrix
-of the design (some 130 columns), to which each task adds its rows' part.
+The rows stay in Spark. What reaches the driver is knots, imputation values, the categories and, for each fold and response,
+one Gram matrix of the design (some 130 columns), to which each task adds its rows' part. All folds are fitted in the same passes.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowline.shipping import ship
-from meadowline.operators.weighted import weighted_mode, weighted_quantiles
+from meadowline.operators.weighted import with_running_sums
 
 DEGREE = 3
 
@@ -98,52 +99,111 @@ class ResponseModel:
         return self.design.matrix(columns) @ np.asarray(self.coefficients) + self.intercept
 
 
-def imputation_values(rows: DataFrame, continuous: Sequence[str], categorical: str, area: Column) -> dict[str, float]:
-    """Weighted median of each continuous predictor and weighted mode of the categorical one, in one pass for the medians."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("band"), F.col(c).cast("double").alias("v"), area.alias("w")) for c in continuous))).alias("s")).select("s.*")
-    medians = {r.band: r.q0 for r in weighted_quantiles(long, ["band"], F.col("v"), F.col("w"), [0.5]).collect()}
-    mode = weighted_mode(rows.withColumn("_one", F.lit(1)), ["_one"], categorical, area).collect()
-    return {c: medians.get(c, 0.0) for c in continuous} | {categorical: float(mode[0]["mode"]) if mode else 0.0}
+def fit_designs(rows: DataFrame, fold: Column, splits: Sequence[int], kept: Sequence[Column], continuous: Sequence[str], categorical: str, area: Column, knots: int) -> dict[tuple[int, int], Design]:
+    """For each split and each condition in ``kept`` the design of the rows outside of that fold that meet the condition.
+
+    Imputation is the weighted median of a continuous predictor and the weighted mode of the categorical one, knots are quantiles
+    of the imputed values. All of them come from counts and weights of distinct values, made once for every fold; two jobs
+    however many folds there are, and no task holds a predictor's values. The driver gets one row for each predictor, split
+    and condition, and one for each category."""
+    w = F.when(area > 0, area.cast("double")).otherwise(0.0)
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+    def counts(bands: Sequence[str]) -> DataFrame:
+        long = [F.when(ok, F.struct(F.lit(g).alias("g"), F.lit(b).alias("band"), number(c).alias("v"))) for g, ok in enumerate(kept) for b, c in enumerate(bands)]
+        each = rows.select(fold.alias("f"), w.alias("w"), F.explode(F.array_compact(F.array(*long))).alias("s")).groupBy("f", "s.g", "s.band", "s.v").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+        outside = F.explode(F.filter(F.array(*map(F.lit, splits)), lambda s: s != F.col("f"))).alias("split")
+        return each.select(outside, "g", "band", "v", "n", "w").groupBy("split", "g", "band", "v").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    mode, codes = {}, {}
+    for x in sorted(counts([categorical]).collect(), key=lambda x: (x.v is None, x.v or 0.0)):
+        key = (x.split, x.g)
+        if x.v is not None and x.w > mode.get(key, (0.0, 0.0))[0]:
+            mode[key] = (x.w, x.v)
+        codes.setdefault(key, set()).add(x.v)
+
+    by = ["split", "g", "band"]
+    values = counts(continuous)
+    run = with_running_sums(values.where("v IS NOT NULL"), by, "v", {"n": ("run_n", "all_n"), "w": ("run_w", "all_w")})
+    lost = values.where("v IS NULL").select(*by, F.col("n").alias("z"))  # a row for each predictor, split and condition
+    run = run.join(F.broadcast(lost), by, "left").na.fill(0, ["z"])
+    half = F.try_divide("run_w", "all_w") >= 0.5 - 1e-12
+    share = [i / (knots - 1) for i in range(knots)]
+    rank = lambda k: F.min(F.when(F.col("run_n") > k, F.col("v")))
+    ends = {}
+    for i, p in enumerate(share):
+        at = p * (F.col("all_n") + F.col("z") - 1)
+        for name, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends |= {f"{name}{i}": rank(k), f"{name}{i}_z": rank(k - F.col("z"))}
+    found = run.groupBy(*by).agg(F.max("all_n").alias("n"), F.max("z").alias("z"), F.min(F.when(half, F.col("v"))).alias("median"), F.min(F.when(half, F.col("run_n"))).alias("upto"), F.sum(F.when(F.col("v") <= 0, F.col("n"))).alias("upto_0"), *(c.alias(n) for n, c in ends.items()))
+    numbers = {(x.split, x.g, x.band): x for x in found.collect()}
+
+    def settled(x) -> tuple[float, list[float]]:
+        """Median, and knots with the imputed rows among the others at the place of the median."""
+        if x is None:
+            return 0.0, [0.0] * knots
+        median, upto = (0.0, x.upto_0 or 0) if x.median is None else (x.median, x.upto)
+        out = []
+        for i, p in enumerate(share):
+            at = p * (x.n + x.z - 1)
+            lo, hi = (x[f"{e}{i}"] if k < upto else median if k < upto + x.z else x[f"{e}{i}_z"] for e, k in (("lo", math.floor(at)), ("hi", math.ceil(at))))
+            out.append(lo + (hi - lo) * (at - math.floor(at)))
+        return median, out
+
+    designs = {}
+    for key, seen in codes.items():
+        usual = mode[key][1] if key in mode else 0.0
+        each = {c: settled(numbers.get((*key, b))) for b, c in enumerate(continuous)}
+        designs[key] = Design(list(continuous), categorical, {c: m for c, (m, _) in each.items()} | {categorical: usual}, {c: k for c, (_, k) in each.items()}, sorted({usual if v is None else v for v in seen}))
+    return designs
 
 
-def fit_design(rows: DataFrame, continuous: Sequence[str], categorical: str, area: Column, knots: int) -> Design:
-    values = imputation_values(rows, continuous, categorical, area)
-    at = F.array(*(F.lit(i / (knots - 1)) for i in range(knots)))
-    found = rows.agg(*(F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(values[c])), at).alias(c) for c in continuous), F.sort_array(F.collect_set(F.coalesce(F.col(categorical).cast("double"), F.lit(values[categorical])))).alias("_categories")).collect()[0]
-    return Design(list(continuous), categorical, values, {c: list(found[c]) for c in continuous}, list(found["_categories"]))
+def imputation_values(rows: DataFrame, continuous: Sequence[str], categorical: str, area: Column) -> dict[str, float]:
+    """Weighted median of each continuous predictor and weighted mode of the categorical one; 0 where there is none."""
+    found = fit_designs(rows, F.lit(-1), [0], [F.lit(True)], continuous, categorical, area, 2)
+    return found[0, 0].imputation if found else {c: 0.0 for c in (*continuous, categorical)}
 
 
 def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> dict[str, np.ndarray]:
     return {n: np.asarray(batch.column(n).cast(pa.float64()).fill_null(float("nan"))) for n in names}
 
 
-def gram(rows: DataFrame, design: Design, responses: Sequence[str], area: str) -> dict[str, np.ndarray]:
-    """For each response the weighted Gram matrix of (1, design, response) over its rows, and their number in the corner.
+def grams(rows: DataFrame, fold: Column, parts: Sequence[tuple[int, Design, str]], area: str) -> dict[int, np.ndarray]:
+    """For each part (split, design, response) the weighted Gram matrix of (1, design, response) over the rows outside of the
+    fold that have the response, and their number below it. One pass for all parts.
 
-    Each partition sends one matrix; they are added up in a tree of Spark's own aggregation."""
+    A task sends the upper half of each matrix as numbered cells; Spark adds the cells up."""
     ship(rows.sparkSession)
-    names = [*design.continuous, design.categorical, *responses, area]
+    names = list(dict.fromkeys(c for _, d, r in parts for c in (*d.continuous, d.categorical, r))) + [area]
+    shared: dict[tuple[int, int], list[int]] = {}
+    for i, (split, design, _) in enumerate(parts):
+        shared.setdefault((split, id(design)), []).append(i)
+    groups = [(split, parts[own[0]][1], own) for (split, _), own in shared.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            columns = _arrays(batch, names)
-            x = np.column_stack((np.ones(batch.num_rows), design.matrix(columns)))
-            for r in responses:
-                ok = ~np.isnan(columns[r]) & (columns[area] > 0)
-                z, w = np.column_stack((x[ok], columns[r][ok])), columns[area][ok]
-                g = np.concatenate(((z * w[:, None]).T @ z, np.full((1, z.shape[1]), ok.sum())))
-                total[r] = total.get(r, 0) + g
-        for r, g in total.items():
-            flat = g.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([r] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["response", "i", "v"])
-
-    sums = rows.select(*names).mapInArrow(run, "response string, i int, v double").groupBy("response", "i").agg(F.sum("v").alias("v")).toPandas()
+            columns, own = _arrays(batch, names), np.asarray(batch.column("_fold"))
+            for split, design, members in groups:
+                use = {c: v[own != split] for c, v in columns.items()}
+                x = np.column_stack((np.ones(len(use[area])), design.matrix(use)))
+                for i in members:
+                    y, w = use[parts[i][2]], use[area]
+                    ok = ~np.isnan(y) & (w > 0)
+                    z = np.column_stack((x[ok], y[ok]))
+                    g = (z * w[ok][:, None]).T @ z
+                    total[i] = total.get(i, 0) + np.append(g[np.triu_indices(len(g))], ok.sum())
+        for i, cells in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, np.int32)), pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], names=["part", "i", "v"])
+
+    sums = rows.select(fold.cast("int").alias("_fold"), *names).where("_fold IS NOT NULL").mapInArrow(run, "part int, i int, v double").groupBy("part", "i").agg(F.sum("v").alias("v")).toPandas()
     out = {}
-    for r, part in sums.groupby("response"):
-        flat = part.sort_values("i").v.to_numpy()
-        width = int((-1 + (1 + 4 * len(flat)) ** 0.5) / 2)
-        out[r] = flat.reshape(width + 1, width)
+    for i, cells in sums.groupby("part"):
+        flat = cells.sort_values("i").v.to_numpy()
+        width = int(((8 * (len(flat) - 1) + 1) ** 0.5 - 1) / 2)
+        half = np.zeros((width, width))
+        half[np.triu_indices(width)] = flat[:-1]
+        out[int(i)] = np.concatenate((half + np.triu(half, 1).T, np.full((1, width), flat[-1])))
     return out
 
 
@@ -159,48 +219,69 @@ def ridge(g: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
     return b, float(y_mean - mean @ b)
 
 
-def fit_models(rows: DataFrame, responses: Sequence[str], continuous: Sequence[str], categorical: str, area: str = "area_weight_m2", knots: int = 6, alpha: float = 1.0) -> list[ResponseModel]:
-    """One model per response, each on the rows that have it. Responses without missing values share their design and pass."""
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count(r).alias(r) for r in responses)).collect()[0]
+def fit_splits(rows: DataFrame, fold: Column, splits: Sequence[int], responses: Sequence[str], continuous: Sequence[str], categorical: str, area: str = "area_weight_m2", knots: int = 6, alpha: float = 1.0) -> dict[int, list[ResponseModel]]:
+    """For each split one model per response, fitted on the rows outside of that fold that have the response; a response
+    without any such row of positive weight has none.
+
+    Four jobs, whatever the number of folds. Responses without missing values share their design."""
+    there = {r: F.col(r).isNotNull() & ~F.isnan(F.col(r).cast("double")) for r in responses}
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(r) for r, c in there.items())).collect()[0]
     full = [r for r in responses if counts[r] == counts["n"]]
     groups = ([full] if full else []) + [[r] for r in responses if r not in full]
-    models = []
-    for group in groups:
-        mine = rows if group == full else rows.where(F.col(group[0]).isNotNull())
-        design = fit_design(mine, continuous, categorical, F.col(area), knots)
-        for r, g in gram(mine, design, group, area).items():
+    kept = [F.lit(True) if g == full else there[g[0]] for g in groups]
+    designs = fit_designs(rows, fold, splits, kept, continuous, categorical, F.col(area), knots)
+    parts = [(split, design, r) for (split, g), design in sorted(designs.items(), key=lambda x: x[0]) for r in groups[g]]
+    out: dict[int, list[ResponseModel]] = {s: [] for s in splits}
+    for i, g in (grams(rows, fold, parts, area) if parts else {}).items():
+        split, design, r = parts[i]
+        if g[-1, 0] > 0:
             b, intercept = ridge(g, alpha)
-            models.append(ResponseModel(r, design, b.tolist(), intercept))
-    return sorted(models, key=lambda m: list(responses).index(m.response))
+            out[split].append(ResponseModel(r, design, b.tolist(), intercept))
+    return {s: sorted(m, key=lambda m: list(responses).index(m.response)) for s, m in out.items()}
+
+
+def fit_models(rows: DataFrame, responses: Sequence[str], continuous: Sequence[str], categorical: str, area: str = "area_weight_m2", knots: int = 6, alpha: float = 1.0) -> list[ResponseModel]:
+    """One model per response, each on the rows that have it."""
+    return fit_splits(rows, F.lit(-1), [0], responses, continuous, categorical, area, knots, alpha)[0]
 
 
 def predict(rows: DataFrame, models: Sequence[ResponseModel], suffix: str = "_expected") -> DataFrame:
     """Rows with one expected column for each model. The models are small and travel with the function."""
+    return predict_splits(rows, None, {0: list(models)}, [m.response for m in models], suffix)
+
+
+def predict_splits(rows: DataFrame, fold: str | None, models: dict[int, list[ResponseModel]], responses: Sequence[str], suffix: str) -> DataFrame:
+    """Rows with one expected column for each response, by the models of the row's own fold; NULL where that fold has no
+    such model. One pass; without a fold all rows take the models under 0."""
     ship(rows.sparkSession)
-    names = sorted({c for m in models for c in (*m.design.continuous, m.design.categorical)})
-    schema = rows
-    for m in models:
-        schema = schema.withColumn(m.response + suffix, F.lit(0.0))
+    names = sorted({c for ms in models.values() for m in ms for c in (*m.design.continuous, m.design.categorical)})
+    schema = rows.withColumns({r + suffix: F.lit(0.0).cast("double") for r in responses}).schema if responses else rows.schema
+    for r in responses:
+        schema[r + suffix].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = _arrays(batch, names)
-            for m in models:
-                batch = batch.append_column(m.response + suffix, pa.array(m.predict(columns)))
+            own = np.zeros(batch.num_rows) if fold is None else _arrays(batch, [fold])[fold]
+            out = {r: np.full(batch.num_rows, np.nan) for r in responses}
+            for split, ms in models.items():
+                mine = own == split
+                if mine.any():
+                    use = {c: v[mine] for c, v in columns.items()}
+                    for m in ms:
+                        out[m.response][mine] = m.predict(use)
+            for r in responses:
+                batch = batch.append_column(r + suffix, pa.array(out[r], mask=np.isnan(out[r])))
             yield batch
 
-    return rows.mapInArrow(run, schema.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cross_validate(rows: DataFrame, fold: str, folds: int, responses: Sequence[str], continuous: Sequence[str], categorical: str, area: str = "area_weight_m2", knots: int = 6, alpha: float = 1.0, reference: Column | None = None) -> DataFrame:
     """Out-of-fold expectations: models fitted on reference rows outside a fold, applied to all rows inside it."""
-    reference = F.lit(True) if reference is None else reference
-    out = None
-    for k in range(folds):
-        models = fit_models(rows.where((F.col(fold) != k) & reference), responses, continuous, categorical, area, knots, alpha)
-        held = predict(rows.where(F.col(fold) == k), models, "_expected_reference_oof")
-        out = held if out is None else out.unionByName(held)
-    return out
+    used = rows if reference is None else rows.where(reference)
+    models = fit_splits(used, F.col(fold), range(folds), responses, continuous, categorical, area, knots, alpha)
+    return predict_splits(rows.where(F.col(fold).isin(list(range(folds)))), fold, models, responses, "_expected_reference_oof")
 
 
 def partial_response(model: ResponseModel, values: Sequence[float], predictor: str) -> np.ndarray:

@@ -8,26 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Ranges of values into which a group is cut for running sums.
-RANGES = 32
-
-
-def with_running_sum(df: DataFrame, by: Sequence[str], order: str, amount: str, name: str, total: str | None = None) -> DataFrame:
-    """Running sum of ``amount`` by ``order`` within each group, this row included, and the group's total.
-
-    A window over a whole group would sort it in one task. Groups are cut at approximate quantiles into ranges, which are summed
-    first; the ranges' own running sums are a small table, and windows only run within a range. ``order`` must be unique in its group."""
-    keys = list(by)
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000).alias("_edges")) if keys else None
-    if edges is None:
-        return with_running_sum(df.withColumn("_all", F.lit(1)), ["_all"], order, amount, name, total).drop("_all")
-    cut = df.join(edges, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
-    sums = cut.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
-    before = sums.withColumns({"_before": F.sum("_sum").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum"), "_total": F.sum("_sum").over(W.partitionBy(*keys))}).drop("_sum")
-    within = F.sum(amount).over(W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    out = cut.withColumn("_within", within).join(before, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_within"))
-    return (out.withColumn(total, F.col("_total")) if total else out).drop("_range", "_within", "_before", "_total")
+#: Rows of a range into which a group is cut for running sums, and the most ranges of one group.
+RANGE_ROWS = 50_000
+RANGES = 1024
+_STEP = 32
+
+
+def with_running_sums(df: DataFrame, by: Sequence[str], order: str, amounts: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each amount its running sum by ``order`` within each group, this row included, and the group's total, under the
+    two names given for it.
+
+    A window over a whole group would sort it in one task. Groups are cut at approximate quantiles into as many ranges as their
+    rows ask for; these are summed first, their own running sums are a small table, and windows only run within a range.
+    ``order`` must be unique in its group."""
+    keys = list(by) or ["_all"]
+    # Two structs of keys are equal also where a key is missing, and joins keep the partitioning by them.
+    rows = (df if by else df.withColumn("_all", F.lit(1))).withColumn("_key", F.struct(*keys)).drop(*keys)
+    found = rows.groupBy("_key").agg(
+        F.percentile_approx(order, F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})"), 4 * RANGES).alias("_at"),
+        F.least(F.ceil(F.count(F.lit(1)) / RANGE_ROWS), F.lit(RANGES)).cast("int").alias("_ranges"),
+    )
+    chosen = F.when(F.col("_ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1), lambda i: F.element_at("_at", (i * RANGES / F.col("_ranges")).cast("int")))).otherwise(F.slice("_at", 1, 0))
+    edges = found.select("_key", chosen.alias("_edges")).withColumn("_marks", F.filter("_edges", lambda e, i: i % _STEP == _STEP - 1))
+    below = lambda a: F.size(F.filter(a, lambda e: e < F.col(order)))
+    coarse = rows.join(edges, "_key").withColumn("_range", _STEP * below("_marks"))
+    cut = coarse.withColumn("_range", F.col("_range") + below(F.slice("_edges", F.col("_range") + 1, F.lit(_STEP - 1)))).drop("_edges", "_marks")
+    parts = cut.groupBy("_key", "_range").agg(*(F.sum(a).alias(f"_s{i}") for i, a in enumerate(amounts)))
+    upto = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
+    before = parts.select("_key", "_range", *(c for i, (_, total) in enumerate(amounts.values()) for c in ((F.sum(f"_s{i}").over(upto) - F.col(f"_s{i}")).alias(f"_b{i}"), F.sum(f"_s{i}").over(W.partitionBy("_key")).alias(total))))
+    within = W.partitionBy("_key", "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    run = cut.withColumns({name: F.sum(a).over(within) for a, (name, _) in amounts.items()}).join(before, ["_key", "_range"])
+    out = run.withColumns({name: F.col(f"_b{i}") + F.col(name) for i, (name, _) in enumerate(amounts.values())})
+    return out.select(*(F.col("_key").getField(k).alias(k) for k in by), *(c for c in df.columns if c not in by), *(n for names in amounts.values() for n in names))
 
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: Column, weight: Column, quantiles: Sequence[float]) -> DataFrame:
@@ -37,7 +49,7 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], value: Column, weight:
     keys = list(by)
     rows = df.select(*keys, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v) AND _w > 0")
     sums = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    shared = with_running_sum(sums, keys, "_v", "_w", "_run", "_sum").withColumn("_share", F.col("_run") / F.col("_sum"))
+    shared = with_running_sums(sums, keys, "_v", {"_w": ("_run", "_sum")}).withColumn("_share", F.col("_run") / F.col("_sum"))
     return shared.groupBy(*keys).agg(*(F.coalesce(F.min(F.when(F.col("_share") >= q - 1e-12, F.col("_v"))), F.max("_v")).alias(f"q{i}") for i, q in enumerate(quantiles)))
 
 
@@ -70,11 +82,16 @@ def correlation(a: Column, b: Column, w: Column) -> Column:
     return F.when((F.count_if(ok) >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
 
 
-def with_average_rank(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
-    """Rank that equal values share as their mean. Ranks come from counts of distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = with_running_sum(counts, by, column, "_c", "_run").withColumn(name, F.col("_run") - (F.col("_c") - 1) / 2.0).drop("_c", "_run")
-    return df.join(ranks, [*by, column], "left")
+def with_average_ranks(df: DataFrame, by: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """For each column its rank, under the name given for it, that equal values share as their mean; missing values have none.
+
+    Ranks come from counts of distinct values, each column's from the rows themselves and not from rows already ranked."""
+    out = df
+    for column, name in names.items():
+        counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
+        ranks = with_running_sums(counts, by, column, {"_c": ("_run", "_all_c")})
+        out = out.join(ranks.select(*by, column, (F.col("_run") - (F.col("_c") - 1) / 2.0).alias(name)), [*by, column], "left")
+    return out
 
 
 def regression_metrics(o: Column, e: Column, w: Column) -> dict[str, Column]:
@@ -107,7 +124,7 @@ def ecdf(df: DataFrame, value: str, weight: Column) -> DataFrame:
     """value and fraction: weighted share of rows with at most this value, one row per distinct value, the last one 1."""
     sums = df.where(F.col(value).isNotNull() & (weight > 0)).groupBy(value).agg(F.sum(weight).alias("_w"))
     top = sums.agg(F.max(value).alias("_top"))  # one row
-    shared = with_running_sum(sums, [], value, "_w", "_run", "_sum").join(F.broadcast(top))
+    shared = with_running_sums(sums, [], value, {"_w": ("_run", "_sum")}).join(F.broadcast(top))
     return shared.select(value, F.when(F.col(value) == F.col("_top"), 1.0).otherwise(F.col("_run") / F.col("_sum")).alias("fraction"))
 
 
@@ -117,5 +134,5 @@ def with_share_below(df: DataFrame, value: str, weight: Column, name: str) -> Da
 
     The running sums are over distinct values in ranges, so that neither a task nor the driver holds the distribution."""
     sums = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(weight > 0, weight).otherwise(0.0)).alias("_w"))
-    shares = with_running_sum(sums, [], value, "_w", "_run", "_sum").select(value, F.least(F.try_divide("_run", "_sum"), F.lit(1.0)).alias(name))
+    shares = with_running_sums(sums, [], value, {"_w": ("_run", "_sum")}).select(value, F.least(F.try_divide("_run", "_sum"), F.lit(1.0)).alias(name))
     return df.join(shares, value, "left")

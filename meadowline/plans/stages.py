@@ -12,7 +12,7 @@ from meadowline.functions.columns import all_defined, any_defined, in_reference_
 from meadowline.functions.grid import block_index, cylindrical_to_equal_earth, cylindrical_to_lonlat, global_row, in_polygon, pixel_centre, tile_id
 from meadowline.operators import folds, models, scoring
 from meadowline.operators.sampling import priority, stratified_sample
-from meadowline.operators.weighted import moments, regression_metrics, with_average_rank, correlation
+from meadowline.operators.weighted import moments, regression_metrics, with_average_ranks, correlation
 from meadowline.sources.config import Analysis
 
 AREA = "area_weight_m2"
@@ -120,7 +120,7 @@ def fit(prepared: Prepared, analysis: Analysis, responses: Sequence[str]) -> Fit
         d = scoring.deviation(F.col(r).cast("double"), expected(r))
         scored = scored.withColumns({f"{r}_observed_minus_expected_oof": d, f"{r}_standardized_deviation_oof": scoring.standardised(d, rmse[r] or 0.0)})
     long = held.select("spatial_fold", AREA, F.explode(F.array(*(F.struct(F.lit(r).alias("response"), F.col(r).cast("double").alias("o"), expected(r).alias("e")) for r in responses))).alias("s")).select("spatial_fold", AREA, "s.*")
-    ranked = with_average_rank(with_average_rank(long.where("o IS NOT NULL AND e IS NOT NULL"), ["response", "spatial_fold"], "o", "ro"), ["response", "spatial_fold"], "e", "re")
+    ranked = with_average_ranks(long.where("o IS NOT NULL AND e IS NOT NULL"), ["response", "spatial_fold"], {"o": "ro", "e": "re"})
     numbers = regression_metrics(F.col("o"), F.col("e"), F.col(AREA)) | {"spearman": correlation(F.col("ro"), F.col("re"), F.col(AREA))}
     return Fitted(scored, final, ranked.groupBy("response", "spatial_fold").agg(*(c.alias(n) for n, c in numbers.items())))
 

@@ -504,7 +504,7 @@ SELECT g AS l_returnflag, round(1 - sum(w * (o - e) * (o - e)) / (sum(w * o * o)
   round((sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt(({_VAR}) * ({_VAR.replace('x', 'y')})), 6) AS spearman FROM k GROUP BY 1""")
 def weighted_regression_metrics(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("o"), (F.col("l_quantity") * 1500).alias("e"), F.col("l_quantity").alias("w"))
-    ranked = WT.with_average_rank(WT.with_average_rank(rows, ["l_returnflag"], "o", "ro"), ["l_returnflag"], "e", "re")
+    ranked = WT.with_average_ranks(rows, ["l_returnflag"], {"o": "ro", "e": "re"})
     m = WT.regression_metrics(F.col("o"), F.col("e"), F.col("w"))
     digits = {"r2": 6}
     return ranked.groupBy("l_returnflag").agg(*(r(x, digits.get(n, 4)).alias(n) for n, x in m.items()), r(WT.correlation(F.col("ro"), F.col("re"), F.col("w")), 6).alias("spearman"))

@@ -159,6 +159,20 @@ def test_weighted_quantiles_step(spark):
         assert list(r)[1:] == want
 
 
+@pytest.mark.parametrize("range_rows", [1, 7, 10**6])
+def test_running_sums_in_any_ranges(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", range_rows)
+    rng = random.Random(36)
+    rows = [(g, v, rng.randint(0, 9), rng.uniform(0, 2)) for g, n in ((None, 30), ("a", 1), ("b", 300)) for v in rng.sample(range(-999, 999), n)]
+    got = weighted.with_running_sums(spark.createDataFrame(rows, "g string, v int, n int, w double"), ["g"], "v", {"n": ("rn", "tn"), "w": ("rw", "tw")}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [x for x in rows if x[0] == r.g]
+        assert (r.rn, r.tn) == (sum(n for _, v, n, _ in mine if v <= r.v), sum(n for _, _, n, _ in mine))
+        assert r.rw == pytest.approx(sum(w for _, v, _, w in mine if v <= r.v)) and r.tw == pytest.approx(sum(w for *_, w in mine))
+    assert weighted.with_running_sums(spark.createDataFrame([], "v int, n int"), [], "v", {"n": ("rn", "tn")}).columns == ["v", "n", "rn", "tn"]
+
+
 def test_regression_metrics(spark):
     rng = random.Random(32)
     maybe = lambda x: rng.choice([x, x, x, None])
@@ -197,7 +211,7 @@ def test_share_below_equals_brute_force(spark):
 
 def test_average_rank_and_correlation(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, 3.0), (1, 9.0)], "g int, v double")
-    assert sorted(r.k for r in weighted.with_average_rank(df, ["g"], "v", "k").collect()) == [1, 2.5, 2.5, 4]
+    assert sorted(r.k for r in weighted.with_average_ranks(df, ["g"], {"v": "k"}).collect()) == [1, 2.5, 2.5, 4]
     assert df.agg(weighted.correlation(F.col("v"), F.lit(1.0), F.lit(1.0)).alias("c")).collect()[0].c is None
 
 
@@ -256,6 +270,41 @@ def test_ridge_equals_the_closed_form(spark):
     assert np.isfinite(unseen).all()
 
 
+def test_designs_equal_those_of_each_split_alone(spark):
+    """Medians, knots, categories and expectations of all folds at once, with missing values in every column."""
+    rng = np.random.default_rng(37)
+    n = 240
+    hole = lambda v, share: np.where(rng.random(n) < share, np.nan, v)
+    fold, w = rng.integers(0, 3, n), np.where(rng.random(n) < 0.1, 0.0, rng.uniform(1, 4, n))
+    x, empty, c, y = hole(np.round(rng.normal(size=n), 1), 0.3), np.full(n, np.nan), hole(rng.integers(1, 4, n).astype(float), 0.2), rng.normal(size=n)
+    part = hole(y * 2, 0.4)
+    none = lambda v: None if np.isnan(v) else float(v)
+    df = spark.createDataFrame([(i, int(fold[i]), float(w[i]), *map(none, (x[i], empty[i], c[i], y[i], part[i]))) for i in range(n)], "i int, fold int, area_weight_m2 double, x double, empty double, c double, y double, part double")
+    fitted = models.fit_splits(df, F.col("fold"), range(3), ["y", "part"], ["x", "empty"], "c", knots=5)
+    scored = models.cross_validate(df, "fold", 3, ["y", "part"], ["x", "empty"], "c", knots=5).toPandas().set_index("i").sort_index()
+    assert len(scored) == n
+    for k in range(3):
+        for m, there in zip(fitted[k], (~np.isnan(y), ~np.isnan(part))):
+            use = (fold != k) & there
+            known = use & ~np.isnan(x) & (w > 0)
+            order = known.nonzero()[0][np.argsort(x[known], kind="stable")]
+            median = x[order][np.searchsorted(np.cumsum(w[order]), w[order].sum() / 2 - 1e-9)]
+            usual = max((1.0, 2.0, 3.0), key=lambda v: w[use & (c == v)].sum())
+            assert m.design.imputation == {"x": median, "empty": 0.0, "c": usual} and m.design.categories == [1, 2, 3]
+            assert np.allclose(m.design.knots["x"], np.quantile(np.where(np.isnan(x), median, x)[use], np.linspace(0, 1, 5))) and m.design.knots["empty"] == [0.0] * 5
+            alone = models.fit_models(df.where(F.col("fold") != k), [m.response], ["x", "empty"], "c", knots=5)[0]
+            assert np.allclose(m.coefficients, alone.coefficients) and m.intercept == pytest.approx(alone.intercept)
+            held = fold == k
+            assert np.allclose(scored[f"{m.response}_expected_reference_oof"].to_numpy()[held], m.predict({"x": x[held], "empty": empty[held], "c": c[held]}))
+
+
+def test_a_response_without_rows_has_no_model(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 2.0, None), (1, 2.0, 2.0, 1.0, 3.0, 4.0)], "fold int, x double, c double, area_weight_m2 double, y double, z double")
+    got = {r.fold: r for r in models.cross_validate(df, "fold", 2, ["y", "z"], ["x"], "c", knots=3).collect()}
+    assert got[1].z_expected_reference_oof is None and got[0].z_expected_reference_oof == pytest.approx(4.0) and got[1].y_expected_reference_oof == pytest.approx(2.0)
+    assert models.cross_validate(df.where("false"), "fold", 2, ["y"], ["x"], "c", knots=3).count() == 0
+
+
 # Scoring
 
 
