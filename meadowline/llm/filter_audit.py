@@ -1,11 +1,12 @@
 """Filter interaction audit: which documents five filters remove, in every order in which they can be applied.
 
 Words and documents form a sparse matrix. Each task cuts its documents into blocks of bounded size and writes a block as one
-compressed sparse row (CSR) shard over a dictionary of its own words. The blocks' dictionaries, in which a word occurs once
-whatever its frequency, are then unified: distinct words get dense ids, and each shard's columns are renamed through a join of
-dictionary entries alone. So no word of the corpus is shuffled for each of its occurrences, and a frequent word has one row for
-each shard. Row sums and numbers of nonzero cells of the global shards are the words and distinct words of a document and
-decide filters A and B; C and D come with the shard; E asks for the smallest ``doc_id`` of each text's digest.
+compressed sparse row (CSR) shard over a dictionary of its own words, in which a word occurs once whatever its frequency. The
+blocks' dictionaries are then unified: words are dealt to buckets by hash, a shard's words of a bucket travel as one row, and a
+bucket's task numbers them in the order of the shards. The ids go back and rename the shards' columns. So no word is shuffled for
+each of its occurrences, a frequent word has one entry a shard, and all buckets are alike. A bucket's task holds its own
+words; ``buckets`` bounds them. Row sums and numbers of nonzero cells of the global shards are the words and distinct words
+of a document and decide filters A and B; C and D come with the shard; E asks for the smallest ``doc_id`` of each text's digest.
 
 The audit then needs only counts by part and set of failed filters, at most 32 of them a part: a filter removes in an order
 what fails it and none before it.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,68 +43,114 @@ LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_UPPER_PERCENT, SPECIAL = 200, 50, 3, b
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _ODD = np.array([c in SPECIAL for c in range(256)])
 _STARTS = np.array([c & 0xC0 != 0x80 for c in range(256)])  # bytes that begin a code point
-#: A shard: parallel lists of its documents, cells of row i from indptr[i] to indptr[i + 1], and its words in column order.
-SHARD = "shard string, doc_id array<long>, part array<string>, digest array<string>, n_chars array<long>, n_upper array<long>, special array<boolean>, indptr array<int>, indices array<int>, counts array<int>, words array<string>"
+#: Bytes of text of a block, besides a single longer document.
+BLOCK_BYTES = 8 << 20
+#: A shard: parallel lists of its documents, cells of row i from indptr[i] to indptr[i + 1]. ``cells`` packs differences of the
+#: columns and then the counts; columns are ordered by bucket, and ``words`` has each bucket's, joined by blanks.
+_DOCS = "shard string, doc_id array<long>, part array<string>, digest array<string>, n_chars array<long>, n_upper array<long>, special array<boolean>, indptr array<int>"
 _ARROW = pa.schema([
     ("shard", pa.string()), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("digest", pa.list_(pa.string())), ("n_chars", pa.list_(pa.int64())),
-    ("n_upper", pa.list_(pa.int64())), ("special", pa.list_(pa.bool_())), ("indptr", pa.list_(pa.int32())), ("indices", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.list_(pa.string())),
+    ("n_upper", pa.list_(pa.int64())), ("special", pa.list_(pa.bool_())), ("indptr", pa.list_(pa.int32())), ("cells", pa.binary()), ("words", pa.list_(pa.string())),
 ])
 
 
-def _shard(piece: pa.RecordBatch) -> pa.RecordBatch:
+def _one(value, kind: pa.DataType) -> pa.Array:
+    """A column of one row."""
+    if not pa.types.is_list(kind):
+        return pa.array([value], kind)
+    values = value.cast(kind.value_type) if isinstance(value, pa.Array) else pa.array(value, kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _shard(piece: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     texts = as_bytes(piece.column("text"))
     edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
     def within(table: np.ndarray) -> np.ndarray:
-        upto = np.concatenate([[0], np.cumsum(table[data])])
+        upto = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
         return upto[edges[1:]] - upto[edges[:-1]]
 
     words = [t.split() for t in texts]
     coded = pa.array(itertools.chain.from_iterable(words), pa.large_binary()).dictionary_encode()
-    width = max(1, len(coded.dictionary))
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    cells, counts = np.unique(row * width + coded.indices.to_numpy().astype(np.int64), return_counts=True)
-    indptr = np.searchsorted(cells, np.arange(len(words) + 1) * width)
-    columns = [
-        [uuid.uuid4().hex], [piece.column("doc_id")], [piece.column("part")], [[hashlib.sha256(t).hexdigest() for t in texts]], [within(_STARTS)],
-        [within(_UPPER)], [within(_ODD) > 0], [indptr], [cells % width], [counts], [coded.dictionary.cast(pa.string())],
+    del words
+    names = coded.dictionary.to_pylist()
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int64, len(names))
+    order = np.argsort(bucket, kind="stable")
+    column = np.empty_like(order)
+    column[order] = np.arange(len(order))
+    width = max(1, len(names))
+    cells, counts = np.unique(row * width + column[coded.indices.to_numpy()], return_counts=True)
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    packed = np.concatenate([np.diff(cells % width, prepend=0), counts]).astype(np.int32).tobytes()
+    values = [
+        uuid.uuid4().hex, piece.column("doc_id"), piece.column("part"), [hashlib.sha256(t).hexdigest() for t in texts], within(_STARTS), within(_UPPER), within(_ODD) > 0,
+        np.searchsorted(cells, np.arange(len(texts) + 1) * width), pa.compress(packed, "zstd", asbytes=True), [b" ".join([names[i] for i in order[a:b]]).decode() for a, b in zip(ends, ends[1:])],
     ]
-    lists = [pa.array(c[0], t.type.value_type) if not isinstance(c[0], pa.Array) else c[0].cast(t.type.value_type) for c, t in zip(columns[1:], list(_ARROW)[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([_one(v, t.type) for v, t in zip(values, _ARROW)], schema=_ARROW)
 
 
-def local_shards(docs: DataFrame, part: Column) -> DataFrame:
+def local_shards(docs: DataFrame, part: Column, buckets: int) -> DataFrame:
     """CSR shards over dictionaries of their own, written: shard names are drawn by the attempt that is committed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
-                yield _shard(piece)
+            for piece in slices(batch, limit=BLOCK_BYTES):
+                yield _shard(piece, buckets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part.cast("string"), F.lit("")).alias("part"), F.col("text"))
-    return materialize(rows.mapInArrow(cut, SHARD))
-
-
-def dictionary(shards: DataFrame) -> DataFrame:
-    """Every word once, with a dense id from 0: numbered within the partitions of the shuffle, the words before each added."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    placed = materialize(words.select("word", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
-    start, before = 0, []
-    for p, n in sorted(placed.groupBy("_part").count().collect()):  # as many rows as partitions
-        before.append((p, start))
-        start += n
-    starts = placed.sparkSession.createDataFrame(before, "_part int, _start long")
-    return placed.join(F.broadcast(starts), "_part").select("word", (F.col("_at") + F.col("_start")).alias("id"))
-
-
-def csr_shards(docs: DataFrame, part: Column | None = None) -> DataFrame:
-    """The corpus as CSR shards whose columns are the dictionary's ids, written: the documents' own columns, indptr, indices, counts."""
-    shards = local_shards(docs, F.lit("") if part is None else part)
-    entries = shards.select("shard", F.posexplode("words").alias("local", "word")).join(dictionary(shards), "word")
-    ids = entries.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("local", "id"))), lambda e: e.id).alias("_ids"))
-    renamed = F.transform("indices", lambda i: F.get("_ids", i)).alias("indices")
-    return materialize(shards.drop("words").join(ids, "shard", "left").select("shard", "doc_id", "part", "digest", "n_chars", "n_upper", "special", "indptr", renamed, "counts"))
+    return materialize(rows.mapInArrow(cut, f"{_DOCS}, cells binary, words array<string>"))
+
+
+def unified(shards: DataFrame, buckets: int, listing: bool = False) -> DataFrame:
+    """shard, bucket and ``ranks``: the places of the shard's words in their bucket's list of distinct words, as packed ints; with
+    ``listing`` the dictionary itself, word and id. The order of the shards decides, so a task that is run again finds the same."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for batch in batches:
+            out = []
+            for shard, bucket, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    at, known = bucket, {}
+                size = len(known)
+                ranks = [known.setdefault(w, len(known)) for w in words.split(" ")]
+                if listing:
+                    out += [(w, k * buckets + bucket) for w, k in itertools.islice(known.items(), size, None)]
+                else:
+                    out.append((shard, bucket, np.array(ranks, np.int32).tobytes()))
+            names, kinds = (("word", "id"), (pa.string(), pa.int64())) if listing else (("shard", "bucket", "ranks"), (pa.string(), pa.int32(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=list(names))
+
+    entries = shards.select("shard", F.posexplode("words").alias("bucket", "words")).where("words <> ''")
+    dealt = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+    return dealt.mapInArrow(rank, "word string, id long" if listing else "shard string, bucket int, ranks binary")
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of the dictionary: as many as shuffles have partitions, within bounds."""
+    return max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def csr_shards(docs: DataFrame, part: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """The corpus as CSR shards over one dictionary, written: the documents' own columns, indptr, indices (word ids), counts."""
+    buckets = buckets or bucket_count(docs.sparkSession)
+    shards = local_shards(docs, F.lit("") if part is None else part, buckets)
+    ids = unified(shards, buckets).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "ranks"))).alias("_ids"))
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                n = one.column("indptr")[0].values[-1].as_py()
+                packed = np.frombuffer(pa.decompress(one.column("cells")[0].as_py(), 8 * n, "zstd", asbytes=True), np.int32)
+                columns = [np.frombuffer(e["ranks"], np.int32).astype(np.int64) * buckets + e["bucket"] for e in one.column("_ids")[0].as_py() or []]
+                indices = np.concatenate(columns)[np.cumsum(packed[:n])] if n else np.zeros(0, np.int64)
+                own = [one.column(t.name) for t in list(_ARROW)[:8]]
+                yield pa.RecordBatch.from_arrays([*own, _one(indices, pa.list_(pa.int64())), _one(packed[n:], pa.list_(pa.int32()))], names=[*(t.name for t in list(_ARROW)[:8]), "indices", "counts"])
+
+    return materialize(shards.drop("words").join(ids, "shard", "left").mapInArrow(rename, f"{_DOCS}, indices array<long>, counts array<int>"))
 
 
 def flags(shards: DataFrame) -> DataFrame:

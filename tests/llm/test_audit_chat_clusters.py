@@ -63,8 +63,10 @@ def audit_brute(docs, labels):
     return out, flagged, texts
 
 
-@pytest.fixture(scope="module")
-def audited(spark, small):
+@pytest.fixture(scope="module", params=[1, 8 << 20])
+def audited(spark, small, request):
+    """With a shard for each document, and with large ones."""
+    filter_audit.BLOCK_BYTES = request.param
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)] + ["B#", "CAPS", "naïve", "日本"]
     more = [(100 + i, " ".join(rng.choice(words[: rng.choice([5, 400, 404])]) for _ in range(rng.choice([3, 199, 200, 420]))), rng.choice(["de", "en", None, ""])) for i in range(60)]
@@ -84,14 +86,17 @@ def test_audit_equals_brute_force(spark, audited):
     assert filter_audit.audit(got, labels).count() == 600 * len({p for _, p, _ in flagged})
 
 
-def test_shards_hold_the_matrix(spark, audited):
+def test_shards_hold_the_matrix(spark, audited, monkeypatch):
     rows, docs, shards = audited
     _, _, texts = audit_brute(rows, LABELS)
-    local = filter_audit.local_shards(docs, F.lit(""))
-    words = filter_audit.dictionary(local)
-    assert sorted(r.id for r in words.collect()) == list(range(len(texts))) and {r.word for r in words.collect()} == set(texts)
-    sums = shards.select(F.explode(F.arrays_zip("indices", "counts")).alias("c")).groupBy("c.indices").agg(F.sum("c.counts").alias("n"))
-    assert sorted(r.n for r in sums.collect()) == sorted(texts.values())
+    sums = lambda s: s.select(F.explode(F.arrays_zip("indices", "counts")).alias("c")).groupBy("c.indices").agg(F.sum("c.counts").alias("n"))
+    assert sorted(r.n for r in sums(shards).collect()) == sorted(texts.values())
+    local = filter_audit.local_shards(docs, F.lit(""), 5)
+    words = filter_audit.unified(local, 5, listing=True).collect()
+    assert len({r.id for r in words}) == len(words) == len(texts) and {r.word for r in words} == set(texts)
+    monkeypatch.setattr(filter_audit, "local_shards", lambda *a: local)
+    ids = {r.word: r.id for r in words}
+    assert {r.indices: r.n for r in sums(filter_audit.csr_shards(docs, buckets=5)).collect()} == {ids[w]: n for w, n in texts.items()}
     one = shards.collect()
     assert sum(len(r.doc_id) for r in one) == len(rows) and all(len(r.indptr) == len(r.doc_id) + 1 and r.indptr[-1] == len(r.indices) and None not in r.indices for r in one)
 
