@@ -109,11 +109,18 @@ def similarity_class(percentile: Column, limits: Sequence[float] = SIMILARITY_LI
 
 
 #: Fixed values of the status layer.
-NO_TARGET, INSUFFICIENT, PREDICTED, IMPUTED = 255, 1, 0, 2
+OUTSIDE_AREA, OUTSIDE_TARGET, INSUFFICIENT, PREDICTED = 255, 0, 1, 2
 
 
-def status(target: Column, enough: Column, missing: Column) -> Column:
-    return F.when(~F.coalesce(target, F.lit(False)), NO_TARGET).when(~enough, INSUFFICIENT).when(missing > 0, IMPUTED).otherwise(PREDICTED)
+def target_pixels(inside: Column, predictors: Sequence[Column], mask: Column | None = None) -> Column:
+    """Pixels to be predicted: those of the area where a mask is exactly 1 or, without a mask, that have any predictor."""
+    applies = any_defined(predictors) if mask is None else F.coalesce(mask == 1, F.lit(False))
+    return F.coalesce(inside, F.lit(False)) & applies
+
+
+def status(inside: Column, target: Column, enough: Column) -> Column:
+    """Layer of area, target, targets with too few predictors, and predicted pixels. What is imputed is a layer of its own."""
+    return F.when(~F.coalesce(inside, F.lit(False)), OUTSIDE_AREA).when(~F.coalesce(target, F.lit(False)), OUTSIDE_TARGET).when(~enough, INSUFFICIENT).otherwise(PREDICTED)
 
 
 def slug(text: Column, most: int | None = None) -> Column:

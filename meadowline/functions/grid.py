@@ -1,10 +1,9 @@
-"""Grid addressing, tiles, polygons and equal-area projections as column expressions."""
+"""Grid addressing, tiles and projections as column expressions."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
+from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,82 +47,20 @@ def display_cell(row: Column, col: Column, height: int, width: int, cells_high:
     return at(row, height, cells_high), at(col, width, cells_wide)
 
 
-def source_cell(x: Column, y: Column, left: float, top: float, size: float) -> tuple[Column, Column]:
-    """Row and column of the cell of another raster that holds a point: its nearest cell."""
-    return F.floor((F.lit(float(top)) - y) / float(size)).cast("long"), F.floor((x - float(left)) / float(size)).cast("long")
-
-
-Ring = Sequence[tuple[float, float]]
-
+@dataclass(frozen=True)
+class Grid:
+    """A raster's grid: its coordinate system, upper left corner and the size of its cells."""
 
-def polygons(area: Sequence) -> list[Sequence[Ring]]:
-    """The polygons of an area: a list of them, or one polygon, which is a list of rings."""
-    return list(area) if isinstance(area[0][0][0], (list, tuple)) else [area]
+    crs: str
+    left: float
+    top: float
+    width: float
+    height: float
 
 
-def edges(polygon: Sequence[Ring]) -> list[tuple[float, float, float, float]]:
-    """Edges of all rings, outer ones and holes alike: the even-odd rule needs no order."""
-    out = []
-    for ring in polygon:
-        points = list(ring)
-        if points[0] != points[-1]:
-            points.append(points[0])
-        out += [(*a, *b) for a, b in zip(points, points[1:]) if a[1] != b[1]]
-    return out
-
-
-def in_polygon(x: Column, y: Column, area: Sequence) -> Column:
-    """Whether a pixel's centre is in one of the area's polygons: even-odd rule within a polygon, holes honoured, any of them
-    among polygons, which may overlap. Bounding boxes, which can be pushed down, are tested first."""
-    inside = [_in_one(x, y, p) for p in polygons(area)]
-    out = inside[0]
-    for other in inside[1:]:
-        out = out | other
-    return out
-
-
-def _in_one(x: Column, y: Column, polygon: Sequence[Ring]) -> Column:
-    xs, ys = [p[0] for ring in polygon for p in ring], [p[1] for ring in polygon for p in ring]
-    box = x.between(float(min(xs)), float(max(xs))) & y.between(float(min(ys)), float(max(ys)))
-    sides = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for e in edges(polygon)))
-    crossed = F.size(F.filter(sides, lambda e: ((e.ay > y) != (e.by > y)) & (x < (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) + e.ax)))
-    return box & (crossed % 2 == 1)
-
-
-def polygon_tiles(spark, area: Sequence, tile_size: float) -> DataFrame:
-    """Tiles that share an area with one of the polygons, north to south and west to east: tile_col, tile_row.
-
-    A tile and a polygon share an area when a vertex of one lies strictly in the other or their edges cross; a tile that only
-    touches does not count. The bounding box bounds the range of tiles, which Spark generates."""
-    rings = [ring for polygon in polygons(area) for ring in polygon]
-    xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
-    low = lambda v: math.floor(v / tile_size)
-    high = lambda v: math.ceil(v / tile_size) - 1
-    cols = spark.range(low(min(xs)), max(high(max(xs)), low(min(xs))) + 1).select(F.col("id").alias("tile_col"))
-    grid = cols.withColumn("tile_row", F.explode(F.sequence(F.lit(low(min(ys))), F.lit(max(high(max(ys)), low(min(ys)))))))
-    x0, y0 = F.col("tile_col") * float(tile_size), F.col("tile_row") * float(tile_size)
-    x1, y1 = x0 + float(tile_size), y0 + float(tile_size)
-    sides = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for ring in rings for e in _all_edges(ring)))
-
-    def enters(e: Column) -> Column:
-        """Clips an edge to the open tile by its parameter range."""
-        dx, dy = e.bx - e.ax, e.by - e.ay
-        lo, hi = F.lit(0.0), F.lit(1.0)
-        for d, a, low_side, high_side in ((dx, e.ax, x0, x1), (dy, e.ay, y0, y1)):
-            t0, t1 = F.try_divide(low_side - a, d), F.try_divide(high_side - a, d)
-            lo = F.when(d == 0, F.when((a > low_side) & (a < high_side), lo).otherwise(F.lit(2.0))).otherwise(F.greatest(lo, F.least(t0, t1)))
-            hi = F.when(d == 0, hi).otherwise(F.least(hi, F.greatest(t0, t1)))
-        return lo < hi
-
-    centre = in_polygon((x0 + x1) / 2, (y0 + y1) / 2, area)
-    return grid.where(F.exists(sides, enters) | centre).orderBy(F.desc("tile_row"), "tile_col")
-
-
-def _all_edges(ring: Ring):
-    points = list(ring)
-    if points[0] != points[-1]:
-        points.append(points[0])
-    return [(*a, *b) for a, b in zip(points, points[1:])]
+def source_cell(x: Column, y: Column, left: float, top: float, width: float, height: float | None = None) -> tuple[Column, Column]:
+    """Row and column of the cell of another raster that holds a point: its nearest cell."""
+    return F.floor((F.lit(float(top)) - y) / float(height or width)).cast("long"), F.floor((x - float(left)) / float(width)).cast("long")
 
 
 # The WGS84 ellipsoid, the standard parallel of the cylindrical equal-area grid, the Equal Earth polynomial.
@@ -153,21 +90,103 @@ def _authalic(y: Column) -> Column:
 
 
 def cylindrical_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    b = _authalic(y)
+    return F.degrees(x / (_A * _K0)), _geodetic(_authalic(y))
+
+
+def _geodetic(b: Column) -> Column:
+    """Latitude in degrees of an authalic latitude in radians."""
     e2, e4, e6 = _E2, _E2**2, _E2**3
-    lat = b + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + 761 * e6 / 45360 * F.sin(6 * b)
-    return F.degrees(x / (_A * _K0)), F.degrees(lat)
+    return F.degrees(b + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + 761 * e6 / 45360 * F.sin(6 * b))
 
 
-def cylindrical_to_equal_earth(x: Column, y: Column) -> tuple[Column, Column]:
-    """From one equal-area projection to another, through the authalic latitude."""
+_RADIUS = _A * math.sqrt(_QP / 2)
+
+
+def _slope(t: Column) -> Column:
     a1, a2, a3, a4 = _EARTH
-    radius, lon = _A * math.sqrt(_QP / 2), x / (_A * _K0)
-    t = F.asin(math.sqrt(3) / 2 * F.sin(_authalic(y)))
     t2 = t * t
     t6 = t2 * t2 * t2
-    slope = 9 * a4 * t6 * t2 + 7 * a3 * t6 + 3 * a2 * t2 + a1
-    return 2 * math.sqrt(3) * radius * lon * F.cos(t) / (3 * slope), radius * t * (a4 * t6 * t2 + a3 * t6 + a2 * t2 + a1)
+    return 9 * a4 * t6 * t2 + 7 * a3 * t6 + 3 * a2 * t2 + a1
+
+
+def _height(t: Column) -> Column:
+    a1, a2, a3, a4 = _EARTH
+    t2 = t * t
+    t6 = t2 * t2 * t2
+    return t * (a4 * t6 * t2 + a3 * t6 + a2 * t2 + a1)
+
+
+def _equal_earth(lam: Column, authalic: Column) -> tuple[Column, Column]:
+    t = F.asin(math.sqrt(3) / 2 * F.sin(authalic))
+    return 2 * math.sqrt(3) * _RADIUS * lam * F.cos(t) / (3 * _slope(t)), _RADIUS * _height(t)
+
+
+def cylindrical_to_equal_earth(x: Column, y: Column) -> tuple[Column, Column]:
+    """From one equal-area projection to another, through the authalic latitude."""
+    return _equal_earth(x / (_A * _K0), _authalic(y))
+
+
+def lonlat_to_equal_earth(lon: Column, lat: Column) -> tuple[Column, Column]:
+    s = F.sin(F.radians(lat))
+    q = (1 - _E2) * (s / (1 - _E2 * s * s) - F.ln((1 - _E * s) / (1 + _E * s)) / (2 * _E))
+    return _equal_earth(F.radians(lon), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / _QP))))
+
+
+#: Newton steps of the inverse; from the height itself as a start each at least squares the error.
+NEWTON_STEPS = 8
+
+
+def equal_earth_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    """The parametric latitude by Newton's iteration, as a fold over a sequence, so that the expression does not grow with its
+    steps. NULL where the height or the longitude is beyond the world's edge."""
+    height = y / _RADIUS
+    start = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), height / _EARTH[0], lambda a, _: a - (_height(a) - height) / _slope(a))
+
+    def place(t: Column) -> Column:
+        s = 2 / math.sqrt(3) * F.sin(t)
+        lon = F.degrees(3 * x * _slope(t) / (2 * math.sqrt(3) * _RADIUS * F.cos(t)))
+        there = (F.abs(s) <= 1 + 1e-12) & (F.abs(lon) <= 180 + 1e-9)
+        lat = _geodetic(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+        return F.struct(F.when(there, lon).alias("lon"), F.when(there, lat).alias("lat"))
+
+    found = F.get(F.transform(F.array(start), place), 0)  # what the iteration finds is a variable of the rest
+    return found["lon"], found["lat"]
+
+
+def lonlat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Spherical Mercator; NULL at the poles."""
+    return _A * F.radians(lon), F.when(F.abs(lat) < 90, _A * F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2)))
+
+
+def mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / _A), F.degrees(2 * F.atan(F.exp(y / _A)) - math.pi / 2)
+
+
+#: Coordinate systems by their EPSG number: to degrees, and from them.
+_SYSTEMS = {
+    4326: (lambda x, y: (x, y), lambda x, y: (x, y)), 6933: (cylindrical_to_lonlat, lonlat_to_cylindrical),
+    8857: (equal_earth_to_lonlat, lonlat_to_equal_earth), 3857: (mercator_to_lonlat, lonlat_to_mercator),
+}
+
+
+def epsg(name: str) -> int:
+    """Number of a system such as ``EPSG:6933``, ``urn:ogc:def:crs:EPSG::8857`` or ``urn:ogc:def:crs:OGC:1.3:CRS84``."""
+    if name.upper().endswith("CRS84"):
+        return 4326
+    number = name.rpartition(":")[2]
+    if "EPSG" not in name.upper() or not number.isdigit() or int(number) not in _SYSTEMS:
+        raise ValueError(f"not a coordinate system this library knows: {name!r}")
+    return int(number)
+
+
+def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Coordinates of one system in another, x first also where they are degrees."""
+    a, b = epsg(source), epsg(target)
+    if a == b:
+        return x, y
+    if (a, b) == (6933, 8857):
+        return cylindrical_to_equal_earth(x, y)
+    return _SYSTEMS[b][1](*_SYSTEMS[a][0](x, y))
 
 
 def output_bounds(bounds: tuple[float, float, float, float], pixel: float, origin: tuple[float, float] = (0.0, 0.0), snap: float = 1e-9) -> tuple[int, int, int, int]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meadowline.functions.grid import parent_block
 from meadowline.operators.sampling import dense_block_numbers
+from meadowline.sources.scratch import kept
 
 
 def block_ratio(validation_size: float, sampling_size: float) -> int:
@@ -40,14 +40,6 @@ def validation_blocks(rows: DataFrame, reference: Column, area: Column) -> DataF
 CHUNK = 200_000
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the cluster's checkpoint folder; a temporary one is set only where none is named."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
-
-
 def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
     """validation_block_id and spatial_fold (from 0).
 
@@ -57,12 +49,12 @@ def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
     goes through the driver from one chunk to the next."""
     area = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     table = blocks.select(F.col("validation_block_id").cast("long").alias("id"), area("reference_area").alias("r"), area("area").alias("a"))
-    table = _kept(table.select((F.col("r") <= 0).alias("late"), F.when(F.col("r") > 0, -F.col("r")).otherwise(0.0).alias("by_r"), (-F.col("a")).alias("by_a"), "id", "r", "a"))
+    table = kept(table.select((F.col("r") <= 0).alias("late"), F.when(F.col("r") > 0, -F.col("r")).otherwise(0.0).alias("by_r"), (-F.col("a")).alias("by_a"), "id", "r", "a"))
     total, enough = table.agg(F.count(F.lit(1)), F.count_if(~F.col("late"))).collect()[0]
     if enough < folds:
         raise ValueError(f"{folds} folds need as many blocks with reference area, there are {enough}")
     order = ["late", "by_r", "by_a", "id"]
-    table = _kept(table.join(dense_block_numbers(table, order, "at"), order).select("at", "late", "id", "r", "a"))
+    table = kept(table.join(dense_block_numbers(table, order, "at"), order).select("at", "late", "id", "r", "a"))
     state = [[0.0, 0.0, 0] for _ in range(folds)]
     dealt = []
     for start in range(0, total, CHUNK):
@@ -88,7 +80,7 @@ def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cells, schema)], schema=schema)
 
         chunk = table.where(F.col("at").between(start + 1, start + CHUNK)).coalesce(1).sortWithinPartitions("at").select("late", "id", "r", "a")
-        done = _kept(chunk.mapInArrow(deal, "id long, fold short, r double, a double, n long"))
+        done = kept(chunk.mapInArrow(deal, "id long, fold short, r double, a double, n long"))
         state = [[x.r, x.a, x.n] for x in sorted(done.where("id IS NULL").collect(), key=lambda x: x.fold)]
         dealt.append(done.where("id IS NOT NULL").selectExpr("id AS validation_block_id", "fold AS spatial_fold"))
     return reduce(DataFrame.union, dealt)

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meadowline.operators.weighted import covariance, ecdf
+from meadowline.operators.weighted import asof, covariance, ecdf
 
 
 def deviation(observed: Column, expected: Column) -> Column:
@@ -30,16 +29,16 @@ def map_deviation(observed: Column, expected: Column, rmse: float) -> tuple[Colu
 
 @dataclass
 class Calibration:
-    """Mean, precision and distance distribution of the reference sites."""
+    """Mean and precision of the reference sites. The distribution of their distances is a table of its own."""
 
     responses: list[str]
     mean: list[float]
     covariance: list[list[float]]
     precision: list[list[float]]
-    distances: list[float]
-    fractions: list[float]
     rows: int
     weight: float
+    condition: float
+    shrunken_condition: float
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -57,21 +56,9 @@ class Calibration:
             total = total + t
         return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))  # greatest() alone would pass over a NULL
 
-    def percentile(self, distance: Column) -> Column:
-        """Share of the reference weight at distances of at most this one: an as-of lookup in the sorted calibration table,
-        whose size the sample's caps bound."""
-        at, share = np.array(self.distances), np.array([0.0, *self.fractions])
-
-        @F.pandas_udf("double")
-        def lookup(d: pd.Series) -> pd.Series:
-            return pd.Series(share[np.searchsorted(at, d.to_numpy(), side="right")]).where(d.notna().to_numpy())
-
-        return lookup(distance)
-
 
 def centre(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> Calibration:
-    """Mean and shrunken precision of the reference rows, without the table of distances: enough for distances. Percentiles
-    among any number of rows are then a matter of ``weighted.with_share_below``."""
+    """Mean and shrunken precision of the reference rows: enough for distances."""
     w = F.col(weight)
     r = covariance(reference, responses, w).collect()[0]
     k = len(responses)
@@ -81,17 +68,23 @@ def centre(reference: DataFrame, responses: Sequence[str], weight: str, shrinkag
     c = np.array([[r[f"c_{responses[max(i, j)]}_{responses[min(i, j)]}"] for j in range(k)] for i in range(k)])
     if not (np.isfinite(c).all() and (np.diag(c) > 0).all()):
         raise ValueError("each response needs a positive variance among the reference rows")
-    precision = np.linalg.inv((1 - shrinkage) * c + shrinkage * np.diag(np.diag(c)))
-    return Calibration(list(responses), mean, c.tolist(), precision.tolist(), [], [], r["rows"], r["weight"])
+    shrunken = (1 - shrinkage) * c + shrinkage * np.diag(np.diag(c))
+    condition = lambda m: float(np.linalg.cond(m))
+    return Calibration(list(responses), mean, c.tolist(), np.linalg.inv(shrunken).tolist(), r["rows"], r["weight"], condition(c), condition(shrunken))
 
 
-def calibrate(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> Calibration:
-    """With the table of distances, which travels to the tasks: for samples, whose caps bound it."""
+def calibrate(reference: DataFrame, responses: Sequence[str], weight: str, shrinkage: float = 0.1) -> tuple[Calibration, DataFrame]:
+    """The calibration, and the distances of the complete reference rows as a table: distance and fraction, the share of the
+    weight at distances of at most this one."""
     w, out = F.col(weight), centre(reference, responses, weight, shrinkage)
     complete = reference.where(" AND ".join(f"`{x}` IS NOT NULL" for x in responses))
-    table = ecdf(complete.withColumn("_d", out.distance([F.col(x) for x in responses])), "_d", w).orderBy("_d").collect()
-    out.distances, out.fractions = [t["_d"] for t in table], [t.fraction for t in table]
-    return out
+    return out, ecdf(complete.select(out.distance([F.col(x) for x in responses]).alias("distance"), w.alias(weight)), "distance", w)
+
+
+def with_percentile(df: DataFrame, distance: str, table: DataFrame, name: str = "percentile") -> DataFrame:
+    """Each row with the share of the reference weight at distances of at most its own."""
+    out = asof(df, distance, table, "distance", "fraction", name)
+    return out.withColumn(name, F.when(F.col(distance).isNotNull(), F.coalesce(name, F.lit(0.0))))
 
 
 def response_statistics(z: Column, expected: Column) -> dict[str, Column]:
@@ -123,3 +116,10 @@ def display_summary(df: DataFrame, cell_row: Column, cell_col: Column, value: Co
     for i in reversed(range(classes)):
         dominant = F.when((F.col(f"class_{i}") == most) & (most > 0), i).otherwise(dominant)
     return out.withColumns({"value_mean": F.try_divide(F.col("value_sum"), F.col("value_count")), "dominant": dominant})
+
+
+def cell_spread(cells: DataFrame, value: str = "value_mean", cap: float = 3.0) -> DataFrame:
+    """One row over the cells of a display grid: how many have a value, least, middle and largest, and the share at or above the
+    cap of the colours. The grid's size is a parameter, not the map's."""
+    v = F.col(value)
+    return cells.agg(F.count(v).alias("cells"), F.min(v).alias("least"), F.median(v).alias("median"), F.max(v).alias("most"), F.try_divide(F.count_if(v >= cap), F.count(v)).alias("share_at_cap"))

@@ -128,11 +128,50 @@ def ecdf(df: DataFrame, value: str, weight: Column) -> DataFrame:
     return shared.select(value, F.when(F.col(value) == F.col("_top"), 1.0).otherwise(F.col("_run") / F.col("_sum")).alias("fraction"))
 
 
-def with_share_below(df: DataFrame, value: str, weight: Column, name: str) -> DataFrame:
-    """Each row with the share of all weight that lies at or below its value; rows without a weight have a share, too, and
-    rows without a value none.
-
-    The running sums are over distinct values in ranges, so that neither a task nor the driver holds the distribution."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(weight > 0, weight).otherwise(0.0)).alias("_w"))
-    shares = with_running_sums(sums, [], value, {"_w": ("_run", "_sum")}).select(value, F.least(F.try_divide("_run", "_sum"), F.lit(1.0)).alias(name))
-    return df.join(shares, value, "left")
+#: Cells of equal width into which each range of an as-of table is cut.
+CELLS = 4096
+
+
+def asof(df: DataFrame, value: str, table: DataFrame, at: str, result: str, name: str) -> DataFrame:
+    """Each row with the ``result`` of the last row of ``table`` whose ``at`` is not above its ``value``, under ``name``: NULL below
+    the first and for missing values. ``at`` is unique, and ``result`` does not fall as it rises, as a cumulative share's does.
+
+    An as-of join by common ranges of values: the table is cut at approximate quantiles into ranges, these into cells of equal
+    width, and a cell's few rows are kept together as a sorted array with the result before them. Rows find their cell by
+    arithmetic, so that the join is one on equal keys: nothing is sorted, Spark sends the cells to all tasks where their size
+    permits, and splits frequent ones otherwise. The plan holds the edges of the ranges, ``RANGES`` at most."""
+    known = table.where(F.col(at).isNotNull() & F.col(result).isNotNull()).select(F.col(at).cast("double").alias("_at"), F.col(result).alias("_result"))
+    found = known.agg(F.count(F.lit(1)), F.min("_at"), F.max("_at"), F.percentile_approx("_at", F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})"), 4 * RANGES)).collect()[0]
+    rows, low, high, marks = found
+    if not rows:
+        return df.withColumn(name, F.lit(None).cast(table.schema[result].dataType))
+    n = min(RANGES, -(-rows // RANGE_ROWS))
+    inner = sorted({marks[i * RANGES // n - 1] for i in range(1, n)} - {low, high})
+    starts, ends = [low, *inner], [*inner, high]
+    array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+
+    def place(x: Column) -> tuple[Column, Column]:
+        span = F.size(F.filter(array(inner), lambda e: e <= x)) if inner else F.lit(0)
+        a, b = F.get(array(starts), span), F.get(array(ends), span)
+        cell = F.when(b > a, F.floor((x - a) / (b - a) * CELLS)).otherwise(F.lit(0))
+        return span, F.least(F.greatest(cell, F.lit(0)), F.lit(CELLS - 1)).cast("int")
+
+    span, cell = place(F.col("_at"))
+    filled = known.groupBy(span.alias("_span"), cell.alias("_cell")).agg(F.array_sort(F.collect_list(F.struct("_at", "_result"))).alias("_rows"), F.max("_result").alias("_top"))
+    every = df.sparkSession.range(len(starts)).select(F.col("id").cast("int").alias("_span"), F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("_cell"))
+    tops = filled.groupBy("_span").agg(F.max("_top").alias("_most"))  # a row for each range
+    lower = tops.alias("a").join(tops.alias("b"), F.col("b._span") < F.col("a._span"), "left").groupBy("a._span").agg(F.max("b._most").alias("_lower"))
+    earlier = W.partitionBy("_span").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = every.join(filled, ["_span", "_cell"], "left").withColumn("_before", F.max("_top").over(earlier)).join(lower, "_span", "left")
+    cells = cells.select("_span", "_cell", "_rows", F.coalesce("_before", "_lower").alias("_before"))
+    x = F.col(value).cast("double")
+    span, cell = place(x)
+    # Missing values are set aside: their keys meet nothing, and they do not share one.
+    keyed = df.withColumns({"_span": F.when(x.isNull(), F.lit(-1)).otherwise(span), "_cell": F.when(x.isNull(), F.spark_partition_id()).otherwise(cell)})
+    within = F.array_max(F.transform(F.filter("_rows", lambda e: e["_at"] <= x), lambda e: e["_result"]))
+    return keyed.join(cells, ["_span", "_cell"], "left").select(*df.columns, F.coalesce(within, F.col("_before")).alias(name))
+
+
+def ecdf_quantiles(table: DataFrame, value: str, fraction: str, shares: Sequence[float]) -> DataFrame:
+    """One row: for each share the first value whose cumulative fraction reaches it, as p50, p90, ..."""
+    return table.agg(*(F.min(F.when(F.col(fraction) >= q, F.col(value))).alias(f"p{round(q * 100):02d}") for q in shares))

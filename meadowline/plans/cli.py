@@ -8,27 +8,33 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.functions.columns import binary_mask
-from meadowline.functions.grid import polygon_tiles
+from meadowline.functions.columns import SIMILARITY_LIMITS, binary_mask, similarity_class
+from meadowline.functions.grid import display_cell, global_row
 from meadowline.operators.sampling import scan_statistics
-from meadowline.operators.scoring import Calibration, calibrate, percentile_statistics
+from meadowline.operators.scoring import Calibration, calibrate, cell_spread, display_summary, mean_abs, percentile_statistics
+from meadowline.operators.weighted import ecdf_quantiles
+from meadowline.operators.zones import polygon_tiles
 from meadowline.plans.bands import build_stack
 from meadowline.plans.report import report
-from meadowline.plans.stages import AREA, PIXEL, build_sample, class_areas, fit, fold_rollup, prepare, response_coverage, response_summary, score_pixels
+from meadowline.plans.stages import AREA, area_index, build_sample, class_areas, fit, fold_rollup, prepare, response_coverage, response_summary, score_pixels, status_counts
 from meadowline.sources.config import digest, load_analysis
 from meadowline.sources.provenance import content_fingerprint, done_tiles, inference_fingerprint, log_event, start_run, tile_set_fingerprint
-from meadowline.sources.tables import MANIFEST, check_tiles, manifest_of, missing_tiles, newest, read_area, read_models, read_pixels, sound_entries, write_models, write_pixels, write_with_provenance
+from meadowline.sources.tables import MANIFEST, check_tiles, manifest_of, missing_tiles, newest, read_features, read_mask, read_models, read_pixels, sound_entries, write_models, write_pixels, write_with_provenance
 
 
 def _text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _area(spark: SparkSession, path: str, analysis) -> DataFrame:
+    return read_features(spark, path, analysis.section("grid")["crs"])
+
+
 def fetch(spark: SparkSession, a) -> None:
     """Pixels of the tiles that the area needs and the cache lacks, from tables of dated observations."""
     analysis = load_analysis(a.definition)
     size = float(analysis.section("grid")["pixel_size_meters"]) * int(analysis.section("grid")["tile_size_pixels"])
-    required, stack = polygon_tiles(spark, read_area(spark, a.area), size), analysis.stack_id()
+    required, stack = polygon_tiles(area_index(_area(spark, a.area, analysis), analysis), size), analysis.stack_id()
     cache, manifest_path = f"{a.cache}/{stack}/tiles", f"{a.cache}/{stack}/manifest"
     bands, entries = analysis.band_names(), f"{MANIFEST}, written timestamp"
     todo = required
@@ -58,7 +64,7 @@ def _or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def sample(spark: SparkSession, a) -> None:
     analysis = load_analysis(a.definition)
     pixels = read_pixels(spark, f"{a.cache}/{analysis.stack_id()}/tiles")
-    made = build_sample(pixels, analysis, read_area(spark, a.area))
+    made = build_sample(pixels, analysis, _area(spark, a.area, analysis))
     write_with_provenance(made, a.output, {"analysis": analysis.fingerprint(), "raster": analysis.raster_fingerprint(), "seed": analysis.section("sampling")["random_seed"]})
     rows = spark.read.parquet(a.output)
     bands = [c for c in rows.columns if c in analysis.band_names()]
@@ -82,15 +88,17 @@ def apply_models(spark: SparkSession, a) -> None:
     analysis = load_analysis(a.definition)
     models, scored = read_models(spark, f"{a.run}/models"), spark.read.parquet(f"{a.run}/scored")
     z = [f"{m.response}_standardized_deviation_oof" for m in models]
-    c = calibrate(scored.where("reference_site = 1"), z, AREA, analysis.section("inference")["covariance_shrinkage"])
+    c, table = calibrate(scored.where("reference_site = 1"), z, AREA, analysis.section("inference")["covariance_shrinkage"])
     calibration = Calibration(**(c.__dict__ | {"responses": [m.response for m in models]}))
+    table.write.mode("overwrite").parquet(f"{a.output}.distances")
+    distances = spark.read.parquet(f"{a.output}.distances")
     pixels = read_pixels(spark, f"{a.cache}/{analysis.stack_id()}/tiles")
     tiles = tile_set_fingerprint(newest(spark.read.parquet(f"{a.cache}/{analysis.stack_id()}/manifest")))
-    area, applied = (read_area(spark, a.area) if a.area else None), analysis.section("inference").get("application_mask_path")
-    only = spark.read.parquet(applied if "://" in applied else f"file://{analysis.path(applied)}").select(*PIXEL, "mask") if applied else None
-    limits = digest({"area": area, "mask": content_fingerprint(only) if applied else None}) if area or applied else None
-    run = inference_fingerprint(analysis, tiles, models, calibration, limits)
-    score = lambda rows: score_pixels(rows, models, calibration, analysis, area=area, mask=only)
+    area, applied = (_area(spark, a.area, analysis) if a.area else None), analysis.section("inference").get("application_mask_path")
+    only, grid = read_mask(spark, applied if "://" in applied else f"file://{analysis.path(applied)}") if applied else (None, None)
+    limits = digest({"area": content_fingerprint(area.select(F.to_json("polygons").alias("p"))) if a.area else None, "mask": content_fingerprint(only) if applied else None, "grid": grid.__dict__ if grid else None})
+    run = inference_fingerprint(analysis, tiles, models, calibration, content_fingerprint(distances), limits)
+    score = lambda rows: score_pixels(rows, models, calibration, distances, analysis, area=area, mask=only, mask_grid=grid)
     out = score(pixels)
     done = done_tiles(spark, a.output, run, out.columns)
     if done is None:
@@ -104,9 +112,28 @@ def apply_models(spark: SparkSession, a) -> None:
     stats = result.agg(*(x.alias(n) for n, x in percentile_statistics(F.col("percentile")).items()))
     responses = response_summary(result, [m.response for m in models])
     classes = class_areas(result, float(analysis.section("grid")["pixel_size_meters"]) ** 2)
-    for name, small in (("response_statistics", responses), ("classes", classes)):
+    counts, quantiles = status_counts(result), ecdf_quantiles(distances, "distance", "fraction", (0.5, 0.9, 0.95, 0.99))
+    grid_cells = _display(result, analysis, models)
+    grid_cells.write.mode("overwrite").parquet(f"{a.output}/display")
+    spread = cell_spread(spark.read.parquet(f"{a.output}/display"))
+    for name, small in (("response_statistics", responses), ("classes", classes), ("status", counts), ("distance_quantiles", quantiles), ("display_spread", spread)):
         small.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/{name}")
-    _text(spark, report("Departure from the reference condition", {"Status": result.groupBy("status").count(), "Percentile": stats, "Responses": responses, "Classes": classes}), f"{a.output}/report")
+    _text(spark, report("Departure from the reference condition", {"Status": counts, "Percentile": stats, "Reference distances": quantiles, "Covariance": f"Condition number {calibration.condition:.6g}, {calibration.shrunken_condition:.6g} after shrinkage", "Responses": responses, "Classes": classes, "Display grid": spread}), f"{a.output}/report")
+
+
+#: Cells of the display grid along its longer side, at most.
+DISPLAY = 700
+
+
+def _display(scored: DataFrame, analysis, models) -> DataFrame:
+    """Mean absolute deviation and most frequent similarity class by cells of a coarser grid over the scored pixels."""
+    tile = int(analysis.section("grid")["tile_size_pixels"])
+    rows = scored.withColumns({"_row": global_row(F.col("tile_row"), F.col("local_row"), tile), "_col": F.col("tile_col") * tile + F.col("local_col")})
+    top, bottom, left, right = rows.agg(F.min("_row"), F.max("_row"), F.min("_col"), F.max("_col")).collect()[0]
+    high, wide = bottom - top + 1, right - left + 1
+    scale = max(1, -(-max(high, wide) // DISPLAY))
+    row, col = display_cell(F.col("_row") - top, F.col("_col") - left, high, wide, -(-high // scale), -(-wide // scale))
+    return display_summary(rows, row, col, mean_abs([F.col(f"{m.response}_z").cast("double") for m in models]), similarity_class(F.col("percentile")), len(SIMILARITY_LIMITS) + 1)
 
 
 def mask(spark: SparkSession, a) -> None:

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowline.functions.columns import all_defined, any_defined, in_reference_map, in_reference_sample, missing_count, similarity_class, status, usable
-from meadowline.functions.grid import block_index, cylindrical_to_equal_earth, cylindrical_to_lonlat, global_row, in_polygon, pixel_centre, tile_id
-from meadowline.operators import folds, models, scoring
+from meadowline.functions.columns import INSUFFICIENT, OUTSIDE_AREA, OUTSIDE_TARGET, PREDICTED, all_defined, any_defined, in_reference_map, in_reference_sample, missing_count, similarity_class, status, target_pixels, usable
+from meadowline.functions.grid import Grid, block_index, cylindrical_to_equal_earth, cylindrical_to_lonlat, global_row, pixel_centre, project, source_cell, tile_id
+from meadowline.operators import folds, models, scoring, zones
 from meadowline.operators.sampling import priority, stratified_sample
 from meadowline.operators.weighted import moments, regression_metrics, with_average_ranks, correlation
 from meadowline.sources.config import Analysis
+from meadowline.sources.scratch import kept
 
 AREA = "area_weight_m2"
 
@@ -30,18 +31,40 @@ def locate(pixels: DataFrame, analysis: Analysis) -> DataFrame:
     return rows.withColumns({"longitude": lon, "latitude": lat, "block_col": block_index(ex, block), "block_row": block_index(ey, block), "cache_tile_id": tile_id(F.col("tile_col"), F.col("tile_row"))})
 
 
-def build_sample(pixels: DataFrame, analysis: Analysis, area: Sequence) -> DataFrame:
-    """At most the capped number of pixels of each class and block, with design weights. ``area``: polygons on the grid."""
+PIXEL = ("tile_col", "tile_row", "local_row", "local_col")
+
+
+def area_index(area: DataFrame, analysis: Analysis) -> DataFrame:
+    """Index of features, given in the grid's coordinates, by the grid's tiles."""
+    grid = analysis.section("grid")
+    dx, dy = float(grid["origin_x"]), float(grid["origin_y"])
+    moved = F.transform("polygons", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda q: F.struct((q.x - dx).alias("x"), (q.y - dy).alias("y")))))
+    return zones.tile_index(area.withColumn("polygons", moved), float(grid["pixel_size_meters"]) * int(grid["tile_size_pixels"]))
+
+
+def in_area(rows: DataFrame, index: DataFrame, analysis: Analysis, name: str | None = None) -> DataFrame:
+    """Located pixels whose centre lies in the index's features; with ``name`` all of them and whether it does."""
+    grid = analysis.section("grid")
+    shifted = rows.withColumns({"_gx": F.col("x") - float(grid["origin_x"]), "_gy": F.col("y") - float(grid["origin_y"])})
+    return zones.within(shifted, index, "_gx", "_gy", name).drop("_gx", "_gy")
+
+
+def build_sample(pixels: DataFrame, analysis: Analysis, area: DataFrame) -> DataFrame:
+    """At most the capped number of pixels of each class and block, with design weights. ``area``: features on the grid.
+
+    Keys first: what is ranked and shuffled is the pixels' keys, strata and priorities. The bands of those that are chosen are
+    read afterwards from their tiles alone, which are partitions of the cache."""
     bands = analysis.columns_with_role(pixels.columns, "response") | analysis.columns_with_role(pixels.columns, "predictor")
     reference = next(iter(analysis.columns_with_role(pixels.columns, "reference").values()))
     settings = analysis.section("sampling")
-    rows = locate(pixels, analysis)
-    rows = rows.where(in_polygon(F.col("x"), F.col("y"), area)).where(any_defined([F.col(c) for c in bands.values()]))
-    rows = rows.withColumn("reference_site", in_reference_sample(F.col(reference)).cast("short")).drop(reference)
+    there = pixels.select(*PIXEL, in_reference_sample(F.col(reference)).cast("short").alias("reference_site"), any_defined([F.col(c) for c in bands.values()]).alias("_any")).where("_any").drop("_any")
+    rows = in_area(locate(there, analysis), area_index(area, analysis), analysis).select(*PIXEL, "block_col", "block_row", "cache_tile_id", "reference_site")
     rank = [priority(settings["random_seed"], F.col("cache_tile_id"), F.col("local_row"), F.col("local_col")), "tile_row", "tile_col", "local_row", "local_col"]
-    chosen = stratified_sample(rows, ["block_col", "block_row", "reference_site"], rank, settings["samples_per_class_per_block"])
+    chosen = kept(stratified_sample(rows, ["block_col", "block_row", "reference_site"], rank, settings["samples_per_class_per_block"]).drop("block_col", "block_row", "cache_tile_id"))
+    tiles = chosen.where("sampled > 0").select("tile_col", "tile_row").distinct()  # with a condition on it Spark prunes partitions by this side
+    fetched = pixels.drop(reference).join(tiles, ["tile_col", "tile_row"], "left_semi").join(chosen, list(PIXEL))
     pixel_area = float(analysis.section("grid")["pixel_size_meters"]) ** 2
-    return chosen.withColumns({"pixel_area_m2": F.lit(pixel_area), AREA: F.lit(pixel_area) * F.col("weight")}).withColumnsRenamed(
+    return locate(fetched, analysis).withColumns({"pixel_area_m2": F.lit(pixel_area), AREA: F.lit(pixel_area) * F.col("weight")}).withColumnsRenamed(
         {"available": "available_pixels_in_block_class", "sampled": "sampled_pixels_in_block_class", "probability": "sampling_probability", "weight": "sampling_weight", "block_col": "sampling_block_column", "block_row": "sampling_block_row"}
     )
 
@@ -131,44 +154,58 @@ def fold_rollup(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("response").agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))))
 
 
-PIXEL = ("tile_col", "tile_row", "local_row", "local_col")
+def with_mask(rows: DataFrame, mask: DataFrame, grid: Grid | None, analysis: Analysis, name: str) -> DataFrame:
+    """Located pixels with the value of a mask: a pixel table of the same grid or, with ``grid``, a raster of another one, of which
+    each pixel takes the cell that its centre lies in; NULL where the mask has none. A column of cells is what is joined, so a
+    coarse mask, being small, is sent to the pixels."""
+    if grid is None:
+        return rows.join(mask.select(*PIXEL, F.col("mask").alias(name)), list(PIXEL), "left")
+    x, y = project(F.col("x"), F.col("y"), analysis.section("grid")["crs"], grid.crs)
+    row, col = source_cell(x, y, grid.left, grid.top, grid.width, grid.height)
+    cells = mask.select(F.col("row").cast("long").alias("_mask_row"), F.col("col").cast("long").alias("_mask_col"), F.col("mask").alias(name))
+    return rows.withColumns({"_mask_row": row, "_mask_col": col}).join(cells, ["_mask_row", "_mask_col"], "left").drop("_mask_row", "_mask_col")
 
 
-def score_pixels(pixels: DataFrame, fitted: Sequence[models.ResponseModel], calibration: scoring.Calibration, analysis: Analysis, target=None, area=None, mask: DataFrame | None = None) -> DataFrame:
+def score_pixels(pixels: DataFrame, fitted: Sequence[models.ResponseModel], calibration: scoring.Calibration, distances: DataFrame, analysis: Analysis, area: DataFrame | None = None, mask: DataFrame | None = None, mask_grid: Grid | None = None) -> DataFrame:
     """All pixels with status, expectations, deviations, distance, percentile and similarity.
 
-    Pixels outside of ``area`` (polygons on the grid), and those where ``mask`` (a pixel table with a column ``mask``) is not
-    1, are no targets. The models and the calibration are small and travel with the plan: one pass over the pixels, and no
-    shuffle without a mask."""
-    if area is not None or mask is not None:
-        within = F.lit(True)
-        if mask is not None:
-            pixels = pixels.join(mask.select(*PIXEL, (F.col("mask") == 1).alias("_applies")), list(PIXEL), "left")
-            within = within & F.coalesce("_applies", F.lit(False))
-        names = [c for c in pixels.columns if c != "_applies"]
-        if area is not None:
-            pixels = locate(pixels, analysis)
-            within = within & in_polygon(F.col("x"), F.col("y"), area)
-        pixels = pixels.select(*names, within.alias("_within"))
-        given = any_defined([F.col(c) for c in [*fitted[0].design.continuous, fitted[0].design.categorical]]) if target is None else target
-        return score_pixels(pixels, fitted, calibration, analysis, F.coalesce(given, F.lit(False)) & F.col("_within")).drop("_within")
+    ``area``: features on the grid. ``mask``: see ``with_mask``; where it is exactly 1 the area's pixels are targets, even those
+    without a predictor. ``distances`` is the calibration's table. The models are small and travel with the plan; the pixels are
+    not shuffled unless the area's index, the mask or the table of distances is too large to be sent to all tasks."""
     responses = [m.response for m in fitted]
     predictors = [*fitted[0].design.continuous, fitted[0].design.categorical]
     columns = [F.col(c) for c in predictors]
-    target = any_defined(columns) if target is None else target
+    names = pixels.columns
+    if area is not None or mask_grid is not None:
+        pixels = locate(pixels, analysis)
+    if mask is not None:
+        pixels = with_mask(pixels, mask, mask_grid, analysis, "_mask")
+    pixels = pixels.withColumn("_inside", F.lit(True)) if area is None else in_area(pixels, area_index(area, analysis), analysis, "_inside")
+    target = target_pixels(F.col("_inside"), columns, F.col("_mask") if mask is not None else None)
     enough = usable(columns, analysis.section("model")["maximum_row_missing_fraction"])
-    rows = pixels.withColumns({"target": target, "missing_predictors": F.when(target, missing_count(columns))}).withColumn("status", status(F.col("target"), enough, F.col("missing_predictors")))
-    rows = models.predict(rows, fitted)
-    on = F.col("status").isin(0, 2)
+    rows = pixels.withColumn("target", target)
+    rows = rows.withColumns({"missing_predictors": F.when(F.col("target"), missing_count(columns)), "status": status(F.col("_inside"), F.col("target"), enough)})
+    reference = next(iter(analysis.columns_with_role(names, "reference").values()), None)
+    if reference:
+        rows = rows.withColumn("is_reference", F.col("_inside") & in_reference_map(F.col(reference)))
+    rows = models.predict(rows.select(*names, "target", "missing_predictors", "status", *(["is_reference"] if reference else [])), fitted)
+    on = F.col("status") == PREDICTED
     for m in fitted:
         d, z = scoring.map_deviation(F.col(m.response), F.col(f"{m.response}_expected"), m.rmse or 0.0)
         rows = rows.withColumns({f"{m.response}_deviation": F.when(on, d), f"{m.response}_z": F.when(on, z), f"{m.response}_expected": F.when(on, F.col(f"{m.response}_expected").cast("float"))})
     z = [F.col(f"{r}_z") for r in responses]
-    reference = next(iter(analysis.columns_with_role(pixels.columns, "reference").values()), None)
-    rows = rows.withColumn("distance", F.when(all_defined(z), calibration.distance(z))).withColumn("percentile", calibration.percentile(F.col("distance")))
-    if reference:
-        rows = rows.withColumn("is_reference", in_reference_map(F.col(reference)))
-    return rows.withColumn("similarity", 1 - F.col("percentile"))
+    rows = rows.withColumn("distance", F.when(all_defined(z), calibration.distance(z)))
+    return scoring.with_percentile(rows, "distance", distances).withColumn("similarity", 1 - F.col("percentile"))
+
+
+def status_counts(scored: DataFrame) -> DataFrame:
+    """One row: pixels of the area, targets, those with too few predictors, predicted and imputed ones, and what is scored whole."""
+    s = F.col("status")
+    return scored.agg(
+        F.count_if(s != OUTSIDE_AREA).alias("area"), F.count_if(s == OUTSIDE_TARGET).alias("outside_target"), F.count_if(s.isin(INSUFFICIENT, PREDICTED)).alias("target"),
+        F.count_if(s == INSUFFICIENT).alias("insufficient"), F.count_if(s == PREDICTED).alias("predicted"), F.count_if((s == PREDICTED) & (F.col("missing_predictors") > 0)).alias("imputed"),
+        F.count("distance").alias("scored"),
+    )
 
 
 def response_summary(scored: DataFrame, responses: Sequence[str]) -> DataFrame:

@@ -19,8 +19,10 @@ from meadowline.operators import sampling as S
 from meadowline.operators import scoring as SC
 from meadowline.operators import temporal as T
 from meadowline.operators import weighted as WT
+from meadowline.operators import zones as Z
 from meadowline.operators.distance import nearest_flagged
 from meadowline.operators.lookup import point_values
+from meadowline.sources.scratch import kept, scratch_dir
 from meadowline.sources.tables import manifest_of
 from meadowline.sources.tables import stack_totals as totals_of
 from meadowline.streaming.incremental import monthly_statistics, running_statistics
@@ -193,21 +195,10 @@ def band_difference_doy(spark, sf):
     return rows.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("season_length"), C.day_of_year_offset(epoch, F.year("l_shipdate")).alias("ship_day"))
 
 
-def _scratch(spark) -> str:
-    """A new folder that driver and executors share; a local one only where everything runs on this machine."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/meadowline/{uuid.uuid4().hex}"
-
-
 @query("""SELECT event_type, count(value) AS count, round(sum(value), 3) AS sum, round(sum(value * value), 2) AS sum_sq, min(value) AS min, max(value) AS max, count(CASE WHEN abs(value) > 1 THEN 1 END) AS over_1 FROM events GROUP BY 1""")
 def incremental_statistics(spark, sf):
     """Mergeable statistics kept by a stream over the event files until nothing is left to read."""
-    folder = _scratch(spark)
+    folder = scratch_dir(spark)
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
@@ -223,7 +214,7 @@ def incremental_statistics(spark, sf):
 @query("""SELECT strftime(ts, '%Y-%m') AS month, event_type, round(sum(value), 3) AS sum, count(value) AS count FROM events GROUP BY 1, 2""")
 def monthly_stream(spark, sf):
     """Sums by calendar month kept by a stream; an update of a month replaces what was published of it before."""
-    folder, source = _scratch(spark), table(spark, sf, "events")
+    folder, source = scratch_dir(spark), table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]")
 
     def publish(batch: DataFrame, number: int) -> None:
@@ -234,13 +225,19 @@ def monthly_stream(spark, sf):
     return newest.select(F.date_format("month", "yyyy-MM").alias("month"), "event_type", r(F.col("s.sum"), 3).alias("sum"), "s.count")
 
 
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as points, balance by nation, in tiles of 1,000 by 5."""
+    points = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return Z.with_tiles(points, "x", "y", 1000.0, 5.0)
+
+
 @query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_acctbal < 6000 AND c_nationkey BETWEEN 3 AND 11 AND c_acctbal <> 3000
   OR c_acctbal > 3000 AND c_acctbal < 9000 AND c_acctbal <> 6000 AND c_nationkey BETWEEN 9 AND 19""")
 def polygon_union(spark, sf):
     """Points in either of two polygons that overlap: what lies in both is inside."""
     box = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]
-    area = [box(0.0, 2.5, 6000.0, 11.5), box(3000.0, 8.5, 9000.0, 19.5)]
-    return table(spark, sf, "customer").where(G.in_polygon(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), area)).where("c_acctbal NOT IN (0, 3000, 6000, 9000)").select("c_custkey")
+    index = Z.tile_index(Z.features_of(spark, [[box(0.0, 2.5, 6000.0, 11.5), box(3000.0, 8.5, 9000.0, 19.5)]]), 1000.0, 5.0)
+    return Z.within(_customers(spark, sf), index, "x", "y").where("x NOT IN (0, 3000, 6000, 9000)").select("c_custkey")
 
 
 # Projections and masks
@@ -286,14 +283,29 @@ def any_all_defined(spark, sf):
     return j.agg(F.count(F.lit(1)).alias("pixels"), F.count_if(C.any_defined([q.cast("long"), t.cast("long"), n])).alias("any_band"), F.count_if(C.all_defined([q, t, n])).alias("every_band"), F.count_if(C.any_defined([n, t.cast("long")])).alias("eligible"), F.count_if(C.in_reference_sample(q)).alias("reference_sample"), F.count_if(C.in_reference_map(q)).alias("reference_map"))
 
 
-@query("""WITH a AS (SELECT doc_id, n_chars, quality, toxic, CAST(quality IS NULL AS INT) + CAST(toxic IS NULL AS INT) + CAST(n_chars IS NULL AS INT) AS missing FROM documents LEFT JOIN labels USING (doc_id)),
-b AS (SELECT *, n_chars > 600 AS target, missing / 3.0 <= 0.5 AS enough FROM a)
-SELECT doc_id, missing, CASE WHEN NOT coalesce(target, false) THEN 255 WHEN NOT enough THEN 1 WHEN missing > 0 THEN 2 ELSE 0 END AS status FROM b""")
+_STATUS_SQL = """WITH a AS (SELECT doc_id, lang, n_chars, quality, toxic, CAST(quality IS NULL AS INT) + CAST(toxic IS NULL AS INT) + CAST(n_chars IS NULL AS INT) AS missing FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(_STATUS_SQL + """ SELECT doc_id, missing, CASE WHEN NOT coalesce(n_chars > 600, false) THEN 255 WHEN missing = 3 THEN 0 WHEN missing / 3.0 > 0.5 THEN 1 ELSE 2 END AS status FROM a""")
 def status_case(spark, sf):
+    """Outside of the area, no target, too few predictors, predicted: without a mask any predictor makes a target."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     bands = [F.col(c) for c in ("quality", "toxic", "n_chars")]
-    missing = C.missing_count(bands)
-    return rows.select("doc_id", missing.alias("missing"), C.status(F.col("n_chars") > 600, C.usable(bands, 0.5), missing).alias("status"))
+    inside = F.col("n_chars") > 600
+    return rows.select("doc_id", C.missing_count(bands).alias("missing"), C.status(inside, C.target_pixels(inside, [b.cast("long") for b in bands]), C.usable(bands, 0.5)).alias("status"))
+
+
+@query(_STATUS_SQL + """, b AS (SELECT *, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 0 WHEN 'fr' THEN 2 END AS mask, CAST(quality IS NULL AS INT) + CAST(toxic IS NULL AS INT) AS lost FROM a),
+c AS (SELECT *, CASE WHEN n_chars <= 600 THEN 255 WHEN coalesce(mask <> 1, true) THEN 0 WHEN lost = 2 THEN 1 ELSE 2 END AS status FROM b)
+SELECT status, count(*) AS pixels, count(CASE WHEN status IN (1, 2) AND lost > 0 THEN 1 END) AS imputed FROM c GROUP BY 1""")
+def masked_target_status(spark, sf):
+    """With a mask its ones alone are targets, those without any predictor as well; other values and no value are not."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    mask = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 0).when(F.col("lang") == "fr", 2)
+    bands, inside = [F.col("quality").cast("long"), F.col("toxic").cast("long")], F.col("n_chars") > 600
+    target = C.target_pixels(inside, bands, mask)
+    rows = rows.select(C.status(inside, target, C.usable(bands, 0.5)).alias("status"), F.when(target, C.missing_count(bands)).alias("lost"))
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("lost") > 0).alias("imputed"))
 
 
 @query("""WITH s AS (SELECT ps AS p, 1 - ps AS s, o_orderkey FROM (SELECT o_orderkey, o_totalprice / 500000 AS ps FROM orders))
@@ -355,21 +367,56 @@ def nearest_cell_mask(spark, sf):
 
 #: An area with a hole and a notch, over account balances and nation numbers.
 AREA = [[(-500.0, -0.5), (9000.0, -0.5), (9000.0, 20.3), (4200.0, 9.7), (-500.0, 20.3), (-500.0, -0.5)], [(1000.0, 2.5), (3000.0, 2.5), (3000.0, 7.5), (1000.0, 7.5), (1000.0, 2.5)]]
-_CROSSINGS = " + ".join(f"CAST(({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay}) + {ax} AS INT)" for ax, ay, bx, by in (tuple(f"({v}::DOUBLE)" for v in e) for e in G.edges(AREA)))
+_SIDES = [(*a, *b) for ring in AREA for a, b in zip(ring, ring[1:]) if a[1] != b[1]]
+_CROSSINGS = " + ".join(f"CAST(({ay} > y) <> ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay}) + {ax} AS INT)" for ax, ay, bx, by in (tuple(f"({v}::DOUBLE)" for v in e) for e in _SIDES))
 
 
 @query(f"SELECT c_custkey FROM (SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer) WHERE ({_CROSSINGS}) % 2 = 1")
 def point_in_polygon(spark, sf):
-    return table(spark, sf, "customer").where(G.in_polygon(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), AREA)).select("c_custkey")
+    """Points in an area with a hole and a notch; inner tiles are taken whole."""
+    return Z.within(_customers(spark, sf), Z.tile_index(Z.features_of(spark, [[AREA]]), 1000.0, 5.0), "x", "y").select("c_custkey")
 
 
 @query(f"""WITH p AS (SELECT CAST(floor(c_acctbal / 1000.0) AS BIGINT) AS tile_col, CAST(floor(c_nationkey / 5.0) AS BIGINT) AS tile_row, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)
 SELECT tile_col, tile_row, count(*) AS pixels FROM p WHERE ({_CROSSINGS}) % 2 = 1 GROUP BY 1, 2""")
 def tiles_in_area(spark, sf):
     """Pixels in the area by tile, with only the tiles that intersect it read."""
-    tiles = G.polygon_tiles(spark, [[(x / 1000.0, y / 5.0) for x, y in ring] for ring in AREA], 1.0)
-    rows = table(spark, sf, "customer").select(G.block_index(F.col("c_acctbal"), 1000).alias("tile_col"), G.block_index(F.col("c_nationkey"), 5).alias("tile_row"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
-    return rows.join(tiles, ["tile_col", "tile_row"], "left_semi").where(G.in_polygon(F.col("x"), F.col("y"), AREA)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"))
+    index = Z.tile_index(Z.features_of(spark, [[AREA]]), 1000.0, 5.0)
+    rows = _customers(spark, sf).join(Z.polygon_tiles(index, 1000.0, 5.0), ["tile_col", "tile_row"], "left_semi")
+    return Z.within(rows, index, "x", "y").groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+def _hexagons(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve features for each supplier: hexagons by its balance, every third one with a hole."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.explode(F.array(*map(F.lit, range(12)))).alias("k"))
+    cx, cy, size = F.col("s_acctbal") + F.col("k") * 613.0, F.pmod(F.col("s_suppkey") * 37 + F.col("k") * 11, F.lit(3000)) + 0.37, 150.0 + F.col("s_nationkey") * 9 + F.col("k") * 31
+    ring = lambda r, ys: F.array(*(F.struct((cx + r * dx).alias("x"), (cy + r * dy * ys).alias("y")) for dx, dy in ((1.0, 0.0), (0.5, 0.75), (-0.5, 0.75), (-1.0, 0.0), (-0.5, -0.75), (0.5, -0.75), (1.0, 0.0))))
+    polygon = F.when(F.col("s_suppkey") % 3 == 0, F.array(ring(size, 1.0), ring(size * 0.5, 1.0))).otherwise(F.array(ring(size, 1.0)))
+    return rows.select((F.col("s_suppkey") * 12 + F.col("k")).cast("long").alias("feature"), F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("properties"), F.array(polygon).alias("polygons"))
+
+
+_HEXAGON_SQL = """
+WITH f AS (SELECT s_suppkey * 12 + k AS feature, s_nationkey, s_suppkey % 3 = 0 AS holed, s_acctbal + k * 613.0::DOUBLE AS cx, (s_suppkey * 37 + k * 11) % 3000 + 0.37::DOUBLE AS cy, 150.0::DOUBLE + s_nationkey * 9 + k * 31 AS size FROM supplier, (SELECT unnest(range(12))::INT AS k)),
+h AS (SELECT feature, s_nationkey, cx, cy, size, false AS inner_ring FROM f UNION ALL SELECT feature, s_nationkey, cx, cy, size * 0.5, true FROM f WHERE holed),
+v AS (SELECT *, unnest([1.0, 0.5, -0.5, -1.0, -0.5, 0.5]::DOUBLE[]) AS dx, unnest([0.0, 0.75, 0.75, 0.0, -0.75, -0.75]::DOUBLE[]) AS dy, unnest([0.5, -0.5, -1.0, -0.5, 0.5, 1.0]::DOUBLE[]) AS ex, unnest([0.75, 0.75, 0.0, -0.75, -0.75, 0.0]::DOUBLE[]) AS ey FROM h),
+e AS (SELECT feature, cx + size * dx AS px, cy + size * dy AS py, cx + size * ex AS qx, cy + size * ey AS qy, min(cx - size) OVER (PARTITION BY feature) AS x0, max(cx + size) OVER (PARTITION BY feature) AS x1, inner_ring FROM v),
+p AS (SELECT p_partkey, p_retailprice * 8 - 2000 AS x, CAST(p_partkey % 3001 AS DOUBLE) AS y, p_size AS v FROM part),
+i AS (SELECT p_partkey, v, feature FROM p JOIN e ON x >= x0 AND x <= x1 AND ((py > y) <> (qy > y)) AND x < (qx - px) * (y - py) / (qy - py) + px GROUP BY p_partkey, v, feature HAVING count(*) % 2 = 1)
+"""
+
+
+def _parts_in_hexagons(spark: SparkSession, sf: str) -> DataFrame:
+    points = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 8 - 2000).alias("x"), (F.col("p_partkey") % 3001).cast("double").alias("y"), F.col("p_size").alias("v"))
+    return Z.features_at(Z.with_tiles(points, "x", "y", 256.0), Z.tile_index(_hexagons(spark, sf), 256.0), "x", "y")
+
+
+@query(_HEXAGON_SQL + """, a AS (SELECT feature, sum(CASE WHEN inner_ring THEN -abs(s) ELSE abs(s) END) AS area FROM (SELECT feature, inner_ring, sum((px - 0) * qy - qx * py) / 2 AS s FROM e GROUP BY 1, 2) GROUP BY 1)
+SELECT feature, CAST(count(p_partkey) AS BIGINT) AS pixels, CAST(coalesce(sum(v), 0) AS BIGINT) AS total, round(area, 2) AS area FROM a LEFT JOIN i USING (feature) GROUP BY feature, area""")
+def pixels_by_feature(spark, sf):
+    """How many pixels each of many features has, those without any included, and its area."""
+    found = _parts_in_hexagons(spark, sf).groupBy("feature").agg(F.count(F.lit(1)).alias("pixels"), F.sum("v").alias("total"))
+    areas = _hexagons(spark, sf).select("feature", r(Z.shoelace(F.col("polygons")), 2).alias("area"))
+    return areas.join(found, "feature", "left").select("feature", F.coalesce("pixels", F.lit(0)).cast("long").alias("pixels"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "area")
 
 
 _PROJECTION_SQL = """
@@ -597,7 +644,25 @@ def mahalanobis_percentile(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_totalprice") - 250000) / 100000).alias("a"), ((F.col("o_custkey") % 97).cast("double") / 40 - 1).alias("b"), (1 + F.col("o_orderkey") % 3).cast("double").alias("w"), (F.col("o_orderpriority") == "1-URGENT").alias("ref"))
     c = SC.centre(rows.where("ref"), ["a", "b"], "w", 0.1)
     scored = rows.withColumn("distance", r(c.distance([F.col("a"), F.col("b")]), 6))
-    return WT.with_share_below(scored, "distance", F.when(F.col("ref"), F.col("w")), "p").select("o_orderkey", "distance", r(F.col("p"), 6).alias("percentile"))
+    return SC.with_percentile(scored, "distance", WT.ecdf(scored.where("ref"), "distance", F.col("w"))).select("o_orderkey", "distance", r(F.col("percentile"), 6).alias("percentile"))
+
+
+_PRICES_SQL = "WITH s AS (SELECT l_extendedprice AS d_at, sum(l_quantity) AS w FROM lineitem GROUP BY 1), e AS (SELECT d_at, CASE WHEN d_at = max(d_at) OVER () THEN 1.0 ELSE sum(w) OVER (ORDER BY d_at) / sum(w) OVER () END AS fraction FROM s)"
+
+
+@query(f"{_PRICES_SQL} SELECT o_orderkey, round(coalesce(fraction, 0), 9) AS percentile FROM orders ASOF LEFT JOIN e ON o_totalprice * 0.3 >= d_at")
+def asof_percentile(spark, sf):
+    """Where each order's value lies in the distribution of another table's prices: an as-of join by ranges of values."""
+    prices = WT.ecdf(table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("distance"), "l_quantity"), "distance", F.col("l_quantity"))
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 0.3).alias("v"))
+    return SC.with_percentile(rows, "v", prices).select("o_orderkey", r(F.col("percentile"), 9).alias("percentile"))
+
+
+@query(f"{_PRICES_SQL} SELECT {', '.join(f'min(CASE WHEN fraction >= {q} THEN d_at END) AS p{round(q * 100)}' for q in (0.5, 0.9, 0.95, 0.99))} FROM e")
+def ecdf_quantiles(spark, sf):
+    """The first values whose cumulative share reaches 50, 90, 95 and 99 percent."""
+    prices = WT.ecdf(table(spark, sf, "lineitem"), "l_extendedprice", F.col("l_quantity"))
+    return WT.ecdf_quantiles(prices, "l_extendedprice", "fraction", (0.5, 0.9, 0.95, 0.99))
 
 
 @query("""WITH d AS (SELECT l_returnflag, CAST(CAST((l_extendedprice - CAST(CAST(l_quantity * 1500 AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS dv FROM lineitem), z AS (SELECT l_returnflag, CAST(CAST(dv / 20000 AS FLOAT) AS DOUBLE) AS z FROM d)

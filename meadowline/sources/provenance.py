@@ -29,9 +29,9 @@ def content_fingerprint(df: DataFrame) -> str:
     return digest([r.n, str(r.a), str(r.b)])
 
 
-def inference_fingerprint(analysis: Analysis, tiles: str, models: Sequence[ResponseModel], calibration: Calibration, mask: str | None = None) -> str:
-    """Of all that changes scored pixels; worker and window settings do not. The mask counts by its content."""
-    return digest({"raster": analysis.raster_fingerprint(), "tiles": tiles, "models": [m.to_json() for m in models], "calibration": calibration.to_json(), "mask": mask, "missing": analysis.section("model")["maximum_row_missing_fraction"]})
+def inference_fingerprint(analysis: Analysis, tiles: str, models: Sequence[ResponseModel], calibration: Calibration, distances: str, mask: str | None = None) -> str:
+    """Of all that changes scored pixels; worker and window settings do not. Distances, area and mask count by their content."""
+    return digest({"distances": distances, "raster": analysis.raster_fingerprint(), "tiles": tiles, "models": [m.to_json() for m in models], "calibration": calibration.to_json(), "mask": mask, "missing": analysis.section("model")["maximum_row_missing_fraction"]})
 
 
 def done_tiles(spark: SparkSession, output: str, fingerprint: str, columns: Sequence[str]) -> DataFrame | None:

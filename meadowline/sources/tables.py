@@ -4,43 +4,44 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowline.functions.columns import valid
-from meadowline.functions.grid import tile_id
+from meadowline.functions.grid import Grid, epsg, project, tile_id
 from meadowline.operators.models import ResponseModel
 
-Polygon = list[list[tuple[float, float]]]
+_GEOMETRY = "type: string, coordinates: string"
+_COLLECTION = f"type string, crs struct<properties:struct<name:string>>, properties map<string,string>, coordinates string, geometry struct<{_GEOMETRY}, geometries:array<struct<{_GEOMETRY}>>>, geometries array<struct<{_GEOMETRY}>>, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string,geometries:array<struct<{_GEOMETRY}>>>>>"
+_RING = "array<array<double>>"
 
 
-def read_area(spark: SparkSession, path: str) -> list[Polygon]:
-    """The polygons of a GeoJSON file, each a list of rings, in its coordinates. The area is their union."""
-    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small document
-    found: list[Polygon] = []
+def read_features(spark: SparkSession, path: str, target: str, whole: bool = True) -> DataFrame:
+    """feature, properties and polygons of a GeoJSON file, in the coordinates of ``target``; each feature in one row.
 
-    def walk(node: dict) -> None:
-        kind = node.get("type")
-        if kind == "FeatureCollection":
-            for f in node["features"]:
-                walk(f)
-        elif kind == "Feature":
-            walk(node["geometry"])
-        elif kind == "GeometryCollection":
-            for g in node["geometries"]:
-                walk(g)
-        elif kind in ("Polygon", "MultiPolygon"):
-            for polygon in [node["coordinates"]] if kind == "Polygon" else node["coordinates"]:
-                found.append([[(float(p[0]), float(p[1])) for p in ring] for ring in polygon])
-        else:
-            raise ValueError(f"an area of interest has polygons only, not {kind}")
+    Coordinates are degrees unless the file's ``crs`` names another system; the points of rings are projected, and edges are
+    straight between them. With ``whole`` false the file has a feature on each line, so that it is read in parts. Anything but
+    closed rings of four points at least raises."""
+    lines = spark.read.text(path, wholetext=whole).where(F.length(F.trim("value")) > 0)
+    doc = lines.select(F.from_json("value", _COLLECTION).alias("d")).select("d.*")
+    own = F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.coalesce("geometry.type", "type").alias("type"), F.coalesce("geometry.coordinates", "coordinates").alias("coordinates"), F.coalesce("geometry.geometries", "geometries").alias("geometries")).alias("geometry"))
+    rows = doc.select(F.coalesce("crs.properties.name", F.lit("EPSG:4326")).alias("crs"), F.posexplode(F.coalesce("features", F.array(own))).alias("_at", "_f"))
+    shapes = F.when(F.col("_f.geometry.type") == "GeometryCollection", F.col("_f.geometry.geometries")).otherwise(F.array(F.struct("_f.geometry.type", "_f.geometry.coordinates")))
+    single, many = (lambda g: F.array(F.from_json(g.coordinates, f"array<{_RING}>"))), (lambda g: F.from_json(g.coordinates, f"array<array<{_RING}>>"))
+    rings = F.flatten(F.transform(shapes, lambda g: F.when(g.type == "Polygon", single(g)).when(g.type == "MultiPolygon", many(g))))
+    found = rows.select("crs", (F.monotonically_increasing_id() if not whole else F.col("_at").cast("long")).alias("feature"), F.coalesce("_f.properties", F.create_map().cast("map<string,string>")).alias("properties"), rings.alias("_rings"))
+    bad = F.exists("_rings", lambda p: (F.size(p) < 1) | F.exists(p, lambda ring: (F.size(ring) < 4) | (F.element_at(ring, 1) != F.element_at(ring, -1)) | F.exists(ring, lambda q: F.coalesce(F.size(q) < 2, F.lit(True)))))
+    seen = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce((F.size("_rings") < 1) | bad, F.lit(True))).alias("bad"), F.collect_set("crs").alias("crs")).collect()[0]
+    if not seen.n or seen.bad or len(seen.crs) != 1:
+        raise ValueError("an area needs polygons only, with closed rings of four points at least, in one coordinate system")
 
-    walk(json.loads(text))
-    if not found or any(not polygon or len(ring) < 4 or ring[0] != ring[-1] for polygon in found for ring in polygon or [[]]):
-        raise ValueError("an area of interest needs closed rings of three points at least")
-    return found
+    def moved(q: Column) -> Column:
+        x, y = project(F.get(q, 0), F.get(q, 1), seen.crs[0], target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return found.select("feature", "properties", F.transform("_rings", lambda p: F.transform(p, lambda ring: F.transform(ring, moved))).alias("polygons"))
 
 
 def read_pixels(spark: SparkSession, path: str, bands: Sequence[str] | None = None, keys: Sequence[str] = ("tile_col", "tile_row", "local_row", "local_col")) -> DataFrame:
@@ -50,6 +51,26 @@ def read_pixels(spark: SparkSession, path: str, bands: Sequence[str] | None = No
     return df.select(*keys, *(valid(F.col(b).cast("double")).alias(b) for b in bands))
 
 
+def read_mask(spark: SparkSession, path: str) -> tuple[DataFrame, Grid | None]:
+    """A mask and its grid: a pixel table, whose grid is the analysis' own (None), or a table of row, col and mask whose grid is
+    described in a JSON record beside it."""
+    df = spark.read.parquet(path)
+    if {"row", "col"} <= set(df.columns):
+        record = json.loads("".join(r.value for r in spark.read.text(f"{path}.grid").collect()))
+        grid = Grid(record["crs"], *(float(record[k]) for k in ("left", "top", "width", "height")))
+        epsg(grid.crs)
+        if not (grid.width > 0 and grid.height > 0):
+            raise ValueError(f"{path}: cells need a positive size")
+        return df.select("row", "col", "mask"), grid
+    return df.select("tile_col", "tile_row", "local_row", "local_col", "mask"), None
+
+
+def write_mask(mask: DataFrame, path: str, grid: Grid) -> None:
+    """A mask on a grid of its own: row, col, mask, and the grid's record."""
+    mask.select("row", "col", "mask").write.mode("overwrite").parquet(path)
+    mask.sparkSession.createDataFrame([(json.dumps(asdict(grid), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.grid")
+
+
 def write_pixels(df: DataFrame, path: str) -> None:
     """One folder per tile; writing a tile again replaces just that one."""
     df.repartition("tile_col", "tile_row").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tile_col", "tile_row").parquet(path)

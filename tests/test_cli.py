@@ -23,8 +23,9 @@ def test_all_stages(spark, tmp_path):
         text = text.replace(f'{old} = "', f'{new} = "').replace(f'sources = ["{old}"]', f'sources = ["{new}"]')
     text = text.replace("[sampling]", 'human_influence = "E"\nhuman_modification = "F"\n[sampling]')
     (tmp_path / "a.toml").write_text(text)
+    crs = {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::6933"}}
     ring = [[0, 0], [39999, 0], [39999, 39999], [0, 39999], [0, 0]]
-    (tmp_path / "area.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": [ring]}))
+    (tmp_path / "area.geojson").write_text(json.dumps({"type": "Polygon", "crs": crs, "coordinates": [ring]}))
     cells = [(t, u, i, j, ((t * 2 + u) * 20 + i) * 20 + j) for t in (0, 1) for u in (0, 1) for i in range(20) for j in range(20)]
     put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{root}/sources/{name}")
     put("spine", cells, "tile_col long, tile_row long, local_row long, local_col long, pixel long")
@@ -49,7 +50,7 @@ def test_all_stages(spark, tmp_path):
     for _ in range(2):  # the second run finds all tiles scored
         cli.main(["apply", definition, f"{root}/run", "--cache", f"{root}/cache", "--output", f"{root}/map"])
     out = spark.read.parquet(f"{root}/map/pixels").toPandas()
-    assert len(out) == len(cells) and (out.status == 0).all()
+    assert len(out) == len(cells) and (out.status == 2).all()
     reference = out.y2018_d01_reference == 1
     assert out[~reference].percentile.mean() > 0.95 and math.isclose(out[reference].percentile.mean(), 0.5, abs_tol=0.25)
     # A damaged tile is made again, and a refresh leaves one entry a tile that counts.
@@ -65,14 +66,30 @@ def test_all_stages(spark, tmp_path):
     assert tables.newest(spark.read.parquet(f"file://{stack}/manifest")).count() == 4
     # An area with a hole and a mask take targets away.
     hole = [[5000, 5000], [5000, 9000], [9000, 9000], [9000, 5000], [5000, 5000]]
-    (tmp_path / "part.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": [ring, hole]}))
+    (tmp_path / "part.geojson").write_text(json.dumps({"type": "Polygon", "crs": crs, "coordinates": [ring, hole]}))
     keys = ["tile_col", "tile_row", "local_row", "local_col"]
     spark.read.parquet(f"{root}/map/pixels").select(*keys, F.when(F.col("local_col") == 3, 0).otherwise(1).alias("mask")).write.parquet(f"{root}/mask")
     (tmp_path / "b.toml").write_text(text.replace("[inference]", '[inference]\napplication_mask_path = "mask"\napplication_mask_label = "open land"'))
     cli.main(["apply", str(tmp_path / "b.toml"), f"{root}/run", "--cache", f"{root}/cache", "--output", f"{root}/part", "--area", f"{root}/part.geojson"])
     part = spark.read.parquet(f"{root}/part/pixels").toPandas()
     masked = part.local_col == 3
-    assert len(part) == len(cells) and (part[masked].status == 255).all() and part[part.status == 255].missing_predictors.isna().all()
-    assert (part[~masked].status == 255).sum() == 16 and (part[part.status == 0].percentile.notna()).all()
+    outside = part.status == 255
+    assert len(part) == len(cells) and outside.sum() == 16 and (part[masked & ~outside].status == 0).all() and part[part.status != 2].missing_predictors.isna().all()
+    assert (part[~masked & ~outside].status == 2).all() and part[part.status == 2].percentile.notna().all() and part[part.status != 2].percentile.isna().all()
     summary = spark.read.option("header", True).csv(f"{root}/part/response_statistics").collect()
-    assert {int(r.expected) for r in summary} == {(part.status != 255).sum()}
+    assert {int(r.expected) for r in summary} == {(part.status == 2).sum()}
+    counts = spark.read.option("header", True).csv(f"{root}/part/status").collect()[0]
+    assert [int(counts[k]) for k in ("area", "outside_target", "target", "predicted")] == [len(cells) - 16, (part.status == 0).sum(), (part.status == 2).sum(), (part.status == 2).sum()]
+    quantiles = spark.read.option("header", True).csv(f"{root}/part/distance_quantiles").collect()[0]
+    assert 0 < float(quantiles.p50) < float(quantiles.p90) <= float(quantiles.p99)
+    assert spark.read.parquet(f"{root}/part/display").agg(F.sum("value_count").alias("n")).collect()[0].n == (part.status == 2).sum()
+    # A coarse mask on a grid in degrees: of its cells, half a degree wide, one holds all pixels.
+    from meadowline.functions.grid import Grid
+
+    put_mask = lambda rows, name: tables.write_mask(spark.createDataFrame(rows, "row long, col long, mask int"), f"{root}/{name}", Grid("EPSG:4326", -0.25, 0.75, 0.5, 0.5))
+    put_mask([(0, 0, 1), (1, 0, 1), (0, 1, 1), (1, 1, 0)], "coarse")
+    (tmp_path / "c.toml").write_text(text.replace("[inference]", '[inference]\napplication_mask_path = "coarse"\napplication_mask_label = "open land"'))
+    cli.main(["apply", str(tmp_path / "c.toml"), f"{root}/run", "--cache", f"{root}/cache", "--output", f"{root}/coarse_map"])
+    coarse = spark.read.parquet(f"{root}/coarse_map/pixels").selectExpr("status", "(tile_col * 20 + local_col + 0.5) * 1000 AS x", "-(-(tile_row + 1) * 20 + local_row + 0.5) * 1000 AS y").toPandas()
+    east, south = coarse.x > 0.25 * 111319.49 * 0.8676, coarse.y < 0.25 * 110574 * 1.1507
+    assert set(coarse[east & south].status) == {0} and set(coarse[~(east & south)].status) == {2}

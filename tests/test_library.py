@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meadowline.functions import columns as C
 from meadowline.functions import grid as G
-from meadowline.operators import folds, models, sampling, scoring, temporal, weighted
+from meadowline.operators import folds, models, sampling, scoring, temporal, weighted, zones
 from meadowline.operators.distance import nearest_flagged
 from meadowline.operators.lookup import point_values
 from meadowline.plans import bands, stages
@@ -78,28 +78,82 @@ def test_points_take_the_pixel_they_lie_in(spark):
 
 def test_tiles_of_an_area(spark):
     box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
-    ids = lambda polygon, size: [r.t for r in G.polygon_tiles(spark, polygon, size).select(G.tile_id(F.col("tile_col"), F.col("tile_row")).alias("t")).collect()]
-    assert ids(box(-30, 20, 70, 90), 50) == [f"x{c:+07d}_y{r:+07d}" for r in (1, 0) for c in (-1, 0, 1)]
-    assert ids(box(50, 50, 100, 150), 50) == ["x+000001_y+000002", "x+000001_y+000001"]  # edges that touch do not count
+    tiles = lambda area, size: zones.polygon_tiles(zones.tile_index(zones.features_of(spark, [area]), size), size)
+    ids = lambda area, size: [r.t for r in tiles(area, size).select(G.tile_id(F.col("tile_col"), F.col("tile_row")).alias("t")).collect()]
+    assert ids([box(-30, 20, 70, 90)], 50) == [f"x{c:+07d}_y{r:+07d}" for r in (1, 0) for c in (-1, 0, 1)]
+    assert ids([box(50, 50, 100, 150)], 50) == ["x+000001_y+000002", "x+000001_y+000001"]  # edges that touch do not count
     assert ids([box(10, 10, 60, 60), box(40, 40, 110, 60)], 50) == [f"x{c:+07d}_y{r:+07d}" for r in (1, 0) for c in (0, 1, 2)]
+    assert ids([box(10, 10, 400, 400)], 50) == [f"x{c:+07d}_y{r:+07d}" for r in range(7, -1, -1) for c in range(8)]  # also those that no edge passes
     triangle = [[(0, 0), (8000, 8000), (0, 8000), (0, 0)]]
-    assert set(ids(triangle, 4000)) == {"x+000000_y+000001", "x+000001_y+000001", "x+000000_y+000000"}
-
-
-def test_polygon_with_hole(spark):
-    polygon = [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]]
-    points = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (3.5, 2.0), (5.0, 1.0)], "x double, y double")
-    assert [(r.x, r.y) for r in points.where(G.in_polygon(F.col("x"), F.col("y"), polygon)).collect()] == [(0.5, 0.5), (3.5, 2.0)]
+    assert set(ids([triangle], 4000)) == {"x+000000_y+000001", "x+000001_y+000001", "x+000000_y+000000"}
+
+
+def crossings(x, y, polygon):
+    sides = [(a, b) for ring in polygon for a, b in zip(ring, [*ring[1:], ring[0]])]
+    return sum(((a[1] > y) != (b[1] > y)) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides)
+
+
+@pytest.mark.parametrize("size", [0.7, 3.0, 40.0])
+def test_points_in_many_polygons_equal_brute_force(spark, size):
+    """Rings of any shape, also ones that cross themselves, with holes, horizontal edges, several polygons, in tiles of any size."""
+    rng = random.Random(17)
+    star = lambda x, y, n, far: [(x + (d := rng.uniform(0.2, far)) * math.cos(2 * math.pi * i / n), y + d * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    close = lambda ring: [*ring, ring[0]]
+    areas = [[[close(star(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.randrange(3, 30), rng.choice([1, 4, 12])))] for _ in range(rng.choice([1, 1, 3]))] for _ in range(40)]
+    areas.append([[[(-8, -8), (8, -8), (8, 8), (-8, 8), (-8, -8)], [(-4, -4), (4, -4), (4, 4), (-4, 4), (-4, -4)]], [[(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]]])
+    areas.append([[close([(rng.choice([-6, -2, 0, 3, 7]), rng.choice([-6, -2, 0, 3, 7])) for _ in range(12)])]])
+    points = [(i, rng.choice([float(rng.randrange(-9, 9)), rng.uniform(-10, 10)]), rng.choice([float(rng.randrange(-9, 9)), rng.uniform(-10, 10)])) for i in range(500)] + [(900, None, 1.0)]
+    df = zones.with_tiles(spark.createDataFrame(points, "i int, x double, y double"), "x", "y", size)
+    index = zones.tile_index(zones.features_of(spark, areas), size)
+    want = {(i, k) for i, x, y in points[:-1] for k, area in enumerate(areas) if any(crossings(x, y, p) % 2 for p in area)}
+    got = [(r.i, r.feature) for r in zones.features_at(df, index, "x", "y").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    inside = {i for i, _ in want}
+    assert sorted(r.i for r in zones.within(df, index, "x", "y").collect()) == sorted(inside)
+    assert {r.i: r.inside for r in zones.within(df, index, "x", "y", "inside").collect()} == {i: i in inside for i, *_ in points}
+    if size < 1:
+        assert index.where("NOT cut").count() > 100
+
+
+def test_features_by_area(spark):
+    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d), (a, b)]
+    areas = [[[box(0, 0, 10, 10), box(1, 1, 3, 2)]], [[box(0, 0, 2, 3)[::-1]]], [[box(0, 0, 1, 1)], [box(5, 5, 7, 8)]], [[box(0, 0, 2, 3)]]]
+    got = zones.by_area(zones.features_of(spark, areas)).orderBy("number").collect()
+    assert [(r.feature, r.area, r.number) for r in got] == [(1, 6.0, 1), (3, 6.0, 2), (2, 7.0, 3), (0, 98.0, 4)]
+
+
+def test_index_puts_no_edge_into_the_plan(spark):
+    ring = [(1234.5 * math.cos(k / 50), 1234.5 * math.sin(k / 50)) for k in range(315)]
+    points = zones.with_tiles(spark.range(10).selectExpr("id * 1.0D AS x", "id * 1.0D AS y"), "x", "y", 100)
+    plan = zones.within(points, zones.tile_index(zones.features_of(spark, [[[[*ring, ring[0]]]]]), 100), "x", "y")._jdf.queryExecution().toString()
+    assert "1234.5" not in plan and str(ring[7][0]) not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_projections_there_and_back(spark):
+    places = [(float(lon), float(lat)) for lon in (-179.5, -20, 0, 25, 179.9) for lat in (-89.5, -60, -30, 0, 12, 60, 84)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    for crs in ("EPSG:6933", "EPSG:8857", "EPSG:3857", "urn:ogc:def:crs:OGC:1.3:CRS84"):
+        x, y = G.project(F.col("lon"), F.col("lat"), "EPSG:4326", crs)
+        moved = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+        lon, lat = G.project(F.col("x"), F.col("y"), crs, "EPSG:4326")
+        for r in moved.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
+            assert (r.a, r.b) == (pytest.approx(r.lon, abs=1e-6), pytest.approx(r.lat, abs=1e-6)), crs
+    # From one equal-area system to the other directly, and through degrees.
+    x, y = G.project(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:6933")
+    a, b = G.cylindrical_to_equal_earth(x, y)
+    c, d = G.project(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:8857")
+    for r in df.select(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).collect():
+        assert (r.a, r.b) == (pytest.approx(r.c, abs=1e-3), pytest.approx(r.d, abs=1e-3))
+    lon, lat = G.equal_earth_to_lonlat(F.lit(17243959.06), F.lit(0.0))  # the easternmost point of the equator
+    assert (one(spark, lon), one(spark, lat)) == (pytest.approx(180, abs=1e-5), pytest.approx(0, abs=1e-9))
+    assert one(spark, G.equal_earth_to_lonlat(F.lit(0.0), F.lit(9e6))[1]) is None
+    with pytest.raises(ValueError):
+        G.epsg("EPSG:32633")
 
 
-def test_polygons_that_overlap_are_united(spark):
-    box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
-    rng = random.Random(5)
-    points = spark.createDataFrame([(rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(500)], "x double, y double")
-    area = [box(0, 0, 5, 5), box(3, 3, 8, 8), [*box(2, 0, 6, 2), *box(3, 0.5, 4, 1.5)]]
-    inside = lambda p: 0 < p.x < 5 and 0 < p.y < 5 or 3 < p.x < 8 and 3 < p.y < 8 or 2 < p.x < 6 and 0 < p.y < 2 and not (3 < p.x < 4 and 0.5 < p.y < 1.5)
-    got = points.where(G.in_polygon(F.col("x"), F.col("y"), area)).collect()
-    assert sorted(map(tuple, got)) == sorted(tuple(p) for p in points.collect() if inside(p))
+def test_steps_of_the_inverse_do_not_grow_the_expression(spark):
+    lon, _ = G.equal_earth_to_lonlat(F.col("x"), F.col("y"))
+    assert len(spark.createDataFrame([(1.0, 2.0)], "x double, y double").select(lon)._jdf.queryExecution().optimizedPlan().toString()) < 15000
 
 
 def test_projections_return_and_keep_areas(spark):
@@ -198,15 +252,33 @@ def test_imputation(spark):
     assert models.imputation_values(df, ["p"], "landform", F.col("w")) == {"p": 6.5, "landform": 4.0}
 
 
-def test_share_below_equals_brute_force(spark):
+@pytest.mark.parametrize("range_rows", [1, 7, 50_000])
+def test_asof_equals_brute_force(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(weighted, "CELLS", 16)
     rng = random.Random(33)
-    rows = [(i, rng.choice([None, round(rng.uniform(0, 5), 1)]), rng.choice([None, 0.0, rng.uniform(0, 2)])) for i in range(400)]
-    df = spark.createDataFrame(rows, "i int, v double, w double")
-    total = sum(w or 0 for _, v, w in rows if v is not None)
-    for r in weighted.with_share_below(df, "v", F.col("w"), "p").collect():
-        assert r.p == (None if r.v is None else pytest.approx(sum(w or 0 for _, v, w in rows if v is not None and v <= r.v) / total))
-    steps = weighted.ecdf(df, "v", F.col("w")).orderBy("v").collect()
-    assert steps[-1].fraction == 1.0 and len(steps) == len({v for _, v, w in rows if v is not None and w})
+    known = sorted({rng.choice([round(rng.uniform(0, 5), 2), 1.25 + rng.random() * 1e-9, rng.expovariate(1) * 1000]) for _ in range(300)})
+    table = spark.createDataFrame([(v, float(k)) for k, v in enumerate(known)] + [(None, 5.0)], "d double, f double")
+    probes = [*known[::3], *(v - 1e-12 for v in known[::5]), -1.0, 1e9, None, None] + [rng.uniform(0, 6) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(probes)), "i int, v double")
+    for r in weighted.asof(rows, "v", table, "d", "f", "got").collect():
+        below = [k for k, d in enumerate(known) if r.v is not None and d <= r.v]
+        assert r.got == (below[-1] if below else None)
+    for few in ([], [(2.0, 0.5)], [(2.0, 0.5), (3.0, 1.0)]):
+        got = weighted.asof(rows.where("i < 5").select("i", F.lit(2.5).alias("v")), "v", spark.createDataFrame(few, "d double, f double"), "d", "f", "got").collect()
+        assert {r.got for r in got} == {0.5 if few else None}
+
+
+def test_ecdf_and_its_quantiles(spark):
+    rng = random.Random(34)
+    rows = [(rng.choice([None, round(rng.uniform(0, 5), 1)]), rng.choice([None, 0.0, float(rng.randrange(1, 4))])) for _ in range(400)]
+    steps = weighted.ecdf(spark.createDataFrame(rows, "v double, w double"), "v", F.col("w"))
+    known = sorted({v for v, w in rows if v is not None and w})
+    total = sum(w for v, w in rows if v is not None and w)
+    share = {v: sum(w for u, w in rows if u is not None and w and u <= v) / total for v in known}
+    assert {r.v: pytest.approx(r.fraction) for r in steps.collect()} == share and max(share.values()) == 1
+    got = weighted.ecdf_quantiles(steps, "v", "fraction", (0.5, 0.9, 1.0)).collect()[0]
+    assert [got.p50, got.p90, got.p100] == [min(v for v in known if share[v] >= q) for q in (0.5, 0.9, 1.0)]
 
 
 def test_average_rank_and_correlation(spark):
@@ -315,16 +387,19 @@ def test_calibration(spark):
     b += 0.4 * a
     w, site = rng.uniform(1, 4, n), (rng.random(n) < 0.7).astype(int)
     df = spark.createDataFrame([(int(s), *map(float, x)) for s, *x in zip(site, w, a, b)] + [(1, 3.0, None, 1.0)], "reference_site int, area_weight_m2 double, a double, b double")
-    c = scoring.calibrate(df.where("reference_site = 1"), ["a", "b"], "area_weight_m2", 0.25)
+    c, table = scoring.calibrate(df.where("reference_site = 1"), ["a", "b"], "area_weight_m2", 0.25)
     z, v = np.column_stack((a, b))[site == 1], w[site == 1]
     mean = (z * v[:, None]).sum(0) / v.sum()
     cov = ((z - mean) * v[:, None]).T @ (z - mean) / v.sum()
     assert np.allclose(c.mean, mean) and np.allclose(c.covariance, cov) and c.rows == len(z) and c.weight == pytest.approx(v.sum())
-    inverse = np.linalg.inv(0.75 * cov + 0.25 * np.diag(np.diag(cov)))
+    shrunken = 0.75 * cov + 0.25 * np.diag(np.diag(cov))
+    assert c.condition == pytest.approx(np.linalg.cond(cov)) and c.shrunken_condition == pytest.approx(np.linalg.cond(shrunken)) and c.shrunken_condition < c.condition
+    inverse = np.linalg.inv(shrunken)
     far = lambda x: float(np.sqrt((x - mean) @ inverse @ (x - mean)))
     c = scoring.Calibration.from_json(c.to_json())
     probes = [(2.0, -1.0), (0.0, 0.0), (9.0, 9.0), (None, 1.0)]
-    got = spark.createDataFrame(probes, "a double, b double").withColumn("d", c.distance([F.col("a"), F.col("b")])).withColumn("p", c.percentile(F.col("d"))).collect()
+    got = spark.createDataFrame(probes, "a double, b double").withColumn("d", c.distance([F.col("a"), F.col("b")]))
+    got = sorted(scoring.with_percentile(got, "d", table, "p").collect(), key=lambda r: probes.index((r.a, r.b)))
     near = np.array([far(x) for x in z])
     for r in got[:3]:
         d = far(np.array([r.a, r.b]))
@@ -443,12 +518,33 @@ def test_sampling_stage(spark, analysis):
     """Two tiles of 4 x 4 pixels in one block: at most three rows of each class, whose weights give the populations back."""
     cells = [(t, 0, i, j, float((t * 4 + j + i) % 3 == 0), 0.1 * (t * 4 + j) + 0.01 * i, 5.0 + i, float(i % 2)) for t in (0, 1) for i in range(4) for j in range(4)]
     pixels = spark.createDataFrame(cells, "tile_col int, tile_row int, local_row int, local_col int, " + ", ".join(f"{c} double" for c in analysis.band_names()))
-    area = [[(100.0, 100.0), (7900.0, 100.0), (7900.0, 3900.0), (100.0, 3900.0), (100.0, 100.0)]]
-    got = stages.build_sample(pixels, analysis, area).toPandas()
+    area = lambda x, y: zones.features_of(spark, [[[[(100.0, 100.0), (x, 100.0), (x, y), (100.0, y), (100.0, 100.0)]]]])
+    sample = stages.build_sample(pixels, analysis, area(7900.0, 3900.0))
+    got = sample.toPandas()
     assert len(got) == 6 and (got.groupby("reference_site").size() == 3).all()
     assert got.sampling_weight.sum() == pytest.approx(32) and "y2018_d01_reference" not in got
-    small = [[(100.0, 100.0), (1900.0, 100.0), (1900.0, 1900.0), (100.0, 1900.0), (100.0, 100.0)]]
-    assert stages.build_sample(pixels, analysis, small).toPandas().sampling_weight.sum() == pytest.approx(4)
+    assert stages.build_sample(pixels, analysis, area(1900.0, 1900.0)).toPandas().sampling_weight.sum() == pytest.approx(4)
+    full = {(r.tile_col, r.local_row, r.local_col): r for r in pixels.collect()}
+    for r in got.itertuples():
+        pixel = full[r.tile_col, r.local_row, r.local_col]
+        assert (r.y2018_d02_ndvi, r.y2018_d24_rain, r.y2018_d35_landform, r.reference_site) == (pixel.y2018_d02_ndvi, pixel.y2018_d24_rain, pixel.y2018_d35_landform, pixel.y2018_d01_reference)
+
+
+def test_sample_ranks_keys_and_reads_chosen_tiles(spark, analysis, tmp_path, monkeypatch):
+    """No band is shuffled for the ranks, and of the cache only tiles with chosen pixels are read again."""
+    bands = [f"double({k} + local_row) AS {c}" for k, c in enumerate(analysis.band_names())]
+    cells = spark.range(4 * 16).selectExpr("id div 16 AS tile_col", "0L AS tile_row", "id div 4 % 4 AS local_row", "id % 4 AS local_col").selectExpr("*", *bands)
+    tables.write_pixels(cells, f"file://{tmp_path}/tiles")
+    plans, was = [], stages.kept
+    monkeypatch.setattr(stages, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or was(df))
+    pixels = tables.read_pixels(spark, f"file://{tmp_path}/tiles")
+    one_tile = zones.features_of(spark, [[[[(100.0, 100.0), (3900.0, 100.0), (3900.0, 3900.0), (100.0, 3900.0), (100.0, 100.0)]]]])
+    sample = stages.build_sample(pixels, analysis, one_tile)
+    assert {r.tile_col for r in sample.collect()} == {0}
+    for line in plans[0].splitlines():
+        if "Exchange" in line or "Window" in line:
+            assert not any(c in line for c in analysis.band_names()), line
+    assert "dynamicpruning" in sample._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_fit_and_apply(spark, analysis):
@@ -469,11 +565,11 @@ def test_fit_and_apply(spark, analysis):
     assert fitted.models[0].rmse < 3 and fitted.metrics.count() == 2 and stages.fold_rollup(fitted.metrics).count() == 1
     deviation = fitted.scored.where("reference_site = 0").agg(F.median("y2018_d02_ndvi_observed_minus_expected_oof").alias("m")).collect()[0].m
     assert deviation > 2
-    calibration = scoring.calibrate(fitted.scored.where("reference_site = 1").withColumnRenamed("y2018_d02_ndvi_standardized_deviation_oof", "z"), ["z"], "area_weight_m2", 0.1)
+    calibration, distances = scoring.calibrate(fitted.scored.where("reference_site = 1").withColumnRenamed("y2018_d02_ndvi_standardized_deviation_oof", "z"), ["z"], "area_weight_m2", 0.1)
     pixels = sample.withColumn("y2018_d01_reference", F.col("reference_site").cast("double")).withColumn("y2018_d24_rain", F.when(F.col("area_weight_m2") > 1e6, F.col("y2018_d24_rain")))
-    out = stages.score_pixels(pixels, fitted.models, calibration, analysis).toPandas()
-    assert set(out.status) == {0, 1} and (out[out.status == 1].missing_predictors > 0).all()
-    assert out[(out.status == 0) & (out.reference_site == 0)].percentile.mean() > 0.9 > out[(out.status == 0) & (out.reference_site == 1)].percentile.mean()
+    out = stages.score_pixels(pixels, fitted.models, calibration, distances, analysis).toPandas()
+    assert set(out.status) == {1, 2} and (out[out.status == 1].missing_predictors > 0).all()
+    assert out[(out.status == 2) & (out.reference_site == 0)].percentile.mean() > 0.9 > out[(out.status == 2) & (out.reference_site == 1)].percentile.mean()
 
 
 def test_band_registry(spark, analysis, tmp_path):
@@ -527,9 +623,9 @@ def test_fingerprints_and_resume(spark, analysis, tmp_path):
     tiles = provenance.tile_set_fingerprint(tables.manifest_of(pixels.repartition(3), "s", ["v"]))
     assert tiles == provenance.tile_set_fingerprint(tables.manifest_of(pixels, "s", ["v"])) != provenance.tile_set_fingerprint(tables.manifest_of(pixels.where("tile_col = 0"), "s", ["v"]))
     assert provenance.content_fingerprint(pixels) == provenance.content_fingerprint(pixels.repartition(5)) != provenance.content_fingerprint(pixels.union(pixels.limit(1)))
-    c = scoring.Calibration(["y"], [0.0], [[1.0]], [[1.0]], [0.0], [1.0], 2, 2.0)
-    run = provenance.inference_fingerprint(analysis, tiles, [], c)
-    assert run != provenance.inference_fingerprint(analysis, tiles, [], c, mask="m")
+    c = scoring.Calibration(["y"], [0.0], [[1.0]], [[1.0]], 2, 2.0, 1.0, 1.0)
+    run = provenance.inference_fingerprint(analysis, tiles, [], c, "d")
+    assert run not in {provenance.inference_fingerprint(analysis, tiles, [], c, "d", mask="m"), provenance.inference_fingerprint(analysis, tiles, [], c, "e")}
     out = f"file://{tmp_path}/map"
     assert provenance.done_tiles(spark, out, run, ["v"]) is None
     provenance.start_run(spark, out, run)
@@ -541,14 +637,39 @@ def test_fingerprints_and_resume(spark, analysis, tmp_path):
     assert spark.read.parquet(f"{out}/history").count() == 2
 
 
-def test_area_reader(spark, tmp_path):
-    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
-    two = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[ring]]}}]}
-    (tmp_path / "a.geojson").write_text(json.dumps(two))
-    assert len(tables.read_area(spark, f"file://{tmp_path}/a.geojson")) == 2
-    (tmp_path / "b.geojson").write_text(json.dumps({"type": "Point", "coordinates": [0, 0]}))
-    with pytest.raises(ValueError):
-        tables.read_area(spark, f"file://{tmp_path}/b.geojson")
+def test_feature_reader(spark, tmp_path):
+    ring, hole = [[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 0.5], [2, 0.5], [2, 1], [1, 0.5]]
+    shapes = [{"type": "Polygon", "coordinates": [ring, hole]}, {"type": "MultiPolygon", "coordinates": [[ring], [[[5, 5, 9], [6, 5, 9], [6, 6, 9], [5, 5, 9]]]]}]
+    shapes.append({"type": "GeometryCollection", "geometries": shapes[:2]})
+    names = [{"ECO_NAME": "a", "n": 3}, None, {}]
+    put = lambda name, doc: (tmp_path / name).write_text(doc if isinstance(doc, str) else json.dumps(doc)) and f"file://{tmp_path}/{name}"
+    features = [{"type": "Feature", "properties": p, "geometry": g} for p, g in zip(names, shapes)]
+    collection = put("a.geojson", {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::6933"}}, "features": features})
+    got = tables.read_features(spark, collection, "EPSG:6933").orderBy("feature").collect()
+    assert [len(r.polygons) for r in got] == [1, 2, 3] and [len(r.polygons[0]) for r in got] == [2, 1, 2] and got[0].properties == {"ECO_NAME": "a", "n": "3"}
+    assert [(q.x, q.y) for q in got[1].polygons[1][0]] == [(5, 5), (6, 5), (6, 6), (5, 5)]
+    lines = put("b.geojsonl", "\n".join(json.dumps(f) for f in features) + "\n")
+    assert sorted(len(r.polygons) for r in tables.read_features(spark, lines, "EPSG:4326", whole=False).collect()) == [1, 2, 3]
+    for bare in (shapes[0], features[0]):
+        assert tables.read_features(spark, put("c.geojson", bare), "EPSG:4326").count() == 1
+    for bad in ({"type": "Point", "coordinates": [0, 0]}, {"type": "Polygon", "coordinates": [ring[:3]]}, {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [2, 2]]]}, {"type": "FeatureCollection", "features": []}, "nothing", {"type": "Polygon", "coordinates": [ring], "crs": {"properties": {"name": "EPSG:32633"}}}):
+        with pytest.raises(ValueError):
+            tables.read_features(spark, put("d.geojson", bad), "EPSG:4326")
+
+
+def test_area_in_degrees_takes_the_same_pixels(spark, tmp_path, analysis):
+    ring = [[100, 100], [7900, 300], [6900, 3900], [200, 3500], [100, 100]]
+    (tmp_path / "grid.geojson").write_text(json.dumps({"type": "Polygon", "crs": {"properties": {"name": "EPSG:6933"}}, "coordinates": [ring]}))
+    corners = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(ring)], "i int, x double, y double")
+    lon, lat = G.cylindrical_to_lonlat(F.col("x"), F.col("y"))
+    degrees = [[r.lon, r.lat] for r in corners.select("i", lon.alias("lon"), lat.alias("lat")).orderBy("i").collect()]
+    (tmp_path / "degrees.geojson").write_text(json.dumps({"type": "Polygon", "coordinates": [degrees]}))
+    pixels = spark.range(2 * 16).selectExpr("id div 16 AS tile_col", "0L AS tile_row", "id div 4 % 4 AS local_row", "id % 4 AS local_col")
+    found = []
+    for name in ("grid", "degrees"):
+        index = stages.area_index(tables.read_features(spark, f"file://{tmp_path}/{name}.geojson", "EPSG:6933"), analysis)
+        found.append({tuple(r) for r in stages.in_area(stages.locate(pixels, analysis), index, analysis).select(*stages.PIXEL).collect()})
+    assert found[0] == found[1] and 10 < len(found[0]) < 32
 
 
 def test_months_are_one_row_each(spark, tmp_path):
