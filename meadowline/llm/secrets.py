@@ -1,6 +1,7 @@
 """Secret scan: wide candidates, and a random forest that takes false positives out.
 
-Candidates are provider formats, values assigned to key-like names, and long unbroken runs of key characters. The forest looks
+Candidates are provider formats, values assigned to key-like names (quoted ones up to the closing quote, with whatever they hold),
+passwords in addresses, and long unbroken runs of key characters. The forest looks
 at a candidate's length, its character classes, how likely its character transitions are in the corpus' own words, how much
 of it dictionary words cover, the document's path or source, and the neighbouring words. A candidate may have any length; of
 one of more than ``FEATURE_CHARS`` characters the features see the first ones, and findings give the whole span. Dictionary and transitions are
@@ -13,13 +14,15 @@ from no feature. A quarter of the documents is held out, and precision and recal
 ``labels`` may be given instead: candidate rows (label, f, and held, which keeps a row out of fitting).
 
 Defined results: null and empty texts have no candidates. Rows with null or repeated ``doc_id`` are each answered on their
-own. Overlapping candidates become the longest one; of equal ones the first kind stays. With too few labelled candidates (as
-in an empty table) candidates of provider formats and of assignments count as findings. A missing ``source`` counts as an
+own. Where candidates overlap provider formats come first, then longer ones, and of the others the parts that are left stay if
+they are long enough by themselves. With too few labelled candidates (as
+in an empty table) all candidates but runs count as findings. A missing ``source`` counts as an
 empty path. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -45,37 +48,58 @@ PROVIDERS = (
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "auth", "credential", "private_key")
 DIGEST_NAMES = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "revision", "uuid", "etag", "integrity")
 PLACEHOLDERS = ("your_token_goes_here", "changeme_changeme", "xxxxxxxxxxxxxxxxxxxxxxxx", "example_example_example", "insert_password_here", "0000000000000000000000")
-KINDS = ("provider", "assignment", "run")
+KINDS = ("provider", "assignment", "run", "address")
+#: A candidate, or what others leave of it, has so many characters at least.
+LEAST = (8, 8, 20, 4)
 #: Assigned values and runs have no upper length; possessive quantifiers keep the search linear.
 _PATTERNS = (
     re.compile(r"(?<![A-Za-z0-9])(" + "|".join(PROVIDERS) + r")(?![A-Za-z0-9])"),
-    re.compile(r"(?i)(?:" + "|".join((*SECRET_NAMES, *DIGEST_NAMES)) + r")[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?([A-Za-z0-9+/_.=~-]{8,}+)"),
+    re.compile(r"(?i)(?:" + "|".join((*SECRET_NAMES, *DIGEST_NAMES)) + r")[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}"
+               r"(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?([^\s\"'`<>,;(){}\[\]]{8,}+))"),
     re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,}+)"),
-)
+    re.compile(r"[A-Za-z0-9+.]://[^\s/@:'\"]{0,256}+:([^\s/'\"]{4,})@(?=[A-Za-z0-9\[])"),
+)
 #: Features other than the length are computed from so many characters of a candidate at most; its span is never cut.
 FEATURE_CHARS = 512
 _MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_live_", "eyJ", "-----BEGIN")
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of non-overlapping candidates, by code points; longer ones go first, then earlier kinds."""
+    """(start, end, kind) of non-overlapping candidates, by code points: provider formats first, then longer spans."""
     found = []
     # What a pattern cannot match without is looked for first.
-    there = (any(x in text for x in _MARKS), "=" in text or ":" in text, True)
+    there = (any(x in text for x in _MARKS), "=" in text or ":" in text, True, "://" in text)
     for kind, pattern in enumerate(_PATTERNS):
         if not there[kind]:
             continue
-        found += [(m.start(1), m.end(1), kind) for m in pattern.finditer(text) if m.end(1) - m.start(1) >= 8]
+        for m in pattern.finditer(text):
+            start, end = m.span(m.lastindex or 1)
+            while start < end and text[start].isspace():
+                start += 1
+            while start < end and text[end - 1].isspace():
+                end -= 1
+            if end - start >= LEAST[kind]:
+                found.append((start, end, kind))
+    starts: list[int] = []
     taken: list[tuple[int, int, int]] = []
-    last = -1
-    # Sweep by start; where spans overlap the longest of the overlapping run stays.
-    for s in sorted(found, key=lambda s: (s[0], s[0] - s[1], s[2])):
-        if s[0] >= last:
-            taken.append(s)
-            last = s[1]
-        elif s[1] - s[0] > taken[-1][1] - taken[-1][0]:
-            taken[-1] = s
-            last = s[1]
+    for start, end, kind in sorted(found, key=lambda s: (s[2] != 0, s[0] - s[1], s[2], s[0])):
+        i = bisect.bisect_right(starts, start)
+        if i and taken[i - 1][1] > start:
+            start = taken[i - 1][1]
+        while start < end:  # the parts between what is taken
+            stop = min(end, taken[i][0]) if i < len(taken) else end
+            a, b = start, stop
+            while a < b and text[a].isspace():
+                a += 1
+            while a < b and text[b - 1].isspace():
+                b -= 1
+            if b - a >= LEAST[kind]:
+                starts.insert(i, a)
+                taken.insert(i, (a, b, kind))
+                i += 1
+            if stop == end:
+                break
+            start, i = taken[i][1], i + 1
     return taken
 
 
@@ -178,6 +202,7 @@ def probability(trees: list, x: list[float]) -> float:
     return total / len(trees)
 
 
+_MARKED = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789!@#$%^&*+-_=?."
 _HEX, _B64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -189,7 +214,21 @@ def plant(rng: random.Random, words: list[str]) -> tuple[str, str, str, float]:
     joined = lambda: rng.choice("_-./").join(word() for _ in range(rng.randint(3, 6)))
     quote = rng.choice(("", '"', "'"))
     under = lambda names: rng.choice(names) + rng.choice((" = ", "=", ": ", ":")) + quote
-    kind = rng.randrange(10)
+    url = lambda: rng.choice(("postgres", "https", "redis", "amqp", "mongodb+srv", "ftp")) + "://" + word() + ":"
+    kind = rng.randrange(15)
+    if kind == 10:
+        return under(SECRET_NAMES), some(_MARKED, rng.randint(9, 28)), quote or " ", 1.0
+    if kind == 11:
+        q = rng.choice("\"'")
+        return rng.choice(SECRET_NAMES) + rng.choice((" = ", "=", ": ", q + ": ")) + q, some(_MARKED, rng.randint(9, 40)), q, 1.0
+    if kind == 12:
+        return url(), some(_MARKED[:-16] + "!$^*_-", rng.randint(8, 24)), "@" + word() + "." + rng.choice(("net", "local/db", "io:5432")), 1.0
+    if kind == 13:
+        return url(), rng.choice(("password", "pass", word(), "<password>", "${PASSWORD}", "user", "secret", "changeme")), "@" + word() + ".net", 0.0
+    if kind == 14:
+        q = rng.choice("\"'")
+        code = ("os.environ['TOKEN']", "process.env.API_KEY", "config.get_secret_value", "getpass.getpass", "${SECRET_TOKEN}", "$PASSWORD_FILE", "settings.auth_token", "None_or_empty_value")
+        return under(SECRET_NAMES) if rng.random() < 0.5 else rng.choice(SECRET_NAMES) + ": " + q, rng.choice((" ".join(word() for _ in range(rng.randint(2, 7))), rng.choice(code))), q, 0.0
     if kind == 0:
         token = rng.choice(("AKIA" + some(_B64[:26] + "0123456789", 16), "ghp_" + some(_B64[:62], 36), "xoxb-" + some("0123456789", 11) + "-" + some(_B64[:62], 24), "AIza" + some(_B64[:62] + "_-", 35), "sk_live_" + some(_B64[:62], 24)))
         return rng.choice(("", under(SECRET_NAMES), "key ")), token, rng.choice((quote, " ")), 1.0
@@ -209,7 +248,9 @@ def plant(rng: random.Random, words: list[str]) -> tuple[str, str, str, float]:
 
 
 def labelled(docs: DataFrame, corpus: Corpus, sample_docs: int = 3000, each: int = 6) -> DataFrame:
-    """Training rows (label, f, held) from the ``sample_docs`` documents that hash lowest, ``each`` values planted in every one."""
+    """Training rows (label, f, held, item) from the ``sample_docs`` documents that hash lowest, ``each`` values planted in every
+    one: a row for each candidate at a value, whose label says what was planted, and one without features for a secret that no
+    candidate covers by four fifths. ``item`` numbers the secrets planted."""
     rows = docs.select("text", "source").withColumn("h", F.xxhash64("text", "source"))
     chosen = materialize(lowest(rows.where("text IS NOT NULL").select("h"), sample_docs, "h").distinct())
     some = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # of repeated rows one
@@ -218,29 +259,33 @@ def labelled(docs: DataFrame, corpus: Corpus, sample_docs: int = 3000, each: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                y, x, held = [], [], []
+                y, x, held, item = [], [], [], []
                 for text, path, h in zip(*(part.column(c).to_pylist() for c in ("text", "source", "h"))):
                     rng = random.Random(h)
-                    for _ in range(each):
+                    for k in range(each):
                         at = rng.randint(0, len(text))
                         head, value, tail, label = plant(rng, words)
                         before = text[max(0, at - 60) : at] + " " + head
                         context = before + value + tail + " " + text[at : at + 40]
                         start, end = len(before), len(before) + len(value)
-                        for s, e, kind in candidates(context):
-                            if s < end and start < e:
-                                y.append(label)
-                                x.append(features(context, s, e, kind, path or "", corpus))
-                                held.append(h % 4 == 0)
-                cells = [pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64())), pa.array(held, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cells, names=["label", "f", "held"])
+                        met = [c for c in candidates(context) if c[0] < end and start < c[1]]
+                        proposed = [features(context, *c, path or "", corpus) for c in met]
+                        if label and not any(5 * (min(e, end) - max(s, start)) >= 4 * (end - start) for s, e, _ in met):
+                            proposed.append(None)
+                        for f in proposed:
+                            y.append(label)
+                            x.append(f)
+                            held.append(h % 4 == 0)
+                            item.append(f"{h}:{k}")
+                cells = [pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64())), pa.array(held, pa.bool_()), pa.array(item, pa.string())]
+                yield pa.RecordBatch.from_arrays(cells, names=["label", "f", "held", "item"])
 
-    return some.mapInArrow(run, "label double, f array<double>, held boolean")
+    return some.mapInArrow(run, "label double, f array<double>, held boolean, item string")
 
 
 @dataclass
 class Forest:
-    """Trees, and precision and recall on the labelled candidates that were held out (None without any)."""
+    """Trees, and on what was held out the precision of candidates and the recall of secrets (None without any)."""
 
     trees: list
     precision: float | None = None
@@ -250,15 +295,20 @@ class Forest:
 
 def fit(docs: DataFrame, corpus: Corpus, labels: DataFrame | None = None, trees: int = 16, seed: int = 3, threshold: float = 0.5) -> Forest | None:
     rows = materialize(labels if labels is not None else labelled(docs, corpus))
-    counts = {r.label: r.n for r in rows.where("NOT held").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    train = rows.where("NOT held AND f IS NOT NULL")
+    counts = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
         return None
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed, minInstancesPerNode=2)
-    model = Forest(_trees(forest.fit(rows.where("NOT held").select("label", array_to_vector("f").alias("features")).coalesce(2))))
-    test = [(r.label, probability(model.trees, r.f) >= threshold) for r in rows.where("held").select("label", "f").collect()]  # of bounded number, as the sample is
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, minInstancesPerNode=2)
+    model = Forest(_trees(forest.fit(train.select("label", array_to_vector("f").alias("features")).coalesce(2))))
+    item = F.col("item") if "item" in rows.columns else F.monotonically_increasing_id().cast("string")
+    test = rows.where("held").select("label", "f", item.alias("item")).collect()  # of bounded number, as the sample is
     if test:
-        hits = sum(y for y, found in test if found)
-        model.precision, model.recall, model.held_out = hits / max(1, sum(found for _, found in test)), hits / max(1.0, sum(y for y, _ in test)), len(test)
+        sure = [r.f is not None and probability(model.trees, r.f) >= threshold for r in test]
+        secrets = {r.item for r in test if r.label}
+        missed = {r.item for r in test if r.label and r.f is None}  # not covered, whatever part of them was found
+        caught = {r.item for r, yes in zip(test, sure) if r.label and yes} - missed
+        model.precision, model.recall, model.held_out = sum(r.label for r, yes in zip(test, sure) if yes) / max(1, sum(sure)), len(caught) / max(1, len(secrets)), len(test)
     return model
 
 
@@ -274,7 +324,7 @@ def scan_secrets(docs: DataFrame, corpus: Corpus, forest: Forest | None, thresho
                     text, found, best = text or "", [], 0.0
                     spans = candidates(text)
                     for s, e, kind in spans:
-                        p = float(kind < 2) if trees is None else probability(trees, features(text, s, e, kind, path or "", corpus))
+                        p = float(kind != 2) if trees is None else probability(trees, features(text, s, e, kind, path or "", corpus))
                         best = max(best, p)
                         if p >= threshold:
                             found.append(f"{KINDS[kind]}:{s}:{e}")
