@@ -5,7 +5,8 @@ are extracted, so that the code-point positions follow from running sums inside
 shuffled. The trees are fitted with ``GBTClassifier`` on a bounded sample of candidates, then written out as SQL.
 
 Base spans are always kept. Candidates of the wide generators that overlap no base span of their kind are added when their
-score reaches their kind's threshold, set on held-out candidates so that precision is at least ``min_precision``.
+score reaches their kind's threshold, set on held-out candidates so that precision is at least ``min_precision``. A kind with
+fewer than five such candidates has no threshold, and its base spans alone are returned.
 
 Training labels are derived from the corpus: base spans found in a bounded sample of documents, each also rewritten the way
 people obscure them ("at", "dot", without "+", other separators), are findings; candidates outside of base spans, and base
@@ -38,16 +39,17 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wide generators: written-out or bracketed signs, missing "+", other separators.
+#: Wide generators: written-out or bracketed signs in any case, other brackets, missing "+", other separators. No part of them
+#: has an upper length where what is looked for has none; possessive quantifiers keep them linear.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[({]at[\])}]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}+){1,4}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\x20dot\x20|\.)[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{1,2}+[0-9]{4}+){3}+(?![0-9])",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:(?:\x20?[\[({<]\x20?(?:dot|[.])\x20?[\])}>]\x20?|\x20dot\x20|[.])[A-Za-z0-9-]{2,}+)++",
+    "ip": r"(?i)(?<![0-9.])[0-9]{1,3}+(?:(?:\x20?[\[({<]\x20?(?:dot|[.])\x20?[\])}>]\x20?|\x20dot\x20|\x20?[.]\x20?)[0-9]{1,3}+){3}+(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}+(?:[\x20./_,:-]{1,3}+[0-9]{4,6}+){2,3}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?+\(?[0-9]{2,4}+\)?+(?:[\x20./-]{1,2}+\(?[0-9]{2,4}+\)?+){2,4}+(?![0-9])",
 }
 #: What a text must hold for a pattern to match at all, looked for first. A base pattern's hint is implied by that pattern.
 _BASE_HINT = {"email": "text LIKE '%@%'", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]'", "phone": "text LIKE '%+%'"}
-_WIDE_HINT = {"email": "(text LIKE '%@%' OR text LIKE '% at %' OR text rlike '[(\\\\[{]at[)\\\\]}]')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]{4}'", "phone": "text rlike '[0-9]{2}'"}
+_WIDE_HINT = {"email": "(text LIKE '%@%' OR text rlike '(?i)[\\\\x20(\\\\[{<]at[\\\\x20)\\\\]}>]')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]{4}'", "phone": "text rlike '[0-9]{2}'"}
 CONTEXT = 32
 _SPAN = "array<struct<start:int,kind:int,end:int,m:string>>"
 
@@ -101,16 +103,16 @@ def wide_spans() -> str:
 
 def _features(kind: str, m: str, before: str, after: str) -> str:
     """Format and context of a candidate as an array of doubles."""
-    plain = f"regexp_replace({m}, '\\\\x20?[\\\\[({{](?:at|dot|[.])[\\\\])}}]\\\\x20?|\\\\x20(?:at|dot)\\\\x20', '.')"
+    plain = f"regexp_replace({m}, '(?i)\\\\x20?[\\\\[({{<]\\\\x20?(?:at|dot|@|[.])\\\\x20?[\\\\])}}>]\\\\x20?|\\\\x20(?:at|dot)\\\\x20|\\\\x20?[.]\\\\x20?', '.')"
     d = _digits(m)
     return f"""array(double({kind}), double(length({m})), double(length({d})), length({d}) / length({m}),
       double(length({d}) > 0 AND {_luhn(m)}), double({plain} rlike '^{_OCTET}(?:[.]{_OCTET}){{3}}$'),
       double({m} LIKE '+%' OR {m} LIKE '00%'), double({m} LIKE '%@%'),
-      double({m} rlike '[\\\\[({{](?:at|dot|[.])[\\\\])}}]'), double({m} rlike '\\\\x20(?:at|dot)\\\\x20'),
+      double({m} rlike '(?i)[\\\\[({{<]\\\\x20?(?:at|dot|@|[.])\\\\x20?[\\\\])}}>]'), double({m} rlike '(?i)\\\\x20(?:at|dot)\\\\x20'),
       double(length(regexp_replace({m}, '[A-Za-z0-9]', ''))), double({before} rlike '[A-Za-z0-9]$'), double({after} rlike '^[A-Za-z0-9]'),
       double(lower({before}) rlike 'mail|phone|tel|call|card|pay|address|contact|fax|mobile|whats|host|server|login'),
       double(size(array_distinct(split({d}, '')))), double({d} rlike '^(?:1|001)?[2-9][0-9]{{9}}$'),
-      double({m} rlike '(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$'), double(length(regexp_extract({m}, '[0-9]+', 0))))"""
+      double({m} rlike '(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$'), double(length(regexp_extract({m}, '[0-9]+', 0))))"""
 
 
 _ADDED = f"""transform(wide, c -> named_struct('start', c.start, 'kind', c.kind, 'end', c.end, 'm', c.m, 'f',
