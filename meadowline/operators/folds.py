@@ -33,6 +33,7 @@ def validation_blocks(rows: DataFrame, reference: Column, area: Column) -> DataF
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_if(reference).alias("reference_count"), F.sum(area).alias("area"), F.sum(F.when(reference, area).otherwise(0.0)).alias("reference_area")
     )
+    sums = kept(sums)
     return sums.join(dense_block_numbers(sums, keys, "validation_block_id"), keys)
 
 
@@ -46,7 +47,8 @@ def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
     Whole blocks go, largest first, to the fold that is furthest behind: blocks with reference area by (reference area, area),
     then the others by area; ties go to the lower block number and fold. Each step depends on all before it, so blocks are
     numbered in that order in Spark and dealt in chunks of ``CHUNK``, one task after the other; only what each fold holds
-    goes through the driver from one chunk to the next."""
+    goes through the driver from one chunk to the next. The numbered table is written by chunk, so that a chunk's task reads its
+    own blocks alone."""
     area = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     table = blocks.select(F.col("validation_block_id").cast("long").alias("id"), area("reference_area").alias("r"), area("area").alias("a"))
     table = kept(table.select((F.col("r") <= 0).alias("late"), F.when(F.col("r") > 0, -F.col("r")).otherwise(0.0).alias("by_r"), (-F.col("a")).alias("by_a"), "id", "r", "a"))
@@ -54,10 +56,11 @@ def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
     if enough < folds:
         raise ValueError(f"{folds} folds need as many blocks with reference area, there are {enough}")
     order = ["late", "by_r", "by_a", "id"]
-    table = kept(table.join(dense_block_numbers(table, order, "at"), order).select("at", "late", "id", "r", "a"))
+    numbered = table.join(dense_block_numbers(table, order, "at"), order).select("at", "late", "id", "r", "a", F.floor((F.col("at") - 1) / CHUNK).cast("int").alias("chunk"))
+    table = kept(numbered, "chunk")
     state = [[0.0, 0.0, 0] for _ in range(folds)]
     dealt = []
-    for start in range(0, total, CHUNK):
+    for number in range(-(-total // CHUNK)):
 
         def deal(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("id", pa.int64()), ("fold", pa.int16()), ("r", pa.float64()), ("a", pa.float64()), ("n", pa.int64())])
@@ -79,7 +82,7 @@ def assign_folds(blocks: DataFrame, folds: int) -> DataFrame:
             cells = ([None] * len(state), list(range(len(state))), *zip(*state))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cells, schema)], schema=schema)
 
-        chunk = table.where(F.col("at").between(start + 1, start + CHUNK)).coalesce(1).sortWithinPartitions("at").select("late", "id", "r", "a")
+        chunk = table.where(F.col("chunk") == number).coalesce(1).sortWithinPartitions("at").select("late", "id", "r", "a")
         done = kept(chunk.mapInArrow(deal, "id long, fold short, r double, a double, n long"))
         state = [[x.r, x.a, x.n] for x in sorted(done.where("id IS NULL").collect(), key=lambda x: x.fold)]
         dealt.append(done.where("id IS NOT NULL").selectExpr("id AS validation_block_id", "fold AS spatial_fold"))

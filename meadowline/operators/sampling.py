@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meadowline.sources.scratch import kept
+
 
 def priority(seed: int, *key: Column) -> Column:
     """Reproducible random priority of a row, from its key alone and so independent of how rows are partitioned."""
@@ -49,13 +51,14 @@ RANGES, EDGE_SAMPLE = 32, 2000
 def dense_block_numbers(df: DataFrame, keys: Sequence[str], name: str = "block_id") -> DataFrame:
     """Blocks numbered from 1 in key order. A window over all of them would run in one task: they are cut at the edges of a
     bounded sample into ranges of keys, numbered within each, and the numbers before a range are added."""
-    blocks = df.select(*keys).distinct()
+    blocks = kept(df.select(*keys).distinct())
     some = blocks.orderBy(F.xxhash64(*keys), *keys).limit(EDGE_SAMPLE).orderBy(*keys).collect()
-    step = -(-len(some) // RANGES) or 1
+    ranges = RANGES if len(some) == EDGE_SAMPLE else 1  # so few are numbered in one task
+    step = -(-len(some) // ranges) or 1
     edges = [F.struct(*(F.lit(e[k]).cast(blocks.schema[k].dataType).alias(k) for k in keys)) for e in some[step::step]]
     at = F.size(F.filter(F.array(*edges), lambda e: e <= F.struct(*keys))) if edges else F.lit(0)
     blocks = blocks.withColumn("_range", at)
-    counts = {r["_range"]: r["count"] for r in blocks.groupBy("_range").count().collect()}
+    counts = {r["_range"]: r["count"] for r in blocks.groupBy("_range").count().collect()} if edges else {}
     before = F.array(*(F.lit(sum(n for k, n in counts.items() if k < i)).cast("long") for i in range(len(edges) + 1)))
     return blocks.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*keys)) + F.get(before, F.col("_range"))).drop("_range")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meadowline.shipping import ship
+from meadowline.sources.scratch import kept
+
 #: Rows of a range into which a group is cut for running sums, and the most ranges of one group.
 RANGE_ROWS = 50_000
 RANGES = 1024
@@ -20,15 +25,22 @@ def with_running_sums(df: DataFrame, by: Sequence[str], order: str, amounts: dic
 
     A window over a whole group would sort it in one task. Groups are cut at approximate quantiles into as many ranges as their
     rows ask for; these are summed first, their own running sums are a small table, and windows only run within a range.
-    ``order`` must be unique in its group."""
+    Where no group has more rows than a range, one window does. ``order`` must be unique in its group. The rows, which are
+    mostly sums themselves, are written once and read by every step."""
     keys = list(by) or ["_all"]
     # Two structs of keys are equal also where a key is missing, and joins keep the partitioning by them.
-    rows = (df if by else df.withColumn("_all", F.lit(1))).withColumn("_key", F.struct(*keys)).drop(*keys)
+    rows = kept((df if by else df.withColumn("_all", F.lit(1))).withColumn("_key", F.struct(*keys)).drop(*keys))
+    most = rows.groupBy("_key").count().agg(F.max("count")).collect()[0][0] or 0
+    ranges = min(RANGES, -(-most // RANGE_ROWS))
+    shown = [*(F.col("_key").getField(k).alias(k) for k in by), *(c for c in df.columns if c not in by), *(n for names in amounts.values() for n in names)]
+    if ranges <= 1:
+        upto, whole = W.partitionBy("_key").orderBy(order).rowsBetween(W.unboundedPreceding, 0), W.partitionBy("_key")
+        return rows.withColumns({name: F.sum(a).over(w) for a, (run, total) in amounts.items() for name, w in ((run, upto), (total, whole))}).select(*shown)
     found = rows.groupBy("_key").agg(
-        F.percentile_approx(order, F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})"), 4 * RANGES).alias("_at"),
-        F.least(F.ceil(F.count(F.lit(1)) / RANGE_ROWS), F.lit(RANGES)).cast("int").alias("_ranges"),
+        F.percentile_approx(order, F.expr(f"array({', '.join(f'{i / ranges}D' for i in range(1, ranges))})"), 4 * RANGES).alias("_at"),
+        F.least(F.ceil(F.count(F.lit(1)) / RANGE_ROWS), F.lit(ranges)).cast("int").alias("_ranges"),
     )
-    chosen = F.when(F.col("_ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1), lambda i: F.element_at("_at", (i * RANGES / F.col("_ranges")).cast("int")))).otherwise(F.slice("_at", 1, 0))
+    chosen = F.when(F.col("_ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1), lambda i: F.element_at("_at", (i * ranges / F.col("_ranges")).cast("int")))).otherwise(F.slice("_at", 1, 0))
     edges = found.select("_key", chosen.alias("_edges")).withColumn("_marks", F.filter("_edges", lambda e, i: i % _STEP == _STEP - 1))
     below = lambda a: F.size(F.filter(a, lambda e: e < F.col(order)))
     coarse = rows.join(edges, "_key").withColumn("_range", _STEP * below("_marks"))
@@ -39,7 +51,7 @@ def with_running_sums(df: DataFrame, by: Sequence[str], order: str, amounts: dic
     within = W.partitionBy("_key", "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     run = cut.withColumns({name: F.sum(a).over(within) for a, (name, _) in amounts.items()}).join(before, ["_key", "_range"])
     out = run.withColumns({name: F.col(f"_b{i}") + F.col(name) for i, (name, _) in enumerate(amounts.values())})
-    return out.select(*(F.col("_key").getField(k).alias(k) for k in by), *(c for c in df.columns if c not in by), *(n for names in amounts.values() for n in names))
+    return out.select(*shown)
 
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: Column, weight: Column, quantiles: Sequence[float]) -> DataFrame:
@@ -108,6 +120,46 @@ def regression_metrics(o: Column, e: Column, w: Column) -> dict[str, Column]:
     }
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
+    """i, j (i <= j) and the sums over rows that have both columns: rows, w, wx, wy, wxx, wyy, wxy. Products of batches as
+    matrices, a row for each pair and task, added up in Spark: one pass however many columns there are."""
+    ship(df.sparkSession)
+    k, names = len(columns), ("w", "wx", "wy", "wxx", "wyy", "wxy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros((k, k), np.int64), np.zeros((6, k, k))
+        for batch in batches:
+            w = np.nan_to_num(np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float))
+            v = np.column_stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(k)]) if k else np.zeros((len(w), 0))
+            v, w = v[w > 0], w[w > 0]
+            there = np.isfinite(v)
+            v, m = np.where(there, v, 0.0), there.astype(float)
+            wm, wv = m * w[:, None], v * w[:, None]
+            n += there.T.astype(np.int64) @ there
+            for s, x in zip(sums, (wm.T @ m, wv.T @ m, m.T @ wv, (wv * v).T @ m, m.T @ (wv * v), wv.T @ v)):
+                s += x
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[i, j]), *(pa.array(s[i, j]) for s in sums)], names=["i", "j", "rows", *names])
+
+    rows = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)), F.col(weight).cast("double").alias("_w"))
+    parts = rows.mapInArrow(run, "i int, j int, rows long, " + ", ".join(f"{x} double" for x in names))
+    return parts.groupBy("i", "j").agg(*(F.sum(x).alias(x) for x in ("rows", *names)))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
+    """x, y, rows and the weighted correlation over the rows that have both: every pair in both orders and each column with
+    itself (1). Otherwise NULL with fewer than two rows or without variance."""
+    mean = lambda c: F.try_divide(F.col(c), F.col("w"))
+    vx, vy, cov = mean("wxx") - mean("wx") * mean("wx"), mean("wyy") - mean("wy") * mean("wy"), mean("wxy") - mean("wx") * mean("wy")
+    known = (F.col("rows") >= 2) & (vx > 0) & (vy > 0)
+    found = F.when(F.col("i") == F.col("j"), 1.0).when(known, cov / F.sqrt(vx * vy))
+    names = F.array(*map(F.lit, columns))
+    half = pair_sums(df, columns, weight).select("i", "j", "rows", found.alias("correlation"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    cells = half.select(F.explode(both).alias("p"), "rows", "correlation")
+    return cells.select(F.get(names, F.col("p.i")).alias("x"), F.get(names, F.col("p.j")).alias("y"), "rows", "correlation")
+
+
 def covariance(df: DataFrame, responses: Sequence[str], w: Column) -> DataFrame:
     """One row: rows, weight, means (m_x) and covariances (c_x_y) over rows complete in all responses, divided by the total weight."""
     rows = df.where(" AND ".join(f"`{r}` IS NOT NULL" for r in responses)).where(w > 0)

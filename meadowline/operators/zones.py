@@ -97,7 +97,8 @@ def tile_index(features: DataFrame, width: float, height: float | None = None) -
     return kept(tiles.groupBy("feature", "tile_col", "tile_row").agg(F.bool_or("cut").alias("cut"), F.collect_list(part).alias("parts")))
 
 
-def _inside(x: Column, y: Column) -> Column:
+def inside(x: Column, y: Column) -> Column:
+    """Whether a point lies in the ``parts`` of its tile."""
     odd = lambda p: (p.base + F.size(F.filter(p.edges, lambda e: _crosses(e, y) & (x < _crossing(e, y))))) % 2 == 1
     return F.exists("parts", odd)
 
@@ -108,7 +109,7 @@ def with_tiles(points: DataFrame, x: str, y: str, width: float, height: float |
 
 def features_at(points: DataFrame, index: DataFrame, x: str, y: str) -> DataFrame:
     """One row for each point and feature that it lies in. ``points`` have tile_col and tile_row on the index's tiles."""
-    return points.join(index, ["tile_col", "tile_row"]).where(_inside(F.col(x), F.col(y))).select(*(points[c] for c in points.columns), "feature")
+    return points.join(index, ["tile_col", "tile_row"]).where(inside(F.col(x), F.col(y))).select(*(points[c] for c in points.columns), "feature")
 
 
 def within(points: DataFrame, index: DataFrame, x: str, y: str, name: str | None = None) -> DataFrame:
@@ -116,8 +117,8 @@ def within(points: DataFrame, index: DataFrame, x: str, y: str, name: str | None
     gathered by tile."""
     any_feature = index.groupBy("tile_col", "tile_row").agg(F.flatten(F.collect_list("parts")).alias("parts"))
     if name is None:
-        return points.join(any_feature, ["tile_col", "tile_row"]).where(_inside(F.col(x), F.col(y))).select(*(points[c] for c in points.columns))
-    return points.join(any_feature, ["tile_col", "tile_row"], "left").select(*(points[c] for c in points.columns), (F.col("parts").isNotNull() & F.coalesce(_inside(F.col(x), F.col(y)), F.lit(False))).alias(name))
+        return points.join(any_feature, ["tile_col", "tile_row"]).where(inside(F.col(x), F.col(y))).select(*(points[c] for c in points.columns))
+    return points.join(any_feature, ["tile_col", "tile_row"], "left").select(*(points[c] for c in points.columns), (F.col("parts").isNotNull() & F.coalesce(inside(F.col(x), F.col(y)), F.lit(False))).alias(name))
 
 
 def polygon_tiles(index: DataFrame, width: float, height: float | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def polygon_tiles(index: DataFrame, width: float, height: float | None = None) -
             hi = F.when(d == 0, hi).otherwise(F.least(hi, F.greatest(t0, t1)))
         return lo < hi
 
-    hit = ~F.col("cut") | F.exists("parts", lambda p: F.exists(p.edges, enters)) | _inside((x0 + x1) / 2, (y0 + y1) / 2)
+    hit = ~F.col("cut") | F.exists("parts", lambda p: F.exists(p.edges, enters)) | inside((x0 + x1) / 2, (y0 + y1) / 2)
     return index.where(hit).select("tile_col", "tile_row").distinct().orderBy(F.desc("tile_row"), "tile_col")
 
 

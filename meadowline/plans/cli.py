@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowline.functions.columns import SIMILARITY_LIMITS, binary_mask, similarity_class
-from meadowline.functions.grid import display_cell, global_row
-from meadowline.operators.sampling import scan_statistics
+from meadowline.functions.grid import display_cell, global_row, tile_id
+from meadowline.operators.sampling import class_summary, dense_block_numbers, scan_statistics
 from meadowline.operators.scoring import Calibration, calibrate, cell_spread, display_summary, mean_abs, percentile_statistics
 from meadowline.operators.weighted import ecdf_quantiles
 from meadowline.operators.zones import polygon_tiles
 from meadowline.plans.bands import build_stack
 from meadowline.plans.report import report
-from meadowline.plans.stages import AREA, area_index, build_sample, class_areas, fit, fold_rollup, prepare, response_coverage, response_summary, score_pixels, status_counts
+from meadowline.plans.stages import AREA, area_index, build_sample, class_areas, completeness, deviation_correlation, fit, fold_rollup, footprint, partial_responses, prepare, response_coverage, response_summary, score_pixels, status_counts
 from meadowline.sources.config import digest, load_analysis
 from meadowline.sources.provenance import content_fingerprint, done_tiles, inference_fingerprint, log_event, start_run, tile_set_fingerprint
-from meadowline.sources.tables import MANIFEST, check_tiles, manifest_of, missing_tiles, newest, read_features, read_mask, read_models, read_pixels, sound_entries, write_models, write_pixels, write_with_provenance
+from meadowline.sources.scratch import kept
+from meadowline.sources.tables import MANIFEST, cached_pixels, check_cache, check_tiles, file_digests, manifest_of, newest, read_features, read_mask, read_models, read_pixels, sound_tiles, tile_files, write_models, write_pixels, write_with_provenance
 
 
 def _text(spark: SparkSession, text: str, path: str) -> None:
@@ -30,26 +31,44 @@ def _area(spark: SparkSession, path: str, analysis) -> DataFrame:
     return read_features(spark, path, analysis.section("grid")["crs"])
 
 
+def _csv(small: DataFrame, path: str) -> None:
+    small.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def fetch(spark: SparkSession, a) -> None:
     """Pixels of the tiles that the area needs and the cache lacks, from tables of dated observations."""
     analysis = load_analysis(a.definition)
     size = float(analysis.section("grid")["pixel_size_meters"]) * int(analysis.section("grid")["tile_size_pixels"])
-    required, stack = polygon_tiles(area_index(_area(spark, a.area, analysis), analysis), size), analysis.stack_id()
-    cache, manifest_path = f"{a.cache}/{stack}/tiles", f"{a.cache}/{stack}/manifest"
-    bands, entries = analysis.band_names(), f"{MANIFEST}, written timestamp"
-    todo = required
-    known = newest(_or_empty(spark, manifest_path, entries))
-    if not a.refresh and known.take(1):  # tiles that are lost or damaged are made again
-        todo = missing_tiles(required, sound_entries(known, read_pixels(spark, cache), stack, bands), stack)
-    todo.write.mode("overwrite").parquet(f"{a.cache}/{stack}/todo")
-    todo = spark.read.parquet(f"{a.cache}/{stack}/todo")
+    required, stack = kept(polygon_tiles(area_index(_area(spark, a.area, analysis), analysis), size)), analysis.stack_id()
+    root = f"{a.cache}/{stack}"
+    cache, bands = f"{root}/tiles", analysis.band_names()
+    check_cache(spark, root, analysis)
+    known = newest(_or_empty(spark, f"{root}/manifest", f"{MANIFEST}, written timestamp"))
+    # What is in the cache is told by its files' contents, before any of them is taken for Parquet.
+    sound = sound_tiles(known.where(F.col("stack") == stack), tile_files(spark, cache, required), bands) if not a.refresh else known.limit(0)
+    todo = required.join(sound.select("tile_col", "tile_row"), ["tile_col", "tile_row"], "left_anti")
+    todo = kept(dense_block_numbers(todo, ["tile_row", "tile_col"], "number").select("tile_col", "tile_row", F.floor((F.col("number") - 1) / TILES_PER_BATCH).cast("int").alias("batch")))
+    total, batches = todo.agg(F.count(F.lit(1)), F.coalesce(F.max("batch") + 1, F.lit(0))).collect()[0]
     sources = {name: spark.read.parquet(f"{a.sources}/{name}") for name in analysis.section("datasets")}
-    spine = spark.read.parquet(f"{a.sources}/spine").join(todo, ["tile_col", "tile_row"], "left_semi")
-    if todo.take(1):
-        write_pixels(build_stack(spine, sources, analysis), cache)
-        fresh = manifest_of(read_pixels(spark, cache).join(todo, ["tile_col", "tile_row"], "left_semi"), stack, bands)
-        fresh.withColumn("written", F.current_timestamp()).write.mode("append").parquet(manifest_path)
-    check_tiles(required, read_pixels(spark, cache), newest(spark.read.parquet(manifest_path)), stack, bands)
+    made, asked = 0, {"required": required.count(), "todo": total}
+    for number in range(batches):  # a batch that fails leaves those before it in the cache
+        mine = todo.where(F.col("batch") == number).select("tile_col", "tile_row")
+        try:
+            spine = spark.read.parquet(f"{a.sources}/spine").join(F.broadcast(mine), ["tile_col", "tile_row"], "left_semi")
+            write_pixels(build_stack(spine, sources, analysis), cache)
+            fresh = manifest_of(cached_pixels(spark, cache, bands, mine), stack, bands).join(file_digests(tile_files(spark, cache, mine)), ["tile_col", "tile_row"], "left")
+            fresh.withColumn("written", F.current_timestamp()).write.mode("append").parquet(f"{root}/manifest")
+        except Exception as e:
+            first = [r.t for r in mine.orderBy(F.desc("tile_row"), "tile_col").limit(LOGGED_TILES).select(tile_id(F.col("tile_col"), F.col("tile_row")).alias("t")).collect()]
+            log_event(spark, f"{root}/requests", **asked, made=made, failed=mine.count(), failed_tiles=",".join(first), error=type(e).__name__, message=str(e)[:500])
+            raise RuntimeError(f"{mine.count()} tiles failed; tiles that are done stay in the cache, the same command goes on from there") from e
+        made += mine.count()
+    log_event(spark, f"{root}/requests", **asked, made=made, failed=0)
+    check_tiles(required, cached_pixels(spark, cache, bands, required), newest(spark.read.parquet(f"{root}/manifest")), stack, bands)
+
+
+#: Tiles that are made by one job, and ids of failed ones that a log entry names.
+TILES_PER_BATCH, LOGGED_TILES = 16_384, 100
 
 
 def _or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,11 +83,19 @@ def _or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def sample(spark: SparkSession, a) -> None:
     analysis = load_analysis(a.definition)
     pixels = read_pixels(spark, f"{a.cache}/{analysis.stack_id()}/tiles")
-    made = build_sample(pixels, analysis, _area(spark, a.area, analysis))
+    area = _area(spark, a.area, analysis)
+    made = build_sample(pixels, analysis, area)
     write_with_provenance(made, a.output, {"analysis": analysis.fingerprint(), "raster": analysis.raster_fingerprint(), "seed": analysis.section("sampling")["random_seed"]})
     rows = spark.read.parquet(a.output)
     bands = [c for c in rows.columns if c in analysis.band_names()]
-    _text(spark, report("Spatial sample", {"Bands": scan_statistics(rows, bands, F.col(AREA)), "Classes": rows.groupBy("reference_site").agg(F.count(F.lit(1)).alias("rows"), F.sum("sampling_weight").alias("pixels"))}), f"{a.output}.report")
+    weights = rows.withColumnsRenamed({"sampling_weight": "weight", "sampling_block_column": "block_col", "sampling_block_row": "block_row"})
+    sections = {
+        "Footprint": footprint(pixels, analysis, area), "Classes": class_summary(weights, "reference_site", F.col("pixel_area_m2")),
+        "Rows complete across every band": completeness(rows, bands), "Bands": scan_statistics(rows, bands, F.col(AREA)),
+    }
+    for name, small in zip(("footprint", "classes", "completeness", "bands"), sections.values()):
+        _csv(small, f"{a.output}.{name}")
+    _text(spark, report("Spatial sample", sections), f"{a.output}.report")
 
 
 def fit_models(spark: SparkSession, a) -> None:
@@ -79,9 +106,16 @@ def fit_models(spark: SparkSession, a) -> None:
     fitted = fit(prepared, analysis, [r.response for r in coverage.where("status = 'fit'").select("response").collect()])
     write_with_provenance(fitted.scored, f"{a.output}/scored", {"analysis": analysis.fingerprint()})
     write_models(spark, fitted.models, f"{a.output}/models")
-    coverage.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/response_coverage")
-    fitted.metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/fold_metrics")
-    _text(spark, report("Reference-condition models", {"Responses": coverage, "Folds": fold_rollup(fitted.metrics), "Predictors": "\n".join(f"- {c}: {share:.3f}" for c, share in prepared.coverage)}), f"{a.output}/report")
+    predictors = spark.createDataFrame(prepared.coverage, "predictor string, rows long, row_fraction double, area double, area_fraction double, retained boolean")
+    matrix, rollup = kept(deviation_correlation(fitted)), fold_rollup(fitted.metrics)
+    tables = {"predictor_coverage": predictors, "response_coverage": coverage, "fold_metrics": fitted.metrics, "response_metrics": rollup, "deviation_correlation": matrix, "partial_responses": partial_responses(prepared, fitted.models)}
+    for name, small in tables.items():
+        _csv(small, f"{a.output}/{name}")
+    counts = prepared.rows.agg(F.count(F.lit(1)).alias("sampled_rows"), F.count_if("usable_for_gam").alias("usable_rows"), F.count_if(F.col("reference_site") == 1).alias("reference_rows"), F.count_distinct("validation_block_id").alias("validation_blocks")).collect()[0].asDict()
+    record = counts | {"analysis": analysis.fingerprint(), "selected_responses": wanted, "fitted_responses": [m.response for m in fitted.models], "retained_predictors": [*prepared.continuous, prepared.categorical], "excluded_predictors": [c["predictor"] for c in prepared.coverage if not c["retained"]], "artifacts": sorted(tables)}
+    _text(spark, json.dumps(record, sort_keys=True), f"{a.output}/metadata")
+    strongest = matrix.where("x < y AND correlation IS NOT NULL").orderBy(F.desc(F.abs("correlation")), "x", "y").limit(10)
+    _text(spark, report("Reference-condition models", {"Responses": coverage, "Folds": rollup, "Predictors": predictors, "Strongest correlations of deviations": strongest}), f"{a.output}/report")
 
 
 def apply_models(spark: SparkSession, a) -> None:
@@ -117,7 +151,7 @@ def apply_models(spark: SparkSession, a) -> None:
     grid_cells.write.mode("overwrite").parquet(f"{a.output}/display")
     spread = cell_spread(spark.read.parquet(f"{a.output}/display"))
     for name, small in (("response_statistics", responses), ("classes", classes), ("status", counts), ("distance_quantiles", quantiles), ("display_spread", spread)):
-        small.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.output}/{name}")
+        _csv(small, f"{a.output}/{name}")
     _text(spark, report("Departure from the reference condition", {"Status": counts, "Percentile": stats, "Reference distances": quantiles, "Covariance": f"Condition number {calibration.condition:.6g}, {calibration.shrunken_condition:.6g} after shrinkage", "Responses": responses, "Classes": classes, "Display grid": spread}), f"{a.output}/report")
 
 

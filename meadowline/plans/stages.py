@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from meadowline.functions.columns import INSUFFICIENT, OUTSIDE_AREA, OUTSIDE_TARGET, PREDICTED, all_defined, any_defined, in_reference_map, in_reference_sample, missing_count, similarity_class, status, target_pixels, usable
 from meadowline.functions.grid import Grid, block_index, cylindrical_to_equal_earth, cylindrical_to_lonlat, global_row, pixel_centre, project, source_cell, tile_id
 from meadowline.operators import folds, models, scoring, zones
+from meadowline.operators.coverage import predictor_coverage, response_status
 from meadowline.operators.sampling import priority, stratified_sample
-from meadowline.operators.weighted import moments, regression_metrics, with_average_ranks, correlation
+from meadowline.operators.weighted import correlation, correlation_matrix, regression_metrics, weighted_quantiles, with_average_ranks
 from meadowline.sources.config import Analysis
 from meadowline.sources.scratch import kept
 
@@ -69,6 +71,25 @@ def build_sample(pixels: DataFrame, analysis: Analysis, area: DataFrame) -> Data
     )
 
 
+def footprint(pixels: DataFrame, analysis: Analysis, area: DataFrame) -> DataFrame:
+    """One row over the area's pixels: how many there are, those of either class that have any predictor or response and so can
+    be sampled, and reference pixels left out for having none."""
+    bands = analysis.columns_with_role(pixels.columns, "response") | analysis.columns_with_role(pixels.columns, "predictor")
+    reference = next(iter(analysis.columns_with_role(pixels.columns, "reference").values()))
+    flags = pixels.select(*PIXEL, in_reference_sample(F.col(reference)).alias("_ref"), any_defined([F.col(c) for c in bands.values()]).alias("_any"))
+    rows = in_area(locate(flags, analysis), area_index(area, analysis), analysis)
+    return rows.agg(
+        F.count(F.lit(1)).alias("area_pixels"), F.count_if(F.col("_any") & ~F.col("_ref")).alias("background_pixels"), F.count_if(F.col("_any") & F.col("_ref")).alias("reference_pixels"), F.count_if(~F.col("_any") & F.col("_ref")).alias("excluded_reference_pixels")
+    )
+
+
+def completeness(sample: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """One row: sampled rows, those with every band, their percentage, and bands without any value."""
+    complete = F.count_if(all_defined([F.col(b) for b in bands]))
+    lost = sum((F.when(F.count(F.col(b)) == 0, 1).otherwise(0) for b in bands), F.lit(0))
+    return sample.agg(F.count(F.lit(1)).alias("rows"), complete.alias("complete_rows"), F.try_divide(complete * 100.0, F.count(F.lit(1))).alias("complete_percent"), lost.alias("missing_bands"))
+
+
 @dataclass
 class Prepared:
     rows: DataFrame
@@ -82,9 +103,9 @@ def prepare(sample: DataFrame, analysis: Analysis) -> Prepared:
     """Folds, retained predictors and usable rows."""
     m, s = analysis.section("model"), analysis.section("sampling")
     predictors = analysis.columns_with_role(sample.columns, "predictor")
-    totals = sample.agg(F.sum(AREA).alias("_all"), *(F.sum(F.when(F.col(c).isNotNull(), F.col(AREA))).alias(c) for c in predictors.values())).collect()[0]
-    coverage = [(c, (totals[c] or 0.0) / totals["_all"]) for c in predictors.values()]
-    kept = [c for c, share in coverage if share >= m["minimum_predictor_coverage"]]
+    found = {r.predictor: r for r in predictor_coverage(sample, list(predictors.values()), AREA).collect()}  # a row for each predictor
+    coverage = [{**found[c].asDict(), "retained": (found[c].area_fraction or 0.0) >= m["minimum_predictor_coverage"]} for c in predictors.values()]
+    kept = [c["predictor"] for c in coverage if c["retained"]]
     categorical = next(b.column(analysis.year) if b.column(analysis.year) in predictors.values() else predictors[b.id] for b in analysis.bands if b.role == "predictor" and b.data_type == "categorical")
     if categorical not in kept:
         raise ValueError("the categorical predictor has too little coverage")
@@ -103,21 +124,7 @@ def response_coverage(prepared: Prepared, analysis: Analysis, selected: Sequence
     m, rows = analysis.section("model"), prepared.rows
     responses = list(analysis.columns_with_role(rows.columns, "response").values())
     chosen = set(responses if selected is None else selected)
-    long = rows.where("usable_for_gam AND reference_site = 1").select(
-        AREA, "spatial_fold", F.explode(F.array(*(F.struct(F.lit(r).alias("response"), F.col(r).cast("double").alias("v")) for r in responses))).alias("s")
-    ).select(AREA, "spatial_fold", "s.*")
-    spread = moments(F.col("v"), F.col(AREA))["stddev"]
-    held = [F.count_if(F.col("v").isNotNull() & (F.col("spatial_fold") == k)) for k in range(prepared.fold_count)]
-    stats = long.groupBy("response").agg(
-        F.count("v").alias("reference_count"), F.try_divide(F.sum(F.when(F.col("v").isNotNull(), F.col(AREA))), F.sum(AREA)).alias("area_fraction"), spread.alias("stddev"),
-        F.count_distinct("v").alias("distinct_values"), F.least(*held).alias("least_validation"), F.least(*(F.count("v") - h for h in held)).alias("least_training"),
-    )
-    why = (
-        F.when(~F.col("response").isin(*chosen) if chosen else F.lit(True), "not_selected").when(F.col("reference_count") == 0, "no_reference_values")
-        .when(F.col("area_fraction") < m["minimum_response_coverage"], "insufficient_reference_coverage").when((F.col("distinct_values") < 2) | (F.col("stddev") <= 0), "no_reference_variation")
-        .when((F.col("least_validation") < 2) | (F.col("least_training") < 2), "insufficient_spatial_fold_support").otherwise("fit")
-    )
-    return stats.withColumn("status", why)
+    return response_status(rows.where("usable_for_gam AND reference_site = 1"), responses, AREA, "spatial_fold", prepared.fold_count, chosen, m["minimum_response_coverage"])
 
 
 @dataclass
@@ -148,6 +155,37 @@ def fit(prepared: Prepared, analysis: Analysis, responses: Sequence[str]) -> Fit
     return Fitted(scored, final, ranked.groupBy("response", "spatial_fold").agg(*(c.alias(n) for n, c in numbers.items())))
 
 
+def deviation_correlation(fitted: Fitted) -> DataFrame:
+    """x, y, rows and correlation of the standardised deviations of all pairs of fitted responses, over all scored rows."""
+    responses = [f.response for f in fitted.models]
+    short = fitted.scored.select(AREA, *(F.col(f"{x}_standardized_deviation_oof").alias(x) for x in responses))
+    return correlation_matrix(short, responses, AREA)
+
+
+#: Points along a continuous predictor, between the weighted quantiles of the reference rows.
+POINTS, SPAN = 100, (0.05, 0.95)
+
+
+def partial_responses(prepared: Prepared, fitted: Sequence[models.ResponseModel]) -> DataFrame:
+    """response, predictor, value, expected: the expectation along each predictor, the others at their imputed baseline, at a
+    hundred points or at every category. The grid's size is models times predictors times points."""
+    use = prepared.rows.where("usable_for_gam AND reference_site = 1")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("predictor"), F.col(c).cast("double").alias("v")) for c in prepared.continuous))).alias("s")
+    ends = {r.predictor: (r.q0, r.q1) for r in weighted_quantiles(use.select(AREA, each).select(AREA, "s.*"), ["predictor"], F.col("v"), F.col(AREA), SPAN).collect()} if prepared.continuous else {}
+    rows = []
+    for m in fitted:
+        for c in (*prepared.continuous, prepared.categorical):
+            if c == prepared.categorical:
+                values = m.design.categories
+            elif c not in ends:
+                continue
+            else:
+                low, high = ends[c]
+                values = [low] if math.isclose(low, high) else [low + (high - low) * i / (POINTS - 1) for i in range(POINTS)]
+            rows += [(m.response, c, float(v), float(e)) for v, e in zip(values, models.partial_response(m, values, c))]
+    return use.sparkSession.createDataFrame(rows, "response string, predictor string, value double, expected double")
+
+
 def fold_rollup(metrics: DataFrame) -> DataFrame:
     """Mean, sample standard deviation and range over folds of each metric."""
     names = ("r2", "rmse", "mae", "bias", "spearman")

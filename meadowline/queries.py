@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meadowline.functions import columns as C
 from meadowline.functions import grid as G
+from meadowline.operators import coverage as CO
 from meadowline.operators import folds as FO
 from meadowline.operators import models as M
 from meadowline.operators import sampling as S
@@ -22,6 +23,7 @@ from meadowline.operators import weighted as WT
 from meadowline.operators import zones as Z
 from meadowline.operators.distance import nearest_flagged
 from meadowline.operators.lookup import point_values
+from meadowline.plans import export as E
 from meadowline.sources.scratch import kept, scratch_dir
 from meadowline.sources.tables import manifest_of
 from meadowline.sources.tables import stack_totals as totals_of
@@ -447,12 +449,12 @@ def equal_area_projections(spark, sf):
 SELECT c.row, CAST(c.col AS BIGINT) AS col, round(sqrt(min((c.row - f.row) * (c.row - f.row) + (c.col - f.col) * (c.col - f.col))) * 30.0, 6) AS distance FROM c, f WHERE f.row IS NOT NULL GROUP BY 1, 2""")
 def nearest_stream_distance(spark, sf):
     """Distance of every cell that has customers or suppliers to the nearest one with suppliers."""
-    at = lambda df, balance, nation: df.select(G.block_index(F.col(balance), 250).alias("row"), F.col(nation).cast("long").alias("col"))
+    at = lambda df, balance, nation: df.where(F.col(balance).isNotNull()).select(G.block_index(F.col(balance), 250).alias("row"), F.col(nation).cast("long").alias("col"))
     flagged = at(table(spark, sf, "supplier"), "s_acctbal", "s_nationkey").withColumn("f", F.lit(1))
     cells = at(table(spark, sf, "customer"), "c_acctbal", "c_nationkey").withColumn("f", F.lit(0)).unionByName(flagged).groupBy("row", "col").agg((F.max("f") == 1).alias("stream"))
-    # The transform works on whole columns and rows: absent cells of the frame are filled in.
-    span = cells.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d"))
-    frame = span.select(F.explode(F.sequence("a", "b")).alias("row"), "c", "d").select("row", F.explode(F.sequence("c", "d")).alias("col"))
+    # The transform works on whole columns and rows: absent cells of the frame are filled in, its rows spread over the tasks.
+    a, b, c, d = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).collect()[0]
+    frame = spark.range(a or 0, (b or 0) + 1).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(c or 0).cast("long"), F.lit(d or 0).cast("long"))).alias("col"))
     full = frame.join(cells.withColumn("there", F.lit(True)), ["row", "col"], "left").withColumn("stream", F.coalesce("stream", F.lit(False)))
     out = nearest_flagged(full, "stream", pixel=30.0).where("there")
     return out.select("row", "col", r(F.col("distance"), 6).alias("distance"))
@@ -568,11 +570,18 @@ def response_coverage(spark, sf):
     """Which responses can be fitted, and why the others cannot."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(F.col("n_chars").alias("a"), (F.col("doc_id") % 5).alias("fold"), "quality", "toxic", "n_chars", F.lit(1).alias("constant"), F.lit(None).cast("int").alias("nothing"))
     names = ("quality", "toxic", "n_chars", "constant", "nothing")
-    v = rows.select("a", "fold", F.explode(F.array(*(F.struct(F.lit(n).alias("response"), F.col(n).cast("double").alias("v")) for n in names))).alias("s")).select("a", "fold", "s.*")
-    held = [F.count_if(F.col("v").isNotNull() & (F.col("fold") == k)) for k in range(5)]
-    s = v.groupBy("response").agg(F.count("v").alias("reference_count"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("a"))) / F.sum("a"), F.lit(0.0)).alias("area_fraction"), F.count_distinct("v").alias("distinct_values"), F.least(*held).alias("least_validation"), F.least(*(F.count("v") - h for h in held)).alias("least_training"))
-    why = F.when(F.col("response") == "toxic", "not_selected").when(F.col("reference_count") == 0, "no_reference_values").when(F.col("area_fraction") < 0.5, "insufficient_reference_coverage").when(F.col("distinct_values") < 2, "no_reference_variation").when((F.col("least_validation") < 2) | (F.col("least_training") < 2), "insufficient_spatial_fold_support").otherwise("fit")
-    return s.select("response", "reference_count", r(F.col("area_fraction"), 6).alias("area_fraction"), "distinct_values", "least_validation", "least_training", why.alias("status"))
+    s = CO.response_status(rows, names, "a", "fold", 5, set(names) - {"toxic"}, 0.5)
+    return s.select("response", "reference_count", r(F.coalesce("area_fraction", F.lit(0.0)), 6).alias("area_fraction"), "distinct_values", "least_validation", "least_training", "status")
+
+
+@query("""WITH j AS (SELECT quality, toxic, n_chars, CAST(n_chars AS DOUBLE) AS a FROM documents LEFT JOIN labels USING (doc_id)), t AS (SELECT count(*) AS n, sum(a) AS area FROM j),
+l AS (SELECT 'quality' AS predictor, quality AS v, a FROM j UNION ALL SELECT 'toxic', toxic, a FROM j UNION ALL SELECT 'n_chars', n_chars, a FROM j)
+SELECT predictor, count(v) AS rows, round(count(v) / max(n), 6) AS row_fraction, round(coalesce(sum(CASE WHEN v IS NOT NULL THEN l.a END), 0), 3) AS area, round(coalesce(sum(CASE WHEN v IS NOT NULL THEN l.a END), 0) / max(area), 6) AS area_fraction FROM l, t GROUP BY 1""")
+def predictor_coverage(spark, sf):
+    """Rows and area that have each predictor, and their shares."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("quality", "toxic", "n_chars", F.col("n_chars").cast("double").alias("a"))
+    c = CO.predictor_coverage(rows, ("quality", "toxic", "n_chars"), "a")
+    return c.select("predictor", "rows", r(F.col("row_fraction"), 6).alias("row_fraction"), r(F.col("area"), 3).alias("area"), r(F.col("area_fraction"), 6).alias("area_fraction"))
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -619,6 +628,21 @@ def deviation_correlation(spark, sf):
     return wide.select(F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r(F.col(f"{x}{y}"), 6).alias("correlation")) for x, y in pairs))).alias("p")).select("p.*")
 
 
+#: Eighteen responses made of a line's numbers, each missing in some lines.
+_MANY = [(f"r{i:02d}", f"CASE WHEN (l_orderkey + l_linenumber * {i + 3}) % {i + 5} <> 0 THEN {base} + {i}.0 * {other} END") for i, (base, other) in enumerate((b, o) for b in ("l_quantity / 25.0", "l_discount * 20.0", "l_tax * 25.0") for o in ("l_discount", "l_tax", "l_quantity / 50.0", "l_extendedprice / 100000.0", "l_linenumber / 7.0", "l_suppkey % 11 / 11.0"))]
+_MANY_SQL = f"""WITH d AS (SELECT row_number() OVER () AS id, l_linenumber AS w, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _MANY)} FROM lineitem),
+u AS (SELECT id, w, r, v FROM (SELECT id, w, unnest([{', '.join(f"'{n}'" for n, _ in _MANY)}]) AS r, unnest([{', '.join(n for n, _ in _MANY)}]) AS v FROM d) WHERE v IS NOT NULL),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS rows, sum(a.w) AS n, sum(a.w * a.v) AS sx, sum(a.w * b.v) AS sy, sum(a.w * a.v * b.v) AS sxy, sum(a.w * a.v * a.v) AS sxx, sum(a.w * b.v * b.v) AS syy FROM u a JOIN u b USING (id) GROUP BY 1, 2)
+SELECT x, y, rows, round((sxy / n - sx / n * sy / n) / sqrt((sxx / n - (sx / n) ** 2) * (syy / n - (sy / n) ** 2)), 4) AS correlation FROM p"""
+
+
+@query(_MANY_SQL)
+def deviation_matrix(spark, sf):
+    """Pairwise-complete weighted correlations of eighteen responses: a symmetric matrix, one row for each cell."""
+    d = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("double").alias("w"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _MANY))
+    return WT.correlation_matrix(d, [n for n, _ in _MANY], "w").withColumn("correlation", r(F.col("correlation"), 4))
+
+
 @query(f"""WITH d AS (SELECT {_Z}) SELECT count(*) AS rows, CAST(sum(w) AS DOUBLE) AS weight, round(sum(w * a) / sum(w), 7) AS m_a, round(sum(w * b) / sum(w), 7) AS m_b, round(sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2, 8) AS c_a_a,
   round(sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * sum(w * b) / sum(w), 8) AS c_b_a, round(sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2, 8) AS c_b_b FROM d""")
 def weighted_covariance(spark, sf):
@@ -719,22 +743,33 @@ def string_slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", C.slug(name).alias("slug"), C.slug(name, 12).alias("short"), F.lpad(F.col("p_size").cast("string"), 4, F.lit("0")).alias("padded"))
 
 
-@query("SELECT r_name, sha256(string_agg(n_name || ':' || n_nationkey, ',' ORDER BY n_nationkey)) AS fingerprint FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT c_custkey // 1000 AS block, sha256(string_agg(c_name || ':' || c_nationkey, ',' ORDER BY c_custkey)) AS fingerprint FROM customer GROUP BY 1")
 def sha_identity(spark, sf):
-    """Fingerprint of each region's ordered list of nations."""
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat_ws(":", "n_name", F.col("n_nationkey").cast("string")).alias("t")))), lambda x: x.t), ",")
-    return rows.groupBy("r_name").agg(F.sha2(parts, 256).alias("fingerprint"))
+    """Fingerprint of each block of a thousand customers, in their order."""
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", F.concat_ws(":", "c_name", F.col("c_nationkey").cast("string")).alias("t")))), lambda x: x.t), ",")
+    return table(spark, sf, "customer").groupBy(G.block_index(F.col("c_custkey"), 1000).alias("block")).agg(F.sha2(parts, 256).alias("fingerprint"))
+
 
+_RANKED = "list_sort(list({0}))[greatest(1, ceil({1} * count({0})))::INT]"
+_LOW, _HIGH = _RANKED.format("v", 0.1), _RANKED.format("v", 0.9)
 
-@query("""SELECT n_regionkey, round(CASE WHEN quantile_cont(c_acctbal, 0.1) = quantile_cont(c_acctbal, 0.9) THEN 0 ELSE quantile_cont(c_acctbal, 0.1) END, 5) AS low, round(CASE WHEN quantile_cont(c_acctbal, 0.1) = quantile_cont(c_acctbal, 0.9) THEN 1 ELSE quantile_cont(c_acctbal, 0.9) END, 5) AS high
-FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+
+@query(f"""WITH d AS (SELECT n_regionkey, c_acctbal AS v FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey), q AS (SELECT n_regionkey, {_LOW} AS low, {_HIGH} AS high FROM d WHERE v IS NOT NULL GROUP BY 1)
+SELECT DISTINCT n_regionkey, round(CASE WHEN low <> high THEN low ELSE 0 END, 5) AS low, round(CASE WHEN low <> high THEN high ELSE 1 END, 5) AS high FROM nation LEFT JOIN q USING (n_regionkey)""")
 def region_range(spark, sf):
     """Range of a band in each region, with a fallback where there is none."""
-    rows = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    q = rows.groupBy("n_regionkey").agg(F.percentile("c_acctbal", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    flat = F.col("q").isNull() | (F.col("q")[0] == F.col("q")[1])
-    return q.select("n_regionkey", r(F.when(flat, 0.0).otherwise(F.col("q")[0]), 5).alias("low"), r(F.when(flat, 1.0).otherwise(F.col("q")[1]), 5).alias("high"))
+    rows = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_regionkey").alias("feature"), "c_acctbal")
+    q = Z.zonal_range(rows, F.col("c_acctbal"))
+    return q.select(F.col("feature").alias("n_regionkey"), r(F.coalesce("low", F.lit(0.0)), 5).alias("low"), r(F.coalesce("high", F.lit(1.0)), 5).alias("high"))
+
+
+@query(_HEXAGON_SQL + f""", q AS (SELECT feature, count(*) AS n, {_LOW} AS low, {_HIGH} AS high FROM i GROUP BY 1)
+SELECT s_suppkey * 12 + k AS feature, coalesce(n, 0) AS n, CASE WHEN low <> high THEN low ELSE 0 END::INT AS low, CASE WHEN low <> high THEN high ELSE 1 END::INT AS high FROM supplier, (SELECT unnest(range(12))::INT AS k) LEFT JOIN q ON feature = s_suppkey * 12 + k""")
+def zonal_range(spark, sf):
+    """The tenth and ninetieth percentile of the pixels in each of many polygons; 0 and 1 where there is none or both are equal."""
+    q = Z.zonal_range(_parts_in_hexagons(spark, sf), F.col("v"))
+    every = _hexagons(spark, sf).select("feature")
+    return every.join(q, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(1)).alias("high"))
 
 
 @query("SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names, count(DISTINCT p_type) AS n FROM part GROUP BY 1")
@@ -750,6 +785,65 @@ def ordered_fingerprints(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(parts, ","), 256).alias("fingerprint"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1")
+@query("SELECT s_nationkey, s_suppkey // 1000 AS block, string_agg(s_name, '|' ORDER BY s_name) AS names, count(*) AS n FROM supplier GROUP BY 1, 2")
 def collect_names(spark, sf):
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "|").alias("names"), F.count(F.lit(1)).alias("n"))
+    """Sorted names of each nation's suppliers, a thousand numbers at a time."""
+    groups = table(spark, sf, "supplier").groupBy("s_nationkey", G.block_index(F.col("s_suppkey"), 1000).alias("block"))
+    return groups.agg(F.array_join(F.sort_array(F.collect_list("s_name")), "|").alias("names"), F.count(F.lit(1)).alias("n"))
+
+
+# Other grids
+
+
+@query("SELECT c_custkey, round(c_nationkey * 14.0 - 170, 6) AS lon, round(c_acctbal / 130.0, 3) AS lat FROM customer")
+def equal_earth_inverse(spark, sf):
+    """From Equal Earth back to degrees, which the tables have."""
+    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") * 14.0 - 170).alias("lon"), r(F.col("c_acctbal") / 130.0, 3).alias("lat"))
+    x, y = G.project(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:8857")
+    lon, lat = G.project(F.col("x"), F.col("y"), "EPSG:8857", "EPSG:4326")
+    return rows.select("c_custkey", x.alias("x"), y.alias("y")).select("c_custkey", r(lon, 6).alias("lon"), r(lat, 6).alias("lat"))
+
+
+#: Degrees of the equal-area grid's coordinates, for SQL: from x and y.
+_DEGREES = """(SELECT *, degrees(x / (a * k0)) AS lon, degrees(b + (e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040) * sin(2 * b) + (23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780) * sin(4 * b) + 761 * e2 ** 3 / 45360 * sin(6 * b)) AS lat
+  FROM (SELECT *, asin(2 * y * k0 / (a * qp)) AS b FROM {0}, (SELECT a, e2, cos(radians(30)) / sqrt(1 - e2 * sin(radians(30)) ** 2) AS k0, (1 - e2) * (1 / (1 - e2) - ln((1 - sqrt(e2)) / (1 + sqrt(e2))) / (2 * sqrt(e2))) AS qp FROM (SELECT 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2))))"""
+_WORLD = G.Grid("EPSG:4326", -180.0, 90.0, 2.0, 1.5)
+_WORLD_SQL = "world AS (SELECT CAST(floor((90 - c_acctbal / 130.0) / 1.5) AS BIGINT) AS wr, CAST(floor((c_nationkey * 14.0 - 170 + 180) / 2.0) AS BIGINT) AS wc, max(c_custkey) AS v FROM customer GROUP BY 1, 2)"
+
+
+def _world(spark: SparkSession, sf: str) -> DataFrame:
+    """A raster in degrees: the last customer of each cell that has any."""
+    row, col = G.source_cell(F.col("c_nationkey") * 14.0 - 170, F.col("c_acctbal") / 130.0, _WORLD.left, _WORLD.top, _WORLD.width, _WORLD.height)
+    return table(spark, sf, "customer").groupBy(row.alias("row"), col.alias("col")).agg(F.max("c_custkey").alias("v"))
+
+
+@query(f"""WITH {_WORLD_SQL}, p AS (SELECT o_orderkey, (o_custkey % 25 * 14.0 - 170) * 96486.28 AS x, o_totalprice * 14.0 - 900000.0 AS y FROM orders)
+SELECT o_orderkey, CAST(coalesce(v % 3, -1) AS BIGINT) AS mask FROM {_DEGREES.format('p')} LEFT JOIN world ON wr = CAST(floor((90 - lat) / 1.5) AS BIGINT) AND wc = CAST(floor((lon + 180) / 2.0) AS BIGINT)""")
+def reprojected_mask(spark, sf):
+    """A mask in degrees, looked up at the cell that holds each pixel of the equal-area grid."""
+    pixels = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_custkey") % 25 * 14.0 - 170) * 96486.28).alias("x"), (F.col("o_totalprice") * 14.0 - 900000.0).alias("y"))
+    mask = _world(spark, sf).select("row", "col", (F.col("v") % 3).alias("mask"))
+    return E.at_cells(pixels, "EPSG:6933", mask, _WORLD, ["mask"]).select("o_orderkey", F.coalesce("mask", F.lit(-1).cast("long")).alias("mask"))
+
+
+_REGIONS_SQL = """
+f AS (SELECT s_suppkey AS region, (s_nationkey * 14.0 - 170) * 96486.28 AS cx, s_acctbal * 500.0 AS cy, 40000.0 + s_suppkey % 5 * 30000 AS size FROM supplier),
+v AS (SELECT *, unnest([1.0, 0.5, -0.5, -1.0, -0.5, 0.5]::DOUBLE[]) AS dx, unnest([0.0, 0.75, 0.75, 0.0, -0.75, -0.75]::DOUBLE[]) AS dy, unnest([0.5, -0.5, -1.0, -0.5, 0.5, 1.0]::DOUBLE[]) AS ex, unnest([0.75, 0.75, 0.0, -0.75, -0.75, 0.0]::DOUBLE[]) AS ey FROM f),
+e AS (SELECT region, cx + size * dx AS px, cy + size * dy AS py, cx + size * ex AS qx, cy + size * ey AS qy FROM v),
+g AS (SELECT region, cx, cy, size, unnest(range(CAST(floor((cx - size) / 25000) AS BIGINT), CAST(floor((cx + size) / 25000) AS BIGINT) + 1)) AS col FROM f),
+t AS (SELECT region, col, unnest(range(CAST(floor(-(cy + size) / 25000) AS BIGINT), CAST(floor(-(cy - size) / 25000) AS BIGINT) + 1)) AS row FROM g),
+c AS (SELECT region, row, col, (col + 0.5) * 25000.0 AS x, -(row + 0.5) * 25000.0 AS y FROM t),
+i AS (SELECT c.region, row, col, x, y FROM c JOIN e ON e.region = c.region AND ((py > y) <> (qy > y)) AND x < (qx - px) * (y - py) / (qy - py) + px GROUP BY ALL HAVING count(*) % 2 = 1)
+"""
+
+
+@query(f"""WITH {_WORLD_SQL}, {_REGIONS_SQL} SELECT region, row, col, CAST(v AS FLOAT) AS v FROM {_DEGREES.format('i')} LEFT JOIN world ON wr = CAST(floor((90 - lat) / 1.5) AS BIGINT) AND wc = CAST(floor((lon + 180) / 2.0) AS BIGINT)""")
+def region_export(spark, sf):
+    """A raster in degrees, taken to the cells of an equal-area grid that lie in each of many regions; written by region and read
+    back. Cells of the regions come first, values are looked up for them."""
+    cx, cy, size = (F.col("s_nationkey") * 14.0 - 170) * 96486.28, F.col("s_acctbal") * 500.0, 40000.0 + F.col("s_suppkey") % 5 * 30000
+    ring = F.array(*(F.struct((cx + size * dx).alias("x"), (cy + size * dy).alias("y")) for dx, dy in ((1.0, 0.0), (0.5, 0.75), (-0.5, 0.75), (-1.0, 0.0), (-0.5, -0.75), (0.5, -0.75), (1.0, 0.0))))
+    regions = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("feature"), F.create_map(F.lit("name"), F.concat(F.lit("Region No. "), F.col("s_suppkey").cast("string"))).alias("properties"), F.array(F.array(ring)).alias("polygons"))
+    path = f"{scratch_dir(spark)}/export"
+    E.write_regions(E.regrid(_world(spark, sf), _WORLD, ["v"], regions, G.Grid("EPSG:6933", 0.0, 0.0, 25000.0, 25000.0), 16), path)
+    return spark.read.schema("row long, col long, v float, region long").parquet(path).select("region", "row", "col", "v")

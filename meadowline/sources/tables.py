@@ -6,12 +6,14 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowline.functions.columns import valid
 from meadowline.functions.grid import Grid, epsg, project, tile_id
 from meadowline.operators.models import ResponseModel
+from meadowline.sources.config import Analysis
 
 _GEOMETRY = "type: string, coordinates: string"
 _COLLECTION = f"type string, crs struct<properties:struct<name:string>>, properties map<string,string>, coordinates string, geometry struct<{_GEOMETRY}, geometries:array<struct<{_GEOMETRY}>>>, geometries array<struct<{_GEOMETRY}>>, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string,geometries:array<struct<{_GEOMETRY}>>>>>"
@@ -116,7 +118,60 @@ def read_models(spark: SparkSession, path: str) -> list[ResponseModel]:
 
 # The manifest: one row for each tile that is in the cache.
 
-MANIFEST = "stack string, tile_col long, tile_row long, rows long, sha string, bands array<string>"
+MANIFEST = "stack string, tile_col long, tile_row long, rows long, sha string, bands array<string>, files string"
+#: Of the cache's layout; a cache of another version is not read.
+CACHE_VERSION = 2
+
+
+def check_cache(spark: SparkSession, root: str, analysis: Analysis) -> None:
+    """Write the cache's record of version and grid, or compare it."""
+    record = {"version": CACHE_VERSION, "grid": analysis.section("grid"), "bands": analysis.band_names()}
+    try:
+        was = json.loads("".join(r.value for r in spark.read.text(f"{root}/cache").collect()))
+    except AnalysisException:
+        spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/cache")
+        return
+    for what in ("version", "grid", "bands"):
+        if was.get(what) != json.loads(json.dumps(record[what])):
+            raise ValueError(f"the cache {root} has another {what}: {was.get(what)!r}")
+
+
+def tile_files(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
+    """tile_col, tile_row, file, length and sha of the files of these tiles, read as bytes: whether they are Parquet at all does
+    not matter, and one that cannot be read is left out. Nothing where there is no such folder."""
+    schema = "path string, modificationTime timestamp, length long, content binary, tile_col long, tile_row long"
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true").load(path)
+    except AnalysisException:
+        files = spark.createDataFrame([], schema)
+    if "tile_col" not in files.columns:  # an empty folder
+        files = spark.createDataFrame([], schema)
+    found = files.join(F.broadcast(tiles.where("tile_col IS NOT NULL")), ["tile_col", "tile_row"], "left_semi")
+    return found.select(F.col("tile_col").cast("long").alias("tile_col"), F.col("tile_row").cast("long").alias("tile_row"), F.col("path").alias("file"), "length", F.sha2("content", 256).alias("sha"))
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """tile_col, tile_row and ``files``: one digest over the contents of a tile's files, which are few."""
+    return files.groupBy("tile_col", "tile_row").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha")), ","), 256).alias("files"))
+
+
+def sound_tiles(manifest: DataFrame, files: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Entries whose tile has the very files that were written for these bands; the others' tiles have to be made again."""
+    now = file_digests(files).withColumnRenamed("files", "_files")
+    return manifest.join(now, ["tile_col", "tile_row"]).where((F.col("files") == F.col("_files")) & (F.col("bands") == F.array(*map(F.lit, bands)))).drop("_files")
+
+
+def cached_pixels(spark: SparkSession, path: str, bands: Sequence[str], tiles: DataFrame) -> DataFrame:
+    """Pixels of these tiles of a cache. Its files are not looked at to find the columns, and those of other tiles are not
+    opened, so that it does not matter what they hold."""
+    schema = "local_row long, local_col long, " + ", ".join(f"{b} double" for b in bands) + ", tile_col long, tile_row long"
+    try:
+        df = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        df = spark.createDataFrame([], schema)
+    mine = df.join(F.broadcast(tiles.select("tile_col", "tile_row").where("tile_col > -9223372036854775807")), ["tile_col", "tile_row"], "left_semi")
+    return mine.select("tile_col", "tile_row", "local_row", "local_col", *(valid(F.col(b)).alias(b) for b in bands))
+
 
 
 def manifest_of(pixels: DataFrame, stack: str, bands: Sequence[str]) -> DataFrame:
@@ -133,7 +188,8 @@ def stack_totals(manifest: DataFrame) -> DataFrame:
 
 def newest(manifest: DataFrame) -> DataFrame:
     """The last entry of each tile; entries are only ever added, with the time in ``written``."""
-    last = manifest.groupBy("stack", "tile_col", "tile_row").agg(F.max_by(F.struct("rows", "sha", "bands"), "written").alias("s"))
+    rest = [c for c in manifest.columns if c not in ("stack", "tile_col", "tile_row", "written")]
+    last = manifest.groupBy("stack", "tile_col", "tile_row").agg(F.max_by(F.struct(*rest), "written").alias("s"))
     return last.select("stack", "tile_col", "tile_row", "s.*")
 
 

@@ -3,6 +3,9 @@
 import json
 import math
 import random
+import shutil
+
+import pytest
 
 from meadowline.plans import cli
 from tests.test_library import TOML
@@ -15,7 +18,7 @@ def test_mask_command(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"1": 1, "0": 2}
 
 
-def test_all_stages(spark, tmp_path):
+def test_all_stages(spark, tmp_path, monkeypatch):
     root, rng = f"file://{tmp_path}", random.Random(3)
     text = TOML.replace("samples_per_class_per_block = 3", "samples_per_class_per_block = 8").replace("ridge_alpha = 1.0", "ridge_alpha = 0.1").replace("tile_size_pixels = 4", "tile_size_pixels = 20")
     names = {"ndvi": "landsat_ndvi", "era5": "era5_daily", "land": "srtm_landforms", "ref": "grassland_probability"}
@@ -53,6 +56,23 @@ def test_all_stages(spark, tmp_path):
     assert len(out) == len(cells) and (out.status == 2).all()
     reference = out.y2018_d01_reference == 1
     assert out[~reference].percentile.mean() > 0.95 and math.isclose(out[reference].percentile.mean(), 0.5, abs_tol=0.25)
+    told = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/sample.{name}").collect()
+    found, classes, whole_rows = told("footprint")[0], {r.reference_site: r for r in told("classes")}, told("completeness")[0]
+    assert (found.area_pixels, found.excluded_reference_pixels) == (1600, 0) and found.background_pixels + found.reference_pixels == 1600 and found.reference_pixels == sum(good.values())
+    assert classes[1].represented_rows == found.reference_pixels and classes[0].represented_rows == found.background_pixels
+    assert whole_rows.rows == whole_rows.complete_rows == classes[0].sampled_rows + classes[1].sampled_rows and whole_rows.missing_bands == 0 and len(told("bands")) == 3
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/run/{name}").collect()
+    response = "y2018_d02_ndvi"
+    assert [(r.x, r.y, r.correlation) for r in read("deviation_correlation")] == [(response, response, 1.0)]
+    covered = {r.predictor: r for r in read("predictor_coverage")}
+    assert set(covered) == {"y2018_d24_rain", "y2018_d35_landform"} and all(r.retained and r.row_fraction == 1 and r.area_fraction == 1 and r.rows > 0 and r.area > 0 for r in covered.values())
+    partial = read("partial_responses")
+    rain_points = sorted(r.value for r in partial if r.predictor == "y2018_d24_rain")
+    assert len(rain_points) == 100 and sorted({r.value for r in partial if r.predictor == "y2018_d35_landform"}) == [0.0, 1.0, 2.0]
+    along = sorted((r.value, r.expected) for r in partial if r.predictor == "y2018_d24_rain")
+    assert along[-1][1] - along[0][1] > 0.5 * (along[-1][0] - along[0][0]) / 1000  # rain in millimetres
+    record = json.loads(spark.read.text(f"{root}/run/metadata").collect()[0].value)
+    assert record["fitted_responses"] == [response] and record["excluded_predictors"] == [] and record["sampled_rows"] >= record["reference_rows"] > 0
     # A damaged tile is made again, and a refresh leaves one entry a tile that counts.
     stack = next(x for x in (tmp_path / "cache").iterdir() if x.is_dir())
     from meadowline.sources import tables
@@ -64,6 +84,48 @@ def test_all_stages(spark, tmp_path):
         cli.main(["fetch", definition, "--area", f"{root}/area.geojson", "--sources", f"{root}/sources", "--cache", f"{root}/cache", *more])
         assert spark.read.parquet(f"file://{stack}/tiles").count() == whole
     assert tables.newest(spark.read.parquet(f"file://{stack}/manifest")).count() == 4
+    # A tile that is no Parquet at all is replaced and nothing else is; so is a cache whose folder of tiles is lost.
+    fetch = lambda *more: cli.main(["fetch", definition, "--area", f"{root}/area.geojson", "--sources", f"{root}/sources", "--cache", f"{root}/cache", *more])
+    requests = lambda: [r.event for r in spark.read.parquet(f"file://{stack}/requests").orderBy("at").collect()]
+    before = {f: f.read_bytes() for f in (stack / "tiles").rglob("*.parquet")}
+    broken = next(f for f in before if "tile_col=1/tile_row=0" in str(f))
+    broken.write_bytes(b"not a tile")
+    known = len(requests())
+    fetch()
+    after = {f: f.read_bytes() for f in (stack / "tiles").rglob("*.parquet")}
+    assert {f for f in before if f not in after} <= {broken} and all(after[f] == b for f, b in before.items() if f != broken)
+    assert spark.read.parquet(f"file://{stack}/tiles").count() == whole
+    assert [(r["todo"], r["made"], r["failed"]) for r in requests()[known:]] == [("1", "1", "0")]
+    shutil.rmtree(stack / "tiles")
+    fetch()
+    assert requests()[-1]["made"] == "4" and spark.read.parquet(f"file://{stack}/tiles").count() == whole
+    # What fails is logged with its tiles; those before it stay, and the next run goes on from there.
+    monkeypatch.setattr(cli, "TILES_PER_BATCH", 1)
+    shutil.rmtree(stack / "tiles")
+    calls, was = [], cli.write_pixels
+
+    def fails(*x):
+        calls.append(1)
+        if len(calls) == 2:
+            raise TimeoutError("no network")
+        return was(*x)
+
+    monkeypatch.setattr(cli, "write_pixels", fails)
+    with pytest.raises(RuntimeError, match="goes on from there"):
+        fetch()
+    failed = requests()[-1]
+    assert (failed["todo"], failed["made"], failed["failed"], failed["error"], failed["message"]) == ("4", "1", "1", "TimeoutError", "no network") and failed["failed_tiles"].startswith("x")
+    fetch()
+    assert (requests()[-1]["todo"], requests()[-1]["made"]) == ("3", "3") and spark.read.parquet(f"file://{stack}/tiles").count() == whole
+    monkeypatch.undo()
+    # A cache of another layout is refused.
+    for f in (stack / "cache").iterdir():
+        f.unlink()
+    (stack / "cache" / "part-0.txt").write_text(json.dumps({"version": 1}))
+    with pytest.raises(ValueError, match="another version"):
+        fetch()
+    shutil.rmtree(stack / "cache")
+    fetch()
     # An area with a hole and a mask take targets away.
     hole = [[5000, 5000], [5000, 9000], [9000, 9000], [9000, 5000], [5000, 5000]]
     (tmp_path / "part.geojson").write_text(json.dumps({"type": "Polygon", "crs": crs, "coordinates": [ring, hole]}))
