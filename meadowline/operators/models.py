@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from meadowline.shipping import ship
 from meadowline.operators.weighted import with_running_sums
+from meadowline.sources.scratch import kept as written
 
 DEGREE = 3
 
@@ -103,29 +104,38 @@ def fit_designs(rows: DataFrame, fold: Column, splits: Sequence[int], kept: Sequ
     """For each split and each condition in ``kept`` the design of the rows outside of that fold that meet the condition.
 
     Imputation is the weighted median of a continuous predictor and the weighted mode of the categorical one, knots are quantiles
-    of the imputed values. All of them come from counts and weights of distinct values, made once for every fold; two jobs
-    however many folds there are, and no task holds a predictor's values. The driver gets one row for each predictor, split
+    of the imputed values. All of them come from counts and weights of distinct values, made once for every fold: each value has
+    one row with its sums over all rows and over each split's own fold, and what lies outside of a fold is their difference. Two
+    jobs however many folds there are, and no task holds a predictor's values. The driver gets one row for each predictor, split
     and condition, and one for each category."""
     w = F.when(area > 0, area.cast("double")).otherwise(0.0)
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
 
     def counts(bands: Sequence[str]) -> DataFrame:
+        """g, band, v and the number and weight of its rows, in all (n, w) and in each split's fold (n0, w0, ...)."""
         long = [F.when(ok, F.struct(F.lit(g).alias("g"), F.lit(b).alias("band"), number(c).alias("v"))) for g, ok in enumerate(kept) for b, c in enumerate(bands)]
-        each = rows.select(fold.alias("f"), w.alias("w"), F.explode(F.array_compact(F.array(*long))).alias("s")).groupBy("f", "s.g", "s.band", "s.v").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-        outside = F.explode(F.filter(F.array(*map(F.lit, splits)), lambda s: s != F.col("f"))).alias("split")
-        return each.select(outside, "g", "band", "v", "n", "w").groupBy("split", "g", "band", "v").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        each = rows.select(fold.alias("f"), w.alias("w"), F.explode(F.array_compact(F.array(*long))).alias("s")).where("f IS NOT NULL").select("f", "w", "s.*")
+        own = [x for i, s in enumerate(splits) for x in (F.count_if(F.col("f") == s).alias(f"n{i}"), F.sum(F.when(F.col("f") == s, F.col("w")).otherwise(0.0)).alias(f"w{i}"))]
+        return each.groupBy("g", "band", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), *own)
+
+    def by_split(sums: DataFrame, *columns: str) -> DataFrame:
+        """A row for each split that has any rows, with these sums over the rows outside of its fold."""
+        each = F.array(*(F.struct(F.lit(s).alias("split"), *((F.col(c) - F.col(f"{c}{i}")).alias(c) for c in columns)) for i, s in enumerate(splits)))
+        return sums.select("g", "band", "v", F.explode(each).alias("_s")).select("g", "band", "v", "_s.*")
 
     mode, codes = {}, {}
-    for x in sorted(counts([categorical]).collect(), key=lambda x: (x.v is None, x.v or 0.0)):
+    for x in sorted(by_split(counts([categorical]), "n", "w").where("n > 0").collect(), key=lambda x: (x.v is None, x.v or 0.0)):
         key = (x.split, x.g)
         if x.v is not None and x.w > mode.get(key, (0.0, 0.0))[0]:
             mode[key] = (x.w, x.v)
         codes.setdefault(key, set()).add(x.v)
 
     by = ["split", "g", "band"]
-    values = counts(continuous)
-    run = with_running_sums(values.where("v IS NOT NULL"), by, "v", {"n": ("run_n", "all_n"), "w": ("run_w", "all_w")})
-    lost = values.where("v IS NULL").select(*by, F.col("n").alias("z"))  # a row for each predictor, split and condition
+    values = written(counts(continuous))
+    sums = [x + str(i) for x in "nw" for i in ("", *range(len(splits)))]
+    run = with_running_sums(values.where("v IS NOT NULL"), ["g", "band"], "v", {x: (f"run_{x}", f"all_{x}") for x in sums})
+    run = by_split(run, "n", "run_n", "all_n", "run_w", "all_w").where("all_n > 0")
+    lost = by_split(values.where("v IS NULL"), "n").where("n > 0").select(*by, F.col("n").alias("z"))  # a row for each predictor, split and condition
     run = run.join(F.broadcast(lost), by, "left").na.fill(0, ["z"])
     half = F.try_divide("run_w", "all_w") >= 0.5 - 1e-12
     share = [i / (knots - 1) for i in range(knots)]
