@@ -273,12 +273,21 @@ _INDEX = "bucket long, pilots array<long>, fingerprints array<long>, part array<
 _PARTS = "part int, ids_before long, first_id long, carry long, buckets long, files int"
 
 
-def _shards(spark: SparkSession, folder: str, files: int) -> DataFrame:
-    """The table of shards, known to the session under a name of its folder so that its bucketing counts."""
+def _declared(spark: SparkSession, folder: str, files: int) -> str:
+    """A name under which the session knows the shards of a folder, for their bucketing to count."""
     name = f"meadowline_{hashlib.md5(folder.encode()).hexdigest()}"
     if not spark.catalog.tableExists(name):
         spark.sql(f"CREATE TABLE {name} ({_SHARD}) USING parquet CLUSTERED BY (part) INTO {files} BUCKETS LOCATION '{folder}/shards'")
-    return spark.table(name)
+    return name
+
+
+def _shards(spark: SparkSession, folder: str, files: int) -> DataFrame:
+    """The table of shards. What was resolved keeps its bucketing, and the files are the folder's own, so the name is given up
+    at once and none is left in the catalog."""
+    name = _declared(spark, folder, files)
+    shards = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return shards
 
 
 class _Part:
@@ -339,9 +348,9 @@ def write_dataset(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     # The number of the row as read keeps rows of one id apart in the ranges.
     rows = docs.selectExpr("cast(doc_id AS long) doc_id", "text", "monotonically_increasing_id() AS m").repartitionByRange("doc_id", "m").sortWithinPartitions("doc_id", "m")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _shards(spark, folder, files)
+    name = _declared(spark, folder, files)
     written = rows.select("doc_id", "text").mapInArrow(encode, _SHARD).write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
-    written.format("parquet").mode("append").bucketBy(files, "part").saveAsTable(f"meadowline_{hashlib.md5(folder.encode()).hexdigest()}")
+    written.format("parquet").mode("append").bucketBy(files, "part").saveAsTable(name)
     shards = _shards(spark, folder, files)
     # One row for each part that was written reaches the driver.
     ends = F.struct("shard", F.element_at("doc_ids", -1).alias("id"), F.element_at("ordinals", -1).alias("ordinal"))

@@ -432,6 +432,7 @@ def test_token_files(spark, small, nothing):
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert order((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == order(want)
+    assert not any(t.name.startswith("meadowline_") for t in spark.catalog.listTables())
     some = token_files.lookup(spark, folder, spark.createDataFrame([(8, 0), (12345, 0), (11, 1)], "doc_id long, ordinal long")).collect()
     assert sorted(r.doc_id for r in some) == [8, 11]
     one = token_files.lookup(spark, folder, spark.createDataFrame([(8, 0)], "doc_id long, ordinal long"))
@@ -470,6 +471,12 @@ def test_word_encoder_matches_library():
 
     path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(7)
     library, mine = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    # Every entry of the vocabulary as a text, alone, between words and after a blank.
+    entries = [t.replace("\u0120", " ").replace("\u2581", " ") for t in library.get_vocab()]
+    for texts in (entries, ["a" + t + "b" for t in entries], [" " + t for t in entries]):
+        flat, sizes = mine.encode(pa.array(texts, pa.string()))
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert sizes.tolist() == [len(w.ids) for w in want] and flat.tolist() == [i for w in want for i in w.ids]
     parts = ["The", "the", "THE,", "x.", "É", "é,", "é", "\x1c", " ", "'ll", "it's", "<|endoftext|>", "<|EndOfText|>", "日本", "12", "3.", "...", "a.b.", "ß", "İ", "\n"]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, "x" * 5000]
     other = tokenizer_path("byte_bpe_50k.json")
