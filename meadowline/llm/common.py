@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meadowline.shipping import ship
@@ -56,9 +57,9 @@ def materialize(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of narrow rows as one side of a join: broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def side(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows as one side of a join: broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def lowest(df: DataFrame, n: int, *columns) -> DataFrame:
@@ -68,15 +69,50 @@ def lowest(df: DataFrame, n: int, *columns) -> DataFrame:
     return near.where(F.col("_rank") <= n).drop("_group", "_rank").orderBy(*order).limit(n)
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """``docs`` as read from Parquet files, and SQL of the file and the position in it that tell each row from all others.
-    What is not read from files is written first."""
-    names = "_metadata.file_path", "_metadata.row_index"
+def located(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``docs`` as read from Parquet files, and columns of the file and the position in it that tell each row from all others.
+    What is not read from files is written first. Columns of ``docs`` may have any name, that of Spark's hidden one as well."""
     try:
-        docs.selectExpr(*names)
+        hidden = docs.metadataColumn("_metadata")
+        docs.select(hidden["file_path"], hidden["row_index"]).schema
     except AnalysisException:
         docs = materialize(docs)
-    return docs, *names
+        hidden = docs.metadataColumn("_metadata")
+    return docs, hidden["file_path"], hidden["row_index"]
+
+
+#: Entries of 64 rows each that are sent to a scan at once: some 100 MB in a task's memory.
+PLACE_WORDS = 1 << 20
+
+
+def rows_at(docs: DataFrame, file: Column, position: Column, places: DataFrame, columns: list[Column], inside: bool = True) -> DataFrame:
+    """``columns`` of the rows of ``docs`` (see ``located``) that lie at ``places`` (file, position) or, with ``inside`` false, of all others.
+
+    No row of ``docs`` is shuffled, however many places there are: they become bits, one entry for 64 rows of a file, and are sent
+    to the scans. Where there are more than ``PLACE_WORDS`` entries, files are dealt into groups by hash, and each group's scan,
+    which reads its files alone, gets its own entries; within a group rows are dealt in the same way, should one file ask for it.
+    Files are told apart by 96 bits of hash."""
+    name = lambda f: (F.xxhash64(f), F.crc32(f.cast("binary")))
+    h, crc = name(F.col("file"))
+    words = places.select(h.alias("_h"), crc.alias("_crc"), F.shiftright("position", 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("position").bitwiseAND(F.lit(63)).cast("int")).alias("_bit"))
+    words = materialize(words.groupBy("_h", "_crc", "_word").agg(F.bit_or("_bit").alias("_bits")))
+    groups = max(1, -(-words.count() // PLACE_WORDS))
+    counts = {r["_g"]: r["count"] for r in words.groupBy(F.pmod(F.col("_h"), F.lit(groups)).alias("_g")).count().collect()}  # as many as groups
+    fh, fcrc = name(file)
+    word, found = F.shiftright(position, 6), []
+    for g in range(groups):
+        splits = max(1, -(-counts.get(g, 0) // PLACE_WORDS))
+        for k in range(splits):
+            scan, mine = docs, words
+            if groups > 1:
+                scan, mine = scan.where(F.pmod(fh, F.lit(groups)) == g), mine.where(F.pmod(F.col("_h"), F.lit(groups)) == g)
+            if splits > 1:
+                scan, mine = scan.where(F.pmod(word, F.lit(splits)) == k), mine.where(F.pmod(F.col("_word"), F.lit(splits)) == k)
+            rows = scan.select(F.struct(*columns).alias("_row"), fh.alias("_h"), fcrc.alias("_crc"), word.alias("_word"), position.bitwiseAND(F.lit(63)).cast("int").alias("_at"))
+            joined = rows.join(F.broadcast(mine), ["_h", "_crc", "_word"], "inner" if inside else "left")
+            hit = F.getbit("_bits", "_at") == 1
+            found.append(joined.where(hit if inside else F.coalesce(~hit, F.lit(True))).select("_row.*"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

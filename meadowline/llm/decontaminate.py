@@ -207,7 +207,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
     blocks, hits = blocks_of(benchmark, block_words), []
     if len(blocks) > 1:
         docs, file, position = located(docs)
-        keyed = docs.select(F.struct(F.expr(file).alias("file"), F.expr(position).alias("position")).alias("_key"), *docs.columns)
+        keyed = docs.select(F.struct(file.alias("file"), position.alias("position")).alias("_key"), *docs.columns)
     for k, block in enumerate(blocks):
         if len(blocks) == 1:
             rows = docs.select("*", *(F.expr(x).alias(c) for c, x in empty.items()))
@@ -294,7 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     names = docs.columns
     rest = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in names if c != "text")).alias("_row")
     found = scan(docs.select(rest, "text"), benchmark, window, block_words, (max_span, max_coverage))
-    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in names else {"text": F.col("text")}
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))} if "n_chars" in names else {"text": F.col("text")}
     return found.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 

@@ -4,8 +4,10 @@ Each added table is scanned once for ``(digest, doc_id, length, file, position)`
 the shared folder, and a streaming aggregation keyed by digest keeps, in a RocksDB state store without expiry, the document
 that stays, how many there are and where its content lies: the Parquet file, the row's position in it and the text's length.
 What changes in the state goes to an index table by batch. A digest with more than one row is a hit; hits are confirmed on
-their full normalised bytes, and digests under which different texts met are grouped again by the texts themselves. Bodies
-are added up by (digest, body) before they are shuffled, so copies of one text do not meet in one task.
+their full normalised bytes, and digests under which different texts met are grouped again by the texts themselves. Hits are
+fetched by their places: a scan that is sent bits of them passes their rows on, and no body without a copy is ever shuffled,
+however many hits there are. Bodies are added up by (digest, body) before they are shuffled, so copies of one text do not meet
+in one task.
 
 Defined results: null text counts as empty, so null and blank texts are copies of each other. A null ``doc_id`` loses ties
 against any other. Repeated rows count as copies, and ``exact_dedup`` and ``stay`` keep one row of each group whether ids are
@@ -20,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import documents, located, materialize, shared_dir, side
+from meadowline.llm.common import documents, located, materialize, rows_at, shared_dir
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,11 +50,11 @@ class StreamingDeduplicator:
     def __init__(self, spark: SparkSession, folder: str | None = None, digest=sha256):
         self.spark, self.folder, self.digest = spark, folder or shared_dir(spark), digest
 
-    def _fingerprints(self, docs: DataFrame, *more: Column) -> DataFrame:
+    def _fingerprints(self, docs: DataFrame) -> DataFrame:
+        """Narrow rows: digest, doc_id, length, place."""
         docs, file, position = located(docs)
         text = F.coalesce(F.col("text"), F.lit(""))
-        names = [F.expr(file).alias("file"), F.expr(position).alias("position")]
-        return docs.select(self.digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), *names, *more)
+        return docs.select(self.digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), file.alias("file"), position.alias("position"))
 
     def add(self, docs: DataFrame) -> None:
         """Append a table to the log and bring the state up to date. Survives restarts: the log and the stream's checkpoint are written before anything is read from them."""
@@ -90,42 +92,51 @@ class StreamingDeduplicator:
     def _hits(self) -> DataFrame:
         return materialize(self.index().where("group_size > 1"))
 
-    def collisions(self, docs: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-        """Digests of hits under which different normalised texts met, by full comparison of the hits' bytes."""
+    def _bodies(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+        """digest, body and place of those rows of ``docs``, alone fetched by their places."""
+        docs, file, position = located(docs)
         text = normalised(F.col("text"))
-        bodies = docs.select(self.digest(text).alias("digest"), text.alias("body"))
-        hits = (self._hits() if hits is None else hits).select("digest")
-        few = side(hits)
-        if few is hits:  # too many to send: bodies are added up first, so that none of them is shuffled more than once a task
-            return bodies.distinct().join(hits, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
-        return bodies.join(few, "digest", "left_semi").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
-
-    def _resolved(self, docs: DataFrame, *more: Column) -> DataFrame:
-        """digest, doc_id, n, file, position, ``more`` of each row with its group's ``best`` and ``group_size`` (null: no copy) and ``sha``."""
+        return rows_at(docs, file, position, rows, [self.digest(text).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n"), file.alias("file"), position.alias("position"), text.alias("body")])
+
+    def collisions(self, docs: DataFrame, hits: DataFrame | None = None, prints: DataFrame | None = None) -> DataFrame:
+        """Digests of hits under which different normalised texts met, by full comparison of the hits' bytes. Bodies without a
+        copy are not moved; the others are added up within tasks first."""
+        docs, *_ = located(docs)
+        hits, prints = self._hits() if hits is None else hits, materialize(self._fingerprints(docs)) if prints is None else prints
+        met = self._bodies(docs, prints.join(hits.select("digest"), "digest", "left_semi")).select("digest", "body").distinct()
+        return met.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
+
+    def _resolved(self, docs: DataFrame) -> DataFrame:
+        """digest, doc_id, n, file, position of each row with its group's ``best`` and ``group_size`` (null: no copy)."""
         hits = self._hits()
-        bad = materialize(self.collisions(docs, hits))
-        text = normalised(F.col("text"))
-        if self.digest is sha256 and bad.isEmpty():
-            return self._fingerprints(docs, *more).join(side(hits), "digest", "left").withColumn("sha", F.col("digest"))
+        prints = materialize(self._fingerprints(docs))
+        bad = materialize(self.collisions(docs, hits, prints))
+        if bad.isEmpty():
+            return prints.join(hits, "digest", "left")
         # Equal digests of different texts: these groups are formed by the texts.
-        rows = self._fingerprints(docs, *more, text.alias("body"))
-        odd = rows.join(side(bad), "digest", "left_semi")
+        odd = materialize(self._bodies(docs, prints.join(bad, "digest", "left_semi")))
         best = odd.groupBy("body").agg(F.max(F.expr(_ORDER)).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        regrouped = odd.join(best, "body")
-        rest = rows.join(side(bad), "digest", "left_anti").join(side(hits), "digest", "left")
-        return regrouped.select(*rest.columns).unionByName(rest).withColumn("sha", sha256(F.col("body"))).drop("body")
+        rest = prints.join(bad, "digest", "left_anti").join(hits, "digest", "left")
+        return odd.join(best, "body").select(*rest.columns).unionByName(rest)
 
     def resolve(self, docs: DataFrame, by_place: bool = False) -> DataFrame:
         """One row per document of ``docs`` (all rows added so far): doc_id, keep_id, group_size, kept, text_sha256. With
         ``by_place``, for the very files that were added, exactly one row of each group is kept."""
+        docs, file, position = located(docs)
         stays = F.expr("group_size IS NULL OR file = best.file AND position = best.position") if by_place else F.expr("group_size IS NULL OR doc_id <=> best.doc_id")
         keep = F.when(F.col("group_size").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id"))
-        return self._resolved(docs).select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), F.col("sha").alias("text_sha256"))
+        found, sha = self._resolved(docs), F.col("digest")
+        if self.digest is not sha256:
+            found = found.join(docs.select(file.alias("file"), position.alias("position"), sha256(normalised(F.col("text"))).alias("sha")), ["file", "position"])
+            sha = F.col("sha")
+        return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), sha.alias("text_sha256"))
 
     def stay(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs``, which was added as a whole, that stay: one of each group, with all columns."""
-        rows = self._resolved(docs, F.struct(*docs.columns).alias("_row"))
-        return rows.where("group_size IS NULL OR file = best.file AND position = best.position").select("_row.*")
+        """The rows of ``docs``, which was added as a whole, that stay: one of each group, with all columns. The others are left
+        out by their places while the table is read again."""
+        docs, file, position = located(docs)
+        gone = self._resolved(docs).where("group_size IS NOT NULL AND NOT (file = best.file AND position = best.position)").select("file", "position")
+        return rows_at(docs, file, position, gone, [docs[c] for c in docs.columns], inside=False)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

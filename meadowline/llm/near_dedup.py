@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import as_bytes, blank_words, documents, located, materialize, ship, side, slices
+from meadowline.llm.common import as_bytes, blank_words, documents, located, materialize, rows_at, ship, side, slices
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -101,7 +101,7 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """key, n (shingles), k (digest of the set) and the bucket keys of ``docs`` (key, text)."""
+    """key, n (shingles), k (digest of the set), the bucket keys and the place of ``docs`` (key, text, file, position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +112,9 @@ def _summaries(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 of = dict(zip(full, keys))
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 cells = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([of.get(i) for i in range(len(sets))], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cells, names=["key", "n", "k", "buckets"])
+                yield pa.RecordBatch.from_arrays([*cells, part.column("file"), part.column("position")], names=["key", "n", "k", "buckets", "file", "position"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, k binary, buckets array<long>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, k binary, buckets array<long>, file string, position long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -192,12 +192,15 @@ def _rest(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
-    """key, n, component (smallest key reachable, null where the row is linked with nothing) of each row of ``docs`` (key, text)."""
+def groups(docs: DataFrame, key, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
+    """key, n, component (smallest key reachable, null where the row is linked with nothing) and place of each row of ``docs``,
+    whose rows are told apart by ``key``; null keys take no part."""
     ship(docs.sparkSession)
-    base = materialize(_summaries(docs, words, bands, rows))
+    docs, file, position = located(docs)
+    key = key(file, position)
+    base = materialize(_summaries(docs.select(key.alias("key"), "text", file.alias("file"), position.alias("position")), words, bands, rows))
     filled = base.where("k IS NOT NULL AND key IS NOT NULL")
-    classes = materialize(filled.groupBy("k").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+    classes = materialize(filled.groupBy("k").agg(F.min("key").alias("rep"), F.min(F.struct("file", "position")).alias("place"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
     spread = classes.select(F.explode("buckets").alias("bucket"), "k", "n")
     common = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     held = materialize(spread.join(common, "bucket"))
@@ -206,8 +209,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66,
     led = held.join(weight, "k").groupBy("bucket").agg(F.max(F.struct("w", "k", "n")).alias("lead"))
     stars = held.join(led, "bucket").where("k <> lead.k").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
     pairs = stars.select(F.col("k").alias("x"), F.col("lead.k").alias("y")).distinct()
-    reps = materialize(classes.join(held.select("k").distinct(), "k", "left_semi").select(F.col("rep").alias("key")))
-    sets = materialize(_sets(docs.join(side(reps), "key", "left_semi"), words).dropDuplicates(["k"]))
+    # One text of each class that shares a bucket, fetched by its place.
+    reps = classes.join(held.select("k").distinct(), "k", "left_semi").select("place.*")
+    sets = materialize(_sets(rows_at(docs, file, position, reps, [F.col("text")]), words).dropDuplicates(["k"]))
     links = materialize(_confirmed(pairs, sets, percent))
     roots = materialize(components(links))
     more = _confirmed(_rest(held, roots, sets, percent), sets, percent)
@@ -216,12 +220,12 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66,
     named = classes.join(roots, "k", "left").where("root IS NOT NULL OR size > 1").select("k", "rep", F.coalesce("root", "k").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     map_ = side(materialize(named.join(lowest, "root").select("k", "component")))
-    return base.join(map_, "k", "left").select("key", "n", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+    return base.join(map_, "k", "left").select("key", "n", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"), "file", "position")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per document."""
-    found = groups(docs.selectExpr("cast(doc_id AS long) key", "text"), words, percent, bands, rows)
+    found = groups(docs.selectExpr("cast(doc_id AS long) doc_id", "text"), lambda *_: F.col("doc_id"), words, percent, bands, rows)
     component = F.coalesce("component", "key")
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
 
@@ -229,11 +233,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 def stay(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 66, rows: int = 8) -> DataFrame:
     """One row of each group, with all columns. Rows are told apart by where they lie, so null and repeated ids make no difference."""
     docs, file, position = located(docs)
-    key = F.expr(f"concat({file}, ':', {position})")
-    found = groups(docs.select(key.alias("key"), "text"), words, percent, bands, rows)
-    gone = side(materialize(found.where("key <> component").select("key")))
-    keyed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("_row"))
-    return keyed.join(gone, "key", "left_anti").select("_row.*")
+    found = groups(docs.select("text"), lambda f, p: F.concat(f, F.lit(":"), p), words, percent, bands, rows)
+    gone = found.where("key <> component").select("file", "position")
+    return rows_at(docs, file, position, gone, [docs[c] for c in docs.columns], inside=False)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^
 through vectors of low rank, at a cost linear in a document's features.
 
 Features are whether a hashed word occurs (scaled so that a document's words have unit length together), binned structure
-statistics of the text, and the document's length as metadata. Labels, language, source and ``doc_id`` are no features.
+statistics of the text, and the document's length as metadata, counted from the text. Labels, language, source and ``doc_id`` are no features.
 
 The machine is fitted on at most ``sample_rows`` labelled documents, those whose ids hash lowest; documents whose
 crc32(doc_id as text) is divisible by 5 are held out. Everything else reads all documents.
@@ -138,26 +138,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a slice of documents; the length is counted where the table has none."""
+    """Features of a slice of documents."""
     lengths = pc.utf8_length(part.column("text")).cast(pa.int64())
-    if "n_chars" in part.schema.names:
-        lengths = pc.coalesce(part.column("n_chars").cast(pa.int64()), lengths)
     return features(as_bytes(part.column("text")), lengths.fill_null(0).to_pylist())
 
 
-def _needed(docs: DataFrame) -> list[str]:
-    return ["text", *(["n_chars"] if "n_chars" in docs.columns else [])]
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     ship(docs.sparkSession)
     known = labels.selectExpr("cast(doc_id AS long) doc_id", "double(quality) label").where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = lowest(known.groupBy("doc_id", "label").count().drop("count"), sample_rows, F.xxhash64("doc_id"), "doc_id", "label")  # at most sample_rows small rows: safe to broadcast
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_needed(docs)).join(F.broadcast(some), "doc_id")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
     # Of documents that share an id one is taken, so that what is learnt from, and reaches the driver, has sample_rows rows at most.
-    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_needed(docs))).alias("r"))
-    rows = one.select(*(f"r.{c}" for c in _needed(docs)), "label")
+    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    rows = one.select("r.text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +206,7 @@ def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = with_score(docs.select("doc_id", *_needed(docs)), fit(docs, labels, sample_rows))
+    scored = with_score(docs.select("doc_id", "text"), fit(docs, labels, sample_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
