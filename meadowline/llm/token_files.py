@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowline.llm.common import documents, shared_dir, slices, tokenizer_path
+from meadowline.llm.common import documents, give_back, shared_dir, slices, tokenizer_path
 from meadowline.llm.token_counts import byte_alphabet
 
 SHARD_IDS = 1 << 18
 #: Keys for each index row, on average, and keys for each pilot.
 BUCKET_KEYS, GROUP_KEYS = 1024, 4
 #: Text, in bytes, that is split into chunks at a time.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 2 << 20
 #: So many keys at most are looked up by pushing their places down to the scans.
 FEW_KEYS = 1000
 #: Row groups of a shard file: a shard has 1 MB.
@@ -342,6 +342,9 @@ def write_dataset(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
             for piece in slices(batch, limit=ENCODE_BYTES):
                 ids, n = enc.encode(piece.column("text"))
                 yield from part.add(piece.column("doc_id"), np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1)
+                del ids, n, piece
+            del batch
+            give_back()
         if part.held:
             yield part.flush()
 
@@ -457,6 +460,9 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                 crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
                 cells = [docs.field("doc_id"), docs.field("ordinal"), pa.array(base + first), pa.array(n), crc, pa.array([bytes(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "ordinal", "start", "n_tokens", "ids_crc32", "ids"])
+                del docs, body, ids, cells
+            del batch
+            give_back()
 
     dealt = keys.selectExpr("cast(doc_id AS long) doc_id", "cast(ordinal AS long) ordinal").mapInArrow(deal, "bucket long, doc_id long, ordinal long")
     place = "part int, shard int, doc_id long, ordinal long, first long, n long"
