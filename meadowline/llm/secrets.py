@@ -155,7 +155,7 @@ def corpus_counts(docs: DataFrame, dictionary_words: int = 5000) -> Corpus:
                 yield pa.RecordBatch.from_arrays(cells, names=["is_word", "key", "n"])
 
     counted = docs.select("text").mapInArrow(run, "is_word boolean, key string, n long").groupBy("is_word", "key").agg(F.sum("n").alias("n"))
-    top = counted.orderBy("is_word", F.desc("n"), "key").limit(36 * 36 + 1 + dictionary_words).collect()
+    top = lowest(counted, 36 * 36 + 1 + dictionary_words, "is_word", F.desc("n"), "key").collect()
     pairs = {r.key: r.n for r in top if not r.is_word}
     total = sum(pairs.values()) + 1
     return Corpus(frozenset([r.key for r in top if r.is_word][:dictionary_words]), {k: math.log(v / total) for k, v in pairs.items() if k}, math.log(0.5 / total))
