@@ -50,3 +50,12 @@ def test_zonal_range_is_exact(spark):
     assert got == {1: (6, 1.5, 5.0), 2: (0, None, None)}
     got = {r.feature: (r.n, r.low, r.high) for r in zones.zonal_range(few, F.col("v"), 0.3, 0.6, n=F.col("n")).collect()}
     assert got == {1: (6, 1.0, 5.0), 2: (0, None, None)}
+
+
+def test_region_range_lies_between_ranks_of_large_regions(spark, tmp_path):
+    n = 60_000
+    spark.range(1).selectExpr("1 AS n_nationkey", "4 AS n_regionkey").union(spark.sql("SELECT 2, 3")).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(n).selectExpr("id AS c_custkey", "1 AS c_nationkey", "double(id * id) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    at = lambda q: (lambda p, i: i * i + (p - i) * (2 * i + 1))(q * (n - 1), int(q * (n - 1)))
+    got = {r.n_regionkey: (r.low, r.high) for r in queries.region_range(spark, str(tmp_path)).collect()}
+    assert got == {4: (pytest.approx(at(0.1), abs=1e-4), pytest.approx(at(0.9), abs=1e-4)), 3: (0.0, 1.0)}
