@@ -49,10 +49,15 @@ RANGES, EDGE_SAMPLE = 32, 2000
 
 
 def dense_block_numbers(df: DataFrame, keys: Sequence[str], name: str = "block_id") -> DataFrame:
-    """Blocks numbered from 1 in key order. A window over all of them would run in one task: they are cut at the edges of a
-    bounded sample into ranges of keys, numbered within each, and the numbers before a range are added."""
-    blocks = kept(df.select(*keys).distinct())
-    some = blocks.orderBy(F.xxhash64(*keys), *keys).limit(EDGE_SAMPLE).orderBy(*keys).collect()
+    """Blocks numbered from 1 in key order."""
+    return with_numbers(kept(df.select(*keys).distinct()), keys, name)
+
+
+def with_numbers(blocks: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows, of which no two have the same keys, numbered from 1 in key order. They are read several times. A window over all of
+    them would run in one task: they are cut at the edges of a bounded sample into ranges of keys, numbered within each, and the
+    numbers before a range are added."""
+    some = blocks.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(EDGE_SAMPLE).orderBy(*keys).collect()
     ranges = RANGES if len(some) == EDGE_SAMPLE else 1  # so few are numbered in one task
     step = -(-len(some) // ranges) or 1
     edges = [F.struct(*(F.lit(e[k]).cast(blocks.schema[k].dataType).alias(k) for k in keys)) for e in some[step::step]]

@@ -74,6 +74,16 @@ def test_folds_in_chunks_keep_blocks_off_the_driver(spark, monkeypatch):
     assert {r.validation_block_id: r.spatial_fold for r in got.collect()} == want
 
 
+def test_folds_are_read_as_one_table_and_blocks_sorted_once(spark, monkeypatch):
+    blocks = spark.range(400).selectExpr("id + 1 AS validation_block_id", "double(id * 37 % 101) AS area", "double(if(id % 4 = 0, id * 11 % 17, 0)) AS reference_area")
+    want = {r.validation_block_id: r.spatial_fold for r in folds.assign_folds(blocks, 5).collect()}
+    monkeypatch.setattr(folds, "CHUNK", 20)
+    got = folds.assign_folds(blocks, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Union" not in plan
+    assert {r.validation_block_id: r.spatial_fold for r in got.collect()} == want and len(want) == 400
+
+
 def test_ridge_cv_scores_every_row(spark, data):
     out = queries.ridge_cv(spark, data).collect()
     assert sum(r.rows for r in out) == spark.read.parquet(f"{data}/lineitem.parquet").count() and all(r.rmse > 0 for r in out)
