@@ -227,6 +227,28 @@ def test_running_sums_in_any_ranges(spark, monkeypatch, range_rows):
     assert weighted.with_running_sums(spark.createDataFrame([], "v int, n int"), [], "v", {"n": ("rn", "tn")}).columns == ["v", "n", "rn", "tn"]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_sums_meet_no_edges_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 10)
+    rows = spark.range(400).selectExpr("id % 3 AS g", "id AS v", "1L AS n")
+    got = weighted.with_running_sums(rows, ["g"], "v", {"n": ("run", "all")})
+    assert "lambda" not in _plan(got) and "percentile_approx" not in _plan(got)
+    assert all((r.run, r.all) == (r.v // 3 + 1, 134 if r.g == 0 else 133) for r in got.collect())
+
+
+def test_running_sums_cut_a_group_into_ranges_of_its_own_values(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 10)
+    written, keep = [], weighted.kept
+    monkeypatch.setattr(weighted, "kept", lambda df: written.append(keep(df)) or written[-1])
+    values = spark.range(400).selectExpr("double(id * 37 % 401) AS v", "double(id % 5 + 1) AS w")
+    assert weighted.ecdf(values, "v", F.col("w")).count() == 400
+    ranges = [r for df in written if "_range" in df.columns and "v" in df.columns for r in df.groupBy("_range").agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("a").collect()]
+    assert len(ranges) > 20 and max(r.n for r in ranges) <= 40 and all(x.b < y.a for x, y in zip(ranges, ranges[1:]))
+
+
 def test_regression_metrics(spark):
     rng = random.Random(32)
     maybe = lambda x: rng.choice([x, x, x, None])
