@@ -249,6 +249,13 @@ def test_running_sums_cut_a_group_into_ranges_of_its_own_values(spark, monkeypat
     assert len(ranges) > 20 and max(r.n for r in ranges) <= 40 and all(x.b < y.a for x, y in zip(ranges, ranges[1:]))
 
 
+@pytest.mark.parametrize("quantiles", [[0.05, 0.95], [0.5]])
+def test_quantiles_of_one_group_pass_each_distinct_value_in_a_range(spark, monkeypatch, quantiles):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 10)
+    got = weighted.weighted_quantiles(spark.range(1, 401).selectExpr("1 AS g", "id"), ["g"], F.col("id"), F.lit(2.0), quantiles)
+    assert list(got.collect()[0])[1:] == [400 * q for q in quantiles] and "lambda" not in _plan(got)
+
+
 def test_regression_metrics(spark):
     rng = random.Random(32)
     maybe = lambda x: rng.choice([x, x, x, None])
