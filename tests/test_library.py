@@ -256,6 +256,13 @@ def test_quantiles_of_one_group_pass_each_distinct_value_in_a_range(spark, monke
     assert list(got.collect()[0])[1:] == [400 * q for q in quantiles] and "lambda" not in _plan(got)
 
 
+def test_average_ranks_meet_no_edges_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 10)
+    got = weighted.with_average_ranks(spark.range(300).selectExpr("id % 2 AS g", "id div 4 AS v"), ["g"], {"v": "k"})
+    assert "lambda" not in _plan(got)
+    assert all(r.k == 2 * r.v + 1.5 for r in got.collect())
+
+
 def test_regression_metrics(spark):
     rng = random.Random(32)
     maybe = lambda x: rng.choice([x, x, x, None])
