@@ -263,6 +263,15 @@ def test_average_ranks_meet_no_edges_row_by_row(spark, monkeypatch):
     assert all(r.k == 2 * r.v + 1.5 for r in got.collect())
 
 
+def test_asof_passes_each_edge_once(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 2)
+    table = spark.range(300).selectExpr("double(id * id) AS d", "double(id) AS f")
+    got = weighted.asof(spark.range(90_000).selectExpr("double(id) AS v"), "v", table, "d", "f", "got")
+    # Values are compared with marks, with the edges after one and with a cell's rows, which were gathered before.
+    assert _plan(got).count("<= v#") == 3 and "collect_list" not in _plan(got)
+    assert got.where("got <> floor(sqrt(v))").count() == 0 and got.where("got IS NULL").count() == 0
+
+
 def test_regression_metrics(spark):
     rng = random.Random(32)
     maybe = lambda x: rng.choice([x, x, x, None])
