@@ -263,6 +263,43 @@ def test_average_ranks_meet_no_edges_row_by_row(spark, monkeypatch):
     assert all(r.k == 2 * r.v + 1.5 for r in got.collect())
 
 
+def _watched(monkeypatch):
+    """Rows given to running sums, call by call."""
+    given, sums = [], weighted.with_running_sums
+    monkeypatch.setattr(weighted, "with_running_sums", lambda df, *a: given.append(df.count()) or sums(df, *a))
+    return given
+
+
+def test_quantiles_put_only_their_cells_in_order(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 50)
+    given = _watched(monkeypatch)
+    values = spark.range(4000).selectExpr("id % 2 AS g", "id * 1231 % 4001 AS v")
+    got = weighted.weighted_quantiles(values, ["g"], F.col("v"), F.lit(2.0), [0.05, 0.95]).collect()
+    assert sum(given) < 100 and len(got) == 2
+    for r in got:
+        mine = sorted(i * 1231 % 4001 for i in range(4000) if i % 2 == r.g)
+        assert (r.q0, r.q1) == (mine[99], mine[1899])
+
+
+@pytest.mark.parametrize("range_rows", [1, 5, 20, 10**6])
+def test_quantiles_in_any_cells(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", range_rows)
+    rng, steps, inf = random.Random(37), [0.0, 0.02, 0.35, 0.5, 0.77, 0.97, 1.0], math.inf
+    draw = {
+        None: lambda: rng.uniform(-5, 5), "near": lambda: rng.choice([1e300, 1 + rng.random() * 1e-9, rng.expovariate(1)]), "few": lambda: rng.choice([-0.0, 0.0, 7.0]),
+        "ends": lambda: rng.choice([-inf, inf, math.nan, None, rng.gauss(0, 1)]), "wide": lambda: rng.choice([-1.7e308, 1.7e308, rng.random()]), "inf": lambda: inf, "one": lambda: 3.0,
+    }
+    rows = [(g, f(), rng.choice([0.0, None, float(rng.randint(1, 9))])) for g, f in draw.items() for _ in range(3 if g == "one" else 150)] + [("one", 3.0, 1.0)]
+    got = weighted.weighted_quantiles(spark.createDataFrame(rows, "g string, v double, w double"), ["g"], F.col("v"), F.col("w"), steps).collect()
+    assert {r.g for r in got} == set(draw) and len(got) == len(draw)
+    for r in got:
+        mine = sorted((v, w) for g, v, w in rows if g == r.g and v is not None and v == v and w)
+        upto = [sum(w for _, w in mine[: k + 1]) for k in range(len(mine))]
+        assert list(r)[1:] == [next(v for (v, _), run in zip(mine, upto) if run / upto[-1] >= q - 1e-12) for q in steps]
+    whole = weighted.weighted_quantiles(spark.range(1, 101), [], F.col("id"), F.lit(1.0), [0.5, 1.0])
+    assert whole.columns == ["q0", "q1"] and [tuple(r) for r in whole.collect()] == [(50.0, 100.0)]
+
+
 def test_asof_passes_each_edge_once(spark, monkeypatch):
     monkeypatch.setattr(weighted, "RANGE_ROWS", 2)
     table = spark.range(300).selectExpr("double(id * id) AS d", "double(id) AS f")
