@@ -300,6 +300,39 @@ def test_quantiles_in_any_cells(spark, monkeypatch, range_rows):
     assert whole.columns == ["q0", "q1"] and [tuple(r) for r in whole.collect()] == [(50.0, 100.0)]
 
 
+def test_average_ranks_sum_no_distinct_values(spark, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 50)
+    given = _watched(monkeypatch)
+    values = spark.range(4000).selectExpr("id % 2 AS g", "id * 1231 % 4001 AS v", "id % 10 AS f")
+    got = weighted.with_average_ranks(values, ["g"], {"v": "k", "f": "kf"}).collect()
+    assert not given and len(got) == 4000
+    place = {g: {v: k for k, v in enumerate(sorted(i * 1231 % 4001 for i in range(4000) if i % 2 == g), 1)} for g in (0, 1)}
+    assert all((r.k, r.kf) == (place[r.g][r.v], 400 * (r.f // 2) + 200.5) for r in got)
+
+
+@pytest.mark.parametrize("range_rows", [1, 5, 20, 10**6])
+def test_average_ranks_in_any_cells(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", range_rows)
+    rng, inf = random.Random(38), math.inf
+    draw = {
+        None: lambda: rng.uniform(-5, 5), "near": lambda: rng.choice([1e300, 1 + rng.randrange(60) * 1e-9, rng.expovariate(1)]), "few": lambda: rng.choice([-0.0, 0.0, 7.0]),
+        "ends": lambda: rng.choice([-inf, inf, math.nan, None, rng.gauss(0, 1)]), "wide": lambda: rng.choice([-1.7e308, 1.7e308, rng.random()]), "inf": lambda: inf, "none": lambda: None, "one": lambda: 3.0,
+    }
+    rows = [(i, g, f(), rng.choice([None, "a", "b", "c", f"x{i % 70}"]), rng.randrange(4)) for g, f in draw.items() for i in range(1 if g == "one" else 150)]
+    df = spark.createDataFrame(rows, "i int, g string, v double, s string, n int")
+    out = weighted.with_average_ranks(df, ["g"], {"n": "kn", "v": "kv", "s": "ks"})
+    got = out.collect()
+    assert out.columns == [*df.columns, "kn", "kv", "ks"] and len(got) == len(rows)
+    order = lambda x: (x != x, x)
+    for r in got:
+        for c, at, rank in (("v", 2, r.kv), ("s", 3, r.ks), ("n", 4, r.kn)):
+            mine = [order(x[at]) if x[at] == x[at] else (True, 0) for x in rows if x[1] == r.g and x[at] is not None]
+            own = r[c] if r[c] is None else order(r[c]) if r[c] == r[c] else (True, 0)
+            assert rank == (None if own is None else sum(x < own for x in mine) + (sum(x == own for x in mine) + 1) / 2)
+    whole = weighted.with_average_ranks(spark.range(100).selectExpr("id", "id div 2 AS v"), [], {"v": "k"})
+    assert all(r.k == 2 * r.v + 1.5 for r in whole.collect()) and whole.columns == ["id", "v", "k"]
+
+
 def test_asof_passes_each_edge_once(spark, monkeypatch):
     monkeypatch.setattr(weighted, "RANGE_ROWS", 2)
     table = spark.range(300).selectExpr("double(id * id) AS d", "double(id) AS f")
